@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import binpack, knn, mixing, pieces, topn
+from matchloom.llm import binpack, knn, mixing, pieces, sentences, topn
 from matchloom.session import table
 
 CAPACITY = 4096
@@ -19,6 +19,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.unordered_pairs(near, "block_id", "block_a", "block_b")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_ends(table(spark, d, "indexed_lines"), headings=table(spark, d, "headings"))
+
+
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "indexed_lines"), headings=table(spark, d, "headings"))
+
+
+def p2_resplit(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the present splitter as whole sentences: rows that hold several are cut, pieces are put together."""
+    return sentences.sentences(table(spark, d, "sentences"), line_no="sent_no").select(
+        "doc_id", F.col("start_line").alias("first_sent_no"), "start_char", F.col("line_no").alias("last_sent_no"), "end_char", "text"
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     best = topn.top_n_per_group(table(spark, d, "evidence"), "jd_block_id", "evidence_id", "similarity_score", 10, low=0.0, high=1.0)
     return best.select("jd_block_id", "evidence_id")
@@ -71,7 +86,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
