@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import binpack, knn, mixing, pieces, sentences, topn
-from matchloom.session import table
+from matchloom.llm import binpack, knn, mixing, pieces, quality, sentences, topn
+from matchloom.session import checkpointed, table
 
 CAPACITY = 4096
 PIECE, OVERLAP = 600, 60
@@ -76,17 +76,26 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    mixture, _ = mixing.mix(_sized(spark, d, "source"), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
+    mixture, _ = mixing.mix(checkpointed(_sized(spark, d, "source")), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
     return mixture.select("doc_id", "source", F.col("__size").alias("tokens"), F.col("__copy").alias("copy_no"), F.col("__position").alias("position"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixing.mix(_sized(spark, d, "source"), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
+    _, report = mixing.mix(checkpointed(_sized(spark, d, "source")), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
     return report
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "documents").select("doc_id", quality.kind_of("text").alias("doc_kind"))
+    return kinds.filter(F.col("doc_kind").isin("list", "table", "junk"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.with_statistics(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
