@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import binpack, knn, mixing, pieces, quality, sentences, topn
-from matchloom.session import checkpointed, table
+from matchloom.llm import binpack, canonical, knn, mixing, pieces, quality, sentences, topn
+from matchloom.session import bounded_broadcast, checkpointed, table
 
 CAPACITY = 4096
 PIECE, OVERLAP = 600, 60
@@ -34,6 +34,26 @@ def p2_resplit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _headings(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading line once, with the entry it spells."""
+    heads = table(spark, d, "headings").select("doc_id", "line_no", "heading_text").dropDuplicates(["doc_id", "line_no"])
+    mapped = canonical.map_values(heads, "heading_text", table(spark, d, "canon_headings"), "canon_id", "heading")
+    # one row for each distinct spelling
+    return heads.join(bounded_broadcast(checkpointed(mapped)), "heading_text", "left")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _headings(spark, d).select("doc_id", "line_no", F.coalesce("canon_id", F.lit(-1)).cast("int").alias("canon_id"))
+
+
+def p3_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The headings' sections by the list, and how the detector's agree with them."""
+    canon = table(spark, d, "canon_headings").select("canon_id", F.col("section_type").alias("section"))
+    had = table(spark, d, "headings").groupBy("doc_id", "line_no").agg(F.max(F.lower(F.trim("section_type"))).alias("detected"))
+    out = _headings(spark, d).join(F.broadcast(canon), "canon_id", "left").join(had, ["doc_id", "line_no"])
+    return out.groupBy("section", "detected").agg(F.count("*").alias("headings"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     best = topn.top_n_per_group(table(spark, d, "evidence"), "jd_block_id", "evidence_id", "similarity_score", 10, low=0.0, high=1.0)
     return best.select("jd_block_id", "evidence_id")
@@ -95,7 +115,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p3_found, p3_sections, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
