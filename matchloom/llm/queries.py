@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import binpack, canonical, knn, mixing, pieces, quality, sentences, topn
+from matchloom.llm import binpack, canonical, knn, mixing, pieces, pii, quality, sentences, topn
 from matchloom.session import bounded_broadcast, checkpointed, table
 
 CAPACITY = 4096
@@ -54,6 +54,23 @@ def p3_sections(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("section", "detected").agg(F.count("*").alias("headings"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
+def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
+    lines, blocks, evidence = (table(spark, d, t) for t in ("indexed_lines", "blocks", "evidence"))
+    return (
+        lines.select(F.lit("indexed_lines").alias("src"), F.concat_ws(":", "doc_id", "line_no").alias("row_key"), "text")
+        .unionByName(blocks.select(F.lit("blocks").alias("src"), F.col("block_id").cast("string").alias("row_key"), "text"))
+        .unionByName(evidence.select(F.lit("evidence").alias("src"), F.col("evidence_id").cast("string").alias("row_key"), F.col("resume_text").alias("text")))
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_spans(_personal_texts(spark, d))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(_personal_texts(spark, d).filter("text is not null"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     best = topn.top_n_per_group(table(spark, d, "evidence"), "jd_block_id", "evidence_id", "similarity_score", 10, low=0.0, high=1.0)
     return best.select("jd_block_id", "evidence_id")
@@ -115,7 +132,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p3_found, p3_sections, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p3_found, p3_sections, p4_found, p4_redacted, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
