@@ -1,15 +1,516 @@
-"""All queries of the core operators with their SQL."""
+"""All queries of the core operators over whole tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from matchloom import dims
+from matchloom.config import Config, Retrieval
+from matchloom.functions import text as X
+from matchloom.functions import vector as V
+from matchloom.operators import blocks as B
+from matchloom.operators import evidence as E
+from matchloom.operators import quality, report, retrieve, score, sections, segment
+from matchloom.plans import pipeline
+from matchloom.plans import sql as Q
+from matchloom.session import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Plan = Callable[[SparkSession, str], DataFrame]
+_PLANS: dict[str, Plan] = {}
+_SQL: dict[str, str] = {}
+CFG = Config()
+#: The vectors of the test tables are close to noise, so their similarities are graded on a lower scale.
+LOW = Retrieval(similarity_threshold=0.15, noise_floor=0.10, span=0.30)
+
+
+def _query(sql: str | None = None) -> Callable[[Plan], Plan]:
+    def add(f: Plan) -> Plan:
+        _PLANS[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Plan]:
+    return dict(_PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "text")
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    return segment.index_lines(_docs(s, d))
+
+
+def _content(s: SparkSession, d: str) -> DataFrame:
+    return segment.content_lines(_lines(s, d))
+
+
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    """Every block once."""
+    b = table(s, d, "blocks").dropDuplicates(["block_id"])
+    return b.select("block_id", "doc_id", "doc_type", "block_no", "text", F.lower(F.trim("block_section")).alias("section"), "source_lines")
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return _blocks(s, d).filter("text is not null")
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "evidence").select("evidence_id", "jd_block_id", "resume_block_id", "similarity_score").dropDuplicates(["evidence_id"])
+    e = e.filter(F.col("jd_block_id").isNotNull() & ~F.isnan("similarity_score") & F.col("similarity_score").between(0, 1))
+    b = _blocks(s, d).select("block_id", "doc_id", "section")
+    j = b.select(F.col("block_id").alias("jd_block_id"), F.col("doc_id").alias("jd_id"), F.col("section").alias("jd_section"))
+    r = b.select(F.col("block_id").alias("resume_block_id"), F.col("doc_id").alias("resume_id"), F.col("section").alias("resume_section"))
+    out = e.join(j, "jd_block_id").join(r, "resume_block_id")
+    return out.select("jd_id", "resume_id", F.col("jd_block_id").alias("jd_block"), F.col("resume_block_id").alias("resume_block"), "jd_section", "resume_section", F.col("similarity_score").alias("score"), E.strength(F.col("similarity_score")).alias("strength"))
+
+
+def _jd_blocks(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks(s, d).filter("doc_type = 'job_description'")
+    return b.select(F.col("doc_id").alias("jd_id"), F.col("block_id").alias("jd_block"), "block_no", "section", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _pairs(ev: DataFrame) -> DataFrame:
+    return ev.select("jd_id", "resume_id").distinct()
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", "embedding", F.element_at(F.array(*[F.lit(x) for x in Q.LABEL_SECTIONS]), F.col("label") + 1).alias("section"))
+
+
+# ---------------------------------------------------------------- lines and cleaning
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, text, {Q.blank('text')} AS is_empty FROM lines")
+def index_lines(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d)
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, text FROM lines WHERE NOT {Q.blank('text')}")
+def content_lines(s: SparkSession, d: str) -> DataFrame:
+    return _content(s, d).select("doc_id", "line_no", "text")
+
+
+@_query(f"SELECT doc_id, md5({Q.mojibake('text')}) AS digest FROM documents")
+def fix_mojibake(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.md5(X.mojibake_fixed(F.col("text"))).alias("digest"))
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, {Q.clean('text')} AS text FROM lines")
+def clean_text(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).select("doc_id", "line_no", X.cleaned_simple(F.col("text")).alias("text"))
+
+
+@_query()
+def clean_lines(s: SparkSession, d: str) -> DataFrame:
+    """The whole cleaning: compatibility forms, page marks and protected tokens too."""
+    return segment.cleaned_lines(_lines(s, d))
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, {Q.trim('text')} AS mark FROM lines WHERE {Q.artifact('text')}")
+def page_artifacts(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).filter(X.is_artifact(F.col("text"))).select("doc_id", "line_no", X.trimmed(F.col("text")).alias("mark"))
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, {Q.bullets('text')} AS text FROM lines")
+def normalize_bullets(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).select("doc_id", "line_no", X.bullets_normalised(F.col("text")).alias("text"))
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, {Q.punctuation('text')} AS text FROM lines")
+def normalize_punct(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).select("doc_id", "line_no", X.punctuation_normalised(F.col("text")).alias("text"))
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, {Q.words('text')} AS words FROM lines")
+def word_count(s: SparkSession, d: str) -> DataFrame:
+    return _lines(s, d).select("doc_id", "line_no", X.word_count(F.col("text")).alias("words"))
+
+
+@_query("SELECT doc_id, max(line_no) AS last_line, count(DISTINCT line_no) AS lines, max(line_no) - count(DISTINCT line_no) AS gaps FROM indexed_lines GROUP BY doc_id")
+def line_gaps(s: SparkSession, d: str) -> DataFrame:
+    return segment.line_gaps(table(s, d, "indexed_lines"))
+
+
+@_query("SELECT doc_id, unnest(generate_series(1, m))::INT AS line_no FROM (SELECT doc_id, max(line_no) AS m FROM indexed_lines GROUP BY 1) EXCEPT SELECT doc_id, line_no FROM indexed_lines")
+def missing_lines(s: SparkSession, d: str) -> DataFrame:
+    return segment.missing_lines(table(s, d, "indexed_lines"))
+
+
+# ---------------------------------------------------------------- shapes, headings, sections
+
+
+@_query(f"WITH {Q.LINES} SELECT doc_id, line_no, {Q.list_item('text')} AS is_item, {Q.heading_shape('text')} AS is_heading FROM lines WHERE NOT {Q.blank('text')}")
+def heading_shape(s: SparkSession, d: str) -> DataFrame:
+    c = F.col("text")
+    return _content(s, d).select("doc_id", "line_no", X.is_list_item(c).alias("is_item"), X.is_heading_shape(c).alias("is_heading"))
+
+
+@_query(f"WITH {Q.LINES}, {Q.HEADINGS} SELECT doc_id, line_no, section, heading_text, confidence, method FROM heads")
+def detect_headings(s: SparkSession, d: str) -> DataFrame:
+    return sections.detect_headings(_lines(s, d))
+
+
+@_query(f"WITH {Q.LINES}, {Q.PARAGRAPHS} SELECT doc_id, para_no, text, source_lines, standalone FROM paras")
+def paragraphs(s: SparkSession, d: str) -> DataFrame:
+    return segment.paragraphs(_content(s, d)).withColumn("source_lines", F.array_join(F.transform("source_lines", lambda x: x.cast("string")), ","))
+
+
+@_query(f"WITH {Q.LINES}, {Q.PARAGRAPHS}, {Q.HEADINGS} SELECT p.doc_id, para_no, coalesce(h.section, 'unknown') AS section FROM paras p ASOF LEFT JOIN heads h ON p.doc_id = h.doc_id AND p.first_line >= h.line_no")
+def assign_sections(s: SparkSession, d: str) -> DataFrame:
+    p = segment.paragraphs(_content(s, d)).select("doc_id", "para_no", F.array_min("source_lines").alias("first_line"))
+    return sections.assign_sections(p, sections.detect_headings(_lines(s, d)), key=("para_no",)).select("doc_id", "para_no", "section")
+
+
+@_query(f"WITH {Q.BLOCKS} {Q.POSITION}")
+def block_position(s: SparkSession, d: str) -> DataFrame:
+    total = table(s, d, "documents").select(F.col("document_id").alias("doc_id"), F.size(F.split("text", "\r\n|\n|\r", -1)).alias("total"))
+    nos = F.array_sort(F.array_distinct(F.filter("source_lines", lambda x: x.isNotNull())))
+    b = _blocks(s, d).withColumn("nos", nos).join(total, "doc_id")
+    return b.select("block_id", F.round(sections.position(F.coalesce("nos", F.array().cast("array<int>")), F.col("total")), 6).alias("position"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, {Q.signal_list('text')} AS signals FROM bl WHERE text IS NOT NULL")
+def content_signals(s: SparkSession, d: str) -> DataFrame:
+    return _texts(s, d).select("block_id", F.array_join(F.transform(sections.signal_hits(F.col("text")), lambda x: x.cast("string")), ",").alias("signals"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, section, {Q.secondary('section', 'text')} AS secondary FROM bl WHERE text IS NOT NULL")
+def secondary_section(s: SparkSession, d: str) -> DataFrame:
+    t = _texts(s, d).withColumn("hits", sections.signal_hits(F.col("text")))
+    return t.select("block_id", "section", sections.secondary_section(F.col("section"), F.col("hits")).alias("secondary"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, {Q.reclassified('text')} AS section FROM bl WHERE text IS NOT NULL AND section = 'other'")
+def reclassify_other(s: SparkSession, d: str) -> DataFrame:
+    t = _texts(s, d).filter("section = 'other'").withColumn("hits", sections.signal_hits(F.col("text")))
+    return t.select("block_id", sections.reclassified(F.col("section"), F.col("hits")).alias("section"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT doc_id, section, count(*) AS blocks FROM bl GROUP BY ALL")
+def section_histogram(s: SparkSession, d: str) -> DataFrame:
+    return quality.section_histogram(_blocks(s, d))
+
+
+# ---------------------------------------------------------------- sentences and blocks
+
+
+@_query(f"WITH {Q.LINES}, {Q.PARAGRAPHS}, {Q.SENTENCES} SELECT doc_id, para_no, part_no, text FROM sents")
+def split_sentences(s: SparkSession, d: str) -> DataFrame:
+    return segment.split_sentences(segment.paragraphs(_content(s, d))).select("doc_id", "para_no", "part_no", "text")
+
+
+@_query(f"WITH {Q.LINES}, {Q.PARAGRAPHS}, {Q.OVERSIZED} SELECT doc_id, para_no, part_no, part FROM parts")
+def split_oversized(s: SparkSession, d: str) -> DataFrame:
+    p = segment.paragraphs(_content(s, d)).filter(X.word_count(F.col("text")) > CFG.segmentation.max_words)
+    return p.select("doc_id", "para_no", F.posexplode(X.oversized_parts(F.col("text"), CFG.segmentation.max_words)).alias("part_no", "part"))
+
+
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    lines = _lines(s, d)
+    sents = segment.split_sentences(segment.paragraphs(segment.content_lines(lines)))
+    return B.pack_blocks(sents, sections.detect_headings(lines), CFG)
+
+
+@_query()
+def pack_blocks(s: SparkSession, d: str) -> DataFrame:
+    return _packed(s, d).drop("sentences")
+
+
+@_query()
+def infer_sections(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.processed(_docs(s, d), CFG)["blocks"].drop("sentences")
+
+
+# ---------------------------------------------------------------- predicates and terms
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, {Q.mandatory('text')} AS is_mandatory FROM bl WHERE text IS NOT NULL")
+def mandatory_detect(s: SparkSession, d: str) -> DataFrame:
+    return _texts(s, d).select("block_id", X.is_mandatory(F.col("text")).alias("is_mandatory"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, {Q.requirement_words('text')} AS has_words FROM bl WHERE text IS NOT NULL")
+def requirement_content(s: SparkSession, d: str) -> DataFrame:
+    return _texts(s, d).select("block_id", X.has_requirement_words(F.col("text")).alias("has_words"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, array_to_string({Q.terms('text')}, ' ') AS terms FROM bl WHERE text IS NOT NULL")
+def extract_terms(s: SparkSession, d: str) -> DataFrame:
+    return _texts(s, d).select("block_id", F.array_join(X.terms(F.col("text")), " ").alias("terms"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT a.block_id, len(list_intersect({Q.terms('a.text')}, {Q.terms('b.text')}))::INT AS common FROM bl a JOIN bl b ON b.doc_id = a.doc_id AND b.block_no = a.block_no + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL")
+def term_overlap(s: SparkSession, d: str) -> DataFrame:
+    """Common terms of each block and the next."""
+    t = _texts(s, d).select("block_id", "doc_id", "block_no", X.terms(F.col("text")).alias("terms"))
+    after = t.select("doc_id", (F.col("block_no") - 1).alias("block_no"), F.col("terms").alias("next"))
+    return t.join(after, ["doc_id", "block_no"]).select("block_id", F.size(F.array_intersect("terms", "next")).alias("common"))
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT block_id, {Q.embed_text('text')} AS text FROM bl WHERE text IS NOT NULL")
+def embed_text_prep(s: SparkSession, d: str) -> DataFrame:
+    return _texts(s, d).select("block_id", X.embedding_text(F.col("text")).alias("text"))
+
+
+@_query()
+def embed_blocks(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.embedded(_texts(s, d)).select("block_id", "vec")
+
+
+@_query(f"SELECT doc_id, {Q.required_years('text')} AS required, {Q.candidate_years('text')} AS candidate FROM documents")
+def candidate_years(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", X.required_years(F.col("text")).alias("required"), X.candidate_years(F.col("text")).alias("candidate"))
+
+
+@_query(f"SELECT DISTINCT source_filename, {Q.sanitised('source_filename')} AS sanitized FROM documents WHERE source_filename IS NOT NULL")
+def sanitize_filename(s: SparkSession, d: str) -> DataFrame:
+    names = table(s, d, "documents").select("source_filename").filter("source_filename is not null").distinct()
+    return names.select("source_filename", X.sanitised_name(F.col("source_filename")).alias("sanitized"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.JD}, {Q.REQUIREMENTS} SELECT jd_id, jd_block FROM req")
+def requirement_blocks(s: SparkSession, d: str) -> DataFrame:
+    return E.requirement_blocks(_jd_blocks(s, d)).select("jd_id", "jd_block")
+
+
+# ---------------------------------------------------------------- vectors
+
+
+@_query("SELECT a.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The cosine of each vector and the next."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(after, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+
+
+@_query("SELECT DISTINCT block_id, round(embedding[1] / n, 6) AS first, round(embedding[64] / n, 6) AS last FROM (SELECT block_id, embedding::DOUBLE[] AS embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM block_vectors WHERE len(embedding) = 64) WHERE n > 0")
+def l2_normalize(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "block_vectors").filter("size(embedding) = 64 and exists(embedding, x -> x <> 0)")
+    v = v.dropDuplicates(["block_id"]).select("block_id", V.normalised(F.col("embedding")).alias("v"))
+    return v.select("block_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+
+
+def _topk(s: SparkSession, d: str, k: int = 20) -> DataFrame:
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return retrieve.vector_topk(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 64, k)
+
+
+@_query(f"WITH {Q.TOPK} SELECT query, item, rank, round(score, 6) AS score FROM topk")
+def vector_topk(s: SparkSession, d: str) -> DataFrame:
+    return _topk(s, d).select("query", "item", "rank", F.round("score", 6).alias("score"))
+
+
+def _boosted(s: SparkSession, d: str) -> DataFrame:
+    v = _vectors(s, d)
+    hits = _topk(s, d).join(v.select(F.col("vec_id").alias("query"), F.col("section").alias("jd_section")), "query").join(v.select(F.col("vec_id").alias("item"), F.col("section").alias("resume_section")), "item")
+    kept = hits.filter((F.col("score") >= LOW.similarity_threshold) & (F.col("resume_section") != "contact"))
+    return kept.withColumn("boosted", retrieve.boosted(F.col("score"), F.col("jd_section"), F.col("resume_section")))
+
+
+@_query(f"WITH {Q.TOPK}, {Q.BOOST} SELECT query, item, round(boosted, 6) AS boosted FROM boost")
+def section_boost(s: SparkSession, d: str) -> DataFrame:
+    return _boosted(s, d).select("query", "item", F.round("boosted", 6).alias("boosted"))
+
+
+@_query(f"WITH {Q.TOPK}, {Q.BOOST}, {Q.GRADED} SELECT query, item, round(score, 6) AS score, strength FROM graded")
+def calibrate(s: SparkSession, d: str) -> DataFrame:
+    c = E.calibrated(F.col("boosted"), None, LOW)
+    return _boosted(s, d).select("query", "item", F.round(c, 6).alias("score"), E.strength(c).alias("strength"))
+
+
+@_query(f"WITH {Q.TOPK}, {Q.BOOST}, {Q.GRADED} SELECT v.vec_id AS query, coalesce(item, -1) AS item, coalesce(round(score, 6), 0) AS score, coalesce(strength, 'none') AS strength FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) v LEFT JOIN (SELECT * FROM graded WHERE strength <> 'none') g ON g.query = v.vec_id")
+def evidence_outer(s: SparkSession, d: str) -> DataFrame:
+    """Every query comes out, those without evidence with strength none."""
+    g = calibrate(s, d).filter("strength <> 'none'")
+    q = table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"))
+    return q.join(g, "query", "left").select("query", F.coalesce("item", F.lit(-1)).alias("item"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("strength", F.lit("none")).alias("strength"))
+
+
+@_query(f"WITH {Q.TOPK}, {Q.BOOST}, {Q.GRADED} SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT item FROM graded WHERE strength <> 'none')")
+def evidence_semi(s: SparkSession, d: str) -> DataFrame:
+    """The vectors that are anyone's evidence."""
+    g = calibrate(s, d).filter("strength <> 'none'").select(F.col("item").alias("vec_id"))
+    return table(s, d, "embeddings").select("vec_id").join(g, "vec_id", "left_semi")
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE} SELECT jd_id, resume_id, jd_block, resume_block, score, {Q.GROUNDED} AS grounded FROM ev JOIN bl a ON a.block_id = jd_block JOIN bl b ON b.block_id = resume_block")
+def domain_grounding(s: SparkSession, d: str) -> DataFrame:
+    t = _blocks(s, d).select("block_id", X.terms(F.coalesce("text", F.lit(""))).alias("t"))
+    ev = _evidence(s, d).join(t.select(F.col("block_id").alias("jd_block"), F.col("t").alias("a")), "jd_block").join(t.select(F.col("block_id").alias("resume_block"), F.col("t").alias("b")), "resume_block")
+    return ev.select("jd_id", "resume_id", "jd_block", "resume_block", "score", E.grounded(F.col("score"), F.col("jd_section"), F.arrays_overlap("a", "b")).alias("grounded"))
+
+
+# ---------------------------------------------------------------- scores
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST} SELECT jd_id, resume_id, jd_block, best FROM best")
+def best_per_block(s: SparkSession, d: str) -> DataFrame:
+    return E.best_per_block(_evidence(s, d)).drop("jd_section")
+
+
+def _components(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    return score.components(ev, _jd_blocks(s, d), _pairs(ev))
+
+
+def _component(name: str) -> None:
+    def plan(s: SparkSession, d: str) -> DataFrame:
+        return _components(s, d).filter(F.col("component") == name).select("jd_id", "resume_id", F.round("raw", 6).alias("raw"), "relevant", "matched")
+
+    plan.__name__ = {"skill": "score_skill", "work_experience": "score_work", "education": "score_education", "content_score": "score_content"}[name]
+    _query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS} SELECT jd_id, resume_id, round(raw, 6) AS raw, relevant, matched FROM comps WHERE component = '{name}'")(plan)
+
+
+for _name in score.NAMES:
+    _component(_name)
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 6) AS final FROM finals")
+def final_score(s: SparkSession, d: str) -> DataFrame:
+    return score.final_scores(_components(s, d)).select("jd_id", "resume_id", F.round("final", 6).alias("final"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, CASE WHEN final >= 75 THEN 'strong' WHEN final >= 55 THEN 'good' WHEN final >= 35 THEN 'partial' ELSE 'weak' END AS rating FROM finals")
+def rating(s: SparkSession, d: str) -> DataFrame:
+    return score.final_scores(_components(s, d)).select("jd_id", "resume_id", score.rating(F.col("final")).alias("rating"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 6) AS final, row_number() OVER (PARTITION BY jd_id ORDER BY round(final, 6) DESC, resume_id)::INT AS rank FROM finals")
+def rank_candidates(s: SparkSession, d: str) -> DataFrame:
+    return score.ranked(score.final_scores(_components(s, d))).select("jd_id", "resume_id", F.round("final", 6).alias("final"), "rank")
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.MANDATORY_EVAL} SELECT jd_id, resume_id, jd_block, best_score, coalesce(best_block, -1) AS best_block, best_score >= 0.4 AS is_met FROM must")
+def mandatory_eval(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    return E.mandatory(ev, _jd_blocks(s, d), _pairs(ev)).select("jd_id", "resume_id", "jd_block", "best_score", F.coalesce("best_block", F.lit(-1)).alias("best_block"), "is_met")
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.MANDATORY_EVAL} SELECT p.jd_id, p.resume_id, coalesce(bool_and(best_score >= 0.4), true) AS all_met FROM pairs p LEFT JOIN must m ON m.jd_id = p.jd_id AND m.resume_id = p.resume_id GROUP BY 1, 2")
+def all_mandatory_met(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    pairs = _pairs(ev)
+    m = E.mandatory(ev, _jd_blocks(s, d), pairs).groupBy("jd_id", "resume_id").agg(F.bool_and("is_met").alias("m"))
+    return pairs.join(m, ["jd_id", "resume_id"], "left").select("jd_id", "resume_id", F.coalesce("m", F.lit(True)).alias("all_met"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD} {Q.MISSING}")
+def missing_requirements(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    m = E.missing(ev, _jd_blocks(s, d), _pairs(ev), dims.COMPONENTS["skill"])
+    return m.select("jd_id", "resume_id", F.array_join("missing", " ## ").alias("missing"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.REQUIREMENTS}, {Q.PARAMS} SELECT jd_id, resume_id, jd_block, category, is_mandatory, similarity, status, coalesce(best_block, -1) AS best_block FROM params")
+def comparison_params(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    return E.comparison(ev, _jd_blocks(s, d), _pairs(ev)).drop("confidence").withColumn("best_block", F.coalesce("best_block", F.lit(-1)))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.REQUIREMENTS}, {Q.PARAMS} {Q.SUMMARY}")
+def comparison_summary(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    return report.comparison_summary(E.comparison(ev, _jd_blocks(s, d), _pairs(ev)))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE} SELECT jd_id, resume_id, jd_block, resume_block, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY score DESC, jd_block, resume_block)::INT AS rank FROM ev WHERE strength <> 'none') WHERE rank <= 5")
+def strongest_matches(s: SparkSession, d: str) -> DataFrame:
+    return report.strongest(_evidence(s, d)).select("jd_id", "resume_id", "jd_block", "resume_block", "score", "rank")
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE} SELECT jd_id, resume_id, jd_block, resume_block, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY score, jd_block DESC, resume_block DESC)::INT AS rank FROM ev WHERE strength <> 'none') WHERE rank <= 5")
+def weakest_matches(s: SparkSession, d: str) -> DataFrame:
+    return report.weakest(_evidence(s, d)).select("jd_id", "resume_id", "jd_block", "resume_block", "score", "rank")
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE} SELECT jd_id, resume_id, count(*) FILTER (strength = 'strong') AS strong, count(*) FILTER (strength = 'moderate') AS moderate, count(*) FILTER (strength = 'weak') AS weak, count(*) FILTER (strength = 'none') AS none FROM ev GROUP BY 1, 2")
+def strength_counts(s: SparkSession, d: str) -> DataFrame:
+    return report.strength_counts(_evidence(s, d))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD} SELECT p.jd_id, p.resume_id, j.jd_block, coalesce(max(e.score), 0) AS best FROM pairs p JOIN jd j ON j.jd_id = p.jd_id LEFT JOIN ev e ON e.jd_id = p.jd_id AND e.resume_id = p.resume_id AND e.jd_block = j.jd_block GROUP BY 1, 2, 3")
+def evidence_unmatched(s: SparkSession, d: str) -> DataFrame:
+    """Every query block of every pair, with its best score or 0."""
+    ev = _evidence(s, d)
+    return E.with_unmatched(ev, _jd_blocks(s, d), _pairs(ev)).groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("best"))
+
+
+@_query()
+def evidence_groups(s: SparkSession, d: str) -> DataFrame:
+    return report.evidence_groups(_evidence(s, d))
+
+
+@_query()
+def review_flags(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    pairs, jd = _pairs(ev), _jd_blocks(s, d)
+    return score.review_flags(score.components(ev, jd, pairs), E.mandatory(ev, jd, pairs))
+
+
+@_query()
+def report_json(s: SparkSession, d: str) -> DataFrame:
+    ev = _evidence(s, d)
+    pairs, jd = _pairs(ev), _jd_blocks(s, d)
+    comps = score.components(ev, jd, pairs)
+    params = E.comparison(ev, jd, pairs)
+    return report.as_json(report.reports(score.final_scores(comps), comps, E.mandatory(ev, jd, pairs), report.evidence_groups(ev), report.comparison_summary(params), report.strength_counts(ev)))
+
+
+@_query()
+def match_finals(s: SparkSession, d: str) -> DataFrame:
+    """The whole plan from texts: the job descriptions whose id is divisible by 20 against all resumes."""
+    docs = table(s, d, "documents").select("doc_id", "text", "doc_type")
+    jds, resumes = docs.filter("doc_type = 'job_description' and doc_id % 20 = 0").drop("doc_type"), docs.filter("doc_type = 'resume'").drop("doc_type")
+    return pipeline.match(jds, resumes, Config(retrieval=Retrieval(similarity_threshold=0.30, noise_floor=0.20, span=0.50)))["finals"]
+
+
+# ---------------------------------------------------------------- quality
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT doc_id, block_no, first_no FROM (SELECT doc_id, block_no, first_value(block_no) OVER (PARTITION BY doc_id, md5(lower({Q.trim('text')})) ORDER BY block_no) AS first_no FROM bl WHERE text IS NOT NULL) WHERE first_no < block_no")
+def duplicate_blocks(s: SparkSession, d: str) -> DataFrame:
+    return quality.duplicate_blocks(_blocks(s, d))
+
+
+def _facts(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "indexed_lines").select("doc_id", "line_no")
+    docs = lines.select("doc_id").distinct()
+    return quality.document_facts(docs, lines, _blocks(s, d))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.FACTS} SELECT doc_id, lines, blocks, chars, lines < 3 AS few_lines, blocks < 1 AS no_blocks, chars < 50 AS low_content FROM facts")
+def quality_min_content(s: SparkSession, d: str) -> DataFrame:
+    return _facts(s, d).select("doc_id", "lines", "blocks", "chars", (F.col("lines") < 3).alias("few_lines"), (F.col("blocks") < 1).alias("no_blocks"), (F.col("chars") < 50).alias("low_content"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.FACTS} SELECT doc_id, n_unknown, n_unknown * 10 > 3 * greatest(blocks, 1) AS is_warning FROM facts WHERE n_unknown > 0")
+def quality_unknown(s: SparkSession, d: str) -> DataFrame:
+    f = _facts(s, d).filter("unknown > 0")
+    return f.select("doc_id", F.col("unknown").alias("n_unknown"), (F.col("unknown") * 10 > 3 * F.greatest("blocks", F.lit(1))).alias("is_warning"))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.FACTS}, {Q.MESSAGES} SELECT doc_id, code, status, n AS count FROM msgs")
+def quality_messages(s: SparkSession, d: str) -> DataFrame:
+    return quality.messages(_facts(s, d))
+
+
+@_query(f"WITH {Q.BLOCKS}, {Q.FACTS}, {Q.MESSAGES} SELECT f.doc_id, CASE max(CASE status WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'valid' END AS status, coalesce(string_agg(DISTINCT code, ',' ORDER BY code) FILTER (status <> 'valid'), '') AS flags FROM facts f LEFT JOIN msgs m ON m.doc_id = f.doc_id GROUP BY 1")
+def quality_rollup(s: SparkSession, d: str) -> DataFrame:
+    f = _facts(s, d)
+    return quality.roll_up(f, quality.messages(f)).withColumn("flags", F.array_join("flags", ","))
