@@ -67,7 +67,7 @@ def rating(final: Column) -> Column:
 
 def ranked(finals: DataFrame) -> DataFrame:
     """The candidates of each query document in the order of their final score; ties by candidate."""
-    w = Window.partitionBy("jd_id").orderBy(F.desc(F.round("final", 6)), "resume_id")
+    w = Window.partitionBy("jd_id").orderBy(F.desc(F.round("final", 10)), "resume_id")
     return finals.withColumn("rank", F.row_number().over(w))
 
 

@@ -371,19 +371,19 @@ def _components(s: SparkSession, d: str) -> DataFrame:
 
 def _component(name: str) -> None:
     def plan(s: SparkSession, d: str) -> DataFrame:
-        return _components(s, d).filter(F.col("component") == name).select("jd_id", "resume_id", F.round("raw", 6).alias("raw"), "relevant", "matched")
+        return _components(s, d).filter(F.col("component") == name).select("jd_id", "resume_id", F.round("raw", 10).alias("raw"), "relevant", "matched")
 
     plan.__name__ = {"skill": "score_skill", "work_experience": "score_work", "education": "score_education", "content_score": "score_content"}[name]
-    _query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS} SELECT jd_id, resume_id, round(raw, 6) AS raw, relevant, matched FROM comps WHERE component = '{name}'")(plan)
+    _query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS} SELECT jd_id, resume_id, round(raw, 10) AS raw, relevant, matched FROM comps WHERE component = '{name}'")(plan)
 
 
 for _name in score.NAMES:
     _component(_name)
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 6) AS final FROM finals")
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 10) AS final FROM finals")
 def final_score(s: SparkSession, d: str) -> DataFrame:
-    return score.final_scores(_components(s, d)).select("jd_id", "resume_id", F.round("final", 6).alias("final"))
+    return score.final_scores(_components(s, d)).select("jd_id", "resume_id", F.round("final", 10).alias("final"))
 
 
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, CASE WHEN final >= 75 THEN 'strong' WHEN final >= 55 THEN 'good' WHEN final >= 35 THEN 'partial' ELSE 'weak' END AS rating FROM finals")
@@ -391,9 +391,9 @@ def rating(s: SparkSession, d: str) -> DataFrame:
     return score.final_scores(_components(s, d)).select("jd_id", "resume_id", score.rating(F.col("final")).alias("rating"))
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 6) AS final, row_number() OVER (PARTITION BY jd_id ORDER BY round(final, 6) DESC, resume_id)::INT AS rank FROM finals")
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 10) AS final, row_number() OVER (PARTITION BY jd_id ORDER BY round(final, 10) DESC, resume_id)::INT AS rank FROM finals")
 def rank_candidates(s: SparkSession, d: str) -> DataFrame:
-    return score.ranked(score.final_scores(_components(s, d))).select("jd_id", "resume_id", F.round("final", 6).alias("final"), "rank")
+    return score.ranked(score.final_scores(_components(s, d))).select("jd_id", "resume_id", F.round("final", 10).alias("final"), "rank")
 
 
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.MANDATORY_EVAL} SELECT jd_id, resume_id, jd_block, best_score, coalesce(best_block, -1) AS best_block, best_score >= 0.4 AS is_met FROM must")

@@ -20,9 +20,16 @@ MAGIC = {"pdf": ("25504446",), "docx": ("504B0304", "504B0506")}
 
 
 def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf", "docx")) -> DataFrame:
-    """path, modificationTime, length, content of a folder's files; the pattern is applied when the folder is listed."""
+    """path, modificationTime, length, content of a folder's files; the pattern is applied when the folder is listed.
+
+    The scan leaves out files of 0 bytes; they are added from its listing, with length 0 and no content.
+    """
     either = ",".join(e for x in extensions for e in (x, x.upper()))
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{either}}}").load(path)
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{either}}}").load(path)
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
+    key = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    empty = listed.withColumn("k", key).join(scan.select(key.alias("k")), "k", "left_anti")
+    return scan.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
 def extension(path: Column) -> Column:
