@@ -307,6 +307,8 @@ def _name_tokens(name: str) -> tuple[list[str], list[str]]:
         family, given = (x.strip() for x in name.split(",", 1))
         return [x for x in given.casefold().replace("-", " ").split() if not x.endswith(".")], [_bare(family)]
     words = name.split()
+    titles = [i for i, w in enumerate(words) if w.casefold() in _TITLES and len(w) > 1]
+    words = words[: titles[0]] if titles else words
     at = len(words) - 1
     while at > 1 and words[at - 1].casefold() in _PARTICLES:
         at -= 1

@@ -48,7 +48,6 @@ PROFILES = {
     "junk_marks": ((0.12, 0.16, 0.16, 0.03, 0.08, 0.10, 0.06, 0.29), 0.005),
     "junk_codes": ((0.14, 0.20, 0.26, 0.02, 0.28, 0.0, 0.02, 0.08), 0.0),
 }
-_ASCII_WORD = re.compile(r"[\w'-]+")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzçñß]{3,}")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_'’-]+")
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};|&#\d+;")
@@ -106,9 +105,11 @@ def divergence(p: tuple[float, ...] | list[float], q: tuple[float, ...] | list[f
 
 def function_share(text: str) -> tuple[float, int]:
     """(share of function words, words); in scripts without spaces, marks and endings per three characters."""
-    words = (_ASCII_WORD if text.isascii() else _WORD).findall(text.casefold())
     if text.isascii():
+        # words between blanks: letters among marks are none
+        words = [w.strip(".,;:!?()\"'") for w in text.casefold().split()]
         return sum(w in _FUNCTION for w in words) / max(1, len(words)), len(words)
+    words = _WORD.findall(text.casefold())
     caseless = len(_CASELESS.findall(text))
     hits = sum(w in _FUNCTION for w in words)
     if caseless * 2 > len(text):
