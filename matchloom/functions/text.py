@@ -61,7 +61,9 @@ def nfkc(c: Column) -> Column:
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.pandas_udf(run, "string")(c))
+    # a function in Python is evaluated for every row, so the others are sent as nulls
+    wide = F.when(~c.rlike(r"^\p{ASCII}*$"), c)
+    return F.coalesce(F.pandas_udf(run, "string")(wide), c)
 
 
 def whitespace_normalised(c: Column) -> Column:
@@ -133,7 +135,7 @@ def normalised_plain(c: Column) -> Column:
 def normalised_exact(c: Column) -> Column:
     """Only texts with an address or a span of years, where protected tokens make a difference; null for all others."""
     exact = F.pandas_udf(lambda values: values.map(lambda v: None if v is None else normalise_exactly(v)), "string")
-    return F.when(c.rlike("(?i)@|http|years?|yrs?"), exact(c))
+    return exact(F.when(c.rlike("(?i)@|http|years?|yrs?"), c))
 
 
 def normalised(c: Column) -> Column:

@@ -16,7 +16,7 @@ from matchloom.operators import evidence as E
 from matchloom.operators import quality, report, retrieve, score, sections, segment
 from matchloom.plans import pipeline
 from matchloom.plans import sql as Q
-from matchloom.session import table
+from matchloom.session import checkpointed, spread, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 _PLANS: dict[str, Plan] = {}
@@ -48,7 +48,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "text")
+    return spread(table(s, d, "documents").select("doc_id", "text"))
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
@@ -465,7 +465,7 @@ def review_flags(s: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def report_json(s: SparkSession, d: str) -> DataFrame:
-    ev = _evidence(s, d)
+    ev = checkpointed(_evidence(s, d))
     pairs, jd = _pairs(ev), _jd_blocks(s, d)
     comps = score.components(ev, jd, pairs)
     params = E.comparison(ev, jd, pairs)
@@ -475,7 +475,7 @@ def report_json(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def match_finals(s: SparkSession, d: str) -> DataFrame:
     """The whole plan from texts: the job descriptions whose id is divisible by 20 against all resumes."""
-    docs = table(s, d, "documents").select("doc_id", "text", "doc_type")
+    docs = spread(table(s, d, "documents").select("doc_id", "text", "doc_type"))
     jds, resumes = docs.filter("doc_type = 'job_description' and doc_id % 20 = 0").drop("doc_type"), docs.filter("doc_type = 'resume'").drop("doc_type")
     return pipeline.match(jds, resumes, Config(retrieval=Retrieval(similarity_threshold=0.30, noise_floor=0.20, span=0.50)))["finals"]
 

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, if it comes from fewer files: a single small file would
+    else leave all further work on its rows to one task. Inputs of many files are not shuffled."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder.
 
