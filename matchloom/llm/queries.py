@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import binpack, canonical, knn, mixing, pieces, pii, quality, sentences, topn
-from matchloom.session import bounded_broadcast, checkpointed, table
+from matchloom.session import bounded_broadcast, checkpointed, spread, table
 
 CAPACITY = 4096
 PIECE, OVERLAP = 600, 60
@@ -55,7 +55,9 @@ def p3_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
-    lines, blocks, evidence = (table(spark, d, t) for t in ("indexed_lines", "blocks", "evidence"))
+    lines = spread(table(spark, d, "indexed_lines").select("doc_id", "line_no", "text"))
+    blocks = spread(table(spark, d, "blocks").select("block_id", "text"))
+    evidence = spread(table(spark, d, "evidence").select("evidence_id", "resume_text").filter("resume_text is not null"))
     return (
         lines.select(F.lit("indexed_lines").alias("src"), F.concat_ws(":", "doc_id", "line_no").alias("row_key"), "text")
         .unionByName(blocks.select(F.lit("blocks").alias("src"), F.col("block_id").cast("string").alias("row_key"), "text"))
@@ -99,7 +101,7 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *columns, binpack.token_count("text").alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", *columns, "text")).select("doc_id", *columns, binpack.token_count("text").alias("tokens"))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -123,12 +125,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    kinds = table(spark, d, "documents").select("doc_id", quality.kind_of("text").alias("doc_kind"))
+    kinds = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", quality.kind_of("text").alias("doc_kind"))
     return kinds.filter(F.col("doc_kind").isin("list", "table", "junk"))
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.with_statistics(table(spark, d, "documents"), "doc_id", "text")
+    return quality.with_statistics(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
