@@ -352,7 +352,8 @@ def kind_of(text: Column | str) -> Column:
         for texts in batches:
             yield pd.Series([document_kind(kinds(t)) if t and not t.isspace() else None for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "string")(text)
+    # not deterministic for the optimizer, else a filter on the kind would compute it a second time below
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
 def with_statistics(df: DataFrame, item: str, text: str) -> DataFrame:
