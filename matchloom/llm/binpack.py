@@ -45,7 +45,8 @@ def token_count(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
         for texts in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
-    return F.pandas_udf(run, T.LongType())(text)
+    # not deterministic for the optimizer, else a filter on the count would encode every text a second time below
+    return F.pandas_udf(run, T.LongType()).asNondeterministic()(text)
 
 
 class CapacityTree:
