@@ -222,9 +222,11 @@ _STREETS = (
     r"\d{1,4}(?:/\d{1,4})? (?:หมู่ \d{1,2} )?(?:ถนน|ซอย|ตรอก)[฀-๿]+",
 )
 _ADDRESS = re.compile("|".join(rf"(?:(?<![\w./]){p})" if p[0] != "(" or "一" not in p[:12] else rf"(?:{p})" for p in _STREETS))
+# spelt out in both cases and without a word's start before it, so that the search skips to the few first letters
 _MAYBE_ADDRESS = re.compile(
-    r"(?i)\b(?:street|st|road|rd|ave|avenue|row|lane|ln|blvd|boulevard|drive|court|ct|way|place|pl|square|sq|terrace|close|walk|am|im|an der|zum|zur|in der|auf dem|rue|av|bd|chemin|quai|allée|impasse|route|cours|calle|c|avda|avenida|plaza|paseo|ronda|camino)\b"
-    r"|straße|strasse|str\. \d|weg \d|gasse \d|platz \d|allee \d|ring \d|\d号|丁目|[一-鿿ァ-ヶ]\d{1,2}-\d|मकान|شارع|طريق|زقاق|ถนน|ซอย"
+    "(?:" + "|".join(v for w in "Street St Road Rd Avenue Ave Row Lane Ln Boulevard Blvd Drive Court Ct Way Place Pl Square Sq Terrace Close Walk Am Im Zum Zur Calle C/ Avda Avenida Plaza Paseo Ronda Camino".split() for v in (w, w.upper()))
+    + "|An de[rn]|In der|Auf de[mr]|rue|RUE|av|AV|avenue|bd|BD|boulevard|chemin|CHEMIN|place|quai|QUAI|allée|impasse|route|cours|Travesía)(?![A-Za-z])"
+    r"|stra(?:ß|ss)e|STRASSE|str\. \d|weg \d|gasse \d|platz \d|allee \d|ring \d|ufer \d|damm \d|stieg \d|steig \d|graben \d|markt \d|WEG \d|GASSE \d|STR\. \d|PLATZ \d|ALLEE \d|\d号|丁目|[一-鿿ァ-ヶ]\d{1,2}-\d|मकान|شارع|طريق|زقاق|درب|نهج|ถนน|ซอย|ตรอก"
 )
 _HAN_LEAD = re.compile(r"^(?:现住址?|現住所|住址|地址|家住|住在|我住|居住|位于|住所は?|自宅は?|住まいは|在|住)+")
 
@@ -347,11 +349,14 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]],
         for m in _COMMA.finditer(t):
             if not any(m.start() < y and x < m.end() for x, y, _ in taken):
                 maybe.append(m.span())
-        if ":" in t or "|" in t or "," in t or "." in t:
-            for p in _SEEDS:
+        for p, sign in zip(_SEEDS, (":", ", ", " | ", ""), strict=True):
+            if sign in t:
                 seeds.extend(m[1] for m in p.finditer(t))
-    if _CASELESS_CHAR.search(t):
-        for p in _NAMED:
+    script = _CASELESS_CHAR.search(t)
+    if script:
+        signs = (":" in t, ", " in t, "|" in t, True)
+        own = _NAMED[4:8] if "一" <= script[0] <= "鿿" else _NAMED[8:10] if script[0] < "ॿ" and script[0] >= "ऀ" else _NAMED[10:11] if script[0] < "ऀ" else _NAMED[11:]
+        for p in (*(p for p, sign in zip(_NAMED, signs, strict=False) if sign), *own):
             for m in p.finditer(t):
                 a, b = m.span(1)
                 if not any(a < y and x < b for x, y, _ in taken) and (not _HAN.match(m[1]) or _KANA_CUE.search(p.pattern) or _han_name(m[1]) or " " in m[1] or len(m[1]) >= 4):
