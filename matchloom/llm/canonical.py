@@ -18,7 +18,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.session import bounded_broadcast
+from matchloom.session import bounded_broadcast, checkpointed
+
+#: Texts whose candidates one task looks up and compares.
+TEXTS_PER_TASK = 2000
 
 #: Traditional characters that are written otherwise in simplified Chinese (those common in headings).
 _SIMPLIFIED = str.maketrans("專業經歷個簡職責務學術證書聯絡繫語獎項興趣參與實習團隊領導計劃開發員電腦軟體軟資訊檔案總結簡單優勢國際報導關於們條", "专业经历个简职责务学术证书联络系语奖项兴趣参与实习团队领导计划开发员电脑软体软资讯档案总结简单优势国际报导关于们条")
@@ -204,23 +207,26 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
     no values the result is empty. Equal scores are no match, for want of a margin, unless the cosine tells them apart.
     """
     raw = values.select(F.col(value).alias("__v")).filter("__v is not null").distinct()
-    spelt = raw.withColumn("__t", _normalised(F.col("__v")))
+    spelt = checkpointed(raw.withColumn("__t", _normalised(F.col("__v"))))
     texts = spelt.select("__t").filter("__t <> ''").distinct()
-    canon = entries.filter(F.col(entry).isNotNull() & F.col(entry_id).isNotNull()).select(F.col(entry_id).alias("__id"), _normalised(F.col(entry)).alias("__e"))
-    canon = canon.filter("__e <> ''").groupBy("__e").agg(F.min("__id").alias("__id"))
+    # the work is in characters compared, not in bytes, so the number of tasks follows the number of texts
+    tasks = max(values.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // TEXTS_PER_TASK))
+    grams = _grams(texts.repartition(tasks, "__t"), "__t", "__t")
+    canon = entries.filter(F.col(entry).isNotNull() & F.col(entry_id).isNotNull()).select(F.col(entry_id).alias("__id"), F.col(entry).alias("__raw"))
+    canon = canon.withColumn("__e", _normalised(F.col("__raw"))).groupBy("__e").agg(F.min("__id").alias("__id"))
+    canon = checkpointed(canon.filter("__e <> ''"))
     post = _grams(canon, "__e", "__e")
-    weights = post.groupBy("gram").agg(F.count("*").alias("df"))
     total = canon.agg(F.count("*").alias("N"))
-    idf = weights.join(F.broadcast(total)).select("gram", F.log((F.col("N") + 1) / F.col("df")).alias("idf"))
+    idf = post.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("gram", F.log((F.col("N") + 1) / F.col("df")).alias("idf"))
     post = post.join(idf, "gram").select("__e", "gram", (F.col("n") * F.col("idf")).alias("we"), "idf")
     e_norm = post.groupBy("__e").agg(F.sqrt(F.sum(F.col("we") * F.col("we"))).alias("ne"))
-    index = bounded_broadcast(post.join(e_norm, "__e").select("__e", "gram", (F.col("we") / F.col("ne")).alias("we"), "idf"))
-    grams = _grams(texts, "__t", "__t")
+    index = checkpointed(post.join(e_norm, "__e").select("__e", "gram", (F.col("we") / F.col("ne")).alias("we"), "idf"))
     # n-grams that no entry has take part in the value's length with the greatest weight
     rarest = total.select(F.log(F.col("N") + 1).alias("max_idf"))
-    hit = grams.join(index, "gram", "left").join(F.broadcast(rarest))
-    norms = hit.groupBy("__t", "gram", "n", "max_idf").agg(F.max("idf").alias("idf")).groupBy("__t").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.col("max_idf")), 2))).alias("nt"))
-    dots = hit.filter("__e is not null").groupBy("__t", "__e").agg(F.sum(F.col("n") * F.col("idf") * F.col("we")).alias("dot"))
+    known = bounded_broadcast(index.select("gram", "idf").distinct())
+    weight = F.col("n") * F.coalesce("idf", F.col("max_idf"))
+    norms = grams.join(known, "gram", "left").join(F.broadcast(rarest)).groupBy("__t").agg(F.sqrt(F.sum(weight * weight)).alias("nt"))
+    dots = grams.join(bounded_broadcast(index), "gram").groupBy("__t", "__e").agg(F.sum(F.col("n") * F.col("idf") * F.col("we")).alias("dot"))
     scored = dots.join(norms, "__t").select("__t", "__e", (F.col("dot") / F.col("nt")).alias("cosine")).filter(F.col("cosine") >= retrieve)
     scored = scored.withColumn("spelling", _checked(F.col("__t"), F.col("__e"))).withColumn("score", F.greatest("spelling", "cosine"))
     w = Window.partitionBy("__t").orderBy(F.desc(F.round("score", 9)), F.desc(F.round("cosine", 9)), "__e")
