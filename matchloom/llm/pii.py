@@ -253,9 +253,9 @@ _PARTICLE = r"(?:van der|van den|van|von der|von|de la|de los|de|del|della|di|da
 _TOKEN = rf"[{_UP}](?:[\w'’]*[\w])?(?:-[{_UP}][\w'’]*)*"
 _INITIAL = rf"[{_UP}]\."
 #: Two words or more with capitals, initials and particles between them.
-_SEQUENCE = re.compile(rf"(?<![\w@./])(?:{_TOKEN}|{_INITIAL})(?: (?:{_PARTICLE} )?(?:{_TOKEN}(?![\w@])|{_INITIAL}(?= )))+")
+_SEQUENCE = re.compile(rf"(?<![\w@./])(?:{_TOKEN}|{_INITIAL})(?: (?:{_PARTICLE} )?(?:{_INITIAL}(?= )|{_TOKEN}(?![\w@])))+")
 _COMMA = re.compile(rf"(?:^|(?<=[:|] )|(?<=\n))(?:{_PARTICLE} )?{_TOKEN}, {_TOKEN}(?: {_INITIAL})?(?=$|, | \||\n| [a-zA-Z]+[.:]| [\w.+-]+@| [+(]?\d)")
-_PLAIN = rf"(?:(?:{_TOKEN}|{_INITIAL})(?: (?:{_PARTICLE} )?(?:{_TOKEN}|{_INITIAL}))+)"
+_PLAIN = rf"(?:(?:{_INITIAL}(?= )|{_TOKEN})(?: (?:{_PARTICLE} )?(?:{_INITIAL}(?= )|{_TOKEN}))+)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sr|Sra|Srta|Dra|Don|Doña|MR|MRS|MS|DR|PROF|HERR|FRAU|MME|SRA|DRA)\.?"
 _NAME_LABEL = r"(?:Name|Contact|Kontakt|Contacto|Nom|Nombre|Ansprechpartner(?:in)?|References?|Candidate|Applicant|姓名|名前|氏名|नाम|الاسم|ชื่อ|联系人)"
 #: Contexts that teach names: a label, a line of name, firm and contact, a title before two words.
@@ -272,18 +272,19 @@ _CASELESS = {
     "thai": r"[฀-๿]{2,12} [฀-๿]{3,16}?",
 }
 _ANY = "|".join(f"(?:{p})" for p in _CASELESS.values())
+_CONTACT_LABEL = r"(?:E-?mail|Mail|Email|E-MAIL|Tel|T:|Phone|Mobil|Cell|电话|手机|電話|携帯|邮箱|电子邮件|メール|住址|地址|住所|現住所|ईमेल|फ़ोन|मोबाइल|पता|هاتف|جوال|البريد|العنوان|โทร|อีเมล|ที่อยู่)"
 #: Contexts that show a name in scripts without capitals; group 1 is the name.
 _NAMED = (
     re.compile(rf"(?:^|(?<=\s)){_NAME_LABEL}\s?: ?({_ANY})(?=$|,| \||  |\n| [A-Za-z]|\s?\(| [+(]?\d| (?:电话|手机|電話|携帯|邮箱|メール|ईमेल|फ़ोन|हाتف|هاتف|البريد|โทร|อีเมล))"),
     re.compile(rf"(?:^|(?<=[\n,;] )|(?<=\n))({_ANY}), [{_UP}][\w&.' -]{{0,40}}, (?=[+(\d\w])"),
-    re.compile(rf"^({_ANY}) (?=\|)"),
-    re.compile(rf"^({_ANY}) (?=(?:E-?mail|Mail|Email|Tel|Phone|Mobil|电话|手机|電話|携帯|邮箱|电子邮件|メール|住址|地址|住所|ईमेल|फ़ोन|मोबाइल|पता|هاتف|البريد|العنوان|โทร|อีเมล|ที่อยู่)\b)"),
+    re.compile(rf"^({_ANY}) (?=\| ?(?:{_CONTACT_LABEL}|[+(\d]|[\w.+-]+ ?[@(\[]))"),
+    re.compile(rf"^({_ANY}) (?={_CONTACT_LABEL})"),
     re.compile(r"(?:联系|联络|上级是|经理是|主管是|同事是|上司是|是由)([一-鿿]{2,4}?)(?=[，。,、（(；]|和|先生|女士|$)"),
-    re.compile(r"(?:^|[。！？；\s|:：)）、,.])([一-鿿]{3,4})(?=和我一起|与我一起|先生|女士|同学|老师)"),
-    re.compile(r"(?:上司は|ご連絡は|担当は|同僚の|責任者は|部長の)([一-鿿々ァ-ヶ]{2,8}(?: [一-鿿々ァ-ヶ]{2,4})?)(?=でした|です|\(|さん|様|氏|まで)"),
+    re.compile(r"(?:^|[。！？；\s|:：)）、,.”」])([一-鿿]{3,4})(?=和我一起|和我?$|与我一起|先生|女士|同学|老师|，电话)"),
+    re.compile(r"(?:上司は|ご連絡は|担当は|同僚の|責任者は|部長の)([一-鿿々ァ-ヶ]{2,8}(?: [一-鿿々ァ-ヶ]{2,4})?)(?=でした|です|\(|さん|様|氏|まで|で?し?$)"),
     re.compile(r"(?:^|[。！？；\s|:：)、])([一-鿿々]{2,5}(?: [一-鿿々]{2,4}|[一-鿿々]{0,3}))(?=さん|様[はがをにと]|氏[はがをにと])"),
-    re.compile(r"(?:कृपया|प्रमुख|श्री|श्रीमती|सुश्री|प्रबंधक|साथी|सहकर्मी) ([ऀ-ॿ]+ [ऀ-ॿ]+)(?= (?:को|थे|थीं|हैं|से|ने|जी|का|की|के))"),
-    re.compile(r"(?:^|[।?!] )([ऀ-ॿ]+ [ऀ-ॿ]+)(?= को [+\d])"),
+    re.compile(r"(?:कृपया|प्रमुख|श्री|श्रीमती|सुश्री|प्रबंधक|साथी|सहकर्मी) (?!(?:की|के|का|को|ने|से|में|है|हैं|थे|पर|और) )([ऀ-ॿ]+ [ऀ-ॿ]+)(?=$| (?:को|थे|थीं|हैं|से|ने|जी|का|की|के))"),
+    re.compile(r"(?:^|[।?!] )([ऀ-ॿ]+ [ऀ-ॿ]+)(?= को [+\d]| थे।(?:$| ))"),
     re.compile(r"(?:مديري|مديرتي|الاتصال مع|التواصل مع|الاتصال ب|السيد|السيدة|الأستاذ|الأستاذة|الزميل|الزميلة) ([؀-ۿ]+ (?:ال)?[؀-ۿ]+)(?=[ .،,؟]|$)"),
     re.compile(r"(?:คือคุณ|คุณ|นาย|นาง|นางสาว)([฀-๿]{2,12} [฀-๿]{3,16}?)(?=ซึ่ง|เป็น|ที่|ได้|และ|จะ|ครับ|ค่ะ|$|[ ,.])"),
 )
