@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import permutations
 
 import pandas as pd
 import regex
@@ -128,6 +129,8 @@ def _word_fit(word: str, target: str, abbreviated: bool) -> float:
         d = distance(word, target[: len(word)])
         if d <= 0.5 * (len(word) > 4):
             return 0.9 if abbreviated else 0.8
+    if 5 <= len(word) < len(target) and word[-1] == "s" == target[-1] and target.startswith(word[:-1]):
+        return 0.8  # the beginning and the plural's end
     fit = max(0.0, 1 - distance(word, target) / max(len(word), len(target)))
     return max(fit, 0.78) if _contracted(word, target) else fit
 
@@ -146,12 +149,16 @@ def _reading(vw: list[str], ew: list[str]) -> float:
         return max(whole, 0.78) if _contracted(a, b) else whole
     if len(vw) != len(ew):
         return whole
-    left, total, worst = list(ew), 0.0, 1.0
-    for w in vw:
-        fit, _, t = max((_word_fit(w.rstrip("."), t, w.endswith(".")), -k, t) for k, t in enumerate(left))
-        left.remove(t)
-        total += fit * len(t)
-        worst = min(worst, fit) if len(t) > 2 else worst
+    fits = [[_word_fit(w.rstrip("."), t, w.endswith(".")) for t in ew] for w in vw]
+    if len(ew) <= 4:
+        order = max(permutations(range(len(ew))), key=lambda o: sum(fits[i][j] * len(ew[j]) for i, j in enumerate(o)))
+    else:  # in turn, each word takes the best of what is left
+        left, order = set(range(len(ew))), []
+        for row in fits:
+            order.append(max(left, key=lambda j: (row[j], -j)))
+            left.remove(order[-1])
+    total = sum(fits[i][j] * len(ew[j]) for i, j in enumerate(order))
+    worst = min((fits[i][j] for i, j in enumerate(order) if len(ew[j]) > 3), default=1.0)
     # one word that is another one spoils the reading, however long the others are
     return total / len(b) if worst >= 0.5 else 0.6 * whole
 
@@ -197,7 +204,7 @@ def _grams(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
-def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry: str, retrieve: float = 0.25, accept: float = 0.9, check: float = 0.74, margin: float = 0.04) -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry: str, retrieve: float = 0.25, accept: float = 0.9, check: float = 0.74, margin: float = 0.03) -> DataFrame:
     """Every distinct value of `value` with the entry it spells: value, entry_id (null: none), cosine, spelling, score.
 
     A candidate shares n-grams with the value to a weighted cosine of `retrieve` or more. A cosine of `accept` settles
