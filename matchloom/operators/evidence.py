@@ -141,5 +141,6 @@ def pinpoint(best: DataFrame, sentences: DataFrame) -> DataFrame:
     known = F.broadcast(dims.aliases(best.sparkSession).select("alias"))
     both = both.withColumn("key", X.trimmed(F.regexp_replace(F.lower(X.trimmed(F.col("text"))), ":+$", ""))).join(known, F.col("key") == F.col("alias"), "left")
     ok = ((X.word_count(F.col("text")) > 2) & F.col("alias").isNull()).cast("int")
-    sim = V.dot(F.col("vec"), F.col("svec"))
-    return both.groupBy("jd_id", "resume_id", "jd_block").agg(F.max_by(F.struct("sent_no", "text", sim.alias("similarity")), F.struct(ok, F.round(sim, 9), -F.col("sent_no"))).alias("s")).select("jd_id", "resume_id", "jd_block", "s.*")
+    rated = both.select("jd_id", "resume_id", "jd_block", "sent_no", "text", V.dot(F.col("vec"), F.col("svec")).alias("similarity"), ok.alias("ok"))
+    first = F.struct("ok", F.round("similarity", 9).alias("s"), (-F.col("sent_no")).alias("n"))
+    return rated.groupBy("jd_id", "resume_id", "jd_block").agg(F.max_by(F.struct("sent_no", "text", "similarity"), first).alias("s")).select("jd_id", "resume_id", "jd_block", "s.*")

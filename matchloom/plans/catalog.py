@@ -451,6 +451,27 @@ def evidence_unmatched(s: SparkSession, d: str) -> DataFrame:
     return E.with_unmatched(ev, _jd_blocks(s, d), _pairs(ev)).groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("best"))
 
 
+@_query()
+def sentence_pinpoint(s: SparkSession, d: str) -> DataFrame:
+    """The sentence of each requirement's best block that is nearest to it; every distinct text is embedded once."""
+    ev = _evidence(s, d).filter("strength <> 'none'")
+    best = ev.groupBy("jd_id", "resume_id", "jd_block").agg(F.min_by("resume_block", F.struct(-F.col("score"), "resume_block")).alias("best_block"))
+    text = _texts(s, d).select("block_id", "text")
+    sents = text.join(best.select(F.col("best_block").alias("block_id")).distinct(), "block_id").select(F.col("block_id").alias("resume_block"), F.posexplode(X.sentences(F.col("text"))).alias("sent_no", "text"))
+    both = sents.select("text").unionByName(text.join(best.select(F.col("jd_block").alias("block_id")).distinct(), "block_id").select("text")).distinct()
+    vec = checkpointed(both.withColumn("vec", V.hashed_embedding(X.terms(X.embedding_text(F.col("text"))), pipeline.DIM)))
+    asked = best.join(text.withColumnRenamed("block_id", "jd_block"), "jd_block").join(vec, "text").drop("text")
+    owners = sents.join(vec, "text").join(best.select("resume_id", F.col("best_block").alias("resume_block")).distinct(), "resume_block")
+    return E.pinpoint(asked, owners)
+
+
+@_query(f"WITH {Q.BLOCKS} SELECT b.block_id, d.source_filename, coalesce(d.page_count, -1) AS page_count, d.lang FROM bl b JOIN documents d ON d.document_id = b.doc_id")
+def document_metadata(s: SparkSession, d: str) -> DataFrame:
+    """Blocks with what is known of their documents."""
+    docs = table(s, d, "documents").select(F.col("document_id").alias("doc_id"), "source_filename", F.coalesce("page_count", F.lit(-1)).alias("page_count"), "lang")
+    return _blocks(s, d).select("block_id", "doc_id").join(docs, "doc_id").drop("doc_id")
+
+
 @_query()
 def evidence_groups(s: SparkSession, d: str) -> DataFrame:
     return report.evidence_groups(_evidence(s, d))

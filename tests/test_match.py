@@ -74,6 +74,16 @@ def test_whole_match(spark):
     assert again == pytest.approx(finals)
 
 
+def test_pinpoint(spark):
+    best = spark.createDataFrame([("j", "r", 1, 10, [1.0, 0.0])], "jd_id string, resume_id string, jd_block long, best_block long, vec array<double>")
+    sents = spark.createDataFrame(
+        [("r", 10, 0, "Skills:", [1.0, 0.0]), ("r", 10, 1, "knows many good things", [0.6, 0.8]), ("r", 10, 2, "built it twice over", [0.8, 0.6]), ("r", 10, 3, "built it again later", [0.8, 0.6])],
+        "resume_id string, resume_block long, sent_no int, text string, vec array<double>",
+    )
+    r = E.pinpoint(best, sents).first()
+    assert (r["sent_no"], round(r["similarity"], 6)) == (2, 0.8)
+
+
 def _docx(body):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
