@@ -121,6 +121,8 @@ _NUMBERS: tuple[tuple[str, float, re.Pattern[str], object], ...] = tuple(
         ("phone", 0.3, r"[6-9]\d{8}", None),
     )
 )
+#: Spans of years, dates, grouped amounts, network addresses.
+_NO_ID = re.compile(r"(?:19|20)\d{2} ?- ?(?:19|20)\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|[1-9]\d{0,2}(?:\.\d{3})+|(?:\d{1,3}\.){3}\d{1,3}")
 _ID_NEAR = re.compile(
     r"(?i)ssn|social security|insurance|passport|passnummer|reisepass|ausweis|steuer|tax (?:id|no|number)|identi(?:ty|fi)|sécurité sociale|n° ?ss\b|\bnir\b|\bn\.?i\.?[ef]\b|\bdni\b|passeport|pasaporte|national id|nat\. ?id|\bid(?: card)?(?: no\.?| number)?\s?:"
     r"|身份证|身分證|护照|個人番号|マイナンバー|旅券|आधार|पासपोर्ट|هوي|الهوية|جواز|เลขบัตร|ประชาชน|หนังสือเดินทาง"
@@ -173,7 +175,7 @@ def _score(kind: str, base: float, value: str, check: object, before: str, after
 
 def _numbers(t: str, taken: list[tuple[int, int, str]], out: list[tuple[int, int, str]]) -> None:
     for chunk in _CHUNK.finditer(t):
-        if sum(map(str.isdigit, chunk[0])) < 6:
+        if sum(map(str.isdigit, chunk[0])) < 6 or _NO_ID.fullmatch(chunk[0].strip()):
             continue
         low, high = max(0, chunk.start() - 4), min(len(t), chunk.end() + 16)
         found = []
@@ -221,20 +223,43 @@ _STREETS = (
     r"(?:شارع|طريق|زقاق|درب|نهج) [؀-ۿ]+(?: [؀-ۿ]+){0,3}? رقم \d{1,4}",
     r"\d{1,4}(?:/\d{1,4})? (?:หมู่ \d{1,2} )?(?:ถนน|ซอย|ตรอก)[฀-๿]+",
 )
-_ADDRESS = re.compile("|".join(rf"(?:(?<![\w./]){p})" if p[0] != "(" or "一" not in p[:12] else rf"(?:{p})" for p in _STREETS))
-# spelt out in both cases and without a word's start before it, so that the search skips to the few first letters
-_MAYBE_ADDRESS = re.compile(
-    "(?:" + "|".join(v for w in "Street St Road Rd Avenue Ave Row Lane Ln Boulevard Blvd Drive Court Ct Way Place Pl Square Sq Terrace Close Walk Am Im Zum Zur Calle C/ Avda Avenida Plaza Paseo Ronda Camino".split() for v in (w, w.upper()))
-    + "|An de[rn]|In der|Auf de[mr]|rue|RUE|av|AV|avenue|bd|BD|boulevard|chemin|CHEMIN|place|quai|QUAI|allée|impasse|route|cours|Travesía)(?![A-Za-z])"
-    r"|stra(?:ß|ss)e|STRASSE|str\. \d|weg \d|gasse \d|platz \d|allee \d|ring \d|ufer \d|damm \d|stieg \d|steig \d|graben \d|markt \d|WEG \d|GASSE \d|STR\. \d|PLATZ \d|ALLEE \d|\d号|丁目|[一-鿿ァ-ヶ]\d{1,2}-\d|मकान|شارع|طريق|زقاق|درب|نهج|ถนน|ซอย|ตรอก"
-)
+#: Each country's pattern, and what must occur in a text for it to be tried: searches that begin with a digit or with
+#: one of a few capitals, so they skip most of a text.
+_ADDRESSES = tuple(re.compile(p if p[:6] == "(?:[一-" else rf"(?<![\w./])(?:{p})") for p in _STREETS)
+
+
+_NEAR_EN = re.compile(r"\d[A-Z]? (?:[NSEW]\. )?[A-Z]")
+_NEAR_FR = re.compile(r"\d(?: ?(?:bis|ter|quater|BIS|TER))?,? (?:rue|av|bd|boulevard|chemin|place|quai|allée|impasse|route|cours|RUE|AV|BD|CHEMIN|PLACE|QUAI)(?![a-z])")
+_NEAR_ES = re.compile(r"(?:Calle|C/|Avda|Avenida|Plaza|Paseo|Ronda|Camino|Travesía|CALLE|AVDA|PLAZA|PASEO)(?![A-Za-z])")
+_NEAR_DE = re.compile(r"(?:Am|Im|Zum|Zur|AM|IM|ZUM|ZUR|An de[rn]|In der|Auf de[mr]) [A-ZÄÖÜ]")
+_NUMBER_AFTER = re.compile(r" \d")
+_DE_ENDS = tuple(v for w in "straße strasse str. weg gasse platz allee ring ufer damm stieg steig graben markt".split() for v in (w, w.upper()))
+_NEAR_JA = re.compile(r"丁目|[一-鿿ァ-ヶ]\d{1,2}-\d")
+
+
+def _countries(t: str) -> list[int]:
+    """Which of the address patterns can match at all."""
+    out = []
+    if _NEAR_EN.search(t):
+        out.append(0)
+    if _NEAR_DE.search(t) or any(t.endswith(_DE_ENDS, 0, m.start()) for m in _NUMBER_AFTER.finditer(t)):
+        out.append(1)
+    if _NEAR_FR.search(t):
+        out.append(2)
+    if _NEAR_ES.search(t):
+        out.append(3)
+    if not t.isascii():
+        out += [k for k, words in ((4, ("号",)), (6, ("मकान",)), (7, ("شارع", "طريق", "زقاق", "درب", "نهج")), (8, ("ถนน", "ซอย", "ตรอก"))) if any(w in t for w in words)]
+        if _NEAR_JA.search(t):
+            out.append(5)
+    return out
+
+
 _HAN_LEAD = re.compile(r"^(?:现住址?|現住所|住址|地址|家住|住在|我住|居住|位于|住所は?|自宅は?|住まいは|在|住)+")
 
 
 def _addresses(t: str, taken: list[tuple[int, int, str]], out: list[tuple[int, int, str]]) -> None:
-    if not _MAYBE_ADDRESS.search(t):
-        return
-    for m in _ADDRESS.finditer(t):
+    for m in (m for k in _countries(t) for m in _ADDRESSES[k].finditer(t)):
         a, b = m.span()
         lead = _HAN_LEAD.match(m[0])
         if lead:
