@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from matchloom.session import bounded_broadcast, checkpointed
 
 #: The number of hash functions grows with the table so that a bucket of unrelated vectors keeps about this size.
-BUCKET_TARGET = 300
+BUCKET_TARGET = 700
 #: By what factor one more hash function thins out unrelated vectors at width 1.5 (measured on unit vectors).
 THINNING = 2.5
 
@@ -196,7 +196,7 @@ def _pairs(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["q", "n", "sim"])
 
 
-def nearest(df: DataFrame, item: str, vector: str, dim: int, k: int = 5, tables: int = 4, probes: int = 4, width: float = 1.5, bucket_rows: int = 4096, functions: int | None = None, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, item: str, vector: str, dim: int, k: int = 5, tables: int = 4, probes: int = 5, width: float = 1.5, bucket_rows: int = 4096, functions: int | None = None, seed: int = 11) -> DataFrame:
     """For every usable vector the k most similar others by cosine: item, neighbour, similarity, rank (from 1).
 
     Usable are vectors of dim finite numbers that are not all zero; other rows, and null items, give nothing and are
