@@ -210,13 +210,18 @@ _TOWN = rf"(?:(?:Lake|Puerto|Saint|Sainte|San|Santa|New|Los|Las|Bad|Port|Fort|Mo
 _CITY = rf"(?:, (?:\d{{5}} {_TOWN}|{_TOWN}(?: \d{{5}}(?!\d))?))?"
 _FLAT = r"(?:Flat|Apt\.?|Unit|Suite|FLAT|APT\.?|UNIT|Room)"
 _MONTH = r"(?i:januar|jänner|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|jahr|quartal|abschnitt|abs|artikel|kapitel)"
+_DE_WAYS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "stieg", "steig", "graben", "markt", "STRASSE", "STRAßE", "STR.", "WEG", "GASSE", "PLATZ", "ALLEE")
+_DE_BEFORE = r"(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|AM|IM|ZUM|ZUR)"
+_FR_NUMBER = r"(?: ?(?:bis|ter|quater|BIS|TER))?,? "
+_FR_WAYS = r"(?:rue|av\.|avenue|bd|boulevard|chemin|place|quai|allée|impasse|route|cours|RUE|AV\.|BD|CHEMIN|PLACE|QUAI) "
+_ES_WAYS = r"(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Ronda|Camino|Travesía|CALLE|AVDA\.?|PLAZA|PASEO) "
 _STREETS = (
     rf"(?:{_FLAT} \d+\w?, )?\d{{1,4}}[A-Z]?(?:-\d{{1,4}})? (?:[NSEW]\. )?(?:{_W} ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Row|Lane|Ln|Boulevard|Blvd|Drive|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Close|Walk"
     rf"|STREET|ST|ROAD|RD|AVENUE|AVE|ROW|LANE|LN|BOULEVARD|BLVD|DRIVE|COURT|WAY|PLACE|SQUARE)\b\.?(?:, {_FLAT} ?\d+\w?)?{_CITY}",
-    rf"(?:(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|ALTE|NEUE) )?[{_UP}][\w-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|stieg|steig|graben|markt|STRASSE|STRAßE|STR\.|WEG|GASSE|PLATZ|ALLEE)"
-    rf"|(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|AM|IM|ZUM|ZUR) (?!{_MONTH}){_W}) \d{{1,3}}(?!\d) ?[a-zA-Z]?(?: ?[-/] ?\d{{1,4}}[a-z]?)?\b{_CITY}",
-    rf"\d{{1,4}}(?: ?(?:bis|ter|quater|BIS|TER))?,? (?:rue|av\.|avenue|bd|boulevard|chemin|place|quai|allée|impasse|route|cours|RUE|AV\.|BD|CHEMIN|PLACE|QUAI) (?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D')\s?)?{_W}{_CITY}",
-    rf"(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Ronda|Camino|Travesía|CALLE|AVDA\.?|PLAZA|PASEO) (?:(?:de la|de los|de las|del|de|DE LA|DEL|DE) )?{_W}(?: {_W})?,? (?:n\.?[º°] ?|núm\. ?|N\.?[º°] ?)?\d{{1,4}}(?:, \d{{1,2}}\.?[ºª](?: ?[A-Z]\b| (?:izq|dcha)\.?)?)?{_CITY}",
+    rf"(?:(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|ALTE|NEUE) )?[{_UP}][\w-]*(?:{'|'.join(map(re.escape, _DE_WAYS))})"
+    rf"|{_DE_BEFORE} (?!{_MONTH}){_W}) \d{{1,3}}(?!\d) ?[a-zA-Z]?(?: ?[-/] ?\d{{1,4}}[a-z]?)?\b{_CITY}",
+    rf"\d{{1,4}}{_FR_NUMBER}{_FR_WAYS}(?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D')\s?)?{_W}{_CITY}",
+    rf"{_ES_WAYS}(?:(?:de la|de los|de las|del|de|DE LA|DEL|DE) )?{_W}(?: {_W})?,? (?:n\.?[º°] ?|núm\. ?|N\.?[º°] ?)?\d{{1,4}}(?:, \d{{1,2}}\.?[ºª](?: ?[A-Z]\b| (?:izq|dcha)\.?)?)?{_CITY}",
     r"(?:[一-鿿]{2,3}?省)?(?:[一-鿿]{2,3}?市)?(?:[一-鿿]{2,3}?[区县])?[一-鿿]{1,5}(?:大道|路|街|巷|胡同|道)(?:[一-鿿]{1,2}(?:路|街|巷))?\d{1,4}号(?:\d{1,3}(?:号楼|栋|幢|座|单元))*(?:\d{1,5}室)?",
     r"(?:[一-鿿]{2,3}[都道府県])?(?:[一-鿿]{1,4}[市区郡])?(?:[一-鿿]{1,4}[区町村])?[一-鿿ァ-ヶ]{1,5}(?:\d{1,2}丁目\d{1,3}番地?(?:\d{1,3}号?)?|\d{1,2}-\d{1,3}-\d{1,3}(?!-?\d))",
     r"मकान नं\.? ?\d{1,4},? [ऀ-ॿ]+(?: [ऀ-ॿ]+)? (?:रोड|गली|मार्ग|नगर|चौक|पथ|बाग)",
@@ -228,12 +233,12 @@ _STREETS = (
 _ADDRESSES = tuple(re.compile(p if p[:6] == "(?:[一-" else rf"(?<![\w./])(?:{p})") for p in _STREETS)
 
 
-_NEAR_EN = re.compile(r"\d[A-Z]? (?:[NSEW]\. )?[A-Z]")
-_NEAR_FR = re.compile(r"\d(?: ?(?:bis|ter|quater|BIS|TER))?,? (?:rue|av|bd|boulevard|chemin|place|quai|allée|impasse|route|cours|RUE|AV|BD|CHEMIN|PLACE|QUAI)(?![a-z])")
-_NEAR_ES = re.compile(r"(?:Calle|C/|Avda|Avenida|Plaza|Paseo|Ronda|Camino|Travesía|CALLE|AVDA|PLAZA|PASEO)(?![A-Za-z])")
-_NEAR_DE = re.compile(r"(?:Am|Im|Zum|Zur|AM|IM|ZUM|ZUR|An de[rn]|In der|Auf de[mr]) [A-ZÄÖÜ]")
+# made of the parts of the patterns: what a pattern takes, its filter lets through
+_NEAR_EN = re.compile(rf"\d[A-Z]? (?:[NSEW]\. )?[{_UP}]")
+_NEAR_FR = re.compile(rf"\d{_FR_NUMBER}{_FR_WAYS}")
+_NEAR_ES = re.compile(_ES_WAYS)
+_NEAR_DE = re.compile(rf"{_DE_BEFORE} [{_UP}]")
 _NUMBER_AFTER = re.compile(r" \d")
-_DE_ENDS = tuple(v for w in "straße strasse str. weg gasse platz allee ring ufer damm stieg steig graben markt".split() for v in (w, w.upper()))
 _NEAR_JA = re.compile(r"丁目|[一-鿿ァ-ヶ]\d{1,2}-\d")
 
 
@@ -242,7 +247,7 @@ def _countries(t: str) -> list[int]:
     out = []
     if _NEAR_EN.search(t):
         out.append(0)
-    if _NEAR_DE.search(t) or any(t.endswith(_DE_ENDS, 0, m.start()) for m in _NUMBER_AFTER.finditer(t)):
+    if _NEAR_DE.search(t) or any(t.endswith(_DE_WAYS, 0, m.start()) for m in _NUMBER_AFTER.finditer(t)):
         out.append(1)
     if _NEAR_FR.search(t):
         out.append(2)

@@ -56,3 +56,36 @@ def test_redaction():
     assert P.redact("abc def", [(5, 7, "name"), (1, 3, "email")]) == "[EMAIL] [NAME]"
     assert P.redact("abcdef", [(1, 4, "phone"), (3, 5, "name")]) == "[PHONE]ef"
     assert P.redact(None, []) is None
+
+
+def _examples(tree):
+    """Strings that between them use every alternative and every end of every character class of a parsed pattern."""
+    parts = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "IN":
+            kinds = {"CATEGORY_DIGIT": "7", "CATEGORY_WORD": "x", "CATEGORY_SPACE": " "}
+            parts.append([c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else [chr(a[0]), chr(a[1])] if str(o) == "RANGE" else [kinds[str(a)]])])
+        elif op == "BRANCH":
+            parts.append([x for b in arg[1] for x in _examples(b)])
+        elif op == "SUBPATTERN":
+            parts.append(_examples(arg[3]))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, item = arg
+            parts.append([x * max(low, 1) for x in _examples(item)] + ([""] if low == 0 else []))
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+    # each with all optional parts around it, and with none
+    return ["".join([*base[:i], v, *base[i + 1 :]]) for base in ([p[0] for p in parts], [p[-1] for p in parts]) for i, p in enumerate(parts) for v in p] or [""]
+
+
+def test_what_an_address_pattern_takes_its_filter_lets_through():
+    import re
+
+    for k, p in enumerate(P._STREETS):
+        texts = [x for x in dict.fromkeys(_examples(re._parser.parse(p))) if P._ADDRESSES[k].search(x)]
+        assert texts and [x for x in texts if k not in P._countries(x)] == []
+    for text in ("12 avenue Victor Hugo, 75001 Paris", "12 Élan Street", "GARTENSTRAßE 5", "Am Élan 5"):
+        assert [k for _, _, k in P.find(text)[0]] == ["address"]
