@@ -19,6 +19,21 @@ def _unit(col: pa.Array, dim: int) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
+def _first(s: np.ndarray, nid: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest scores of each row, compared at 12 digits as in the ranking; ties by smaller id."""
+    n = len(nid)
+    if k >= n:
+        return np.broadcast_to(np.arange(n), s.shape)
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    # rounded the k-th score may equal that of columns left out: in those rows the smallest ids among its equals stay
+    last = np.round(np.take_along_axis(s, top, 1).min(axis=1), 12)
+    near = s > last[:, None] - 1e-11
+    for row in np.flatnonzero(near.sum(axis=1) > k):
+        at = np.flatnonzero(near[row])
+        top[row] = at[np.lexsort((nid[at], -np.round(s[row, at], 12)))[:k]]
+    return top
+
+
 def _matcher(dim: int, k: int, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -31,8 +46,7 @@ def _matcher(dim: int, k: int, threshold: float | None):
                 x = np.frombuffer(b.column("vecs")[row].as_py(), dtype=np.float64).reshape(-1, dim)
                 s = q @ x.T
                 s[ids[:, None] == nid[None, :]] = -9
-                keep = min(k, len(nid))
-                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < len(nid) else np.broadcast_to(np.arange(len(nid)), s.shape)
+                top = _first(s, nid, k)
                 sims = np.take_along_axis(s, top, 1)
                 good = sims > (-2 if threshold is None else threshold - 1e-12)
                 out.append((np.broadcast_to(ids[:, None], sims.shape)[good], nid[top][good], sims[good]))

@@ -57,6 +57,23 @@ def test_topk_against_brute_force(spark):
         assert [got[(q, k)] for k in (1, 2, 3)] == list(np.argsort(-s)[:3])
 
 
+def test_topk_of_more_copies_than_k_in_several_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 8))
+    x[rng.choice(900, 300, replace=False)] = x[0]  # one vector copied into a third of all rows
+    ids = rng.permutation(900)  # in no order within the blocks
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "i long, v array<double>").repartition(3)
+    got = {(r["query"], r["rank"]): r["item"] for r in retrieve.vector_topk(df.filter("i % 20 = 0"), df, "i", "v", 8, 5).collect()}
+    order = np.argsort(ids)
+    u = (x / np.linalg.norm(x, axis=1)[:, None])[order]
+    for q in range(0, 900, 20):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        assert [got[(q, k)] for k in range(1, 6)] == list(np.lexsort((np.arange(900), -s))[:5])
+
+
 def test_whole_match(spark):
     jd = "Requirements\nMust have Python and Kafka experience with large data platforms.\n\nResponsibilities\nBuild streaming pipelines in Python on Kafka for the data team.\n"
     good = "Skills\nPython, Kafka, streaming pipelines, data platforms.\n\nWork Experience\nBuilt streaming pipelines in Python on Kafka for a data team since 2015.\n"
