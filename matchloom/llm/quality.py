@@ -4,7 +4,8 @@ A text is cut into segments: lines that are wrapped prose are joined, rows of on
 one line stand together. Counts name what is plain: item marks, equal fields in equal order, markup, encodings,
 repetition. For every other segment, the distribution of its characters over classes and that of its words over
 function words and others are compared with language and structure profiles by Jensen-Shannon divergence, and the
-nearest profile names its kind. A document is of a kind if more than two thirds of its non-blank characters are.
+nearest profile names its kind, in any script; under 40 characters, which are no distribution, counts decide unless the
+marks of a scan are scattered in them. A document is of a kind if more than two thirds of its non-blank characters are.
 """
 
 from __future__ import annotations
@@ -32,23 +33,52 @@ FUNCTION_WORDS = {
 }
 _FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 #: Marks and endings that prose in scripts without spaces uses all the time.
-_CASELESS_FUNCTION = regex.compile(r"[的了是在和与我您从到]|[はがをにでとのもし]|です|ます|ました|การ|และ|ใน|ที่|ของ|จาก|คน|ได้|มี")
+_CASELESS_FUNCTION = regex.compile(r"[的了是在和与我您从到]|[はがをにでとのもし]|です|ます|ました|การ|และ|ใน|ที่|ของ|จาก|คน|ได้|มี|ให้|เป็น|ว่า|กับ|ไม่|จะ|แล้ว|โดย|อยู่|ต้อง|เพื่อ|ความ|แต่|ซึ่ง|หรือ")
 
 _LETTER_CLASSES = {**{c: 0 for c in "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"}, **{c: 1 for c in "bcdfghjklmnpqrstvwxzçñß"}}
 CLASSES = ("vowel", "consonant", "cluster", "other_letter", "digit", "sentence_mark", "delimiter", "symbol")
 #: Shares of CLASSES in running text and structures; the last number is the share of function words among the words.
+#: Entries are the lines of a post held or of contacts: neither prose nor items.
 PROFILES = {
-    "prose_latin": ((0.385, 0.475, 0.085, 0.005, 0.012, 0.020, 0.010, 0.008), 0.38),
-    "prose_caseless": ((0.06, 0.08, 0.01, 0.77, 0.02, 0.03, 0.02, 0.01), 0.20),
-    "prose_indic": ((0.04, 0.06, 0.01, 0.83, 0.02, 0.02, 0.01, 0.01), 0.28),
-    "list_plain": ((0.36, 0.46, 0.11, 0.005, 0.015, 0.005, 0.035, 0.01), 0.06),
-    "list_caseless": ((0.10, 0.16, 0.03, 0.63, 0.02, 0.01, 0.04, 0.01), 0.04),
-    "table_plain": ((0.26, 0.31, 0.06, 0.005, 0.24, 0.005, 0.11, 0.01), 0.02),
-    "junk_letters": ((0.21, 0.37, 0.39, 0.0, 0.005, 0.012, 0.012, 0.001), 0.005),
-    "junk_marks": ((0.12, 0.16, 0.16, 0.03, 0.08, 0.10, 0.06, 0.29), 0.005),
-    "junk_codes": ((0.14, 0.20, 0.26, 0.02, 0.28, 0.0, 0.02, 0.08), 0.0),
+    "prose_latin": ((0.364, 0.513, 0.022, 0.002, 0.046, 0.026, 0.020, 0.007), 0.34),
+    "prose_han": ((0.084, 0.139, 0.014, 0.576, 0.083, 0.054, 0.034, 0.016), 0.21),
+    "prose_kana": ((0.063, 0.105, 0.011, 0.667, 0.075, 0.048, 0.019, 0.012), 0.43),
+    "prose_thai": ((0.035, 0.058, 0.004, 0.829, 0.059, 0.010, 0.003, 0.002), 0.12),
+    "prose_indic": ((0.053, 0.084, 0.007, 0.751, 0.058, 0.032, 0.007, 0.008), 0.25),
+    "prose_han_only": ((0.004, 0.006, 0.004, 0.890, 0.020, 0.050, 0.024, 0.002), 0.21),
+    "prose_kana_only": ((0.004, 0.006, 0.006, 0.912, 0.020, 0.040, 0.010, 0.002), 0.43),
+    "prose_thai_only": ((0.004, 0.006, 0.003, 0.970, 0.012, 0.002, 0.001, 0.002), 0.12),
+    "prose_indic_only": ((0.004, 0.006, 0.003, 0.942, 0.012, 0.025, 0.006, 0.002), 0.22),
+    "list_latin": ((0.309, 0.515, 0.047, 0.000, 0.012, 0.011, 0.096, 0.011), 0.03),
+    "list_native": ((0.100, 0.160, 0.015, 0.560, 0.030, 0.020, 0.100, 0.015), 0.03),
+    "list_native_only": ((0.004, 0.006, 0.005, 0.874, 0.010, 0.002, 0.097, 0.002), 0.02),
+    "table_latin": ((0.220, 0.335, 0.021, 0.023, 0.246, 0.003, 0.088, 0.064), 0.03),
+    "table_native": ((0.085, 0.138, 0.011, 0.356, 0.234, 0.003, 0.101, 0.072), 0.05),
+    "entry_latin": ((0.270, 0.403, 0.024, 0.000, 0.167, 0.051, 0.064, 0.020), 0.04),
+    "entry_native": ((0.130, 0.207, 0.018, 0.361, 0.167, 0.028, 0.060, 0.029), 0.02),
+    "junk_letters": ((0.210, 0.370, 0.390, 0.000, 0.005, 0.012, 0.012, 0.001), 0.005),
+    "junk_marks": ((0.120, 0.160, 0.160, 0.030, 0.080, 0.100, 0.060, 0.290), 0.005),
+    "junk_scan": ((0.110, 0.314, 0.018, 0.000, 0.058, 0.111, 0.220, 0.170), 0.069),
+    "junk_codes": ((0.140, 0.200, 0.260, 0.020, 0.280, 0.000, 0.020, 0.080), 0.0),
+    "junk_native": ((0.003, 0.004, 0.110, 0.868, 0.003, 0.006, 0.003, 0.003), 0.0),
+    "junk_kana": ((0.003, 0.004, 0.080, 0.898, 0.003, 0.006, 0.003, 0.003), 0.10),
+    "junk_rare": ((0.003, 0.004, 0.730, 0.248, 0.003, 0.006, 0.003, 0.003), 0.0),
+    "junk_filling": ((0.003, 0.004, 0.008, 0.970, 0.003, 0.006, 0.003, 0.003), 0.0),
 }
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzçñß]{3,}")
+#: What words of other scripts hardly hold: signs without their letter, small kana alone, Arabic letters that never
+#: meet or end a word within it. Han characters outside the first levels of GB 2312 and JIS X 0208 are rare.
+_UNLIKELY = tuple(
+    (re.compile(own), re.compile(odd))
+    for own, odd in (
+        (r"[ऀ-ॿ]", r"(?<![\u0915-\u0939\u0958-\u095f\u093c])[\u093c\u093e-\u094d]|(?<![\u0905-\u0939\u0958-\u0961\u093c\u093e-\u094c])[\u0901-\u0903]"),
+        (r"[฀-๿]", r"(?<![\u0e01-\u0e2e\u0e31\u0e32\u0e34-\u0e3a\u0e47-\u0e4d])[\u0e30-\u0e3a\u0e47-\u0e4e]|[\u0e40-\u0e44](?![\u0e01-\u0e2e])|[\u0e31\u0e34-\u0e39]{2}|[\u0e48-\u0e4b]{2}"),
+        (r"[぀-ヿ]", r"(?<![きしちにひみりぎじぢびぴ])[ゃゅょ]|(?<![キシチニヒミリギジヂビピテデフヴ])[ャュョ]|[っッ](?![か-とぱ-ぽば-ぼさ-ぞカ-トパ-ポバ-ボサ-ゾ])|(?<![ァ-ヴー])[ーァィゥェォ]|[ぁぃぅぇぉゎヮ]|(?<![ぁ-ん一-鿿])ん"),
+        (r"[؀-ۿ]", r"[ةى](?=[ء-ي])|[حخعغ]{2}|[قك]{2}|[ثذزظضش][ثذزسصظض]|([ء-ي])\1\1|ء(?=[ء-غ])"),
+    )
+)
+#: The first levels: rows 16 to 55 and 16 to 47.
+_COMMON_HAN = frozenset("".join(bytes((a, b)).decode(code, "ignore") for code, last in (("gb2312", 0xD7), ("euc_jp", 0xCF)) for a in range(0xB0, last + 1) for b in range(0xA1, 0xFF)))
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_'’-]+")
 _MARKUP = re.compile(r"<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};|&#\d+;")
 _CODE = re.compile(r"(?<![^\s])(?=[A-Za-z0-9+/=_-]*[a-z])(?=[A-Za-z0-9+/=_-]*[A-Z])(?=[A-Za-z0-9+/=_-]*\d)[A-Za-z0-9+/=_-]{28,}(?![^\s])")
@@ -60,15 +90,22 @@ _STRING = re.compile(r"\s*[,;|/、，；／·]\s+|\s*[;、；]\s*")
 _ALNUM = re.compile(r"[^\W_]")
 _ODD = re.compile(r"[\x80-\xbfÃÂâ€™œžŸ�]")
 _GAPS = re.compile(r" {2,}")
-_NATIVE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}\p{Arabic}]{2}")
+_HAN = re.compile(r"[一-鿿]")
+_OTHER_SCRIPT = re.compile(r"[\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
 _SCATTER = "!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~"
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
-_INDIC = regex.compile(r"[\p{Devanagari}\p{Arabic}]")
 
 
 def class_counts(text: str) -> list[int]:
     """Characters of each of CLASSES; blanks don't count."""
     out = [0] * 8
+    if text.isascii():
+        kinds = text.encode().translate(_ASCII_CLASSES)
+        out = [kinds.count(k) for k in range(8)]
+        runs = _CLUSTER.findall(text)
+        out[2] = sum(map(len, runs)) - 2 * len(runs)
+        out[1] -= out[2]
+        return out
     for ch, n in Counter(text).items():
         kind = _LETTER_CLASSES.get(ch)
         if kind is not None:
@@ -78,6 +115,11 @@ def class_counts(text: str) -> list[int]:
     # the third and later of a run of consonants
     out[2] = sum(len(m[0]) - 2 for m in _CLUSTER.finditer(text))
     out[1] -= out[2]
+    if _OTHER_SCRIPT.search(text):
+        odd = sum(len(odd.findall(text)) for own, odd in _UNLIKELY if own.search(text)) + sum(ch not in _COMMON_HAN for ch in _HAN.findall(text))
+        odd = min(odd, out[3])
+        out[2] += odd
+        out[3] -= odd
     return out
 
 
@@ -91,6 +133,10 @@ def _other_class(ch: str) -> int:
     return 6 if ch in ",;:|/、，；：()+" else 7
 
 
+#: The class of each ASCII character, 8 for blanks.
+_ASCII_CLASSES = bytes(_LETTER_CLASSES.get(chr(k), 8 if chr(k).isspace() else _other_class(chr(k))) for k in range(128)) + bytes(128)
+
+
 def divergence(p: tuple[float, ...] | list[float], q: tuple[float, ...] | list[float]) -> float:
     """Jensen-Shannon divergence of two distributions, base 2."""
     out = 0.0
@@ -110,25 +156,41 @@ def function_share(text: str) -> tuple[float, int]:
         words = [w.strip(".,;:!?()\"'") for w in text.casefold().split()]
         return sum(w in _FUNCTION for w in words) / max(1, len(words)), len(words)
     words = _WORD.findall(text.casefold())
-    caseless = len(_CASELESS.findall(text))
+    caseless = len(_CASELESS.findall(text)) if _OTHER_SCRIPT.search(text) else 0
     hits = sum(w in _FUNCTION for w in words)
-    if caseless * 2 > len(text):
+    if caseless * 4 > len(text):
         return min(1.0, len(_CASELESS_FUNCTION.findall(text)) * 1.5 / caseless), max(1, caseless // 3)
     return hits / max(1, len(words)), len(words)
 
 
-def nearest_profile(text: str) -> tuple[str, float]:
+#: The shares of PROFILES: those of function words and of other words, then of CLASSES in the order in which they tell most
+#: profiles apart.
+_ORDER = (3, 2, 4, 7, 0, 1, 6, 5)
+_SHARES = tuple((name, (q[3], f, 1 - f, *(q[k] for k in _ORDER[1:]))) for name, (q, f) in PROFILES.items())
+
+
+def nearest_profile(text: str, share: float | None = None) -> tuple[str, float]:
     """The nearest of PROFILES and the sum of both divergences: of character classes and of function words."""
     counts = class_counts(text.casefold())
     total = sum(counts) or 1
-    p = [c / total for c in counts]
-    share, _ = function_share(text)
-    best = ("junk_marks", 9.0)
-    for name, (q, f) in PROFILES.items():
-        d = divergence(p, q) + divergence((share, 1 - share), (f, 1 - f))
-        if d < best[1]:
-            best = (name, d)
-    return best
+    if share is None:
+        share, _ = function_share(text)
+    p = (counts[3] / total, share, 1 - share, *(counts[k] / total for k in _ORDER[1:]))
+    name, best, log2 = "junk_marks", 9.0, math.log2
+    for other, shares in _SHARES:
+        d = 0.0
+        for a, b in zip(p, shares, strict=True):
+            m = a + b
+            if a > 0:
+                d += a * log2(2 * a / m) / 2
+            if b > 0:
+                d += b * log2(2 * b / m) / 2
+            # no part is negative: a profile is left as soon as it is farther than the best
+            if d >= best:
+                break
+        else:
+            name, best = other, d
+    return name, max(best, 0.0)
 
 
 def _blank_free(text: str) -> int:
@@ -279,11 +341,11 @@ def _plain(lines: list[str], kind: list[str | None], at: int) -> None:
         # bare items, one in each line
         kind[at : at + len(lines)] = ["list"] * len(lines)
         return
-    scattered = joined.isascii() and 4 * sum(map(joined.count, _SCATTER)) > _blank_free(joined)
-    if len(joined) >= 20 and (scattered or share < 0.12 and len(joined) >= 40 and not _NATIVE.search(joined)):
-        name, _ = nearest_profile(joined)
-        if name.startswith("junk"):
-            kind[at : at + len(lines)] = ["junk"] * len(lines)
+    # too few characters are no distribution, unless marks stand among them
+    if len(joined) >= 40 or len(joined) >= 20 and joined.isascii() and 4 * sum(map(joined.count, _SCATTER)) > _blank_free(joined):
+        name = nearest_profile(joined, share)[0].split("_")[0]
+        if len(joined) >= 40 or name == "junk":
+            kind[at : at + len(lines)] = ["other" if name == "entry" else name] * len(lines)
             return
     if wrapped or marks or len(lines) < 4 and words > 12 or share >= 0.2 and words > 12:
         for x in range(len(lines)):

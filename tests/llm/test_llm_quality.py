@@ -46,3 +46,31 @@ def test_against_the_hand_rated_sample(spark):
     group = lambda k: "other" if k in ("prose", "mixed") else k
     right = sum(group(k) == group(Q.document_kind(Q.kinds(t))) for k, t in rows)
     assert right / len(rows) > 0.93
+
+
+LETTERS = {
+    "han": [chr(c) for c in range(0x4E00, 0x9FA5)], "hiragana": [chr(c) for c in range(0x3041, 0x3094)], "katakana": [chr(c) for c in range(0x30A1, 0x30F5)], "thai": [chr(c) for c in (*range(0x0E01, 0x0E3A), *range(0x0E40, 0x0E4D))],
+    "devanagari": [chr(c) for c in (*range(0x0905, 0x0914), *range(0x0915, 0x0939), *range(0x093E, 0x094E))], "arabic": list("ابتثجحخدذرزسشصضطظعغفقكلمنهويءةىأإئؤآ"),
+}
+
+
+@pytest.mark.parametrize("script", LETTERS)
+def test_words_of_no_language_in_other_scripts(script):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(20):
+        lines = [" ".join("".join(rng.choices(LETTERS[script], k=rng.randint(3, 8))) for _ in range(12)) for _ in range(3)]
+        assert Q.document_kind(Q.kinds("\n".join(lines))) == "junk"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("TECHNICAL SKILLS\nR / Cypress / Selenium / C# / C# / Node.js / TensorFlow / Oracle / Bash / Kafka / Perl / Hive", "list"), ("Élodie Fenwickson | Tél. : 01.99.00.07.75 | Courriel : noemie@mailhof.example\n43 bd des Ormes, 00449 Quarrington", "other"),
+        ("熟练掌握ASP.NET和Kubernetes，了解Python者优先。为什么选Flink？本岗位需要熟悉BigQuery的计划专员。", "prose"), ("ทีมงานได้ทดสอบระบบใหม่และเขียนคู่มือให้กับเพื่อนร่วมงานในบริษัท เพื่อให้ทุกคนทำงานได้ง่ายขึ้น", "prose"),
+    ],
+)
+def test_the_nearest_profile_names_what_the_counts_leave(text, kind):
+    counts = Q.kinds(text)
+    assert max(counts, key=counts.get) == kind
