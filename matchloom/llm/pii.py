@@ -319,6 +319,8 @@ _NAMED = (
     re.compile(r"(?:คือคุณ|คุณ|นาย|นาง|นางสาว)([฀-๿]{2,12} [฀-๿]{3,16}?)(?=ซึ่ง|เป็น|ที่|ได้|และ|จะ|ครับ|ค่ะ|$|[ ,.])"),
 )
 _CASELESS_CHAR = re.compile(r"[一-鿿ऀ-ॿ؀-ۿ฀-๿]")
+#: The cue patterns of each script that may occur in a text.
+_OWN = ((re.compile(r"[一-鿿]"), _NAMED[4:8]), (re.compile(r"[ऀ-ॿ]"), _NAMED[8:10]), (re.compile(r"[؀-ۿ]"), _NAMED[10:11]), (re.compile(r"[฀-๿]"), _NAMED[11:]))
 _WHOLE = re.compile(rf"^\s?({_ANY})$")
 #: Chinese family names of two characters, and common ones of one.
 _FAMILY2 = "欧阳 上官 司马 诸葛 夏侯 慕容 令狐 钟离 闻人 东方 皇甫 尉迟 公孙 轩辕 宇文 长孙 司徒 司空 端木 百里 南宫 独孤".split()
@@ -383,10 +385,9 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]],
         for p, sign in zip(_SEEDS, (":", ", ", " | ", ""), strict=True):
             if sign in t:
                 seeds.extend(m[1] for m in p.finditer(t))
-    script = _CASELESS_CHAR.search(t)
-    if script:
+    if _CASELESS_CHAR.search(t):
         signs = (":" in t, ", " in t, "|" in t, True)
-        own = _NAMED[4:8] if "一" <= script[0] <= "鿿" else _NAMED[8:10] if script[0] < "ॿ" and script[0] >= "ऀ" else _NAMED[10:11] if script[0] < "ऀ" else _NAMED[11:]
+        own = [p for script, ps in _OWN if script.search(t) for p in ps]
         for p in (*(p for p, sign in zip(_NAMED, signs, strict=False) if sign), *own):
             for m in p.finditer(t):
                 a, b = m.span(1)

@@ -89,3 +89,14 @@ def test_what_an_address_pattern_takes_its_filter_lets_through():
         assert texts and [x for x in texts if k not in P._countries(x)] == []
     for text in ("12 avenue Victor Hugo, 75001 Paris", "12 Élan Street", "GARTENSTRAßE 5", "Am Élan 5"):
         assert [k for _, _, k in P.find(text)[0]] == ["address"]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("请联系欧阳屿白。 คุณสมชาย ใจดีมาก", ["欧阳屿白", "สมชาย ใจดีมาก"]), ("我们的团队负责系统。 श्री कबीर सूर्यकोटी", ["कबीर सूर्यकोटी"]), ("我们的团队负责系统。 السيد ريان الزهرابيل", ["ريان الزهرابيل"]),
+        ("ทีมงาน 请联系欧阳屿白。", ["欧阳屿白"]), ("السيد ريان الزهرابيل, श्री कबीर सूर्यकोटी", ["कबीर सूर्यकोटी", "ريان الزهرابيل"]),
+    ],
+)
+def test_names_of_every_script_of_a_text(text, names):
+    assert sorted(text[a:b] for a, b, k in P.find(text)[0] if k == "name") == sorted(names)
