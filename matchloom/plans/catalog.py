@@ -417,6 +417,22 @@ def missing_requirements(s: SparkSession, d: str) -> DataFrame:
     return m.select("jd_id", "resume_id", F.array_join("missing", " ## ").alias("missing"))
 
 
+def _missing(name: str, component: str) -> None:
+    """The same for another component with sections of its own."""
+
+    def plan(s: SparkSession, d: str) -> DataFrame:
+        ev = _evidence(s, d)
+        m = E.missing(ev, _jd_blocks(s, d), _pairs(ev), dims.COMPONENTS[component])
+        return m.select("jd_id", "resume_id", F.array_join("missing", " ## ").alias("missing"))
+
+    plan.__name__ = name
+    _query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD} {Q.missing(component)}")(plan)
+
+
+_missing("missing_work", "work_experience")
+_missing("missing_education", "education")
+
+
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.REQUIREMENTS}, {Q.PARAMS} SELECT jd_id, resume_id, jd_block, category, is_mandatory, similarity, status, coalesce(best_block, -1) AS best_block FROM params")
 def comparison_params(s: SparkSession, d: str) -> DataFrame:
     ev = _evidence(s, d)

@@ -230,6 +230,13 @@ MISSING = f"""
   SELECT jd_id, resume_id, string_agg(left(text, 100), ' ## ' ORDER BY r) AS missing FROM (
     SELECT p.jd_id, p.resume_id, j.text, row_number() OVER (PARTITION BY p.jd_id, p.resume_id ORDER BY j.block_no) AS r FROM pairs p JOIN jd j ON j.jd_id = p.jd_id AND j.section IN {_in(dims.COMPONENTS['skill'])}
     WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.jd_id = p.jd_id AND e.resume_id = p.resume_id AND e.jd_block = j.jd_block AND e.strength <> 'none')) WHERE r <= 5 GROUP BY 1, 2"""
+
+
+def missing(component: str) -> str:
+    """MISSING of another component's sections."""
+    return MISSING.replace(f"j.section IN {_in(dims.COMPONENTS['skill'])}", f"j.section IN {_in(dims.COMPONENTS[component])}")
+
+
 _K = trim(sub(f"lower({trim('text')})", ":+$", ""))
 _CORE = "section IN ('requirements', 'skills', 'responsibilities', 'education', 'experience', 'certifications')"
 REQUIREMENTS = f"""

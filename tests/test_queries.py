@@ -23,3 +23,17 @@ def test_entry_has_the_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["jd_id", "resume_id", "final", "rank"]
+
+
+def test_missing_requirements_of_every_component(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from matchloom import dims
+
+    plans = {"skill": "missing_requirements", "work_experience": "missing_work", "education": "missing_education"}
+    assert set(plans) == set(dims.COMPONENTS) and len({SQL[q] for q in plans.values()}) == 3
+    # the small tables hold no education sections
+    blocks = catalog._jd_blocks
+    for component, q in plans.items():
+        monkeypatch.setattr(catalog, "_jd_blocks", lambda s, d, own=dims.COMPONENTS[component][0]: blocks(s, d).withColumn("section", F.lit(own)))
+        assert catalog.queries()[q](spark, DATA).count() > 0
