@@ -2,8 +2,10 @@
 
 Regular expressions propose spans; checksums (Luhn, mod 97, mod 23, mod 11 and others) confirm them; words nearby raise
 or lower their scores; what stays above the threshold counts. Names are found in two steps: structural contexts (labels,
-contact lines, titles) teach given and family names, counted over all texts; then every capitalised sequence is looked up
-in them by a join, so the list of names may be of any size.
+titles, contact lines that hold a confirmed address, number or mail) teach given and family names. How often, in how many
+kinds of contexts, and how often each word stands in strings of items instead, is counted over all texts; words that are
+mostly items are no names. Then every capitalised sequence is looked up in what is left by a join, so the list of names
+may be of any size.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def personnummer(digits: str) -> bool:
+    """Swedish identity: Luhn over the last ten digits."""
+    return luhn(digits[-10:])
+
+
 def nir_key(digits: str) -> bool:
     """French social security: 13 digits and their key mod 97."""
     return len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
@@ -92,6 +99,8 @@ _NUMBERS: tuple[tuple[str, float, re.Pattern[str], object], ...] = tuple(
         ("id_number", 0.5, r"\d{3}-\d{2}-\d{4}", None),
         ("id_number", 0.65, r"\d{4}([- ])\d{4}\1\d{4}", None),
         ("id_number", 0.4, r"\d{3} \d{2} \d{4}", None),
+        ("id_number", 0.15, r"\d{3}([- ])\d{3}\1\d{3}", luhn),
+        ("id_number", 0.15, r"(?:19|20)?\d{6}[-+]\d{4}", personnummer),
         ("id_number", 0.65, r"0\d \d{3} \d{3} \d{3}", steuer_check),
         ("id_number", 0.35, r"\d{2} \d{3} \d{3} \d{3}", steuer_check),
         ("id_number", 0.5, r"[A-Z]\d{8}[A-Z]?", None),
@@ -124,7 +133,7 @@ _NUMBERS: tuple[tuple[str, float, re.Pattern[str], object], ...] = tuple(
 #: Spans of years, dates, grouped amounts, network addresses.
 _NO_ID = re.compile(r"(?:19|20)\d{2} ?- ?(?:19|20)\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|[1-9]\d{0,2}(?:\.\d{3})+|(?:\d{1,3}\.){3}\d{1,3}")
 _ID_NEAR = re.compile(
-    r"(?i)ssn|social security|insurance|passport|passnummer|reisepass|ausweis|steuer|tax (?:id|no|number)|identi(?:ty|fi)|sécurité sociale|n° ?ss\b|\bnir\b|\bn\.?i\.?[ef]\b|\bdni\b|passeport|pasaporte|national id|nat\. ?id|\bid(?: card)?(?: no\.?| number)?\s?:"
+    r"(?i)ssn|social security|insurance|passport|passnummer|reisepass|ausweis|steuer|tax (?:id|no|number)|identi(?:ty|fi)|sécurité sociale|n° ?ss\b|\bnir\b|\bn\.?i\.?[ef]\b|\bdni\b|passeport|pasaporte|social insurance|\bsin\b|personnummer|national id|nat\. ?id|\bid(?: card)?(?: no\.?| number)?\s?:"
     r"|身份证|身分證|护照|個人番号|マイナンバー|旅券|आधार|पासपोर्ट|هوي|الهوية|جواز|เลขบัตร|ประชาชน|หนังสือเดินทาง"
 )
 _PHONE_NEAR = re.compile(
@@ -178,6 +187,8 @@ def _numbers(t: str, taken: list[tuple[int, int, str]], out: list[tuple[int, int
         if sum(map(str.isdigit, chunk[0])) < 6 or _NO_ID.fullmatch(chunk[0].strip()):
             continue
         low, high = max(0, chunk.start() - 4), min(len(t), chunk.end() + 16)
+        while high < len(t) and t[high].isalnum():
+            high += 1  # else a number that is cut here would look whole
         found = []
         for kind, base, p, check in _NUMBERS:
             for m in p.finditer(t, low, high):
@@ -217,9 +228,9 @@ _FR_WAYS = r"(?:rue|av\.|avenue|bd|boulevard|chemin|place|quai|allée|impasse|ro
 _ES_WAYS = r"(?:Calle|C/|Avda\.?|Avenida|Plaza|Paseo|Ronda|Camino|Travesía|CALLE|AVDA\.?|PLAZA|PASEO) "
 _STREETS = (
     rf"(?:{_FLAT} \d+\w?, )?\d{{1,4}}[A-Z]?(?:-\d{{1,4}})? (?:[NSEW]\. )?(?:{_W} ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Row|Lane|Ln|Boulevard|Blvd|Drive|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Close|Walk"
-    rf"|STREET|ST|ROAD|RD|AVENUE|AVE|ROW|LANE|LN|BOULEVARD|BLVD|DRIVE|COURT|WAY|PLACE|SQUARE)\b\.?(?:, {_FLAT} ?\d+\w?)?{_CITY}",
+    rf"|STREET|ST|ROAD|RD|AVENUE|AVE|ROW|LANE|LN|BOULEVARD|BLVD|DRIVE|COURT|WAY|PLACE|SQUARE)\b(?:(?<=St|Rd|Ct|Pl|Sq|Ln|ST|RD|LN)\.|(?<=Ave|AVE)\.|(?<=Blvd|BLVD)\.)?(?:, {_FLAT} ?\d+\w?)?{_CITY}",
     rf"(?:(?:(?:Alte|Neue|Große|Kleine|Obere|Untere|ALTE|NEUE) )?[{_UP}][\w-]*(?:{'|'.join(map(re.escape, _DE_WAYS))})"
-    rf"|{_DE_BEFORE} (?!{_MONTH}){_W}) \d{{1,3}}(?!\d) ?[a-zA-Z]?(?: ?[-/] ?\d{{1,4}}[a-z]?)?\b{_CITY}",
+    rf"|{_DE_BEFORE} (?!{_MONTH}){_W}) \d{{1,3}}(?!\d)(?: ?[a-zA-Z]\b)?(?: ?[-/] ?\d{{1,4}}[a-z]?)?\b{_CITY}",
     rf"\d{{1,4}}{_FR_NUMBER}{_FR_WAYS}(?:(?:de la|de l'|du|des|de|d'|DE LA|DE L'|DU|DES|DE|D')\s?)?{_W}{_CITY}",
     rf"{_ES_WAYS}(?:(?:de la|de los|de las|del|de|DE LA|DEL|DE) )?{_W}(?: {_W})?,? (?:n\.?[º°] ?|núm\. ?|N\.?[º°] ?)?\d{{1,4}}(?:, \d{{1,2}}\.?[ºª](?: ?[A-Z]\b| (?:izq|dcha)\.?)?)?{_CITY}",
     r"(?:[一-鿿]{2,3}?省)?(?:[一-鿿]{2,3}?市)?(?:[一-鿿]{2,3}?[区县])?[一-鿿]{1,5}(?:大道|路|街|巷|胡同|道)(?:[一-鿿]{1,2}(?:路|街|巷))?\d{1,4}号(?:\d{1,3}(?:号楼|栋|幢|座|单元))*(?:\d{1,5}室)?",
@@ -273,6 +284,8 @@ def _addresses(t: str, taken: list[tuple[int, int, str]], out: list[tuple[int, i
             continue
         if _NOT_NEAR.search(t[max(0, a - 14) : a]):
             continue
+        if t[b - 1] == "." and not t.startswith((".", ",", ";"), b) and a > 1 and t[a - 1] == " " and t[a - 2].islower() and not any(y == a - 1 for _, y, _ in taken):
+            b -= 1  # in running text the only full stop is the sentence's
         taken.append((a, b, "address"))
         out.append((a, b, "address"))
 
@@ -284,19 +297,28 @@ _TOKEN = rf"[{_UP}](?:[\w'’]*[\w])?(?:-[{_UP}][\w'’]*)*"
 _INITIAL = rf"[{_UP}]\."
 #: Two words or more with capitals, initials and particles between them.
 _SEQUENCE = re.compile(rf"(?<![\w@./])(?:{_TOKEN}|{_INITIAL})(?: (?:{_PARTICLE} )?(?:{_INITIAL}(?= )|{_TOKEN}(?![\w@])))+")
-_COMMA = re.compile(rf"(?:^|(?<=[:|] )|(?<=\n))(?:{_PARTICLE} )?{_TOKEN}, {_TOKEN}(?: {_INITIAL})?(?=$|, | \||\n| [a-zA-Z]+[.:]| [\w.+-]+@| [+(]?\d)")
-_PLAIN = rf"(?:(?:{_INITIAL}(?= )|{_TOKEN})(?: (?:{_PARTICLE} )?(?:{_INITIAL}(?= )|{_TOKEN}))+)"
+#: Family, Given wherever it stands.
+_COMMA = re.compile(rf"(?<![\w@./'’-])(?:{_PARTICLE} )?{_TOKEN}, {_TOKEN}(?: {_INITIAL}(?!\w))?(?![\w@])")
+#: Stands in place of each character of a confirmed span, so that a name's context can ask for one.
+_MASK = "\x01"
+#: Words that begin the next field of a contact line.
+_FIELD = r"(?:E-?[Mm]ail|E-MAIL|EMAIL|Mail|MAIL|T[eé]l|TEL|Telefon|Tel[eé]fono|Mobile?|M[oó]vil|Portable|Phone|PHONE|Cell|Fax|Courriel|Correo|Address|Anschrift|Adresse|Direcci[oó]n|Passport|SSN|DNI|NIF|NIE|Steuer|Nat)"
+_PLAIN = rf"(?:(?:{_INITIAL}(?= )|{_TOKEN})(?: (?:{_PARTICLE} )?(?:{_INITIAL}(?= )|(?!{_FIELD}\b){_TOKEN}))+)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sr|Sra|Srta|Dra|Don|Doña|MR|MRS|MS|DR|PROF|HERR|FRAU|MME|SRA|DRA)\.?"
 _NAME_LABEL = r"(?:Name|Contact|Kontakt|Contacto|Nom|Nombre|Ansprechpartner(?:in)?|References?|Candidate|Applicant|姓名|名前|氏名|नाम|الاسم|ชื่อ|联系人)"
-#: Contexts that teach names: a label, a line of name, firm and contact, a title before two words.
+_LABEL_BEFORE = r"(?:[^\W\d_][^\W\d_-]{0,9}\.? ?[:–]? ?)?"
+#: Contexts that teach names: a label; a line of name, firm and a confirmed span; a name beside a confirmed span; a title
+#: before two words. They are found in masked texts.
 _SEEDS = (
-    re.compile(rf"(?:^|(?<=\s)){_NAME_LABEL}\s?: ({_PLAIN})(?=$|,| \||  |\n)"),
-    re.compile(rf"^({_PLAIN}), {_TOKEN}[\w&.' -]{{0,40}}, (?=[+(\d\w])"),
-    re.compile(rf"^({_PLAIN}) \| (?=[A-Za-zÀ-ÿ-]{{0,9}}\.? ?:? ?[+(\d]|[\w.+-]+ ?[@(\[])"),
-    re.compile(rf"\b{_TITLE} ({_PLAIN})(?=$|[ ,.;)])"),
+    ("label", ":", re.compile(rf"(?:^|(?<=\s)){_NAME_LABEL}\s?: ({_PLAIN})(?=$|,| \||  |\n)")),
+    ("line", _MASK, re.compile(rf"^({_PLAIN}), {_TOKEN}[\w&.' -]{{0,40}}, {_LABEL_BEFORE}(?={_MASK})")),
+    ("bar", _MASK, re.compile(rf"^({_PLAIN}) \| {_LABEL_BEFORE}(?={_MASK})")),
+    ("title", "", re.compile(rf"\b{_TITLE} ({_PLAIN})(?=$|[ ,.;)])")),
 )
+#: Labels in Han that a blank may part from a name before them.
+_HAN_LABEL = r"(?:电话|手机|電話|携帯|邮箱|电子邮件|身份证|护照|住址|地址|现住|住所|現住所|個人番号|旅券)"
 _CASELESS = {
-    "han": r"[一-鿿々]{2,8}(?: [一-鿿々]{2,4})?",
+    "han": rf"[一-鿿々]{{2,8}}(?: (?!{_HAN_LABEL})[一-鿿々]{{2,4}})?",
     "hindi": r"[ऀ-ॿ]+ [ऀ-ॿ]+",
     "arabic": r"[؀-ۿ]+ (?:ال)?[؀-ۿ]+",
     "thai": r"[฀-๿]{2,12} [฀-๿]{3,16}?",
@@ -322,6 +344,9 @@ _CASELESS_CHAR = re.compile(r"[一-鿿ऀ-ॿ؀-ۿ฀-๿]")
 #: The cue patterns of each script that may occur in a text.
 _OWN = ((re.compile(r"[一-鿿]"), _NAMED[4:8]), (re.compile(r"[ऀ-ॿ]"), _NAMED[8:10]), (re.compile(r"[؀-ۿ]"), _NAMED[10:11]), (re.compile(r"[฀-๿]"), _NAMED[11:]))
 _WHOLE = re.compile(rf"^\s?({_ANY})$")
+_PAIR = "|".join(_CASELESS[k] for k in ("hindi", "arabic"))
+_FIRST = re.compile(rf"^({_PAIR})(?=[ .،,।])")
+_LAST = re.compile(rf"(?:^|(?<=[\s:(]))({_PAIR})[.،,।]?$")
 #: Chinese family names of two characters, and common ones of one.
 _FAMILY2 = "欧阳 上官 司马 诸葛 夏侯 慕容 令狐 钟离 闻人 东方 皇甫 尉迟 公孙 轩辕 宇文 长孙 司徒 司空 端木 百里 南宫 独孤".split()
 _FAMILY1 = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
@@ -361,8 +386,9 @@ def _bare(family: str) -> str:
 # ---------------------------------------------------------------- the scan
 
 
-def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]], list[str]]:
-    """(spans, possible names, seed names) of a text; spans are (start, end, kind), 0-based, end exclusive."""
+def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, bool]], list[tuple[str, str]]]:
+    """(spans, possible names, seeds) of a text. Spans are (start, end, kind), 0-based, end exclusive; possible names
+    (start, end, does it stand as an item in a string of items?); seeds (kind of context, name)."""
     t = text if text.isascii() else text.translate(_WIDE)
     taken: list[tuple[int, int, str]] = []
     out: list[tuple[int, int, str]] = []
@@ -373,34 +399,76 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]],
     if _DIGIT.search(t):
         _addresses(t, taken, out)
         _numbers(t, taken, out)
-    maybe: list[tuple[int, int]] = []
-    seeds: list[str] = []
+    maybe: list[tuple[int, int, bool]] = []
+    seeds: list[tuple[str, str]] = []
     if _CAPITAL.search(t):
-        for m in _SEQUENCE.finditer(t):
-            if not any(m.start() < y and x < m.end() for x, y, _ in taken):
-                maybe.append(m.span())
-        for m in _COMMA.finditer(t):
-            if not any(m.start() < y and x < m.end() for x, y, _ in taken):
-                maybe.append(m.span())
-        for p, sign in zip(_SEEDS, (":", ", ", " | ", ""), strict=True):
-            if sign in t:
-                seeds.extend(m[1] for m in p.finditer(t))
+        # names don't overlap what was found so far
+        masked = _masked(t, taken)
+        listed = _MASK not in masked and len(_DELIMITER.findall(masked)) > 1
+        turned = [(x, m.end(), False) for m in _COMMA.finditer(masked) if (x := _inverted(masked, m.start())) is not None] if ", " in masked else []
+        begun = {x for x, _, _ in turned}
+        for m in _SEQUENCE.finditer(masked):
+            if not (m.start() in begun and m[0][:2] in ("D.", "M.")):
+                maybe.append((*m.span(), listed and _is_item(masked, *m.span())))
+        maybe += turned
+        for kind, sign, p in _SEEDS:
+            if sign in masked:
+                seeds.extend((kind, m[1]) for m in p.finditer(masked))
     if _CASELESS_CHAR.search(t):
         signs = (":" in t, ", " in t, "|" in t, True)
         own = [p for script, ps in _OWN if script.search(t) for p in ps]
         for p in (*(p for p, sign in zip(_NAMED, signs, strict=False) if sign), *own):
             for m in p.finditer(t):
                 a, b = m.span(1)
-                if not any(a < y and x < b for x, y, _ in taken) and (not _HAN.match(m[1]) or _KANA_CUE.search(p.pattern) or _han_name(m[1]) or " " in m[1] or len(m[1]) >= 4):
+                if any(a < y and x < b for x, y, _ in taken):
+                    continue
+                if not _HAN.match(m[1]) or p is _NAMED[0] or _KANA_CUE.search(p.pattern) or _han_name(m[1]) or " " in m[1] or len(m[1]) >= 4:
                     taken.append((a, b, "name"))
                     out.append((a, b, "name"))
-                    seeds.append(t[a:b])
-        m = _WHOLE.match(t)
-        if m and not taken:
-            maybe.append(m.span(1))
+                    seeds.append(("label" if p is _NAMED[0] else "cue", t[a:b]))
+                else:
+                    # a family name that the list lacks: looked up among those that labels taught
+                    maybe.append((a, b, False))
+        # a name may be the whole text, or stand where a line that was wrapped around it begins or ends
+        edges = {m.span(1) for p in (_WHOLE, _FIRST, _LAST) for m in p.finditer(t)} if " " in t[:40] or len(t) < 9 else set()
+        maybe += [(a, b, False) for a, b in edges if not any(a < y and x < b for x, y, _ in taken)]
     return out, maybe, seeds
 
 
+_DELIMITER = re.compile(r"[,;|/、，；·•]")
+
+
+def _masked(t: str, taken: list[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for a, b, _ in sorted(taken):
+        if a >= at:
+            parts += [t[at:a], _MASK * (b - a)]
+            at = b
+    return "".join([*parts, t[at:]]) if parts else t
+
+
+def _is_item(t: str, a: int, b: int) -> bool:
+    """Does t[a:b] stand between delimiters or at a line's edge, as items of a string do?"""
+    before, after = t[max(0, a - 3) : a].rstrip(" "), t[b : b + 2].lstrip(" ")
+    sides = [not before or before[-1] in ",;|/、，；·•", not after or after[0] in ",;|/、，；·•"]
+    return all(sides)
+
+
+def _inverted(t: str, at: int) -> int | None:
+    """Where a name begins if that at `at` may be a family name that a comma and a given name follow: not behind a
+    capitalised word, which would be its given name or the rest of a firm's, unless that is a title. A D. or M. before
+    it, which may be a title, is taken along."""
+    if at < 2 or t[at - 1] != " ":
+        return at
+    start = max(t.rfind(" ", 0, at - 1), t.rfind("\n", 0, at - 1)) + 1
+    word = t[start : at - 1]
+    if word in ("D.", "M."):
+        return start if _inverted(t, start) == start else None
+    if not word[:1].isupper() or word.rstrip(".").casefold() in _TITLES:
+        return at
+    return at if word[-1] in ".:!?)|" and not re.fullmatch(_INITIAL, word) else None
+
+
 _DIGIT = re.compile(r"\d")
 _CAPITAL = re.compile(rf"[{_UP}]")
 _HAN = re.compile(r"[一-鿿]")
@@ -417,33 +485,37 @@ def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, key, text in zip(b.column("src").to_pylist(), b.column("row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
             spans, maybe, seeds = find(text)
             rows = [(k, x, y, None) for x, y, k in spans]
-            rows += [("?", x, y, text[x:y]) for x, y in maybe]
-            rows += [("seed", 0, 0, s) for s in seeds]
+            rows += [("?item" if item else "?", x, y, text[x:y]) for x, y, item in maybe]
+            rows += [(f"seed:{kind}", 0, 0, s) for kind, s in seeds]
             for k, x, y, v in rows:
                 for c, z in zip(cols, (src, key, k, x, y, v), strict=True):
                     c.append(z)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-_LEX = "token string, role string"
+_LEX = "token string, role string, context string, n long"
 
 
 def _lexicon_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for v in b["value"]:
-            if _HAN.match(v) and " " not in v:
-                if _han_name(v):
-                    k = 2 if v[:2] in _FAMILY2 else 1
-                    out += [(v[:k], "family"), (v[k:], "given")]
-                continue
-            if _HAN.match(v):
-                family, given = v.split(" ", 1)
-                out += [(family, "family"), (given, "given")]
-                continue
-            given, family = _name_tokens(v)
-            out += [(g, "given") for g in given if len(g) > 1] + [(f, "family") for f in family if len(f) > 1]
-        yield pd.DataFrame(out, columns=["token", "role"])
+        for v, context, n in zip(b["value"], b["what"], b["n"], strict=True):
+            out += [(token, role, context, n) for token, role in name_roles(v)]
+        yield pd.DataFrame(out, columns=["token", "role", "context", "n"])
+
+
+def name_roles(v: str) -> list[tuple[str, str]]:
+    """The given and family names of a name, with their roles."""
+    if _HAN.match(v) and " " not in v:
+        if not 2 <= len(v) <= 4:
+            return []
+        k = 2 if v[:2] in _FAMILY2 or len(v) == 4 else 1
+        return [(v[:k], "family"), (v[k:], "given")]
+    if _HAN.match(v):
+        family, given = v.split(" ", 1)
+        return [(family, "family"), (given, "given")]
+    given, family = _name_tokens(v)
+    return [(g, "given") for g in given if len(g) > 1 and g not in _PARTICLES] + [(f, "family") for f in family if len(f) > 1]
 
 
 def candidate_tokens(value: str) -> list[str]:
@@ -474,11 +546,16 @@ def resolve(value: str, given: set[str], family: set[str]) -> list[tuple[int, in
     def is_initial(w: str) -> bool:
         return len(w) == 2 and w[1] == "."
 
+    if comma > 0 and words[0][0] in ("D.", "M.") and len(words) > 1:
+        # a title and an inverted name, or an initial and a family name that a comma follows
+        at = words[1][1]
+        turned = resolve(value[at:], given, family)
+        return [(at + x, at + y) for x, y in turned] or resolve(value[:comma], given, family)
     out, i, n = [], 0, len(words)
     while i < n:
         w = words[i][0]
-        if w == "D." and i + 1 < n and is_given(words[i + 1][0]):
-            i += 1  # Don, no initial
+        if w in ("D.", "M.") and i + 1 < n and (is_given(words[i + 1][0]) or is_initial(words[i + 1][0])):
+            i += 1  # Don or Monsieur, no initial
             continue
         if not (is_given(w) or is_initial(w)):
             if comma > 0:
@@ -533,16 +610,20 @@ def personal_spans(texts: DataFrame, src: str = "src", row_key: str = "row_key",
     don't overlap, but for a name that was found inside an address or the like and is left out there.
     """
     rows = texts.select(F.col(src).cast("string").alias("src"), F.col(row_key).cast("string").alias("row_key"), F.col(text).cast("string").alias("text"))
-    rows = rows.filter("src is not null and row_key is not null and text is not null and length(text) > 2")
+    rows = rows.filter("src is not null and row_key is not null and text <> ''")
     scan = checkpointed(rows.mapInArrow(_scanner, _SCAN))
-    sure = scan.filter("what not in ('?', 'seed')").select("src", "row_key", "start", "end", F.col("what").alias("pii_kind"))
-    seeds = scan.filter("what = 'seed'").select("value").distinct()
-    lexicon = seeds.mapInPandas(_lexicon_rows, _LEX).distinct()
-    maybe = scan.filter("what = '?'").select("src", "row_key", "start", "end", "value")
+    sure = scan.filter("what not like '?%' and what not like 'seed:%'").select("src", "row_key", "start", "end", F.col("what").alias("pii_kind"))
+    seeds = scan.filter("what like 'seed:%'").groupBy("value", "what").agg(F.count("*").alias("n"))
+    taught = seeds.mapInPandas(_lexicon_rows, _LEX).groupBy("token", "role").agg(F.sum("n").alias("support"), F.countDistinct("context").alias("contexts"))
+    maybe = scan.filter("what like '?%'").select("src", "row_key", "start", "end", "value", "what")
     # distinct strings are looked up, not their occurrences
     tokens = F.pandas_udf(lambda vs: vs.map(candidate_tokens), "array<string>")
-    strings = maybe.select("value").distinct().withColumn("token", F.explode(tokens("value")))
-    known = strings.join(lexicon, "token").groupBy("value").agg(
+    strings = maybe.groupBy("value").agg(F.count_if(F.col("what") == "?item").alias("items")).withColumn("token", F.explode(tokens("value")))
+    strings = checkpointed(strings)
+    items = strings.filter("items > 0").groupBy("token").agg(F.sum("items").alias("items"))
+    # a word that more often stands in strings of items than in contexts of names is no name
+    lexicon = taught.join(items, "token", "left").filter(F.coalesce("items", F.lit(0)) <= F.col("support") * F.col("contexts") * F.col("contexts")).select("token", "role")
+    known = strings.select("value", "token").join(lexicon, "token").groupBy("value").agg(
         F.collect_set(F.when(F.col("role") == "given", F.col("token"))).alias("given"), F.collect_set(F.when(F.col("role") == "family", F.col("token"))).alias("family")
     )
     names = bounded_broadcast(checkpointed(known.filter(F.size("family") > 0).mapInPandas(_resolver, _RESOLVED)))

@@ -52,6 +52,54 @@ def test_names_are_learnt_from_contexts_and_found_elsewhere(spark):
     assert P.personal_spans(df.limit(0)).count() == 0
 
 
+POISON = [
+    ("l", f"p{i}", t) for i, t in enumerate(["Power BI, Airflow, BigQuery, Spark", "Spring Boot, GitLab CI, Jenkins", "Kafka | Power BI | Hive", "M.A. Logistics, Univ. Silverhithe, 2018, 8.7/10.0", "We moved from Qt to Power BI with Spring Boot."] * 20)
+] + [("l", "q0", "Power BI | +1 415 555 0100")]
+
+
+def test_strings_of_items_teach_no_names(spark):
+    rows = [*POISON, ("l", "1", "Name: Mara Quill"), ("l", "2", "Mara Quill, Acme Labs, mara@acme.test"), ("l", "3", "Later Mara Quill wrote it.")]
+    got = P.personal_spans(spark.createDataFrame(rows, "src string, row_key string, text string")).filter("pii_kind = 'name'").collect()
+    assert sorted((r["row_key"], r["start_char"], r["end_char"]) for r in got) == [("1", 7, 16), ("2", 1, 10), ("3", 7, 16)]
+
+
+def _names(text, given, family):
+    out = []
+    for a, b, _ in P.find(text)[1]:
+        out += [text[a + x : a + y] for x, y in P.resolve(text[a:b], set(given.split()), set(family.split()))]
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("my colleague Quill, Mara (m@x.test) will", ["Quill, Mara"]), ("Ask for Ms. Quill, Mara-Jo at the desk", ["Quill, Mara-Jo"]), ("done. de la Quill, Mara a écrit", ["de la Quill, Mara"]), ("Pregunte por D. Quill, Mara en", ["Quill, Mara"]),
+        ("D. Quill, Acme Labs", ["D. Quill"]), ("Contact : M. Mara Quill, tél.", ["Mara Quill"]), ("M. Quill, Acme", ["M. Quill"]), ("Contact : M. J. Quill", ["J. Quill"]), ("Jo Quill, Mara Quill", ["Jo Quill", "Mara Quill"]), ("QUILL, MARA J. | x", ["QUILL, MARA J."]),
+        ("Mara Quill Mail QUILL-M1@X.TEST", ["Mara Quill"]), ("Quill Clinic, Mara", []), ("Jo J. Quill, Mara", ["Jo J. Quill"]),
+    ],
+)
+def test_forms_of_names(text, names):
+    assert _names(text, "mara jo", "quill") == names
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("I lived at 12 Heron Court. Then", "12 Heron Court"), ("I lived at 12 Heron Ave. Then", "12 Heron Ave"), ("I lived at 12 Old Mill Rd..", "12 Old Mill Rd."), ("12 Old Mill Rd., Bellmoor", "12 Old Mill Rd., Bellmoor"), ("a@b.test 12 Old Mill Rd.", "12 Old Mill Rd."),
+        ("Anschrift: Kupferstr. 8 Steuer-ID: x", "Kupferstr. 8"), ("Kupferstr. 8 a, Bellmoor", "Kupferstr. 8 a, Bellmoor"),
+    ],
+)
+def test_ends_of_addresses(text, want):
+    assert [text[a:b] for a, b, k in P.find(text)[0] if k == "address"] == [want]
+
+
+def test_numbers_are_not_cut_by_a_neighbour():
+    text = "+86 199 0000 0731 身份证：990101197606175116"
+    assert [text[a:b] for a, b, _ in sorted(P.find(text)[0])] == ["+86 199 0000 0731", "990101197606175116"]
+    assert [k for _, _, k in P.find("SIN 046 454 286")[0]] == ["id_number"] and P.find("Batch 046 454 286")[0] == []
+    assert [k for _, _, k in P.find("Personnummer 811228-9874")[0]] == ["id_number"]
+
+
 def test_redaction():
     assert P.redact("abc def", [(5, 7, "name"), (1, 3, "email")]) == "[EMAIL] [NAME]"
     assert P.redact("abcdef", [(1, 4, "phone"), (3, 5, "name")]) == "[PHONE]ef"
