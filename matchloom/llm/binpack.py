@@ -117,21 +117,21 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, items_per_shard: in
     item counts once, with its greatest size. An empty table gives an empty result. The result doesn't depend on how
     the table is partitioned.
 
-    A shard has about items_per_shard items by the hash of the item, so no task grows with the table. Bins filled less
+    A shard has about items_per_shard parts by the hash of the item, so no task grows with the table or with the sizes. Bins filled less
     than refill_below of the capacity are taken apart and packed again with those of other shards, `rounds` times.
     """
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")
     kind = df.schema[item].dataType.simpleString()
     src = df.select(F.col(item).alias("__item"), F.col(size).cast("long").alias("__size")).filter(F.col("__item").isNotNull() & (F.col("__size") > 0))
-    items = src.groupBy("__item").agg(F.max("__size").alias("__size"))
+    # read twice below: once for the number of parts, which sets the number of shards
+    items = checkpointed(src.groupBy("__item").agg(F.max("__size").alias("__size")))
     cap = F.lit(capacity).cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.col("__size") - 1, cap)
     parts = items.select("__item", "__size", F.posexplode(starts).alias("part", "start")).select(
         "__item", "part", "start", F.least(cap, F.col("__size") - F.col("start")).alias("size")
     )
-    # the number of items sets the number of shards; counting them needs neither their sizes nor their texts
-    shards = max(1, -(-df.select(item).count() // items_per_shard))
+    shards = max(1, -(-(items.agg(F.sum(F.ceil(F.col("__size") / cap))).first()[0] or 0) // items_per_shard))
     schema = _PACKED.format(item=kind) + ", shard int"
 
     def packed(rows: DataFrame, n: int, seed: int) -> DataFrame:
@@ -140,14 +140,11 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, items_per_shard: in
 
     out, now = None, packed(parts, shards, 0)
     for r in range(1, rounds + 1):
-        if shards == 1:
-            break  # there is no other shard
-        now = checkpointed(now)  # read twice below
-        # about 2 in 100 items lie in badly filled bins; the second packing has as many fewer shards
+        now = checkpointed(now)  # read three times below
         loose = F.col("fill") < int(refill_below * capacity)
         done = now.filter(~loose).withColumn("round", F.lit(r - 1))
         out = done if out is None else out.unionByName(done)
-        shards = max(1, shards // 20)
+        shards = max(1, -(-now.filter(loose).count() // items_per_shard))
         now = packed(now.filter(loose).drop("bin", "fill", "shard"), shards, r)
     last = now.withColumn("round", F.lit(rounds))
     out = last if out is None else out.unionByName(last)

@@ -32,6 +32,10 @@ CELL_TARGET = 30_000
 #: By what factor one more function of this width thins out unrelated unit vectors (measured).
 WIDE, WIDE_THINNING = 2.0, 2.2
 NARROW, NARROW_THINNING = 1.2, 2.9
+#: How many deviations a bucket's border may be away to be visited.
+DEVIATIONS = 2.5
+#: Vectors that one task compares.
+VECTORS_PER_TASK = 20_000
 #: Steps of a unit vector's numbers.
 _STEPS = float((1 << 23) - 1)
 
@@ -176,18 +180,21 @@ class _Cell:
 
     def nearest(self, qids: np.ndarray, q: np.ndarray, k: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, neighbour, cosine) of each query's k best, itself left out; equals by the smaller id."""
-        home, probed, _ = bucket_ids(q, 1, self.functions, NARROW, probes, self.seed)
+        home, probed, far = bucket_ids(q, 1, self.functions, NARROW, probes, self.seed)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # what the own bucket gives bounds what is worth keeping from the others
         bound = np.full(len(q), -2.0, np.float32)
-        for rows, c, s in self._products(q, home):
+        for rows, c, s in self._products(q, home, np.ones(home.shape, bool)):
             keep = min(k + 1, s.shape[1])
             top = np.argpartition(s, s.shape[1] - keep, axis=1)[:, -keep:] if keep < s.shape[1] else np.broadcast_to(np.arange(keep), (len(rows), keep))
             best = np.take_along_axis(s, top, 1)
             got.append((np.repeat(rows, keep), (top + c).ravel(), best.ravel()))
             if keep == k + 1:
                 bound[rows] = np.maximum(bound[rows], best.min(axis=1) - np.float32(1e-6))
-        for rows, c, s in self._products(q, probed[:, 0]):
+        # a projection's differences are normal with the distance as their deviation: beyond DEVIATIONS of the distance so
+        # far, a border is hardly crossed by anything nearer
+        worth = far[:, 0] <= DEVIATIONS**2 * (2 - 2 * bound.astype(np.float64))[:, None]
+        for rows, c, s in self._products(q, probed[:, 0], worth):
             r, x = np.nonzero(s >= bound[rows][:, None])
             got.append((rows[r], x + c, s[r, x]))
         if not got:
@@ -205,10 +212,11 @@ class _Cell:
         order = order[_place(gq[order]) < k]
         return qids[gq[order]], names[order], exact[order]
 
-    def _products(self, q: np.ndarray, want: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(rows of q, first vector, products) for every bucket in `want`, a column of which names one for each query."""
+    def _products(self, q: np.ndarray, want: np.ndarray, worth: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(rows of q, first vector, products) for every bucket in `want`, a column of which names one for each query, as
+        far as it is worth it."""
         at = np.minimum(np.searchsorted(self.buckets, want), len(self.buckets) - 1)
-        qi, col = np.nonzero(self.buckets[at] == want)
+        qi, col = np.nonzero((self.buckets[at] == want) & worth)
         bucket = at[qi, col]
         order = np.argsort(bucket, kind="stable")
         qi, bucket = qi[order], bucket[order]
@@ -315,7 +323,9 @@ def nearest(df: DataFrame, item: str, vector: str, dim: int, k: int = 5, tables:
     own = F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int")
     visits = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.xxhash64("cell", c).alias("cell"), F.when(c == own, F.col("kind")).otherwise(F.lit(1)).cast("byte").alias("kind")))
     visit = F.explode(F.when(F.col("lc").isNull(), F.array(F.struct("cell", "kind"))).otherwise(visits))
-    placed = sent.select(visit.alias("at"), "point").select("at.cell", "at.kind", "point").repartition("cell").sortWithinPartitions("cell", "kind")
+    # the work is in products, not in bytes, so the number of tasks follows the number of vectors
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-points * tables // VECTORS_PER_TASK))
+    placed = sent.select(visit.alias("at"), "point").select("at.cell", "at.kind", "point").repartition(tasks, "cell").sortWithinPartitions("cell", "kind")
     found = placed.mapInArrow(_ranker(dim, k, bucket_probes, bucket_rows, seed + 100), "q long, n long, sim double")
     # the k best different neighbours of each point, from all cells and tables
     w_q = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "n")

@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 MAX_SOURCES = 10_000
 
 
+def _probability(k: int, rate: float) -> float:
+    """P(K = k) for K Poisson; through logarithms, so that no rate is too large."""
+    return math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate > 0 else float(k == 0)
+
+
 def truncated_mean(lam: float, cap: int) -> float:
     """E[min(K, cap)] for K Poisson with mean lam."""
-    p, mean, below = math.exp(-lam), 0.0, 0.0
-    for k in range(cap):
-        mean += k * p
-        below += p
-        p *= lam / (k + 1)
-    return mean + cap * (1 - below)
+    p = [_probability(k, lam) for k in range(cap)]
+    return math.fsum(k * x for k, x in enumerate(p)) + cap * max(0.0, 1 - math.fsum(p))
 
 
 def rate_for(mean: float, cap: int) -> float:
@@ -32,7 +33,9 @@ def rate_for(mean: float, cap: int) -> float:
     if mean >= cap - 1e-9:
         return math.inf
     low, high = 0.0, 1.0
-    while truncated_mean(high, cap) < mean and high < 700:
+    while truncated_mean(high, cap) < mean:
+        if high > 4 * cap + 1000:
+            return math.inf  # the mean differs from the cap by less than can be told
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
@@ -44,11 +47,10 @@ def thresholds(rate: float, cap: int) -> list[float]:
     """The cumulative probabilities P(K < k), k = 1..cap: a draw u has as many copies as thresholds it reaches."""
     if math.isinf(rate):
         return [0.0] * cap
-    p, total, out = math.exp(-rate), 0.0, []
+    total, out = 0.0, []
     for k in range(cap):
-        total += p
+        total += _probability(k, rate)
         out.append(total)
-        p *= rate / (k + 1)
     return out
 
 
@@ -104,17 +106,14 @@ def mix(docs: DataFrame, item: str, source: str, size: str, targets: DataFrame,
     goal = [(s, max(w, 0.0) / weight, m) for s, w, m in goal]
     rates = plan_rates(sizes, goal, total)
     u = unit_hash(F.col(item), seed=seed)
-    copies: Column = F.lit(0)
-    for s, (mean, cap) in rates.items():
-        reached = F.lit(0)
-        for t in thresholds(rate_for(mean, cap), cap):
-            reached = reached + (u >= F.lit(t)).cast("int")
-        copies = F.when(F.col(source) == s, reached).otherwise(copies)
-    drawn = rows.filter(F.col(source).isin(list(rates))).withColumn("__n", copies).filter("__n > 0")
+    spark = docs.sparkSession
+    # a source's thresholds come from a table of at most MAX_SOURCES rows
+    steps = spark.createDataFrame([(s, thresholds(rate_for(mean, cap), cap)) for s, (mean, cap) in rates.items()], "__s string, __steps array<double>")
+    copies = F.size(F.filter("__steps", lambda t: u >= t))
+    drawn = rows.join(F.broadcast(steps), F.col(source) == F.col("__s")).withColumn("__n", copies).drop("__s", "__steps").filter("__n > 0")
     each = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
     placed = each.withColumn("__position", unit_hash(F.col(item), F.col("__copy"), seed=seed + 1))
     mixture = placed.repartitionByRange("__position").sortWithinPartitions("__position")
-    spark = docs.sparkSession
     plan = spark.createDataFrame(
         [(s, w, m, *sizes.get(s, (0, 0)), float(rates.get(s, (0.0, 0))[0]), bool(s in rates and rates[s][0] >= rates[s][1])) for s, w, m in goal],
         "source string, target_share double, max_repeats int, available_docs long, available_size long, mean_copies double, capped boolean",
@@ -122,7 +121,7 @@ def mix(docs: DataFrame, item: str, source: str, size: str, targets: DataFrame,
     got = drawn.groupBy(F.col(source).alias("source")).agg(F.sum("__n").alias("copies"), F.sum(F.col("__n") * F.col("__size")).alias("size"))
     all_size = got.agg(F.sum("size").alias("total"))
     report = (
-        plan.join(F.broadcast(got), "source", "left")
+        plan.join(F.broadcast(got), "source", "left")  # at most MAX_SOURCES rows
         .join(F.broadcast(all_size))
         .select(
             "source", "target_share", "max_repeats", "available_docs", "available_size", "mean_copies",

@@ -8,6 +8,7 @@ merged while its size plus the overlap it will carry fits. So paragraphs and sen
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,7 @@ _ITEM = regex.compile(r"(?:[•▪◦‣➤·*–-]|\(?\d{1,3}[.)]|[a-z][.)])\s"
 PIECE = T.ArrayType(
     T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("overlap", T.IntegerType()), T.StructField("hard", T.BooleanType())])
 )
+_FULL = T.ArrayType(T.StructType([*PIECE.elementType.fields, T.StructField("text", T.StringType()), T.StructField("lines", T.ArrayType(T.IntegerType()))]))
 
 
 def segments(text: str, limit: int) -> list[tuple[int, int, float]]:
@@ -49,7 +51,7 @@ def segments(text: str, limit: int) -> list[tuple[int, int, float]]:
             out.append((at, at + limit, 1.0))
             at += limit
         if end > at:
-            tail = text[max(at, end - 12) : end]
+            tail = text[at:end]
             strength = next((s for s, p in _STRENGTHS if p.search(tail)), 1.0)
             out.append((at, end, max(strength, 4.5) if _ITEM.match(text, end) else strength))
         at = end
@@ -108,6 +110,32 @@ def _cutter(limit: int, overlap: int):
     return F.pandas_udf(run, PIECE)
 
 
+def _full_cutter(limit: int, overlap: int):
+    """Pieces with their texts, so the whole text is carried no further, and with the lines they cover."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, nos, lengths in batches:
+            yield pd.Series([[piece | {"text": t[piece["start_char"] - 1 : piece["end_char"]]} for piece in covered(t, cut(t, limit, overlap), n, z)] for t, n, z in zip(texts, nos, lengths, strict=True)])
+
+    return F.pandas_udf(run, _FULL)
+
+
+def covered(text: str, pieces: list[tuple[int, int, int, bool]], nos, lengths) -> list[dict]:
+    """Pieces with the numbers of the lines each touches, null where the lines' lengths don't make up the text: joined
+    with nothing or one character between them, in the order of nos."""
+    nos, lengths = ([] if x is None else [int(y) for y in x] for x in (nos, lengths))
+    gap = next((g for g in (0, 1) if nos and sum(lengths) + g * (len(nos) - 1) == len(text)), None)
+    firsts, lasts, at = [], [], 1
+    for z in lengths if gap is not None else []:
+        firsts.append(at)
+        lasts.append(at + z - 1)
+        at += z + gap
+    return [
+        {"start_char": a + 1, "end_char": b, "overlap": o, "hard": h, "lines": None if gap is None else nos[bisect_left(lasts, a + 1) : bisect_right(firsts, b)]}
+        for a, b, o, h in pieces
+    ]
+
+
 def oversized(df: DataFrame, item: str, text: str, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """The items whose text is longer than limit code points, each item once: __item, __text and the kept columns.
 
@@ -128,11 +156,36 @@ def split_oversized(df: DataFrame, item: str, text: str, limit: int = 600, overl
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be at least 0 and less than half of limit")
     long = oversized(df, item, text, limit, keep)
-    p = long.select("*", F.posexplode(_cutter(limit, overlap)("__text")).alias("piece_no", "__p"))
-    return p.select(
-        F.col("__item").alias(item), "piece_no", "__p.start_char", "__p.end_char", "__p.overlap", F.col("__p.hard").alias("hard_end"),
-        F.expr("substring(__text, __p.start_char, __p.end_char - __p.start_char + 1)").alias("text"), *(F.col(f"__k_{c}").alias(c) for c in keep),
-    )
+    none = F.lit(None).cast("array<int>")
+    return _pieces(long, limit, overlap, none, none).select(F.col("__item").alias(item), *PIECE_COLUMNS, *(F.col(f"__k_{c}").alias(c) for c in keep))
+
+
+#: The columns that every piece has.
+PIECE_COLUMNS = ("piece_no", "start_char", "end_char", "overlap", "hard_end", "text")
+
+
+def _pieces(long: DataFrame, limit: int, overlap: int, nos: Column, lengths: Column) -> DataFrame:
+    kept = [c for c in long.columns if c != "__text"]
+    # from here on no row holds the whole text
+    p = long.select(*kept, F.posexplode(_full_cutter(limit, overlap)("__text", nos, lengths)).alias("piece_no", "__p"))
+    return p.select(*kept, "piece_no", "__p.start_char", "__p.end_char", "__p.overlap", F.col("__p.hard").alias("hard_end"), "__p.text", F.col("__p.lines").alias("__lines"))
+
+
+def split_with_lines(df: DataFrame, item: str, text: str, doc: str, lines: str, texts: DataFrame, line_doc: str, line_no: str, line_text: str, limit: int = 600, overlap: int = 60) -> DataFrame:
+    """split_oversized, with the source lines that each piece covers: item, PIECE_COLUMNS, source_lines, lines_exact.
+
+    `lines` is an array of the line numbers of `doc` that make up the text, in any order, repeated or null; `texts` has
+    the lines. Where a text isn't its trimmed lines joined with nothing or one blank (lines lost, or nulls), every piece
+    has all of the item's line numbers and lines_exact is false. A line given several times counts with its longest text.
+    """
+    long = oversized(df, item, text, limit, (doc, lines))
+    every = F.array_sort(F.array_distinct(F.filter("__k_" + lines, lambda x: x.isNotNull())))
+    wanted = long.select("__item", F.col("__k_" + doc).alias("__d"), F.explode(every.cast("array<int>")).alias("__n"))
+    known = texts.select(F.col(line_doc).alias("__d"), F.col(line_no).cast("int").alias("__n"), F.char_length(F.trim(line_text)).alias("__z"))
+    sizes = wanted.join(known.filter("__z is not null"), ["__d", "__n"]).groupBy("__item", "__n").agg(F.max("__z").alias("__z"))
+    sizes = sizes.groupBy("__item").agg(F.array_sort(F.collect_list(F.struct("__n", "__z"))).alias("__ls"))
+    out = _pieces(long.join(sizes, "__item", "left"), limit, overlap, F.col("__ls.__n"), F.col("__ls.__z"))
+    return out.select(F.col("__item").alias(item), *PIECE_COLUMNS, F.coalesce("__lines", every.cast("array<int>")).alias("source_lines"), F.col("__lines").isNotNull().alias("lines_exact"))
 
 
 def cut_kinds(df: DataFrame, item: str, text: str, limit: int = 600, overlap: int = 60) -> DataFrame:
@@ -140,14 +193,3 @@ def cut_kinds(df: DataFrame, item: str, text: str, limit: int = 600, overlap: in
     more than limit characters without a natural boundary, else 'soft'."""
     pieces = _cutter(limit, overlap)("__text")
     return oversized(df, item, text, limit).select(F.col("__item").alias(item), F.when(F.exists(pieces, lambda p: p["hard"]), "hard").otherwise("soft").alias("cut_kind"))
-
-
-def lines_of_piece(start: Column, end: Column, line_nos: Column, lengths: Column, gap: Column) -> Column:
-    """The line numbers that the characters start..end (1-based) touch, where a text is the lines joined with `gap`
-    characters between them; line_nos ascending, lengths in the same order."""
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size(lengths)),
-        lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * gap,
-    )
-    pairs = F.arrays_zip(line_nos.alias("no"), lengths.alias("n"), ends.alias("e"))
-    return F.transform(F.filter(pairs, lambda p: (p["e"] >= start) & (p["e"] - p["n"] + 1 <= end)), lambda p: p["no"])

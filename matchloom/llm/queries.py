@@ -84,20 +84,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces with the source lines that each covers; where the lines don't make up the block's text, all of them."""
-    blocks, lines = table(spark, d, "blocks"), table(spark, d, "indexed_lines")
-    cut = pieces.split_oversized(blocks, "block_id", "text", PIECE, OVERLAP, keep=("doc_id", "source_lines"))
-    nos = F.array_sort(F.array_distinct(F.filter("source_lines", lambda x: x.isNotNull())))
-    long = pieces.oversized(blocks, "block_id", "text", PIECE, keep=("doc_id", "source_lines"))
-    long = long.select(F.col("__item").alias("block_id"), F.col("__k_doc_id").alias("doc_id"), F.char_length("__text").alias("n"), F.explode(F.array_distinct(F.filter("__k_source_lines", lambda x: x.isNotNull()))).alias("line_no"))
-    text = lines.groupBy("doc_id", "line_no").agg(F.max(F.char_length(F.trim("text"))).alias("length"))
-    known = long.join(text, ["doc_id", "line_no"]).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "length"))).alias("ls"), F.max("n").alias("n"))
-    total = F.aggregate("ls", F.lit(0), lambda a, x: a + x["length"])
-    gap = F.when(F.col("n") == total, 0).when(F.col("n") == total + F.size("ls") - 1, 1)
-    known = known.select("block_id", "ls", gap.alias("gap"))
-    out = cut.join(known, "block_id", "left")
-    sure = F.col("gap").isNotNull()
-    covers = pieces.lines_of_piece(F.col("start_char"), F.col("end_char"), F.col("ls.line_no"), F.col("ls.length"), F.col("gap"))
-    return out.select("block_id", "piece_no", "start_char", "end_char", "overlap", "hard_end", "text", F.when(sure, covers).otherwise(nos).alias("source_lines"), sure.alias("lines_exact"))
+    return pieces.split_with_lines(table(spark, d, "blocks"), "block_id", "text", "doc_id", "source_lines", table(spark, d, "indexed_lines"), "doc_id", "line_no", "text", PIECE, OVERLAP)
 
 
 def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:

@@ -64,7 +64,7 @@ _THAI_GAP = regex.compile(r"(?<=[\p{Thai}\p{L}\p{N}])[ \t\n ]+(?=\p{Thai})")
 _THAI_TITLE = regex.compile(r"คุณ\p{Thai}{2,14}$")
 _LABEL = regex.compile(r"^[^\s:：]{1,14}(?: [^\s:：]{1,14})?\s?[:：]")
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Devanagari}\p{Thai}]")
-_WORD_BEFORE = regex.compile(r"[^\s\"“”„«»()\[\]（）「」『』,;:،؛、，；：|/]*$")
+_NO_WORD = frozenset("\"“”„«»()[]（）「」『』,;:،؛、，；：|/")
 _LOWER_WORD = regex.compile(r"\b\p{Ll}{2,}\b")
 _NEXT_WORD = regex.compile(r"\s*([\p{L}\p{N}_+#-]+)")
 #: What makes a line a list item: its marker, with the space after it.
@@ -130,6 +130,14 @@ def _starts_sentence(text: str, at: int) -> bool | None:
     return ch.isalnum() or ord(ch) > 0x2E80
 
 
+def _word_before(text: str, begin: int, end: int) -> str:
+    """The word that ends at `end`, whatever its length."""
+    at = end
+    while at > begin and not (text[at - 1].isspace() or text[at - 1] in _NO_WORD):
+        at -= 1
+    return text[at:end]
+
+
 def _full_stop_ends(text: str, begin: int, dot: int, after: int) -> bool:
     """Is the single full stop at `dot` the end of the sentence that began at `begin`? after: behind its closers."""
     if dot == 0:
@@ -138,7 +146,7 @@ def _full_stop_ends(text: str, begin: int, dot: int, after: int) -> bool:
     nxt = text[after] if after < len(text) else ""
     if prev.isspace() or prev in "([{/":
         return False
-    word = _WORD_BEFORE.search(text, max(begin, dot - 60), dot)[0]
+    word = _word_before(text, begin, dot)
     if nxt and not nxt.isspace() and after == dot + 1:
         # no space behind it: inside a number, name or address, or the space was lost
         if nxt.isdigit() or not (nxt.isupper() or nxt in "\"“«„("):
@@ -207,6 +215,9 @@ def _opens_clause(text: str, begin: int, dot: int) -> bool:
     return at == 0 or words[at - 1][-1] in ",:;" or at <= 4 and words[at][:1].isupper()
 
 
+_SAID = regex.compile(r"\s*[^।?!]{1,40}?(?:कहा|पूछा|बोले|बोला|बोली|लिखा|था|थी|थे)\s*[।?!]")
+
+
 def _quote_ends(text: str, begin: int, q: _Quote, inner: str, after: int) -> bool:
     """A quotation or bracket with an ending mark inside was closed at the bottom of the stack: did the sentence end?"""
     follows = _starts_sentence(text, after)
@@ -227,8 +238,7 @@ def _quote_ends(text: str, begin: int, q: _Quote, inner: str, after: int) -> boo
             return before.endswith(("：", ":", "，", "、")) or not before
         if regex.match(r"\p{Devanagari}", word):
             # a few words up to the mark, with a verb of saying, belong to the quotation
-            tail = regex.match(r"\s*[^।?!]{1,40}?(?:कहा|पूछा|बोले|बोला|बोली|लिखा|था|थी|थे)\s*[।?!]", text[after : after + 60])
-            return tail is None
+            return _SAID.match(text, after) is None
         if word in ARABIC_ON or before and not before.endswith((":", "：", ".")):
             return False
         return True
@@ -251,9 +261,11 @@ def ends_of(text: str) -> list[int]:
     i = 0
     while True:
         if i >= len(events):
-            if stack:  # never closed: read on from its opener without it
+            if stack:
+                # none of these is ever closed: what is matched depends on the top of the stack alone, so without the
+                # lowest the others would be left over again; read on from the lowest without any of them
                 lost = stack[0].at
-                ignored.add(lost)
+                ignored.update(q.at for q in stack)
                 while i and events[i - 1].start() >= lost:
                     i -= 1
                 stack = []
@@ -285,8 +297,6 @@ def ends_of(text: str) -> list[int]:
                 follows = _starts_sentence(text, close)
                 if follows is False and close < n and not text[close].isspace():
                     continue  # inside an address or a name
-                if follows is False and close < n and text[close] == " " and text[close + 1 : close + 2].islower() and close == t and text[s - 1] == " ":
-                    pass
             if not any(c.isalnum() for c in text[begin:stop]):
                 continue
             out.append(close - 1)
@@ -301,7 +311,7 @@ def ends_of(text: str) -> list[int]:
             if inner and inner[-1] in ENDS and pending >= 0:
                 while close < n and text[close] in ")]”»」』）】":
                     close += 1
-                if not (inner[-1] == "." and not q.bracket and False) and _inner_ends(inner) and _quote_ends(text, begin, q, inner, close):
+                if _inner_ends(inner) and _quote_ends(text, begin, q, inner, close):
                     out.append(close - 1)
                     begin = at = close
             pending = -1
@@ -330,13 +340,11 @@ def thai_ends(text: str) -> list[int]:
     """The last letters of sentences of Thai prose, which writes a space where a sentence ends (and elsewhere, too)."""
     out, begin = [], 0
     for m in _THAI_GAP.finditer(text):
-        rest = text[m.end() :]
-        left = text[begin : m.start()]
-        starter = rest.startswith(THAI_STARTS)
-        if not _THAI.match(text[m.start() - 1]) or _THAI_TITLE.search(left):
-            continue  # beside a foreign word or number, or between a given and a family name
-        if not starter or not _thai_sentence(left):
-            continue
+        if not text.startswith(THAI_STARTS, m.end()) or not _THAI.match(text[m.start() - 1]):
+            continue  # no opener, or beside a foreign word or number
+        # a title and a given name of 14 letters take 17 characters
+        if _THAI_TITLE.search(text, max(begin, m.start() - 17), m.start()) or not _thai_sentence(text[begin : m.start()]):
+            continue  # between a given and a family name
         out.append(m.start() - 1)
         begin = m.end()
     tail = text[begin:].rstrip()

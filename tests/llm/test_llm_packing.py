@@ -54,6 +54,16 @@ def test_pack(spark):
     assert B.pack(spark.createDataFrame([], SCHEMA), "id", "n", 10).count() == 0
 
 
+def test_shards_follow_the_parts(spark):
+    """A few items of very many parts spread over shards like many small ones; a single shard is refilled like others."""
+    df = spark.createDataFrame([(i, 50 * 100 + i, None, "") for i in range(20)], SCHEMA)
+    got = B.pack(df, "id", "n", 50, items_per_shard=100).collect()
+    assert sum(r["size"] for r in got) == sum(5000 + i for i in range(20)) and all(r["size"] <= 50 for r in got)
+    assert len({r["container"].split("-")[1] for r in got if r["container"].startswith("0-")}) > 15
+    one = B.pack(spark.createDataFrame([(i, 40, None, "") for i in range(4)], SCHEMA), "id", "n", 100).collect()
+    assert {r["container"].split("-")[0] for r in one} == {"1"} and len({r["container"] for r in one}) == 2
+
+
 def test_token_count(spark):
     df = spark.createDataFrame([("Hello world",), ("",), (None,), ("<|endoftext|>",), ("日本語" * 5000,)], "t string")
     got = [r[0] for r in df.select(B.token_count("t")).collect()]
@@ -67,6 +77,9 @@ def test_poisson_draws():
             t = M.thresholds(rate, cap)
             assert sum(1 - x for x in t) == pytest.approx(mean, abs=1e-6) and t == sorted(t)
     assert M.thresholds(M.rate_for(3, 3), 3) == [0.0] * 3
+    for mean, cap in ((650.0, 2000), (800.0, 2000), (1990.0, 2000), (3000.0, 5000)):
+        t = M.thresholds(M.rate_for(mean, cap), cap)
+        assert sum(1 - x for x in t) == pytest.approx(mean, rel=1e-6)
 
 
 def test_rates_keep_the_total_and_the_caps():

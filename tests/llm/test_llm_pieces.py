@@ -57,7 +57,39 @@ def test_operator(spark):
         P.split_oversized(df, "id", "text", 10, 6)
 
 
-def test_lines_of_a_piece(spark):
-    df = spark.createDataFrame([([3, 4, 7], [5, 2, 4], 1, 6, 8), ([3, 4, 7], [5, 2, 4], 1, 1, 5), ([3, 4], [5, 2], 0, 6, 6)], "no array<int>, n array<int>, gap int, a int, b int")
-    got = [r[0] for r in df.select(P.lines_of_piece(F.col("a"), F.col("b"), F.col("no"), F.col("n"), F.col("gap"))).collect()]
-    assert got == [[4], [3], [4]]
+def test_lines_of_a_piece():
+    cut = [(0, 8, 0, False), (5, 12, 3, False), (12, 13, 0, False)]
+    assert [p["lines"] for p in P.covered("x" * 13, cut, [3, 4, 7], [5, 2, 4])] == [[3, 4], [4, 7], [7]]
+    assert [p["lines"] for p in P.covered("x" * 11, [(0, 5, 0, False), (5, 11, 0, False)], [3, 4, 7], [5, 2, 4])] == [[3], [4, 7]]
+    assert [p["lines"] for p in P.covered("x" * 20, [(0, 20, 0, False)], [3, 4], [5, 2])] == [None]
+    assert [p["lines"] for p in P.covered("x" * 20, [(0, 20, 0, False)], None, None)] == [None]
+
+
+def test_pieces_with_their_lines(spark):
+    lines = ["a" * 30 + " end.", "b " * 300 + "b", " c " * 5]
+    text = " ".join(x.strip() for x in lines)
+    blocks = [(1, "d", text, [3, 1, 2, 2, None]), (2, "d", "y " * 400, [1, 9]), (3, None, "z " * 400, None), (4, "d", "short", [1])]
+    df = spark.createDataFrame(blocks, "id long, doc string, text string, src array<int>")
+    known = spark.createDataFrame([("d", i + 1, t) for i, t in enumerate(lines)] + [("d", 1, lines[0]), ("d", 2, None), (None, 3, "x")], "doc string, no int, text string")
+    got = {}
+    for r in P.split_with_lines(df, "id", "text", "doc", "src", known, "doc", "no", "text", 200, 20).orderBy("id", "piece_no").collect():
+        got.setdefault(r["id"], []).append(r)
+    assert set(got) == {1, 2, 3}
+    assert "".join(r["text"][r["overlap"] :] for r in got[1]) == text and all(r["lines_exact"] for r in got[1])
+    for r in got[1]:
+        at, want = 0, []
+        for i, t in enumerate(lines):
+            if at < r["end_char"] and at + len(t.strip()) >= r["start_char"]:
+                want.append(i + 1)
+            at += len(t.strip()) + 1
+        assert r["source_lines"] == want
+    assert all(r["source_lines"] == [1, 9] and not r["lines_exact"] for r in got[2]) and all(r["source_lines"] is None for r in got[3])
+
+
+def test_a_boundary_is_as_strong_however_long_its_gap():
+    assert [s for *_, s in P.segments("End." + " " * 40 + "next word", 600)] == [4.0, 1.0, 1.0]
+
+
+def test_a_very_long_text_is_cut_in_a_moment(spark):
+    df = spark.createDataFrame([(1, "some words, in a row. " * 200_000, "p", "q")], SCHEMA)
+    assert P.split_oversized(df, "id", "text").agg(F.count("*"), F.max(F.char_length("text"))).first()[1] <= 600

@@ -72,3 +72,15 @@ def test_the_trie_finds_whole_abbreviations_only():
     assert S.abbreviation_before("see Dr.", 6) == "dr"
     assert S.abbreviation_before("the hydr.", 8) is None
     assert S.abbreviation_before("a Ph.D.", 6) == "ph.d"
+
+
+def test_openers_that_are_never_closed():
+    assert cut("(We go now. He said “yes to it. They left. It ends.") == (["(We go now.", "He said “yes to it.", "They left.", "It ends."], "")
+    assert len(S.ends_of("We go (or “they stay. " * 20_000)) == 20_000  # in one second pass, not one for each
+
+
+def test_words_of_any_length():
+    for n in (10, 59, 60, 61, 5000):
+        word = "x" * n
+        assert cut(f"Read {word}@mail.Now or never. It ends.")[0][-1] == "It ends."
+        assert cut(f"We read the {word}. Then it ends.") == ([f"We read the {word}.", "Then it ends."], "")
