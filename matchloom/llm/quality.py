@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,7 @@ _MOJIBAKE = re.compile(r"[ÃÂâ][\x80-\xbf€™œžŸ¢£¤¥¦§¨©ª«¬®
 _SENTENCE_END = re.compile(r"[.!?。！？।؟…][\"'”’»)\]」』]*$")
 _NUMBER = re.compile(r"\d[\d.,:/-]*$")
 _STRING = re.compile(r"\s*[,;|/、，；／·]\s+|\s*[;、；]\s*")
+_SEPARATOR = re.compile(r"[,;|/、，；／·]")
 _ALNUM = re.compile(r"[^\W_]")
 _ODD = re.compile(r"[\x80-\xbfÃÂâ€™œžŸ�]")
 _GAPS = re.compile(r" {2,}")
@@ -96,6 +98,10 @@ _SCATTER = "!\"#$%&'()*+,./:;<=>?@[\\]^_`{|}~"
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 
 
+#: Classes of the characters met so far (as many as Unicode has at most), 8 for blanks.
+_KNOWN_CLASSES = dict(_LETTER_CLASSES)
+
+
 def class_counts(text: str) -> list[int]:
     """Characters of each of CLASSES; blanks don't count."""
     out = [0] * 8
@@ -107,11 +113,11 @@ def class_counts(text: str) -> list[int]:
         out[1] -= out[2]
         return out
     for ch, n in Counter(text).items():
-        kind = _LETTER_CLASSES.get(ch)
-        if kind is not None:
+        kind = _KNOWN_CLASSES.get(ch)
+        if kind is None:
+            kind = _KNOWN_CLASSES[ch] = 8 if ch.isspace() else _other_class(ch)
+        if kind < 8:
             out[kind] += n
-        elif not ch.isspace():
-            out[_other_class(ch)] += n
     # the third and later of a run of consonants
     out[2] = sum(len(m[0]) - 2 for m in _CLUSTER.finditer(text))
     out[1] -= out[2]
@@ -154,43 +160,40 @@ def function_share(text: str) -> tuple[float, int]:
     if text.isascii():
         # words between blanks: letters among marks are none
         words = [w.strip(".,;:!?()\"'") for w in text.casefold().split()]
-        return sum(w in _FUNCTION for w in words) / max(1, len(words)), len(words)
+        return sum(map(_FUNCTION.__contains__, words)) / max(1, len(words)), len(words)
     words = _WORD.findall(text.casefold())
     caseless = len(_CASELESS.findall(text)) if _OTHER_SCRIPT.search(text) else 0
-    hits = sum(w in _FUNCTION for w in words)
+    hits = sum(map(_FUNCTION.__contains__, words))
     if caseless * 4 > len(text):
         return min(1.0, len(_CASELESS_FUNCTION.findall(text)) * 1.5 / caseless), max(1, caseless // 3)
     return hits / max(1, len(words)), len(words)
 
 
-#: The shares of PROFILES: those of function words and of other words, then of CLASSES in the order in which they tell most
-#: profiles apart.
-_ORDER = (3, 2, 4, 7, 0, 1, 6, 5)
-_SHARES = tuple((name, (q[3], f, 1 - f, *(q[k] for k in _ORDER[1:]))) for name, (q, f) in PROFILES.items())
+def _entropy_terms(shares: np.ndarray) -> np.ndarray:
+    """x log2 x of each share, 0 for 0."""
+    return shares * np.log2(np.maximum(shares, 1e-300))
+
+
+#: PROFILES as rows of shares of CLASSES, then of function words and of other words.
+_NAMES = tuple(PROFILES)
+_SHARES = np.array([(*q, f, 1 - f) for q, f in PROFILES.values()])
+_SHARES[:, :8] /= _SHARES[:, :8].sum(axis=1, keepdims=True)
+_TERMS = _entropy_terms(_SHARES).sum(axis=1) / 2
 
 
 def nearest_profile(text: str, share: float | None = None) -> tuple[str, float]:
-    """The nearest of PROFILES and the sum of both divergences: of character classes and of function words."""
+    """The nearest of PROFILES and the sum of both Jensen-Shannon divergences: of character classes and of function words.
+
+    Each divergence is the entropy of the mean of both distributions less the mean of their entropies."""
     counts = class_counts(text.casefold())
-    total = sum(counts) or 1
     if share is None:
         share, _ = function_share(text)
-    p = (counts[3] / total, share, 1 - share, *(counts[k] / total for k in _ORDER[1:]))
-    name, best, log2 = "junk_marks", 9.0, math.log2
-    for other, shares in _SHARES:
-        d = 0.0
-        for a, b in zip(p, shares, strict=True):
-            m = a + b
-            if a > 0:
-                d += a * log2(2 * a / m) / 2
-            if b > 0:
-                d += b * log2(2 * b / m) / 2
-            # no part is negative: a profile is left as soon as it is farther than the best
-            if d >= best:
-                break
-        else:
-            name, best = other, d
-    return name, max(best, 0.0)
+    p = np.array([*counts, 0.0, 0.0])
+    p[:8] /= max(1.0, p[:8].sum())
+    p[8], p[9] = share, 1 - share
+    d = _TERMS + _entropy_terms(p).sum() / 2 - _entropy_terms((_SHARES + p) / 2).sum(axis=1)
+    k = int(d.argmin())
+    return _NAMES[k], max(float(d[k]), 0.0)
 
 
 def _blank_free(text: str) -> int:
@@ -225,6 +228,8 @@ def _is_table(rows: list[tuple[str, list[str]]]) -> bool:
 
 def _is_string(line: str) -> bool:
     """Is the line a string of short items?"""
+    if not _SEPARATOR.search(line):
+        return False
     items = [x for x in _STRING.split(line) if x]
     if len(items) < 2 or _SENTENCE_END.search(line) and not line.endswith((".js", ".NET")):
         return False
