@@ -116,7 +116,7 @@ COMPONENTS: dict[str, tuple[str, ...]] = {
     "education": ("education", "certifications"),
 }
 CONTENT_EXCLUDES = ("skills", "experience", "education", "contact")
-#: Similarity below which a pair without a common term counts as noise, by the query block's section.
+#: Similarity below which a pair without a common term counts as noise, by the query block's section.
 GATES = {"skills": 0.70, "requirements": 0.70, "experience": 0.52, "responsibilities": 0.52, "education": 0.55}
 GATE_ELSE = 0.48
 

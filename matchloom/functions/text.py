@@ -18,11 +18,12 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 #: Marks of list items.
 BULLET_MARKS = "•●○◦▪▸►➤➢★✦✧→⮞⬥"
 BULLET = rf"^\s*(?:[{BULLET_MARKS}\-*]|\d+[.)]\s|[a-zA-Z][.)]\s|[ivxIVX]+[.)]\s)\s*"
+#: Patterns of page marks, mail and web addresses.
 ARTIFACTS = (r"^[0-9]{1,4}$", r"(?i)^page\s+[0-9]+\s*(?:of\s+[0-9]+)?$", r"^-\s*[0-9]+\s*-$", r"^[0-9]+\s*/\s*[0-9]+$", r"^\[\s*[0-9]+\s*\]$")
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 URL = r"https?://[^\s]+"
 S, E, W, CUT = "__S__", "__E__", "__W__", "\x1e"
-#: (pattern, replacement in Java's notation) that keep full stops from ending sentences, in order.
+#: Fixed values: (pattern, replacement in Java's notation) that keep full stops from ending sentences, in order.
 PROTECT: tuple[tuple[str, str], ...] = (
     (f"({URL})", f"{S}$1{E}"),
     (f"({EMAIL})", f"{S}$1{E}"),
@@ -228,13 +229,14 @@ def first_int(c: Column, pattern: str) -> Column:
     return F.regexp_extract(c, pattern, 1).try_cast("int")
 
 
+#: The patterns of required_years and candidate_years.
 def required_years(c: Column) -> Column:
-    return F.coalesce(first_int(c, r"(?i)([0-9]{1,4})\+?\s*years?"), F.lit(0))
+    return F.coalesce(first_int(c, r"(?i)([0-9]+)\+?\s*years?"), F.lit(0))
 
 
 def candidate_years(c: Column, reference_year: int = 2026) -> Column:
     """Years of experience that a text states, else the span of the years in it, at least 1."""
-    stated = first_int(c, r"(?i)([0-9]{1,4})\+?\s*years?\s*(?:of\s*)?experience")
+    stated = first_int(c, r"(?i)([0-9]+)\+?\s*years?\s*(?:of\s*)?experience")
     spaced = F.concat(F.lit("  "), F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "  "), F.lit("  "))
     years = F.transform(F.regexp_extract_all(spaced, F.lit(" ((?:20|19)[0-9]{2}) "), 1), lambda y: y.cast("int"))
     upper = F.when(F.lower(c).rlike("present|current"), F.lit(reference_year)).otherwise(F.array_max(years))

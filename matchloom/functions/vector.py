@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,23 +24,3 @@ def cosine(a: Column, b: Column) -> Column:
     """null if either vector is zero."""
     n = norm(a) * norm(b)
     return F.when(n > 0, dot(a, b) / n)
-
-
-def hashed_embedding(terms: Column, dim: int = 256) -> Column:
-    """A deterministic lexical embedding: terms hashed to signed places, counted, at length 1."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
-        for ts in batches:
-            out = []
-            for words in ts:
-                v = np.zeros(dim, dtype=np.float32)
-                for w in words if words is not None else ():
-                    h = xxhash.xxh64_intdigest(w)
-                    v[h % dim] += 1.0 if h >> 63 else -1.0
-                n = np.linalg.norm(v)
-                out.append(v / n if n else v)
-            yield pd.Series(out)
-
-    return F.pandas_udf(run, "array<float>")(terms)

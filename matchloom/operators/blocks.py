@@ -18,6 +18,7 @@ from matchloom.config import Config
 from matchloom.functions import text as X
 from matchloom.operators import sections
 
+#: Where an oversized sentence is cut, in this order.
 _DELIMITERS = (re.compile(r";\s*"), re.compile(r",\s+(?=(?:and|or|but|which|where|while)\b)"), re.compile(r",\s+"))
 
 
@@ -86,11 +87,12 @@ def merge_short(blocks: list[tuple[list[tuple[str, tuple[int, ...]]], bool]], br
     return out
 
 
-def infer(given: list[str], hits: list[list[int]], positions: list[float], min_confidence: float) -> list[tuple[str, str | None, float | None, bool, bool]]:
-    """(section, inferred, confidence, review, reclassified) of each block in order. An inference sees the sections that
-    earlier ones have set, and those of the next three blocks as they came in."""
+def infer(given: list[str], hits: list[list[int]], positions: list[float], min_confidence: float) -> list[tuple[str, str | None, float | None, bool, bool, str | None, list[str] | None]]:
+    """(section, inferred, confidence, review, reclassified, reasoning, evidence) of each block in order. An inference
+    sees the sections that earlier ones have set, and those of the next three blocks as they came in. Reasoning and the
+    list of evidence are those of an inference."""
     now = list(given)
-    out: list[tuple[str, str | None, float | None, bool, bool]] = []
+    out: list[tuple[str, str | None, float | None, bool, bool, str | None, list[str] | None]] = []
     ranges = {s: (lo, hi) for s, lo, hi in dims.POSITION_PRIORS}
     for i, section in enumerate(given):
         kinds = [dims.SIGNALS[h][0] for h in hits[i]]
@@ -98,31 +100,36 @@ def infer(given: list[str], hits: list[list[int]], positions: list[float], min_c
             strong = next((k for k in kinds if k in ("experience", "education", "skills")), None)
             if strong:
                 now[i] = strong
-                out.append((strong, None, None, False, True))
+                out.append((strong, None, None, False, True, None, None))
                 continue
         if section not in ("unknown", "other"):
-            out.append((section, None, None, False, False))
+            out.append((section, None, None, False, False, None, None))
             continue
         votes: dict[str, float] = {}
-        back = next(((now[i - k], 0.4 - (k - 1) * 0.1) for k in range(1, min(3, i) + 1) if now[i - k] != "unknown"), None)
-        ahead = next(((now[i + k], max(0.3 - (k - 1) * 0.1, 0.1)) for k in range(1, min(3, len(now) - i - 1) + 1) if now[i + k] != "unknown"), None)
+        why: list[str] = []
+        back = next(((now[i - k], 0.4 - (k - 1) * 0.1, f"Previous block ({k} back) is in section '{now[i - k]}'") for k in range(1, min(3, i) + 1) if now[i - k] != "unknown"), None)
+        ahead = next(((now[i + k], max(0.3 - (k - 1) * 0.1, 0.1), f"Next block ({k} forward) is in section '{now[i + k]}'") for k in range(1, min(3, len(now) - i - 1) + 1) if now[i + k] != "unknown"), None)
         if near := back or ahead:
             votes[near[0]] = near[1]
-        for k in kinds:
+            why.append(near[2])
+        for h, k in zip(hits[i], kinds, strict=True):
             votes[k] = votes.get(k, 0) + 0.3
+            why.append(dims.SIGNALS[h][1])
         for s, (lo, hi) in ranges.items():
             if s in votes and lo <= positions[i] <= hi:
                 votes[s] += 0.1
+                why.append(f"Document position ({positions[i]:.2f}) is within the range of {s} ({lo:.2f} to {hi:.2f})")
         best = max(votes, key=lambda s: votes[s], default="unknown")  # the first of equals
         confidence = min(votes.get(best, 0.0), 1.0)
         if confidence >= min_confidence:
             now[i] = best
-        out.append((now[i], best, confidence, confidence < min_confidence, False))
+        text = "\n".join([f"Inferred as {best} (confidence: {confidence:.2f})", *(f"  - {w}" for w in why)]) if votes else "No signals matched for section inference"
+        out.append((now[i], best, confidence, confidence < min_confidence, False, text, why))
     return out
 
 
 _PACKED = "block_no int, text string, source_lines array<int>, topic_boundary boolean, sentences array<struct<text:string,source_lines:array<int>>>"
-_INFERRED = "array<struct<section:string,inferred_section:string,confidence:double,review_flag:boolean,reclassified_from_other:boolean>>"
+_INFERRED = "array<struct<section:string,inferred_section:string,confidence:double,review_flag:boolean,reclassified_from_other:boolean,reasoning:string,evidence:array<string>>>"
 
 
 def pack_blocks(sents: DataFrame, headings: DataFrame, cfg: Config, doc: str = "doc_id") -> DataFrame:
@@ -154,15 +161,16 @@ def infer_sections(blocks: DataFrame, cfg: Config, doc: str = "doc_id") -> DataF
     blocks are gathered in one shuffle; only sections, signal numbers and positions leave the JVM."""
     hits = sections.signal_hits(F.col("text"))
     rows = blocks.withColumn("hits", hits).withColumn("secondary_section", sections.secondary_section(F.col("section"), F.col("hits")))
-    carried = [c for c in rows.columns if c not in (doc, "block_no")]
-    docs = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("block_no", *carried))).alias("rows"))
+    # only what the fold reads is gathered; the rest is joined back by document and number
+    docs = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("block_no", "section", "hits", "position"))).alias("rows"))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        names = ("section", "inferred_section", "confidence", "review_flag", "reclassified_from_other")
+        names = ("section", "inferred_section", "confidence", "review_flag", "reclassified_from_other", "reasoning", "evidence")
         for given, found, places in batches:
             out = [infer(list(g), [list(h) for h in hs], list(p), cfg.detection.min_confidence) for g, hs, p in zip(given, found, places, strict=True)]
             yield pd.Series([[dict(zip(names, x, strict=True)) for x in r] for r in out], dtype=object)
 
     inferred = F.pandas_udf(run, _INFERRED)(F.col("rows.section"), F.col("rows.hits"), F.col("rows.position"))
-    each = docs.withColumn("inferred", inferred).select(doc, F.explode(F.arrays_zip("rows", "inferred")).alias("x"))
-    return each.select(doc, "x.rows.block_no", *[F.col(f"x.rows.{c}") for c in carried if c not in ("section", "hits")], "x.inferred.*")
+    each = docs.withColumn("inferred", inferred).select(doc, F.explode(F.arrays_zip(F.col("rows.block_no").alias("block_no"), "inferred")).alias("x"))
+    each = each.select(doc, "x.block_no", "x.inferred.*")
+    return rows.drop("section", "hits").join(each, [doc, "block_no"])

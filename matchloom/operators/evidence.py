@@ -33,24 +33,23 @@ def strength(score: Column, t: Thresholds = Thresholds()) -> Column:
     return F.when(score >= t.strong, "strong").when(score >= t.moderate, "moderate").when(score >= t.floor, "weak").otherwise("none")
 
 
+def explanation() -> Column:
+    """Why a row of evidence counts as it does, from its strength, score and sections."""
+    same = F.when(F.col("jd_section") == F.col("resume_section"), "same section").otherwise("cross-section")
+    return F.format_string("Match strength: %s (similarity: %.3f) | JD section: %s | Resume section: %s | %s", "strength", "score", "jd_section", "resume_section", same)
+
+
 def retrieve_pairs(jd_blocks: DataFrame, resume_blocks: DataFrame, cfg: Config, dim: int) -> DataFrame:
     """jd_id, jd_block_no, resume_id, resume_block_no, dense: for each query block the top_k blocks of every candidate,
     at the threshold or above. Blocks of contact data and of query sections without requirements are left out first."""
     wanted = ~jd_blocks["section"].isin("about", "contact") | X.is_mandatory(jd_blocks["text"]) | X.has_requirement_words(jd_blocks["text"])
-    jd = jd_blocks.filter(wanted).select(F.col("doc_id").alias("jd_id"), F.col("block_no").alias("jd_block_no"), F.col("vec").alias("qv"))
-    res = resume_blocks.filter("section <> 'contact'").select(F.col("doc_id").alias("resume_id"), F.col("block_no").alias("resume_block_no"), F.col("vec").alias("v"))
-    qn = jd.withColumn("qid", F.xxhash64("jd_id", "jd_block_no"))
-    rn = res.withColumn("id", F.xxhash64(F.lit(1), "resume_id", "resume_block_no"))
-    many = 1 << 30  # all at or above the threshold: k holds per candidate, in the window below
-    hits = retrieve.vector_topk(qn.select("qid", F.col("qv").alias("v")).withColumnRenamed("qid", "id"), rn.select("id", "v"), "id", "v", dim, many, cfg.retrieval.similarity_threshold)
-    out = hits.join(qn.drop("qv"), F.col("query") == F.col("qid")).join(rn.drop("v"), F.col("item") == F.col("id"))
-    w = Window.partitionBy("jd_id", "jd_block_no", "resume_id").orderBy(F.desc("score"), "resume_block_no")
-    kept = out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cfg.retrieval.top_k)
-    return kept.select("jd_id", "jd_block_no", "resume_id", "resume_block_no", F.col("score").alias("dense"))
+    r = cfg.retrieval
+    return retrieve.candidates_topk(jd_blocks.filter(wanted), resume_blocks.filter("section <> 'contact'"), "doc_id", "block_no", "vec", dim, r.top_k, r.similarity_threshold).withColumnRenamed("score", "dense")
 
 
 def grade(pairs: DataFrame, jd_blocks: DataFrame, resume_blocks: DataFrame, cfg: Config) -> DataFrame:
-    """Retrieved pairs with boost, grounding, calibration, strength and explanation."""
+    """Retrieved pairs with boost, grounding, calibration, strength, explanation, and rank: a block's place among its
+    candidate's by boosted similarity, which the boost may have changed."""
     j = jd_blocks.select(F.col("doc_id").alias("jd_id"), F.col("block_no").alias("jd_block_no"), F.col("section").alias("jd_section"), F.col("text").alias("jd_text"), F.col("source_lines").alias("jd_lines"))
     r = resume_blocks.select(F.col("doc_id").alias("resume_id"), F.col("block_no").alias("resume_block_no"), F.col("section").alias("resume_section"), F.col("text").alias("resume_text"), F.col("source_lines").alias("resume_lines"))
     both = pairs.join(j, ["jd_id", "jd_block_no"]).join(r, ["resume_id", "resume_block_no"])
@@ -58,8 +57,9 @@ def grade(pairs: DataFrame, jd_blocks: DataFrame, resume_blocks: DataFrame, cfg:
     overlap = F.arrays_overlap(X.terms(F.col("jd_text")), X.terms(F.col("resume_text")))
     out = both.withColumn("boosted", dense).withColumn("exact", calibrated(F.col("boosted"), grounded(F.col("boosted"), F.col("jd_section"), overlap), cfg.retrieval, cfg.thresholds))
     out = out.withColumn("strength", strength(F.col("exact"), cfg.thresholds)).withColumn("score", F.round("exact", 4))
-    why = F.format_string("Match strength: %s (similarity: %.3f) | JD section: %s | Resume section: %s | %s", "strength", "score", "jd_section", "resume_section", F.when(F.col("jd_section") == F.col("resume_section"), "same section").otherwise("cross-section"))
-    return out.withColumn("uncertain", F.col("strength") == "weak").withColumn("explanation", why).drop("exact")
+    why = explanation()
+    w = Window.partitionBy("jd_id", "jd_block_no", "resume_id").orderBy(F.desc(F.round("boosted", 12)), F.desc(F.round("dense", 12)), "resume_block_no")
+    return out.withColumn("uncertain", F.col("strength") == "weak").withColumn("explanation", why).withColumn("rank", F.row_number().over(w)).drop("exact")
 
 
 def with_unmatched(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -70,27 +70,53 @@ def with_unmatched(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame) ->
 
 
 def best_per_block(evidence: DataFrame) -> DataFrame:
-    """jd_id, resume_id, jd_block, jd_section, best: the greatest score of each query block."""
-    return evidence.filter("strength <> 'none'").groupBy("jd_id", "resume_id", "jd_block", "jd_section").agg(F.max("score").alias("best"))
+    """jd_id, resume_id, jd_block, jd_section, best, pieces: the greatest score of each query block, and how many it has."""
+    return evidence.filter("strength <> 'none'").groupBy("jd_id", "resume_id", "jd_block", "jd_section").agg(F.max("score").alias("best"), F.count("*").alias("pieces"))
 
 
-def mandatory(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, met: float = 0.40) -> DataFrame:
-    """jd_id, resume_id, jd_block, best_score, best_block, is_met for every mandatory block of each pair."""
-    must = blocks.filter(X.is_mandatory(F.col("text"))).select("jd_id", "jd_block")
+def mandatory(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, met: float = 0.40, texts: DataFrame | None = None) -> DataFrame:
+    """jd_id, resume_id, jd_block, requirement_text, best_score, best_block, best_match_text, is_met, explanation for every
+    mandatory block of each pair; texts of up to 200 characters. texts(resume_id, resume_block, text) gives the matched
+    texts, without it they are null."""
+    must = blocks.filter(X.is_mandatory(F.col("text"))).select("jd_id", "jd_block", F.left("text", F.lit(200)).alias("requirement_text"))
     every = pairs.join(must, "jd_id")
     best = evidence.filter("strength <> 'none'").groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("best_score"), F.min_by("resume_block", F.struct(-F.col("score"), "resume_block")).alias("best_block"))
+    # only blocks that are mandatory fetch their matched texts
+    best = best.join(must.select("jd_id", "jd_block"), ["jd_id", "jd_block"], "left_semi")
+    if texts is None:
+        best = best.withColumn("best_match_text", F.lit(None).cast("string"))
+    else:
+        best = best.join(texts.select("resume_id", F.col("resume_block").alias("best_block"), F.left("text", F.lit(200)).alias("best_match_text")), ["resume_id", "best_block"], "left")
     out = every.join(best, ["jd_id", "resume_id", "jd_block"], "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0)))
-    return out.withColumn("is_met", F.col("best_score") >= met)
+    is_met = F.col("best_score") >= met
+    why = F.format_string("%s: best match score %.3f (threshold: %.2f)", F.when(is_met, "Met").otherwise("NOT met"), "best_score", F.lit(met))
+    return out.withColumn("is_met", is_met).withColumn("explanation", F.when(F.col("best_block").isNull(), "No matching evidence found in resume").otherwise(why))
+
+
+def mandatory_counts(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, met: float = 0.40) -> DataFrame:
+    """jd_id, resume_id, required, met: how many mandatory blocks a pair has and how many are met. Counted once for each
+    query document and once over the evidence, so no pair is multiplied by its blocks."""
+    must = blocks.filter(X.is_mandatory(F.col("text"))).select("jd_id", "jd_block")
+    required = must.groupBy("jd_id").agg(F.count("*").alias("required"))
+    got = best_per_block(evidence).filter(F.col("best") >= met).join(must, ["jd_id", "jd_block"], "left_semi").groupBy("jd_id", "resume_id").agg(F.count("*").alias("met"))
+    out = pairs.join(required, "jd_id", "left").join(got, ["jd_id", "resume_id"], "left")
+    return out.select("jd_id", "resume_id", F.coalesce("required", F.lit(0)).alias("required"), F.coalesce("met", F.lit(0)).alias("met"))
 
 
 def missing(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, sections: tuple[str, ...], limit: int = 5) -> DataFrame:
-    """jd_id, resume_id, missing: the first `limit` query blocks of these sections without evidence, cut to 100 characters."""
-    wanted = pairs.join(blocks.filter(F.col("section").isin(*sections)).select("jd_id", "jd_block", "block_no", "text"), "jd_id")
-    none = wanted.join(evidence.filter("strength <> 'none'").select("jd_id", "resume_id", "jd_block").distinct(), ["jd_id", "resume_id", "jd_block"], "left_anti")
-    w = Window.partitionBy("jd_id", "resume_id").orderBy("block_no")
-    first = none.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit)
-    listed = first.groupBy("jd_id", "resume_id").agg(F.array_sort(F.collect_list(F.struct("r", F.left("text", F.lit(100)).alias("t")))).alias("l"))
-    return listed.select("jd_id", "resume_id", F.col("l.t").alias("missing"))
+    """jd_id, resume_id, missing: the first `limit` query blocks of these sections without evidence, cut to 100
+    characters; only pairs that lack any.
+
+    A query document's blocks are one ordered list, a pair's matched blocks one set; what is missing is the list without
+    the set, so no pair is multiplied by its blocks. Both are bounded by the document's blocks.
+    """
+    entry = F.struct("block_no", "jd_block", F.left("text", F.lit(100)).alias("text"))
+    wanted = blocks.filter(F.col("section").isin(*sections)).groupBy("jd_id").agg(F.array_sort(F.collect_list(entry)).alias("__wanted"))
+    matched = evidence.filter(F.col("jd_section").isin(*sections) & (F.col("strength") != "none")).groupBy("jd_id", "resume_id").agg(F.collect_set("jd_block").alias("__matched"))
+    both = pairs.join(matched, ["jd_id", "resume_id"], "left").join(wanted, "jd_id")
+    lacks = F.filter("__wanted", lambda x: ~F.coalesce(F.array_contains("__matched", x["jd_block"]), F.lit(False)))
+    out = both.select("jd_id", "resume_id", F.transform(F.slice(lacks, 1, limit), lambda x: x["text"]).alias("missing"))
+    return out.filter(F.size("missing") > 0)
 
 
 def requirement_blocks(blocks: DataFrame) -> DataFrame:
@@ -121,26 +147,92 @@ def status(sim: Column, t: Thresholds = Thresholds()) -> Column:
     return F.when(sim >= t.found, "found").when(sim >= t.partial, "partial").otherwise("not_found")
 
 
-def comparison(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """jd_id, resume_id, jd_block, category, similarity, confidence, status, best_block of every requirement of each pair."""
-    req = requirement_blocks(blocks).select("jd_id", "jd_block", "section", X.is_mandatory(F.col("text")).alias("is_mandatory"))
+def best_usable(evidence: DataFrame) -> DataFrame:
+    """jd_id, resume_id, jd_block, similarity, best_block, best_strength, best_section: each query block's best evidence
+    outside contact data."""
     usable = evidence.filter("strength <> 'none' and resume_section <> 'contact'")
-    best = usable.groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("similarity"), F.min_by("resume_block", F.struct(-F.col("score"), "resume_block")).alias("best_block"))
+    first = F.min_by(F.struct("resume_block", "strength", "resume_section"), F.struct(-F.col("score"), "resume_block")).alias("b")
+    best = usable.groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("similarity"), first)
+    return best.select("jd_id", "resume_id", "jd_block", "similarity", F.col("b.resume_block").alias("best_block"), F.col("b.strength").alias("best_strength"), F.col("b.resume_section").alias("best_section"))
+
+
+def comparison(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds(), texts: DataFrame | None = None, pinned: DataFrame | None = None) -> DataFrame:
+    """Every requirement of each pair, in the document's order: jd_id, resume_id, jd_block, parameter_id, category,
+    is_mandatory, requirement_text, source_jd_lines, similarity, confidence, status, best_block, matched_text,
+    matched_lines, match_strength, jd_section, resume_section, explanation.
+
+    texts(resume_id, resume_block, text, source_lines) gives the matched texts. pinned (jd_id, resume_id, jd_block,
+    sentence, lines, similarity) is the sentence found within the best block, with its calibrated similarity: the greater
+    of both similarities counts, the sentence is the matched text, the strength stays that of the block. A requirement
+    that isn't found has no match, strength none and section unknown. blocks may have source_lines.
+    """
+    rows = blocks if "source_lines" in blocks.columns else blocks.withColumn("source_lines", F.lit(None).cast("array<int>"))
+    w = Window.partitionBy("jd_id").orderBy("block_no", "jd_block")
+    req = requirement_blocks(rows).withColumn("parameter_id", F.format_string("param_%03d", F.row_number().over(w)))
+    req = req.select("jd_id", "jd_block", F.col("section").alias("jd_section"), "parameter_id", X.is_mandatory(F.col("text")).alias("is_mandatory"), F.col("text").alias("requirement_text"), F.col("source_lines").alias("source_jd_lines"))
+    best = best_usable(evidence)
+    none = {"matched_text": "string", "matched_lines": "array<int>"}
+    if texts is not None:
+        best = best.join(texts.select("resume_id", F.col("resume_block").alias("best_block"), F.col("text").alias("matched_text"), F.col("source_lines").alias("matched_lines")), ["resume_id", "best_block"], "left")
+    else:
+        best = best.select("*", *(F.lit(None).cast(k).alias(n) for n, k in none.items()))
+    best = best.withColumn("why", F.format_string("Match strength: %s (similarity: %.3f)", "best_strength", "similarity"))
+    if pinned is not None:
+        p = pinned.select("jd_id", "resume_id", "jd_block", "sentence", "lines", F.col("similarity").alias("__s"))
+        best = best.join(p, ["jd_id", "resume_id", "jd_block"], "left")
+        best = best.withColumn("similarity", F.greatest("similarity", F.coalesce("__s", F.lit(0.0)))).withColumn("matched_lines", F.when(F.col("sentence").isNotNull(), F.col("lines")).otherwise(F.col("matched_lines"))).withColumn("matched_text", F.coalesce("sentence", "matched_text")).drop("sentence", "lines", "__s")
     out = pairs.join(req, "jd_id").join(best, ["jd_id", "resume_id", "jd_block"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    st = status(F.col("similarity"), t)
+    out = out.withColumn("confidence", F.round(F.least(F.col("similarity") * 100, F.lit(100.0)), 1)).withColumn("status", status(F.col("similarity"), t))
+    hit = F.col("status") != "not_found"
+    described = F.when(F.col("status") == "found", "Found in resume with strong evidence").otherwise("Partially found in resume")
+    why = (
+        F.when(hit, F.format_string("%s (score: %.1f%%). %s", described, "confidence", "why"))
+        .when(F.col("best_block").isNotNull(), F.format_string("Requirement not met in resume (score %.1f%% below threshold).", "confidence"))
+        .otherwise(F.concat(F.lit("No matching evidence found in resume for requirement: "), F.left("requirement_text", F.lit(100))))
+    )
     return out.select(
-        "jd_id", "resume_id", "jd_block", category(F.col("section"), F.col("is_mandatory")).alias("category"), "is_mandatory", "similarity",
-        F.round(F.least(F.col("similarity") * 100, F.lit(100.0)), 1).alias("confidence"), st.alias("status"), F.when(st != "not_found", F.col("best_block")).alias("best_block"),
+        "jd_id", "resume_id", "jd_block", "parameter_id", category(F.col("jd_section"), F.col("is_mandatory")).alias("category"), "is_mandatory", "requirement_text", "source_jd_lines", "similarity", "confidence", "status",
+        *(F.when(hit, F.col(c)).alias(c) for c in ("best_block", "matched_text", "matched_lines")), F.when(hit, F.col("best_strength")).otherwise("none").alias("match_strength"), "jd_section",
+        F.when(hit, F.col("best_section")).otherwise("unknown").alias("resume_section"), why.alias("explanation"),
     )
 
 
+def comparison_counts(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, t: Thresholds = Thresholds(), pinned: DataFrame | None = None) -> DataFrame:
+    """What report.comparison_summary says of comparison(), without its rows: requirements are counted once for each
+    query document, found ones once over the evidence, and the rest is not found."""
+    req = requirement_blocks(blocks).select("jd_id", "jd_block", X.is_mandatory(F.col("text")).alias("must"))
+    total = req.groupBy("jd_id").agg(F.count("*").alias("total"), F.count_if("must").alias("mandatory_total"))
+    best = best_usable(evidence)
+    if pinned is not None:
+        best = best.join(pinned.select("jd_id", "resume_id", "jd_block", F.col("similarity").alias("__s")), ["jd_id", "resume_id", "jd_block"], "left").withColumn("similarity", F.greatest("similarity", F.coalesce("__s", F.lit(0.0))))
+    st = status(F.col("similarity"), t)
+    got = best.join(req, ["jd_id", "jd_block"]).groupBy("jd_id", "resume_id").agg(F.count_if(st == "found").alias("found"), F.count_if(st == "partial").alias("partial"), F.count_if(F.col("must") & (st == "found")).alias("mandatory_found"))
+    out = pairs.join(total, "jd_id").join(got, ["jd_id", "resume_id"], "left").na.fill(0, ["found", "partial", "mandatory_found"])
+    return out.select("jd_id", "resume_id", "total", "found", "partial", (F.col("total") - F.col("found") - F.col("partial")).alias("not_found"), "mandatory_total", "mandatory_found")
+
+
 def pinpoint(best: DataFrame, sentences: DataFrame) -> DataFrame:
     """Of each pair's best block the sentence nearest to the requirement: best(jd_id, resume_id, jd_block, best_block,
-    vec) with sentences(resume_id, resume_block, sent_no, text, vec); ties go to the earlier sentence."""
-    both = best.join(sentences.withColumnRenamed("vec", "svec").withColumnRenamed("resume_block", "best_block"), ["resume_id", "best_block"])
+    vec) with sentences(resume_id, resume_block, sent_no, text, vec and any other columns). Sentences of two words or
+    less and headings come in only where a block has no other; ties, at six digits, go to the earlier sentence. Blocks of one sentence
+    give none: they are their own match."""
+    w = Window.partitionBy("resume_id", "resume_block")
+    several = sentences.withColumn("__n", F.count("*").over(w)).filter("__n > 1").drop("__n")
+    both = best.join(several.withColumnRenamed("vec", "svec").withColumnRenamed("resume_block", "best_block"), ["resume_id", "best_block"])
     known = F.broadcast(dims.aliases(best.sparkSession).select("alias"))
     both = both.withColumn("key", X.trimmed(F.regexp_replace(F.lower(X.trimmed(F.col("text"))), ":+$", ""))).join(known, F.col("key") == F.col("alias"), "left")
     ok = ((X.word_count(F.col("text")) > 2) & F.col("alias").isNull()).cast("int")
-    rated = both.select("jd_id", "resume_id", "jd_block", "sent_no", "text", V.dot(F.col("vec"), F.col("svec")).alias("similarity"), ok.alias("ok"))
-    first = F.struct("ok", F.round("similarity", 9).alias("s"), (-F.col("sent_no")).alias("n"))
-    return rated.groupBy("jd_id", "resume_id", "jd_block").agg(F.max_by(F.struct("sent_no", "text", "similarity"), first).alias("s")).select("jd_id", "resume_id", "jd_block", "s.*")
+    kept = [c for c in sentences.columns if c not in ("resume_id", "resume_block", "vec")]
+    rated = both.select("jd_id", "resume_id", "jd_block", *kept, V.dot(F.col("vec"), F.col("svec")).alias("similarity"), ok.alias("ok"))
+    first = F.struct("ok", F.round("similarity", 6).alias("s"), (-F.col("sent_no")).alias("n"))
+    return rated.groupBy("jd_id", "resume_id", "jd_block").agg(F.max_by(F.struct(*kept, "similarity"), first).alias("s")).select("jd_id", "resume_id", "jd_block", "s.*")
+
+
+def pinned(found: DataFrame, blocks: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """pinpoint's sentences as comparison takes them: jd_id, resume_id, jd_block, sentence, lines, similarity, which is
+    grounded and calibrated like that of a block."""
+    req = blocks.select("jd_id", "jd_block", "section", X.terms(F.col("text")).alias("__terms"))
+    ok = grounded(F.col("similarity"), F.col("section"), F.arrays_overlap("__terms", X.terms(F.col("text"))))
+    sim = calibrated(F.col("similarity"), ok, cfg.retrieval, cfg.thresholds)
+    lines = F.col("source_lines") if "source_lines" in found.columns else F.lit(None).cast("array<int>")
+    return found.join(req, ["jd_id", "jd_block"]).select("jd_id", "resume_id", "jd_block", F.col("text").alias("sentence"), lines.alias("lines"), F.round(sim, 4).alias("similarity"))

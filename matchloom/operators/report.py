@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Callable
+from functools import reduce
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import dims
+from matchloom.config import Weights
+from matchloom.operators.score import NAMES
 
 
 def strongest(evidence: DataFrame, n: int = 5) -> DataFrame:
@@ -24,46 +31,163 @@ def strength_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("jd_id", "resume_id").agg(*[F.count_if(F.col("strength") == s).alias(s) for s in ("strong", "moderate", "weak", "none")])
 
 
-def comparison_summary(params: DataFrame) -> DataFrame:
-    """Counts by status and the share that is covered, per pair."""
-    n = F.count("*")
-    found, partial = F.count_if(F.col("status") == "found"), F.count_if(F.col("status") == "partial")
-    must = F.col("is_mandatory")
-    return params.groupBy("jd_id", "resume_id").agg(
-        n.alias("total"), found.alias("found"), partial.alias("partial"), (n - found - partial).alias("not_found"), F.round((found + partial) * 100 / n, 6).alias("coverage"),
-        F.count_if(must).alias("mandatory_total"), F.count_if(must & (F.col("status") == "found")).alias("mandatory_found"), F.count_if(must & (F.col("status") != "not_found")).alias("mandatory_satisfied"),
-    )
+def comparison_summary(counts: DataFrame) -> DataFrame:
+    """evidence.comparison_counts with coverage, the percentage found, and whether all mandatory ones are."""
+    coverage = F.when(F.col("total") > 0, F.round(F.col("found") * 100 / F.col("total"), 1)).otherwise(0.0)
+    return counts.select("*", coverage.alias("coverage"), (F.col("mandatory_found") == F.col("mandatory_total")).alias("mandatory_satisfied"))
+
+
+#: The sections of a report and the query sections whose evidence each shows; the last is wider than its score's.
+GROUPS = {**dims.COMPONENTS, "content_score": tuple(s for s in dims.SECTIONS if s not in ("skills", "experience", "education", "contact"))}
 
 
-def evidence_groups(evidence: DataFrame, n: int = 10) -> DataFrame:
+def has_content(blocks: DataFrame) -> DataFrame:
+    """jd_id, has_content: does a query document have any block of the content section? If not, it shows all evidence."""
+    return blocks.groupBy("jd_id").agg(F.bool_or(F.col("section").isin(*GROUPS["content_score"])).alias("has_content"))
+
+
+def evidence_groups(evidence: DataFrame, blocks: DataFrame, n: int = 10) -> DataFrame:
     """jd_id, resume_id, component, evidence: the first n pieces of evidence of each report section."""
-    groups = {**dims.COMPONENTS, "content_score": tuple(s for s in dims.SECTIONS if s not in ("skills", "experience", "education", "contact"))}
-    names = F.filter(F.array(*[F.when(F.col("jd_section").isin(*s), F.lit(c)) for c, s in groups.items()]), lambda x: x.isNotNull())
-    rows = evidence.filter("strength <> 'none'").withColumn("component", F.explode(names))
+    rows = evidence.filter("strength <> 'none'").join(has_content(blocks), "jd_id", "left")
+    inside = {c: F.col("jd_section").isin(*s) for c, s in GROUPS.items()}
+    inside["content_score"] = inside["content_score"] | ~F.coalesce("has_content", F.lit(False))
+    names = F.filter(F.array(*[F.when(on, F.lit(c)) for c, on in inside.items()]), lambda x: x.isNotNull())
+    rows = rows.withColumn("component", F.explode(names))
     w = Window.partitionBy("jd_id", "resume_id", "component").orderBy("jd_block", F.desc("score"), "resume_block")
     rows = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
     return rows.groupBy("jd_id", "resume_id", "component").agg(F.array_sort(F.collect_list(F.struct("r", "jd_block", "resume_block", "score", "strength"))).alias("evidence"))
 
 
-def reports(finals: DataFrame, comps: DataFrame, mandatory: DataFrame, groups: DataFrame, summary: DataFrame, counts: DataFrame) -> DataFrame:
-    """jd_id, resume_id, report: one nested struct for each pair."""
+def quality_warnings(pairs: DataFrame, jd_messages: DataFrame, resume_messages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """jd_id, resume_id, data_quality_warnings: what quality.messages warns of in either document, the query document's
+    first, each with its origin before it."""
+
+    def listed(msgs: DataFrame, name: str, label: str) -> DataFrame:
+        text = F.concat(F.lit(f"[{label}] "), F.col("code"), F.lit(": "), F.col("count"))
+        return msgs.filter("status <> 'valid'").groupBy(F.col(doc).alias(name)).agg(F.array_sort(F.collect_list(text)).alias(f"__{name}"))
+
+    out = pairs.join(listed(jd_messages, "jd_id", "JD"), "jd_id", "left").join(listed(resume_messages, "resume_id", "Resume"), "resume_id", "left")
+    empty = F.array().cast("array<string>")
+    return out.select("jd_id", "resume_id", F.concat(F.coalesce("__jd_id", empty), F.coalesce("__resume_id", empty)).alias("data_quality_warnings"))
+
+
+def config_hash(weights: Weights = Weights()) -> str:
+    """Eight digits that change with the weights."""
+    return hashlib.md5(repr(sorted(weights.as_dict().items())).encode()).hexdigest()[:8]
+
+
+def _evidence_entry() -> Column:
+    """A piece of evidence as reports show it; texts of up to 200 characters."""
+    return F.struct(
+        F.col("jd_block"), F.col("resume_block"), F.left("jd_text", F.lit(200)).alias("jd_text"), F.left("resume_text", F.lit(200)).alias("resume_text"), F.round("score", 4).alias("similarity_score"),
+        F.col("jd_section"), F.col("resume_section"), F.col("jd_lines").alias("jd_line_numbers"), F.col("resume_lines").alias("resume_line_numbers"), F.col("strength").alias("match_strength"),
+        F.col("explanation"), F.col("uncertain").alias("uncertainty"),
+    )
+
+
+def _is(field: str, value: str) -> Callable[[Column], Column]:
+    """Does an entry's field, whose parts are parted by full stops, have this value?"""
+    return lambda x: reduce(lambda c, part: c[part], field.split("."), x) == value
+
+
+def reports(finals: DataFrame, comps: DataFrame, mandatory: DataFrame, params: DataFrame, evidence: DataFrame, blocks: DataFrame, details: DataFrame, warnings: DataFrame | None = None, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None) -> DataFrame:
+    """jd_id, resume_id, report: one nested struct for each pair of finals, with all fields of RECRUITER_FIELDS.
+
+    comps with missing_evidence (score.with_missing), mandatory and params with texts, evidence as evidence.grade gives it
+    (only pieces whose strength isn't none show), details(jd_id, resume_id and any columns) as processing details,
+    warnings from quality_warnings. What belongs to a pair comes as tagged rows of one union, so a pair is put together
+    by one aggregate instead of a join for each part; a pair's lists are bounded by its blocks.
+    """
     key = ["jd_id", "resume_id"]
-    c = comps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("component", F.round("raw", 2).alias("raw"), "relevant", "matched"))).alias("components"))
-    m = mandatory.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("jd_block", "best_score", "is_met"))).alias("mandatory"), F.bool_and("is_met").alias("all_met"))
-    g = groups.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("component", "evidence"))).alias("evidence"))
-    s = summary.select(*key, F.struct(*[x for x in summary.columns if x not in key]).alias("comparison"))
-    n = counts.select(*key, F.struct(*[x for x in counts.columns if x not in key]).alias("strengths"))
-    out = finals.select(*key, F.round("final", 2).alias("final_score"))
-    for other in (c, m, g, s, n):
-        out = out.join(other, key, "left")
-    body = [x for x in out.columns if x not in key and x != "all_met"]
-    return out.select(*key, F.struct(*key, *body, F.coalesce("all_met", F.lit(True)).alias("all_mandatory_met")).alias("report"))
+    order = reduce(lambda c, kv: c.when(F.col("component") == kv[1], kv[0]), enumerate(NAMES), F.when(F.lit(False), 0)).otherwise(len(NAMES))
+    weight = reduce(lambda c, kv: c.when(F.col("component") == kv[0], kv[1]), weights.as_dict().items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    raw = F.round("raw", 2)
+    tagged = {
+        "f": finals.select(*key, F.round("final", 2).alias("f")),
+        "c": comps.select(*key, F.struct(order.alias("o"), F.struct(F.col("component").alias("name"), raw.alias("raw_score"), weight.alias("weight"), F.round(F.col("raw") * weight, 4).alias("weighted_contribution"), "evidence_count", "explanation", "missing_evidence").alias("v")).alias("c")),
+        "m": mandatory.select(*key, F.struct(F.col("jd_block").alias("o"), F.struct("requirement_text", "is_met", F.col("best_score").alias("best_match_score"), "best_match_text", "explanation").alias("v")).alias("m")),
+        "p": params.select(*key, F.struct(F.col("parameter_id").alias("o"), F.struct("parameter_id", "category", "requirement_text", "is_mandatory", "status", F.col("confidence").alias("confidence_score"), F.round("similarity", 4).alias("similarity_score"), F.coalesce("matched_text", F.lit("")).alias("matched_resume_text"), F.coalesce("matched_lines", F.array().cast("array<int>")).alias("matched_resume_lines"), "source_jd_lines", "match_strength", "explanation", "jd_section", "resume_section").alias("v")).alias("p")),
+        "e": evidence.filter("strength <> 'none'").select(*key, F.struct(F.col("jd_block").alias("b"), (-F.col("score")).alias("s"), F.col("resume_block").alias("r"), _evidence_entry().alias("v")).alias("e")),
+        "d": details.select(*key, F.struct(*[c for c in details.columns if c not in key]).alias("d")),
+        "x": F.broadcast(finals.sparkSession.createDataFrame([], "jd_id string, resume_id string, w array<string>")) if warnings is None else warnings.select(*key, F.col("data_quality_warnings").alias("w")),
+    }
+    one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged.values())
+    lists = [F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]).alias(c) for c in ("c", "m", "p")]
+    rows = one.groupBy(*key).agg(*lists, F.array_sort(F.collect_list("e")).alias("e"), F.max("f").alias("f"), F.max("d").alias("d"), F.flatten(F.collect_list("w")).alias("w")).filter("f is not null")
+    rows = rows.join(has_content(blocks), "jd_id", "left")
+    ranked = F.transform(F.array_sort(F.transform("e", lambda x: F.struct(x["s"], x["b"], x["r"], x["v"]))), lambda x: x["v"])
+    rows = rows.withColumn("ranked", ranked)
+
+    def group(component: str) -> Column:
+        own = F.col("component_" + component)
+        inside = lambda x: x["v"]["jd_section"].isin(*GROUPS[component])
+        if component == "content_score":
+            inside = lambda x: x["v"]["jd_section"].isin(*GROUPS["content_score"]) | ~F.coalesce("has_content", F.lit(False))
+        shown = F.transform(F.slice(F.filter("e", inside), 1, 10), lambda x: x["v"])
+        return F.struct(F.lit(component).alias("component_name"), F.struct(own["raw_score"].alias("raw_score"), own["weight"].alias("weight"), own["weighted_contribution"].alias("weighted_contribution")).alias("score"), shown.alias("evidence"))
+
+    for c in NAMES:
+        rows = rows.withColumn("component_" + c, F.get(F.filter("c", _is("name", c)), F.lit(0)))
+    strong = {s: F.size(F.filter("e", _is("v.match_strength", s))) for s in ("strong", "moderate", "weak")}
+    total, must = F.size("p"), F.filter("p", lambda x: x["is_mandatory"])
+    status = lambda s: F.size(F.filter("p", lambda x: x["status"] == s))
+    found_must = F.size(F.filter(must, lambda x: x["status"] == "found"))
+    summary = F.struct(
+        total.alias("total_parameters"), status("found").alias("found_in_resume"), status("partial").alias("partial_match"), status("not_found").alias("missing_in_resume"),
+        F.when(total > 0, F.round(status("found") * 100 / total, 1)).otherwise(0.0).alias("coverage_percentage"), F.size(must).alias("mandatory_total"), found_must.alias("mandatory_found"), (found_must == F.size(must)).alias("mandatory_satisfied"),
+    )
+    met = F.size(F.filter("m", lambda x: x["is_met"]))
+    all_met = met == F.size("m")
+    flags = F.flatten(F.transform("c", lambda x: F.array_compact(F.array(F.when(x["raw_score"] == 0, F.concat(F.lit("Zero score for "), x["name"], F.lit(": "), x["explanation"])), F.when(F.size(x["missing_evidence"]) > 0, F.concat(F.lit("Missing evidence for "), x["name"], F.lit(": "), F.size(x["missing_evidence"]).cast("string"), F.lit(" items")))))))
+    unmet = F.when(~all_met, F.array(F.format_string("Unmet mandatory requirements: %d", F.size("m") - met))).otherwise(F.array().cast("array<string>"))
+    rating = F.when(F.col("f") >= 75, "Strong Candidate").when(F.col("f") >= 55, "Moderate Candidate").when(F.col("f") >= 35, "Below Average Candidate").otherwise("Weak Candidate")
+    shares = [F.format_string(f"{c.replace('_', ' ').title()}: %.1f/100 (weight: {weights.as_dict()[c]:.0%}).".replace("%)", "%%)"), F.col("component_" + c)["raw_score"]) for c in NAMES]
+    text = F.concat_ws(
+        " ", F.format_string("Overall Assessment: %s (Score: %.1f/100).", rating, "f"), F.format_string("The candidate shows %d strong, %d moderate, and %d weak matches against the job requirements.", *strong.values()), *shares,
+        F.when(F.size("m") > 0, F.format_string("Mandatory Requirements: %d/%d met.", met, F.size("m"))), F.when(~all_met, "⚠ WARNING: Not all mandatory requirements are satisfied. Review required before proceeding."),
+    )
+    h = config_hash(weights)
+    report_id = F.substring(F.sha2(F.concat_ws("|", "jd_id", "resume_id", F.lit(h)), 256), 1, 12)
+    meta = F.struct(F.lit(VERSION).alias("processing_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(processed_at).cast("string").alias("processed_at"), F.lit(h).alias("config_hash"), *[F.col("d")[c].alias(c) for c in details.columns if c not in key])
+    body = F.struct(
+        F.lit(SCHEMA_VERSION).alias("_schema_version"), report_id.alias("_report_id"), meta.alias("processing_details"),
+        F.struct(F.col("resume_id").alias("candidate_id"), F.col("jd_id"), F.col("f").alias("final_score"), F.col("c").alias("components"), all_met.alias("all_mandatory_met")).alias("candidate_score"),
+        summary.alias("comparison_summary"), F.col("p").alias("comparison_parameters"), group("skill").alias("skill_evidence"), group("work_experience").alias("experience_evidence"), group("education").alias("education_evidence"),
+        group("content_score").alias("semantic_evidence"), F.slice("ranked", 1, n).alias("strongest_matches"), F.slice("ranked", F.greatest(F.size("ranked") - n + 1, F.lit(1)), n).alias("weakest_matches"), F.col("m").alias("mandatory_requirements"),
+        F.transform(F.filter("m", lambda x: ~x["is_met"]), lambda x: x["requirement_text"]).alias("missing_requirements"), F.concat(flags, unmet).alias("review_flags"), F.col("w").alias("data_quality_warnings"), text.alias("recruiter_summary"),
+    )
+    return rows.select(*key, body.alias("report"))
+
 
+#: The keys of a report in their order, and those of its brief form.
+RECRUITER_FIELDS = (
+    "_schema_version _report_id processing_details candidate_score comparison_summary comparison_parameters skill_evidence experience_evidence education_evidence semantic_evidence strongest_matches weakest_matches "
+    "mandatory_requirements missing_requirements review_flags data_quality_warnings recruiter_summary"
+).split()
+BRIEF_FIELDS = "_schema_version _report_id processing_details candidate_score recruiter_summary".split()
+VERSION = SCHEMA_VERSION = "1.0.0"
 
-def as_json(reports: DataFrame, pretty: bool = False) -> DataFrame:
-    return reports.select("jd_id", "resume_id", F.to_json("report", {"pretty": "true"} if pretty else {}).alias("json"))
+
+def as_json(reports: DataFrame, pretty: bool = False, brief: bool = False) -> DataFrame:
+    """jd_id, resume_id, json: the whole report, or its brief form of five keys."""
+    body = F.struct(*[F.col("report")[c].alias(c) for c in BRIEF_FIELDS]) if brief else F.col("report")
+    return reports.select("jd_id", "resume_id", F.to_json(body, {"pretty": "true"} if pretty else {}).alias("json"))
 
 
 def write_json(reports: DataFrame, path: str) -> None:
     """A folder of JSON lines for each query document."""
-    as_json(reports).select("jd_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("jd_id").text(path)
+    JsonLines(path).write(reports)
+
+
+class Exporter(Protocol):
+    """What writes reports somewhere."""
+
+    def write(self, reports: DataFrame) -> None: ...
+
+
+class JsonLines:
+    def __init__(self, path: str, brief: bool = False) -> None:
+        self.path, self.brief = path, brief
+
+    def write(self, reports: DataFrame) -> None:
+        as_json(reports, brief=self.brief).select("jd_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("jd_id").text(self.path)

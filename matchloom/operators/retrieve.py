@@ -19,38 +19,41 @@ def _unit(col: pa.Array, dim: int) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _first(s: np.ndarray, nid: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest scores of each row, compared at 12 digits as in the ranking; ties by smaller id."""
-    n = len(nid)
-    if k >= n:
-        return np.broadcast_to(np.arange(n), s.shape)
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    # rounded the k-th score may equal that of columns left out: in those rows the smallest ids among its equals stay
-    last = np.round(np.take_along_axis(s, top, 1).min(axis=1), 12)
-    near = s > last[:, None] - 1e-11
-    for row in np.flatnonzero(near.sum(axis=1) > k):
-        at = np.flatnonzero(near[row])
-        top[row] = at[np.lexsort((nid[at], -np.round(s[row, at], 12)))[:k]]
-    return top
+def _places(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row within its run of equal keys; the rows are sorted by them."""
+    n = np.arange(len(keys[0]))
+    new = np.ones(len(n), bool)
+    if len(n):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return n - np.maximum.accumulate(np.where(new, n, 0)) if len(n) else n
+
+
+def _best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, nid: np.ndarray, k: int, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of the k greatest scores of each query at `low` or above, compared at 12 digits as in
+    the ranking; ties by smaller id. Single precision chooses with room to spare, double precision decides."""
+    s = q.astype(np.float32) @ x.astype(np.float32).T
+    if k < len(x):
+        last = np.partition(s, len(x) - k - 1, axis=1)[:, len(x) - k - 1]  # one more than k, for the query itself
+        low32 = np.maximum(last, low) - 1e-5
+    else:
+        low32 = np.full(len(q), max(low, -2.0) - 1e-5)
+    r, c = np.nonzero(s >= low32[:, None].astype(np.float32))
+    other = ids[r] != nid[c]
+    r, c = r[other], c[other]
+    exact = np.einsum("nd,nd->n", q[r], x[c])
+    order = np.lexsort((nid[c], -np.round(exact, 12), r))
+    order = order[(_places(r[order]) < k) & (exact[order] >= low - 1e-12)]
+    return r[order], c[order], exact[order]
 
 
 def _matcher(dim: int, k: int, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            qid, qvec = b.column("qid").to_pylist(), b.column("qvec")
-            out: list[tuple[np.ndarray, ...]] = []
             for row in range(b.num_rows):
-                ids = np.asarray(qid[row], dtype=np.int64)
-                q = np.frombuffer(qvec[row].as_py(), dtype=np.float64).reshape(-1, dim)
-                nid = np.asarray(b.column("ids")[row].as_py(), dtype=np.int64)
-                x = np.frombuffer(b.column("vecs")[row].as_py(), dtype=np.float64).reshape(-1, dim)
-                s = q @ x.T
-                s[ids[:, None] == nid[None, :]] = -9
-                top = _first(s, nid, k)
-                sims = np.take_along_axis(s, top, 1)
-                good = sims > (-2 if threshold is None else threshold - 1e-12)
-                out.append((np.broadcast_to(ids[:, None], sims.shape)[good], nid[top][good], sims[good]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]) if out else []) for i in range(3)], ["qid", "id", "score"])
+                ids, nid = (np.asarray(b.column(c)[row].as_py(), dtype=np.int64) for c in ("qid", "ids"))
+                q, x = (np.frombuffer(b.column(c)[row].as_py(), dtype=np.float64).reshape(-1, dim) for c in ("qvec", "vecs"))
+                r, c, sims = _best(q, x, ids, nid, k, -2.0 if threshold is None else threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(nid[c]), pa.array(sims)], ["qid", "id", "score"])
 
     return run
 
@@ -67,13 +70,22 @@ def _packer(dim: int, names: tuple[str, str, str]):
     return run
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, item: str, vector: str, dim: int, k: int, threshold: float | None = None) -> DataFrame:
+def usable(vector: str, dim: int, strict: bool) -> Column:
+    """Is this a vector of dim numbers? Under strict a vector of another length fails the query instead."""
+    right = F.size(vector) == dim
+    if strict:
+        right = F.when(right, True).otherwise(F.raise_error(F.format_string(f"a vector has %d numbers, not {dim}", F.size(vector))).cast("boolean"))
+    return F.col(vector).isNotNull() & right
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, item: str, vector: str, dim: int, k: int, threshold: float | None = None, strict: bool = False) -> DataFrame:
     """query, item, score, rank: the k items of greatest cosine for each query, itself left out; ties by smaller item.
 
     Both sides become rows of whole blocks; every block of queries meets every block of items in one matrix product,
-    after which only k rows per query and block are left. Vectors that are null or of another length are left out.
+    after which only k rows per query and block are left. Null vectors are left out; so are those of another length,
+    which under strict are an error.
     """
-    ok = F.col(vector).isNotNull() & (F.size(vector) == dim)
+    ok = usable(vector, dim, strict)
     pick = [F.col(item).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")]
     q = queries.filter(ok).select(*pick).mapInArrow(_packer(dim, ("", "qid", "qvec")), "qid array<long>, qvec binary")
     x = items.filter(ok).select(*pick).mapInArrow(_packer(dim, ("", "ids", "vecs")), "ids array<long>, vecs binary")
@@ -83,6 +95,58 @@ def vector_topk(queries: DataFrame, items: DataFrame, item: str, vector: str, di
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("qid").alias("query"), F.col("id").alias("item"), "score", "rank")
 
 
+_PAIRED = "jd_id string, jd_block_no int, resume_id string, resume_block_no int, score double"
+
+
+def _pair_packer(dim: int, out: tuple[str, str, str]):
+    """Rows (doc, no, v) to rows of blocks: documents, block numbers, unit vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, QUERY_BLOCK):
+                p = b.slice(at, QUERY_BLOCK)
+                docs, nos = (pa.array([p.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc", pa.string()), ("no", pa.int32())))
+                yield pa.RecordBatch.from_arrays([docs, nos, pa.array([_unit(p.column("v"), dim).tobytes()], pa.binary())], list(out))
+
+    return run
+
+
+def _pair_matcher(dim: int, k: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                q, x = (np.frombuffer(b.column(c)[row].as_py(), dtype=np.float64).reshape(-1, dim) for c in ("qv", "rv"))
+                jd, jno, res, rno = (np.asarray(b.column(c)[row].as_py(), dtype=t) for c, t in (("jd", object), ("jno", np.int32), ("res", object), ("rno", np.int32)))
+                _, candidate = np.unique(res.astype(str), return_inverse=True)
+                r, c = np.nonzero(q.astype(np.float32) @ x.astype(np.float32).T >= np.float32(threshold - 1e-5))
+                exact = np.einsum("nd,nd->n", q[r], x[c])
+                order = np.lexsort((rno[c], -np.round(exact, 12), candidate[c], r))
+                r, c, exact = r[order], c[order], exact[order]
+                keep = (_places(r, candidate[c]) < k) & (exact >= threshold - 1e-12)
+                r, c, exact = r[keep], c[keep], exact[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(jd[r], pa.string()), pa.array(jno[r]), pa.array(res[c], pa.string()), pa.array(rno[c]), pa.array(exact)], [x.split()[0] for x in _PAIRED.split(", ")])
+
+    return run
+
+
+def candidates_topk(queries: DataFrame, items: DataFrame, doc: str, no: str, vector: str, dim: int, k: int, threshold: float, strict: bool = False) -> DataFrame:
+    """jd_id, jd_block_no, resume_id, resume_block_no, score: for each block of the query documents the k best blocks of
+    every candidate document, at the threshold or above; ties by the smaller block number.
+
+    A candidate's blocks stand together, so that a matrix product cuts to k for each candidate before anything leaves the
+    task; only hits above the threshold are rows. The Arrow batches of block pairs are bounded by one row each.
+    """
+    pick = [F.col(doc).cast("string").alias("doc"), F.col(no).cast("int").alias("no"), F.col(vector).cast("array<double>").alias("v")]
+    ok = usable(vector, dim, strict)
+    q = queries.filter(ok).select(*pick).mapInArrow(_pair_packer(dim, ("jd", "jno", "qv")), "jd array<string>, jno array<int>, qv binary")
+    ordered = items.filter(ok).select(*pick).repartition("doc").sortWithinPartitions("doc", "no")
+    x = ordered.mapInArrow(_pair_packer(dim, ("res", "rno", "rv")), "res array<string>, rno array<int>, rv binary")
+    found = x.crossJoin(q).mapInArrow(_pair_matcher(dim, k, threshold), _PAIRED)  # of blocks: thousands of vectors each
+    # a candidate whose blocks lie in two blocks of vectors was cut twice
+    w = Window.partitionBy("jd_id", "jd_block_no", "resume_id").orderBy(F.desc(F.round("score", 12)), "resume_block_no")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+
+
 def boosted(score: Column, query_section: Column, section: Column, boost: float = 0.05) -> Column:
     """A match within one known section counts more, up to 1."""
     same = (query_section == section) & (query_section != "unknown")

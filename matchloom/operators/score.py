@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom import dims
 from matchloom.config import Thresholds, Weights
-from matchloom.operators.evidence import best_per_block
+from matchloom.operators.evidence import best_per_block, missing
 
 NAMES = (*dims.COMPONENTS, "content_score")
 
@@ -30,7 +30,8 @@ def component_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def components(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, years: DataFrame | None = None, t: Thresholds = Thresholds()) -> DataFrame:
-    """jd_id, resume_id, component, raw, relevant, matched: a row for each pair and component, 0 where nothing is relevant.
+    """jd_id, resume_id, component, raw, relevant, matched, evidence_count, explanation: a row for each pair and component,
+    0 where nothing is relevant.
 
     Blocks and evidence are reduced to one row per block first; both sides then need one aggregate each. years
     (jd_id, resume_id, required, candidate) lowers the experience score of candidates below what is required.
@@ -38,7 +39,7 @@ def components(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, years:
     members = component_blocks(blocks)
     relevant = members.groupBy("jd_id", "component").agg(F.count("*").alias("relevant"))
     best = best_per_block(evidence).join(members, ["jd_id", "jd_block"])
-    got = best.groupBy("jd_id", "resume_id", "component").agg(F.count("*").alias("matched"), F.avg("best").alias("mean"), F.sum(credit(F.col("best"), t)).alias("credit"))
+    got = best.groupBy("jd_id", "resume_id", "component").agg(F.count("*").alias("matched"), F.sum("pieces").alias("evidence_count"), F.avg("best").alias("mean"), F.sum(credit(F.col("best"), t)).alias("credit"))
     names = F.explode(F.array(*[F.lit(n) for n in NAMES])).alias("component")
     every = pairs.select("jd_id", "resume_id", names).join(relevant, ["jd_id", "component"], "left").join(got, ["jd_id", "resume_id", "component"], "left")
     share = F.when(F.col("component") == "content_score", 0.5).otherwise(0.6)
@@ -49,16 +50,46 @@ def components(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, years:
         short = (F.col("component") == "work_experience") & (F.col("required") > 0) & (F.col("candidate") < F.col("required"))
         raw = F.when(short, raw * F.least(F.lit(1.0), F.greatest(F.lit(0.40), F.col("candidate") / F.col("required")))).otherwise(raw)
     raw = F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0))
-    return every.select("jd_id", "resume_id", "component", raw.alias("raw"), F.coalesce("relevant", F.lit(0)).cast("long").alias("relevant"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+    relevant, matched, pieces = (F.coalesce(c, F.lit(0)).cast("long") for c in ("relevant", "matched", "evidence_count"))
+    what = _what_of()
+    why = F.when(relevant == 0, F.concat(F.lit("No "), what, F.lit(" found in JD"))).otherwise(
+        F.format_string("Quality: %.3f, Coverage: %.1f%%, Matched %d/%d %s", quality, coverage * 100, matched, relevant, what)
+    )
+    return every.select("jd_id", "resume_id", "component", raw.alias("raw"), relevant.alias("relevant"), matched.alias("matched"), pieces.alias("evidence_count"), why.alias("explanation"))
+
+
+_WHAT = {"skill": "skill requirements", "work_experience": "experience requirements", "education": "education requirements", "content_score": "content blocks"}
+
+
+def with_missing(comps: DataFrame, evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, limit: int = 5) -> DataFrame:
+    """comps with missing_evidence: the first texts without evidence of each component with sections of its own, or that
+    the query document has none; empty for the content score."""
+    lists = [missing(evidence, blocks, pairs, s, limit).withColumn("component", F.lit(c)) for c, s in dims.COMPONENTS.items()]
+    out = comps.join(reduce(DataFrame.unionByName, lists), ["jd_id", "resume_id", "component"], "left")
+    nothing = (F.col("relevant") == 0) & (F.col("component") != "content_score")
+    empty = F.array().cast("array<string>")
+    return out.withColumn("missing_evidence", F.when(nothing, F.array(F.concat(F.lit("No "), _what_of(), F.lit(" in JD")))).otherwise(F.coalesce("missing", empty))).drop("missing")
+
+
+def _what_of() -> Column:
+    return reduce(lambda c, kv: c.when(F.col("component") == kv[0], kv[1]), _WHAT.items(), F.when(F.lit(False), "")).otherwise("")
 
 
 def final_scores(comps: DataFrame, weights: Weights = Weights()) -> DataFrame:
-    """jd_id, resume_id, one column per component, final: the weighted sum of the unrounded components."""
+    """jd_id, resume_id, one column per component, final: the weighted sum of the unrounded components.
+
+    Every pair must have all four components, each between 0 and 100; a query over others fails with a message that
+    names what is missing or out of range. Weights must sum to 1 (checked when they are built).
+    """
     w = weights.as_dict()
     cols = [F.max(F.when(F.col("component") == n, F.col("raw"))).alias(n) for n in NAMES]
     wide = comps.groupBy("jd_id", "resume_id").agg(*cols)
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(n), F.lit(0.0)) * w[n] for n in NAMES])
-    return wide.withColumn("final", F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)))
+    lacking = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in NAMES]))
+    outside = F.array_compact(F.array(*[F.when((F.col(n) < 0) | (F.col(n) > 100) | F.isnan(n), F.lit(n)) for n in NAMES]))
+    total = reduce(lambda a, b: a + b, [F.col(n) * w[n] for n in NAMES])
+    fails = F.concat(F.lit("components of "), F.col("jd_id"), F.lit(" and "), F.col("resume_id"), F.lit(": missing "), F.array_join(lacking, ", "), F.lit("; outside 0 to 100 "), F.array_join(outside, ", "))
+    checked = F.when((F.size(lacking) > 0) | (F.size(outside) > 0), F.raise_error(fails).cast("double")).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)))
+    return wide.withColumn("final", checked)
 
 
 def rating(final: Column) -> Column:
@@ -71,10 +102,16 @@ def ranked(finals: DataFrame) -> DataFrame:
     return finals.withColumn("rank", F.row_number().over(w))
 
 
-def review_flags(comps: DataFrame, mandatory: DataFrame) -> DataFrame:
-    """jd_id, resume_id, flags: zero components, and how many mandatory requirements are not met."""
-    zero = F.array_sort(F.collect_list(F.when(F.col("raw") == 0, F.concat(F.lit("zero score for "), "component"))))
-    a = comps.groupBy("jd_id", "resume_id").agg(zero.alias("zero"))
-    b = mandatory.groupBy("jd_id", "resume_id").agg(F.count_if(~F.col("is_met")).alias("unmet"))
-    unmet = F.when(F.col("unmet") > 0, F.array(F.concat(F.lit("unmet mandatory requirements: "), "unmet"))).otherwise(F.array().cast("array<string>"))
-    return a.join(b, ["jd_id", "resume_id"], "left").select("jd_id", "resume_id", F.concat("zero", unmet).alias("flags"))
+def review_flags(comps: DataFrame, counts: DataFrame) -> DataFrame:
+    """jd_id, resume_id, flags: zero components, then how much evidence is missing for which (where comps has
+    missing_evidence), then how many mandatory requirements are not met. counts: evidence.mandatory_counts."""
+    order = reduce(lambda c, kv: c.when(F.col("component") == kv[1], kv[0]), enumerate(NAMES), F.when(F.lit(False), 0)).otherwise(len(NAMES))
+    notes = [F.when(F.col("raw") == 0, F.concat(F.lit("Zero score for "), F.col("component"), F.lit(": "), F.col("explanation")))]
+    if "missing_evidence" in comps.columns:
+        n = F.size("missing_evidence")
+        notes.append(F.when(n > 0, F.format_string("Missing evidence for %s: %d items", "component", n)))
+    per = comps.select("jd_id", "resume_id", F.struct(order.alias("o"), F.array_compact(F.array(*notes)).alias("notes")).alias("x"))
+    a = per.groupBy("jd_id", "resume_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["notes"])).alias("zero"))
+    short = F.col("required") - F.col("met")
+    unmet = F.when(short > 0, F.array(F.format_string("Unmet mandatory requirements: %d", short))).otherwise(F.array().cast("array<string>"))
+    return a.join(counts, ["jd_id", "resume_id"], "left").select("jd_id", "resume_id", F.concat("zero", F.coalesce(unmet, F.array().cast("array<string>"))).alias("flags"))

@@ -81,7 +81,17 @@ def _evidence(s: SparkSession, d: str) -> DataFrame:
 
 def _jd_blocks(s: SparkSession, d: str) -> DataFrame:
     b = _blocks(s, d).filter("doc_type = 'job_description'")
-    return b.select(F.col("doc_id").alias("jd_id"), F.col("block_id").alias("jd_block"), "block_no", "section", F.coalesce("text", F.lit("")).alias("text"))
+    return b.select(F.col("doc_id").alias("jd_id"), F.col("block_id").alias("jd_block"), "block_no", "section", F.coalesce("text", F.lit("")).alias("text"), "source_lines")
+
+
+def _resume_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Every block as one that may be matched."""
+    return _blocks(s, d).select(F.col("doc_id").alias("resume_id"), F.col("block_id").alias("resume_block"), "text", "source_lines")
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    b = _resume_blocks(s, d).filter("text is not null")
+    return b.select("resume_id", "resume_block", F.posexplode(X.sentences(F.col("text"))).alias("sent_no", "text"), "source_lines")
 
 
 def _pairs(ev: DataFrame) -> DataFrame:
@@ -267,9 +277,13 @@ def embed_text_prep(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).select("block_id", X.embedding_text(F.col("text")).alias("text"))
 
 
-@_query()
+@_query(f"WITH {Q.BLOCKS}, {Q.HASHED} SELECT block_id, coalesce(places, '') AS places, (places IS NOT NULL)::INT AS length, coalesce(round(peak / sqrt(squares), 3), 0) AS peak FROM bl LEFT JOIN hashed USING (block_id) WHERE text IS NOT NULL")
 def embed_blocks(s: SparkSession, d: str) -> DataFrame:
-    return pipeline.embedded(_texts(s, d)).select("block_id", "vec")
+    """Every block's vector: its places that are not 0, signed, its length and its greatest number."""
+    v = pipeline.embedded(_texts(s, d))
+    signed = F.transform("vec", lambda x, i: F.when(x != 0, F.concat(F.when(x < 0, "-").otherwise(""), (i + 1).cast("string"))))
+    top = F.aggregate("vec", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
+    return v.select("block_id", F.array_join(F.array_compact(signed), ",").alias("places"), F.round(V.norm(F.col("vec")), 3).cast("int").alias("length"), F.round(top, 3).alias("peak"))
 
 
 @_query(f"SELECT doc_id, {Q.required_years('text')} AS required, {Q.candidate_years('text')} AS candidate FROM documents")
@@ -299,11 +313,11 @@ def cosine_pairs(s: SparkSession, d: str) -> DataFrame:
     return e.join(after, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
 
 
-@_query("SELECT DISTINCT block_id, round(embedding[1] / n, 6) AS first, round(embedding[64] / n, 6) AS last FROM (SELECT block_id, embedding::DOUBLE[] AS embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM block_vectors WHERE len(embedding) = 64) WHERE n > 0")
+@_query("SELECT DISTINCT block_id, array_to_string(list_transform(embedding, lambda x: round(x / n * 1000000)::BIGINT), ',') AS millionths FROM (SELECT block_id, embedding::DOUBLE[] AS embedding, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM block_vectors WHERE len(embedding) = 64) WHERE n > 0")
 def l2_normalize(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "block_vectors").filter("size(embedding) = 64 and exists(embedding, x -> x <> 0)")
     v = v.dropDuplicates(["block_id"]).select("block_id", V.normalised(F.col("embedding")).alias("v"))
-    return v.select("block_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[63], 6).alias("last"))
+    return v.select("block_id", F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("millionths"))
 
 
 def _topk(s: SparkSession, d: str, k: int = 20) -> DataFrame:
@@ -361,12 +375,14 @@ def domain_grounding(s: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST} SELECT jd_id, resume_id, jd_block, best FROM best")
 def best_per_block(s: SparkSession, d: str) -> DataFrame:
-    return E.best_per_block(_evidence(s, d)).drop("jd_section")
+    return E.best_per_block(_evidence(s, d)).drop("jd_section", "pieces")
 
 
-def _components(s: SparkSession, d: str) -> DataFrame:
-    ev = _evidence(s, d)
-    return score.components(ev, _jd_blocks(s, d), _pairs(ev))
+def _components(s: SparkSession, d: str, ev: DataFrame | None = None) -> DataFrame:
+    ev = _evidence(s, d) if ev is None else ev
+    pairs, t = _pairs(ev), _texts(s, d)
+    years = pairs.join(pipeline.years_of(t, "jd_id", X.required_years, "required"), "jd_id", "left").join(pipeline.years_of(t, "resume_id", X.candidate_years, "candidate"), "resume_id", "left")
+    return score.components(ev, _jd_blocks(s, d), pairs, years)
 
 
 def _component(name: str) -> None:
@@ -374,40 +390,40 @@ def _component(name: str) -> None:
         return _components(s, d).filter(F.col("component") == name).select("jd_id", "resume_id", F.round("raw", 10).alias("raw"), "relevant", "matched")
 
     plan.__name__ = {"skill": "score_skill", "work_experience": "score_work", "education": "score_education", "content_score": "score_content"}[name]
-    _query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS} SELECT jd_id, resume_id, round(raw, 10) AS raw, relevant, matched FROM comps WHERE component = '{name}'")(plan)
+    _query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.YEARS}, {Q.COMPONENTS} SELECT jd_id, resume_id, round(raw, 10) AS raw, relevant, matched FROM comps WHERE component = '{name}'")(plan)
 
 
 for _name in score.NAMES:
     _component(_name)
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 10) AS final FROM finals")
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.YEARS}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 10) AS final FROM finals")
 def final_score(s: SparkSession, d: str) -> DataFrame:
     return score.final_scores(_components(s, d)).select("jd_id", "resume_id", F.round("final", 10).alias("final"))
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, CASE WHEN final >= 75 THEN 'strong' WHEN final >= 55 THEN 'good' WHEN final >= 35 THEN 'partial' ELSE 'weak' END AS rating FROM finals")
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.YEARS}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, CASE WHEN final >= 75 THEN 'strong' WHEN final >= 55 THEN 'good' WHEN final >= 35 THEN 'partial' ELSE 'weak' END AS rating FROM finals")
 def rating(s: SparkSession, d: str) -> DataFrame:
     return score.final_scores(_components(s, d)).select("jd_id", "resume_id", score.rating(F.col("final")).alias("rating"))
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 10) AS final, row_number() OVER (PARTITION BY jd_id ORDER BY round(final, 10) DESC, resume_id)::INT AS rank FROM finals")
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.YEARS}, {Q.COMPONENTS}, {Q.FINAL} SELECT jd_id, resume_id, round(final, 10) AS final, row_number() OVER (PARTITION BY jd_id ORDER BY round(final, 10) DESC, resume_id)::INT AS rank FROM finals")
 def rank_candidates(s: SparkSession, d: str) -> DataFrame:
     return score.ranked(score.final_scores(_components(s, d))).select("jd_id", "resume_id", F.round("final", 10).alias("final"), "rank")
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.MANDATORY_EVAL} SELECT jd_id, resume_id, jd_block, best_score, coalesce(best_block, -1) AS best_block, best_score >= 0.4 AS is_met FROM must")
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.MANDATORY_EVAL} SELECT m.jd_id, m.resume_id, m.jd_block, left(j.text, 200) AS requirement_text, best_score, coalesce(best_block, -1) AS best_block, coalesce(left(b.text, 200), '') AS best_match_text, best_score >= 0.4 AS is_met, CASE WHEN best_block IS NULL THEN 'No matching' WHEN best_score >= 0.4 THEN 'Met' ELSE 'NOT met' END AS explanation FROM must m JOIN jd j USING (jd_id, jd_block) LEFT JOIN bl b ON b.block_id = best_block")
 def mandatory_eval(s: SparkSession, d: str) -> DataFrame:
     ev = _evidence(s, d)
-    return E.mandatory(ev, _jd_blocks(s, d), _pairs(ev)).select("jd_id", "resume_id", "jd_block", "best_score", F.coalesce("best_block", F.lit(-1)).alias("best_block"), "is_met")
+    m = E.mandatory(ev, _jd_blocks(s, d), _pairs(ev), texts=_resume_blocks(s, d))
+    return m.select("jd_id", "resume_id", "jd_block", "requirement_text", "best_score", F.coalesce("best_block", F.lit(-1)).alias("best_block"), F.coalesce("best_match_text", F.lit("")).alias("best_match_text"), "is_met", F.regexp_extract("explanation", "^(Met|NOT met|No matching)", 1).alias("explanation"))
 
 
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.MANDATORY_EVAL} SELECT p.jd_id, p.resume_id, coalesce(bool_and(best_score >= 0.4), true) AS all_met FROM pairs p LEFT JOIN must m ON m.jd_id = p.jd_id AND m.resume_id = p.resume_id GROUP BY 1, 2")
 def all_mandatory_met(s: SparkSession, d: str) -> DataFrame:
     ev = _evidence(s, d)
-    pairs = _pairs(ev)
-    m = E.mandatory(ev, _jd_blocks(s, d), pairs).groupBy("jd_id", "resume_id").agg(F.bool_and("is_met").alias("m"))
-    return pairs.join(m, ["jd_id", "resume_id"], "left").select("jd_id", "resume_id", F.coalesce("m", F.lit(True)).alias("all_met"))
+    counts = E.mandatory_counts(ev, _jd_blocks(s, d), _pairs(ev))
+    return counts.select("jd_id", "resume_id", (F.col("met") == F.col("required")).alias("all_met"))
 
 
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD} {Q.MISSING}")
@@ -433,16 +449,34 @@ _missing("missing_work", "work_experience")
 _missing("missing_education", "education")
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.REQUIREMENTS}, {Q.PARAMS} SELECT jd_id, resume_id, jd_block, category, is_mandatory, similarity, status, coalesce(best_block, -1) AS best_block FROM params")
+def _pinpointed(s: SparkSession, d: str, ev: DataFrame) -> DataFrame:
+    return pipeline.sentence_matches(ev, _jd_blocks(s, d), _sentences(s, d))
+
+
+def _pinned(s: SparkSession, d: str, ev: DataFrame) -> DataFrame:
+    return E.pinned(_pinpointed(s, d, ev), _jd_blocks(s, d))
+
+
+_WITH_PINNED = f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.REQUIREMENTS}, {Q.PINPOINT}, {Q.PINNED}, {Q.PARAMS}"
+
+
+@_query(f"{_WITH_PINNED} {Q.PARAM_ROWS}")
 def comparison_params(s: SparkSession, d: str) -> DataFrame:
-    ev = _evidence(s, d)
-    return E.comparison(ev, _jd_blocks(s, d), _pairs(ev)).drop("confidence").withColumn("best_block", F.coalesce("best_block", F.lit(-1)))
+    """Every requirement of each pair with the sentence that matches it best."""
+    ev = checkpointed(_evidence(s, d))
+    p = E.comparison(ev, _jd_blocks(s, d), _pairs(ev), texts=_resume_blocks(s, d), pinned=_pinned(s, d, ev))
+    lines = F.array_join(F.transform("matched_lines", lambda x: x.cast("string")), ",", "?")
+    return p.select(
+        "jd_id", "resume_id", "jd_block", "parameter_id", "category", "is_mandatory", F.md5("requirement_text").alias("requirement"), F.round("similarity", 4).alias("similarity"), "confidence", "status",
+        F.coalesce("best_block", F.lit(-1)).alias("best_block"), F.coalesce("matched_text", F.lit("")).alias("matched_text"), F.coalesce(lines, F.lit("")).alias("matched_lines"), "match_strength", "jd_section", "resume_section",
+        F.regexp_extract("explanation", "^(Found|Partially|Requirement|No)", 1).alias("explanation"),
+    )
 
 
-@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.REQUIREMENTS}, {Q.PARAMS} {Q.SUMMARY}")
+@_query(f"{_WITH_PINNED} {Q.SUMMARY}")
 def comparison_summary(s: SparkSession, d: str) -> DataFrame:
-    ev = _evidence(s, d)
-    return report.comparison_summary(E.comparison(ev, _jd_blocks(s, d), _pairs(ev)))
+    ev = checkpointed(_evidence(s, d))
+    return report.comparison_summary(E.comparison_counts(ev, _jd_blocks(s, d), _pairs(ev), pinned=_pinned(s, d, ev)))
 
 
 @_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE} SELECT jd_id, resume_id, jd_block, resume_block, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY score DESC, jd_block, resume_block)::INT AS rank FROM ev WHERE strength <> 'none') WHERE rank <= 5")
@@ -467,18 +501,11 @@ def evidence_unmatched(s: SparkSession, d: str) -> DataFrame:
     return E.with_unmatched(ev, _jd_blocks(s, d), _pairs(ev)).groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("best"))
 
 
-@_query()
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.PINPOINT} SELECT jd_id, resume_id, jd_block, sent_no, text, round(similarity, 4) AS similarity FROM pinpoint")
 def sentence_pinpoint(s: SparkSession, d: str) -> DataFrame:
     """The sentence of each requirement's best block that is nearest to it; every distinct text is embedded once."""
-    ev = _evidence(s, d).filter("strength <> 'none'")
-    best = ev.groupBy("jd_id", "resume_id", "jd_block").agg(F.min_by("resume_block", F.struct(-F.col("score"), "resume_block")).alias("best_block"))
-    text = _texts(s, d).select("block_id", "text")
-    sents = text.join(best.select(F.col("best_block").alias("block_id")).distinct(), "block_id").select(F.col("block_id").alias("resume_block"), F.posexplode(X.sentences(F.col("text"))).alias("sent_no", "text"))
-    both = sents.select("text").unionByName(text.join(best.select(F.col("jd_block").alias("block_id")).distinct(), "block_id").select("text")).distinct()
-    vec = checkpointed(both.withColumn("vec", V.hashed_embedding(X.terms(X.embedding_text(F.col("text"))), pipeline.DIM)))
-    asked = best.join(text.withColumnRenamed("block_id", "jd_block"), "jd_block").join(vec, "text").drop("text")
-    owners = sents.join(vec, "text").join(best.select("resume_id", F.col("best_block").alias("resume_block")).distinct(), "resume_block")
-    return E.pinpoint(asked, owners)
+    found = _pinpointed(s, d, checkpointed(_evidence(s, d)))
+    return found.select("jd_id", "resume_id", "jd_block", "sent_no", "text", F.round("similarity", 4).alias("similarity"))
 
 
 @_query(f"WITH {Q.BLOCKS} SELECT b.block_id, d.source_filename, coalesce(d.page_count, -1) AS page_count, d.lang FROM bl b JOIN documents d ON d.document_id = b.doc_id")
@@ -488,25 +515,64 @@ def document_metadata(s: SparkSession, d: str) -> DataFrame:
     return _blocks(s, d).select("block_id", "doc_id").join(docs, "doc_id").drop("doc_id")
 
 
-@_query()
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.JD}, {Q.GROUPS} SELECT jd_id, resume_id, component, r, jd_block, resume_block, score FROM grouped WHERE r <= 10")
 def evidence_groups(s: SparkSession, d: str) -> DataFrame:
-    return report.evidence_groups(_evidence(s, d))
+    g = report.evidence_groups(_evidence(s, d), _jd_blocks(s, d))
+    return g.select("jd_id", "resume_id", "component", F.explode("evidence").alias("e")).select("jd_id", "resume_id", "component", "e.r", "e.jd_block", "e.resume_block", "e.score")
 
 
-@_query()
+@_query(f"WITH {Q.BLOCKS}, {Q.EVIDENCE}, {Q.BEST}, {Q.JD}, {Q.YEARS}, {Q.COMPONENTS}, {Q.MANDATORY_EVAL}, {Q.LACKS}, {Q.FLAGS} SELECT jd_id, resume_id, flags FROM flags")
 def review_flags(s: SparkSession, d: str) -> DataFrame:
     ev = _evidence(s, d)
     pairs, jd = _pairs(ev), _jd_blocks(s, d)
-    return score.review_flags(score.components(ev, jd, pairs), E.mandatory(ev, jd, pairs))
+    flags = score.review_flags(score.with_missing(_components(s, d), ev, jd, pairs), E.mandatory_counts(ev, jd, pairs))
+    return flags.select("jd_id", "resume_id", F.array_join("flags", " ## ").alias("flags"))
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    ev = checkpointed(_evidence(s, d))
+    pairs, jd, res = _pairs(ev), _jd_blocks(s, d), _resume_blocks(s, d)
+    texts = _blocks(s, d).select("block_id", F.left(F.coalesce("text", F.lit("")), F.lit(200)).alias("text"), "source_lines")
+    full = ev.filter("strength <> 'none'")
+    for side in ("jd", "resume"):
+        full = full.join(texts.select(F.col("block_id").alias(f"{side}_block"), F.col("text").alias(f"{side}_text"), F.col("source_lines").alias(f"{side}_lines")), f"{side}_block")
+    full = full.withColumn("explanation", E.explanation()).withColumn("uncertain", F.col("strength") == "weak")
+    comps = checkpointed(_components(s, d, ev))
+    docs = table(s, d, "documents").select(F.col("document_id").alias("doc_id"), "source_filename")
+    msgs = quality.messages(_facts(s, d))
+    params = E.comparison(ev, jd, pairs, texts=res, pinned=checkpointed(_pinned(s, d, ev)))
+    return report.reports(
+        score.final_scores(comps), score.with_missing(comps, ev, jd, pairs), E.mandatory(ev, jd, pairs, texts=res), params, full, jd, pipeline.details_of(pairs, docs, jd, docs, res), report.quality_warnings(pairs, msgs, msgs),
+    )
 
 
 @_query()
 def report_json(s: SparkSession, d: str) -> DataFrame:
-    ev = checkpointed(_evidence(s, d))
-    pairs, jd = _pairs(ev), _jd_blocks(s, d)
-    comps = score.components(ev, jd, pairs)
-    params = E.comparison(ev, jd, pairs)
-    return report.as_json(report.reports(score.final_scores(comps), comps, E.mandatory(ev, jd, pairs), report.evidence_groups(ev), report.comparison_summary(params), report.strength_counts(ev)))
+    return report.as_json(_reports(s, d))
+
+
+@_query()
+def report_brief(s: SparkSession, d: str) -> DataFrame:
+    """The form of five keys."""
+    return report.as_json(_reports(s, d), brief=True)
+
+
+@_query(f"{_WITH_PINNED}, {Q.BEST}, {Q.YEARS}, {Q.COMPONENTS}, {Q.FINAL}, {Q.MANDATORY_EVAL}, {Q.LACKS}, {Q.FLAGS}, {Q.GROUPS}, {Q.FACTS}, {Q.MESSAGES} {Q.REPORT_ROWS}")
+def report_rows(s: SparkSession, d: str) -> DataFrame:
+    """Every part of every report, flat: what can be compared without the wording of numbers."""
+    r = F.col("report")
+    ids = lambda c: F.array_join(F.transform(r[c], lambda x: F.concat_ws(":", x["jd_block"], x["resume_block"])), ",")
+    group = lambda c: F.array_join(F.transform(r[c]["evidence"], lambda x: F.concat_ws(":", x["jd_block"], x["resume_block"])), ",")
+    c = r["comparison_summary"]
+    weighted = F.aggregate(r["candidate_score"]["components"], F.lit(0.0), lambda a, x: a + x["raw_score"] * x["weight"])
+    return _reports(s, d).select(
+        "jd_id", "resume_id", (F.abs(r["candidate_score"]["final_score"] - weighted) < 0.02).alias("adds_up"), r["candidate_score"]["all_mandatory_met"].alias("all_met"), F.size(r["candidate_score"]["components"]).alias("n_components"),
+        F.size(r["comparison_parameters"]).alias("n_params"), F.concat_ws(",", c["found_in_resume"], c["partial_match"], c["missing_in_resume"], c["mandatory_total"], c["mandatory_found"]).alias("summary"), c["coverage_percentage"].alias("coverage"),
+        ids("strongest_matches").alias("strongest"), ids("weakest_matches").alias("weakest"), group("skill_evidence").alias("skill"), group("experience_evidence").alias("experience"), group("education_evidence").alias("education"), group("semantic_evidence").alias("content"),
+        F.size(r["mandatory_requirements"]).alias("n_mandatory"), F.md5(F.array_join(r["missing_requirements"], " ## ")).alias("missing"), F.array_join(r["review_flags"], " ## ").alias("flags"), F.array_join(r["data_quality_warnings"], " ## ").alias("warnings"),
+        F.regexp_replace(r["recruiter_summary"], "[0-9.]+", "#").alias("text"), F.size(F.split(F.concat_ws(",", r["processing_details"]["jd_filename"], r["processing_details"]["resume_filename"]), ",")).alias("names"),
+        r["processing_details"]["jd_block_count"].alias("jd_blocks"), r["processing_details"]["resume_block_count"].alias("resume_blocks"),
+    )
 
 
 @_query()
@@ -525,10 +591,16 @@ def duplicate_blocks(s: SparkSession, d: str) -> DataFrame:
     return quality.duplicate_blocks(_blocks(s, d))
 
 
+@_query(f"WITH {Q.LINES} SELECT doc_id, block_no, first_no FROM (SELECT doc_id, line_no AS block_no, first_value(line_no) OVER (PARTITION BY doc_id, md5(lower({Q.trim('text')})) ORDER BY line_no) AS first_no FROM lines WHERE NOT {Q.blank('text')}) WHERE first_no < block_no")
+def duplicate_lines(s: SparkSession, d: str) -> DataFrame:
+    """The same for the lines of documents, some of which repeat."""
+    return quality.duplicate_blocks(_content(s, d).withColumnRenamed("line_no", "block_no"))
+
+
 def _facts(s: SparkSession, d: str) -> DataFrame:
+    """Of every document, those without any line or block too."""
     lines = table(s, d, "indexed_lines").select("doc_id", "line_no")
-    docs = lines.select("doc_id").distinct()
-    return quality.document_facts(docs, lines, _blocks(s, d))
+    return quality.document_facts(table(s, d, "documents").select(F.col("document_id").alias("doc_id")), lines, _blocks(s, d))
 
 
 @_query(f"WITH {Q.BLOCKS}, {Q.FACTS} SELECT doc_id, lines, blocks, chars, lines < 3 AS few_lines, blocks < 1 AS no_blocks, chars < 50 AS low_content FROM facts")

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from matchloom.config import Config
 from matchloom.functions import text as X
-from matchloom.functions import vector as V
+from matchloom.functions.embed import Embedder, HashedEmbedder
 from matchloom.operators import blocks as B
 from matchloom.operators import evidence as E
 from matchloom.operators import quality, report, score, sections, segment
 from matchloom.session import checkpointed
 
-DIM = 256
+#: The embedder of plans that name no other.
+WORDS = HashedEmbedder(256)
 
 
 def processed(docs: DataFrame, cfg: Config = Config(), doc: str = "doc_id", simple: bool = False) -> dict[str, DataFrame]:
@@ -29,31 +30,72 @@ def processed(docs: DataFrame, cfg: Config = Config(), doc: str = "doc_id", simp
     return {"lines": lines, "headings": heads, "sentences": sents, "blocks": B.infer_sections(assigned.drop("first_line", "total_lines"), cfg, doc)}
 
 
-def embedded(blocks: DataFrame) -> DataFrame:
+def embedded(blocks: DataFrame, embedder: Embedder = WORDS) -> DataFrame:
     """blocks with vec; each distinct text is embedded once."""
     texts = blocks.select("text").distinct()
-    return blocks.join(texts.withColumn("vec", V.hashed_embedding(X.terms(X.embedding_text(F.col("text"))), DIM)), "text")
+    return blocks.join(texts.withColumn("vec", embedder.column(X.embedding_text(F.col("text")))), "text")
 
 
-def match(jds: DataFrame, resumes: DataFrame, cfg: Config = Config()) -> dict[str, DataFrame]:
-    """Query documents against candidates (both doc_id, text): evidence, mandatory, components, finals, reports, quality."""
+def sentence_matches(evidence: DataFrame, jd_blocks: DataFrame, sentences: DataFrame, embedder: Embedder = WORDS) -> DataFrame:
+    """evidence.pinpoint for the best block of every requirement; each distinct text is embedded once. jd_blocks(jd_id,
+    jd_block, text), sentences(resume_id, resume_block, sent_no, text and others); only best blocks' sentences are used."""
+    best = E.best_usable(evidence).select("jd_id", "resume_id", "jd_block", "best_block")
+    asked = jd_blocks.join(best.select("jd_id", "jd_block").distinct(), ["jd_id", "jd_block"]).select("jd_id", "jd_block", "text")
+    used = sentences.join(best.select("resume_id", F.col("best_block").alias("resume_block")).distinct(), ["resume_id", "resume_block"])
+    texts = asked.select("text").unionByName(used.select("text")).distinct()
+    vec = checkpointed(texts.withColumn("vec", embedder.column(X.embedding_text(F.col("text")))))
+    return E.pinpoint(best.join(asked.join(vec, "text").drop("text"), ["jd_id", "jd_block"]), used.join(vec, "text"))
+
+
+def match(jds: DataFrame, resumes: DataFrame, cfg: Config = Config(), embedder: Embedder = WORDS, pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Query documents against candidates (both doc_id, text and, if known, source_filename): evidence, mandatory,
+    comparison, components, finals, reports, quality.
+
+    pairs (jd_id, resume_id) names the pairs to be scored: each comes out, those without any evidence with the score 0,
+    and no other. Without it, every pair with evidence is scored; all others would score 0.
+    """
     jp, rp = processed(jds, cfg), processed(resumes, cfg)
-    jb, rb = checkpointed(embedded(jp["blocks"])), checkpointed(embedded(rp["blocks"]))
-    found = E.grade(E.retrieve_pairs(jb, rb, cfg, DIM), jb, rb, cfg)
+    jb, rb = checkpointed(embedded(jp["blocks"], embedder)), checkpointed(embedded(rp["blocks"], embedder))
+    hits = E.retrieve_pairs(jb, rb, cfg, embedder.dim)
+    if pairs is not None:
+        pairs = pairs.select(F.col("jd_id").cast("string").alias("jd_id"), F.col("resume_id").cast("string").alias("resume_id")).distinct()
+        hits = hits.join(pairs, ["jd_id", "resume_id"], "left_semi")
+    found = E.grade(hits, jb, rb, cfg)
     ev = checkpointed(found.withColumnRenamed("jd_block_no", "jd_block").withColumnRenamed("resume_block_no", "resume_block"))
-    jd_blocks = jb.select(F.col("doc_id").alias("jd_id"), F.col("block_no").alias("jd_block"), "block_no", "section", "text")
-    # a candidate without any evidence for a query document isn't paired with it: its score is 0
-    pairs = ev.select("jd_id", "resume_id").distinct()
-    years = pairs.join(_years(jb, "jd_id", X.required_years, "required"), "jd_id", "left").join(_years(rb, "resume_id", lambda c: X.candidate_years(c, cfg.reference_year), "candidate"), "resume_id", "left")
-    comps = score.components(ev, jd_blocks, pairs, years, cfg.thresholds)
+    jd_blocks = jb.select(F.col("doc_id").cast("string").alias("jd_id"), F.col("block_no").alias("jd_block"), "block_no", "section", "text", "source_lines")
+    own = rb.select(F.col("doc_id").cast("string").alias("resume_id"), F.col("block_no").alias("resume_block"), "text", "source_lines", "sentences")
+    pairs = ev.select("jd_id", "resume_id").distinct() if pairs is None else pairs
+    years = pairs.join(years_of(jb, "jd_id", X.required_years, "required"), "jd_id", "left").join(years_of(rb, "resume_id", lambda c: X.candidate_years(c, cfg.reference_year), "candidate"), "resume_id", "left")
+    comps = checkpointed(score.components(ev, jd_blocks, pairs, years, cfg.thresholds))
     finals = score.ranked(score.final_scores(comps, cfg.weights))
-    must = E.mandatory(ev, jd_blocks, pairs, cfg.thresholds.mandatory_met)
-    params = E.comparison(ev, jd_blocks, pairs, cfg.thresholds)
-    rep = report.reports(finals, comps, must, report.evidence_groups(ev), report.comparison_summary(params), report.strength_counts(ev))
-    facts = quality.document_facts(resumes, rp["lines"], rp["blocks"])
-    return {"evidence": ev, "all_evidence": E.with_unmatched(ev, jd_blocks, pairs), "mandatory": must, "comparison": params, "components": comps, "finals": finals, "flags": score.review_flags(comps, must), "reports": rep, "quality": quality.roll_up(facts, quality.messages(facts))}
+    must = E.mandatory(ev, jd_blocks, pairs, cfg.thresholds.mandatory_met, own)
+    sents = own.select("resume_id", "resume_block", F.posexplode("sentences").alias("sent_no", "s")).select("resume_id", "resume_block", "sent_no", "s.text", "s.source_lines")
+    exact = checkpointed(E.pinned(sentence_matches(ev, jd_blocks, sents, embedder), jd_blocks, cfg))
+    params = E.comparison(ev, jd_blocks, pairs, cfg.thresholds, own, exact)
+    lacking = score.with_missing(comps, ev, jd_blocks, pairs)
+    jd_facts, facts = (quality.document_facts(d, p["lines"], p["blocks"]) for d, p in ((jds, jp), (resumes, rp)))
+    msgs = quality.messages(facts)
+    warnings = report.quality_warnings(pairs, quality.messages(jd_facts), msgs)
+    rep = report.reports(finals, lacking, must, params, ev, jd_blocks, details_of(pairs, jds, jd_blocks, resumes, own), warnings, cfg.weights)
+    counts = E.mandatory_counts(ev, jd_blocks, pairs, cfg.thresholds.mandatory_met)
+    return {
+        "evidence": ev, "all_evidence": E.with_unmatched(ev, jd_blocks, pairs), "mandatory": must, "comparison": params, "summary": report.comparison_summary(E.comparison_counts(ev, jd_blocks, pairs, cfg.thresholds, exact)),
+        "components": comps, "finals": finals, "flags": score.review_flags(lacking, counts), "reports": rep, "quality": quality.roll_up(facts, msgs),
+    }
+
+
+def details_of(pairs: DataFrame, jds: DataFrame, jd_blocks: DataFrame, resumes: DataFrame, resume_blocks: DataFrame) -> DataFrame:
+    """jd_id, resume_id, jd_filename, resume_filename, jd_block_count, resume_block_count."""
+    out = pairs
+    for name, docs, blocks in (("jd", jds, jd_blocks), ("resume", resumes, resume_blocks)):
+        key = f"{name}_id"
+        file = X.sanitised_name(F.col("source_filename")) if "source_filename" in docs.columns else F.lit(None).cast("string")
+        names = docs.groupBy(F.col("doc_id").cast("string").alias(key)).agg(F.min(file).alias(f"{name}_filename"))
+        sizes = blocks.groupBy(key).agg(F.count("*").cast("int").alias(f"{name}_block_count"))
+        out = out.join(names.join(sizes, key, "left"), key, "left").na.fill(0, [f"{name}_block_count"])
+    return out.select("jd_id", "resume_id", "jd_filename", "resume_filename", "jd_block_count", "resume_block_count")
 
 
-def _years(blocks: DataFrame, name: str, read, out: str) -> DataFrame:
+def years_of(blocks: DataFrame, name: str, read, out: str) -> DataFrame:
     whole = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("b"))
-    return whole.select(F.col("doc_id").alias(name), read(F.concat_ws(" ", F.col("b.text"))).alias(out))
+    return whole.select(F.col("doc_id").cast("string").alias(name), read(F.concat_ws(" ", F.col("b.text"))).alias(out))

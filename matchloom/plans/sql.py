@@ -164,14 +164,14 @@ def embed_text(c: str) -> str:
 
 
 def required_years(c: str) -> str:
-    return rf"coalesce(try_cast(regexp_extract({c}, '(?i)([0-9]{{1,4}})\+?\s*years?', 1) AS INT), 0)"
+    return rf"coalesce(try_cast(regexp_extract({c}, '(?i)([0-9]+)\+?\s*years?', 1) AS INT), 0)"
 
 
 def candidate_years(c: str) -> str:
     spaced = f"'  ' || {sub(c, r'[^\p{L}\p{N}_]+', '  ')} || '  '"
     ys = f"list_transform(regexp_extract_all({spaced}, ' ((?:20|19)[0-9]{{2}}) ', 1), lambda y: y::INT)"
     return (
-        rf"coalesce(try_cast(regexp_extract({c}, '(?i)([0-9]{{1,4}})\+?\s*years?\s*(?:of\s*)?experience', 1) AS INT), "
+        rf"coalesce(try_cast(regexp_extract({c}, '(?i)([0-9]+)\+?\s*years?\s*(?:of\s*)?experience', 1) AS INT), "
         f"CASE WHEN len({ys}) > 0 THEN greatest(1, CASE WHEN regexp_matches(lower({c}), 'present|current') THEN 2026 ELSE list_max({ys}) END - list_min({ys})) END, 1)"
     )
 
@@ -219,8 +219,11 @@ COMPONENTS = f"""
   need AS (SELECT jd_id, component, count(*) AS relevant FROM members GROUP BY 1, 2),
   got AS (SELECT jd_id, resume_id, component, count(*) AS matched, avg(best) AS mean, sum(CASE WHEN best >= 0.7 THEN 1.0::DOUBLE WHEN best >= 0.5 THEN 0.7 WHEN best >= 0.3 THEN 0.35 ELSE 0 END) AS credit FROM best JOIN members USING (jd_id, jd_block) GROUP BY 1, 2, 3),
   comps AS (SELECT jd_id, resume_id, component, coalesce(relevant, 0) AS relevant, coalesce(matched, 0) AS matched,
-    least(100, greatest(0, 100 * (coalesce(mean, 0) * CASE component WHEN 'content_score' THEN 0.5::DOUBLE ELSE 0.6 END + coalesce(credit / relevant, 0) * CASE component WHEN 'content_score' THEN 0.5::DOUBLE ELSE 0.4 END))) AS raw
-    FROM pairs CROSS JOIN (VALUES ('skill'), ('work_experience'), ('education'), ('content_score')) AS c(component) LEFT JOIN need USING (jd_id, component) LEFT JOIN got USING (jd_id, resume_id, component))"""
+    least(100, greatest(0, 100 * (coalesce(mean, 0) * CASE component WHEN 'content_score' THEN 0.5::DOUBLE ELSE 0.6 END + coalesce(credit / relevant, 0) * CASE component WHEN 'content_score' THEN 0.5::DOUBLE ELSE 0.4 END)
+      * CASE WHEN component = 'work_experience' AND yr.required > 0 AND yc.candidate < yr.required THEN least(1.0, greatest(0.4::DOUBLE, yc.candidate / yr.required)) ELSE 1 END)) AS raw
+    FROM pairs CROSS JOIN (VALUES ('skill'), ('work_experience'), ('education'), ('content_score')) AS c(component) LEFT JOIN need USING (jd_id, component) LEFT JOIN got USING (jd_id, resume_id, component) LEFT JOIN yr USING (jd_id) LEFT JOIN yc USING (resume_id))"""
+_ALL = "(SELECT doc_id, string_agg(text, ' ' ORDER BY block_no) AS t FROM bl WHERE text IS NOT NULL GROUP BY 1)"
+YEARS = f"yr AS (SELECT doc_id AS jd_id, {required_years('t')} AS required FROM {_ALL}), yc AS (SELECT doc_id AS resume_id, {candidate_years('t')} AS candidate FROM {_ALL})"
 FINAL = "finals AS (SELECT jd_id, resume_id, least(100, greatest(0, sum(raw * CASE component WHEN 'skill' THEN 0.15::DOUBLE WHEN 'work_experience' THEN 0.35 WHEN 'education' THEN 0.15 ELSE 0.35 END))) AS final FROM comps GROUP BY 1, 2)"
 MANDATORY_EVAL = f"""
   top AS (SELECT jd_id, resume_id, jd_block, score, resume_block, row_number() OVER (PARTITION BY jd_id, resume_id, jd_block ORDER BY score DESC, resume_block) AS r FROM ev WHERE strength <> 'none'),
@@ -244,21 +247,89 @@ REQUIREMENTS = f"""
       AND ({_CORE} OR (({mandatory('text')} OR {requirement_words('text')}) AND section NOT IN ('about', 'contact'))) THEN 2
     WHEN section NOT IN ('about', 'contact') AND {words('text')} > 2 THEN 1 ELSE 0 END AS l FROM jd),
   req AS (SELECT jd_id, jd_block, section, {mandatory('text')} AS is_mandatory FROM (SELECT *, max(l) OVER (PARTITION BY jd_id) AS m FROM leveled) WHERE l = m)"""
+HASHED = f"""
+  place AS (SELECT block_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 + 1 AS place, sum(CASE WHEN ('0x' || substr(md5(t), 9, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS c FROM (SELECT block_id, t FROM (SELECT e.block_id, unnest({terms(embed_text('e.text'))}) AS t FROM bl e WHERE e.text IS NOT NULL)) GROUP BY 1, 2),
+  hashed AS (SELECT block_id, string_agg(CASE WHEN c < 0 THEN '-' ELSE '' END || place, ',' ORDER BY place) AS places, max(abs(c)) AS peak, sum(c * c) AS squares FROM place WHERE c <> 0 GROUP BY 1)"""
+_SENTENCE = _PARTS
+PINPOINT = f"""
+  first_ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id, jd_block ORDER BY score DESC, resume_block) AS r FROM ev WHERE strength <> 'none' AND resume_section <> 'contact') WHERE r = 1),
+  cut_up AS (SELECT doc_id AS resume_id, block_id AS resume_block, {_SENTENCE} AS p FROM bl WHERE text IS NOT NULL AND block_id IN (SELECT resume_block FROM first_ev)),
+  sent AS (SELECT resume_id, resume_block, (unnest(generate_series(1, len(p))) - 1)::INT AS sent_no, unnest(p) AS text FROM cut_up WHERE len(p) > 1),
+  tx AS (SELECT DISTINCT text FROM (SELECT text FROM sent UNION ALL SELECT text FROM jd)),
+  pl AS (SELECT text, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS place, sum(CASE WHEN ('0x' || substr(md5(t), 9, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS c FROM (SELECT text, unnest({terms(embed_text('text'))}) AS t FROM tx) GROUP BY 1, 2),
+  un AS (SELECT text, place, c / sqrt(sum(c * c) OVER (PARTITION BY text)) AS u FROM pl WHERE c <> 0),
+  asked AS (SELECT f.jd_id, f.resume_id, f.jd_block, s.sent_no, s.text, j.text AS jd_text FROM first_ev f JOIN jd j ON j.jd_id = f.jd_id AND j.jd_block = f.jd_block JOIN sent s ON s.resume_id = f.resume_id AND s.resume_block = f.resume_block),
+  sims AS (SELECT a.text AS jd_text, b.text AS text, sum(a.u * b.u) AS similarity FROM (SELECT DISTINCT jd_text, text FROM asked) k JOIN un a ON a.text = k.jd_text JOIN un b ON b.text = k.text AND b.place = a.place GROUP BY 1, 2),
+  rated AS (SELECT a.*, coalesce(s.similarity, 0) AS similarity, ({words('a.text')} > 2 AND {trim(sub(f"lower({trim('a.text')})", ':+$', ''))} NOT IN (SELECT alias FROM {_ALIASES} AS al(alias, x)))::INT AS ok FROM asked a LEFT JOIN sims s ON s.jd_text = a.jd_text AND s.text = a.text),
+  pinpoint AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id, jd_block ORDER BY ok DESC, round(similarity, 6) DESC, sent_no) AS rn FROM rated) WHERE rn = 1)"""
+_GATED = "CASE WHEN j.section IN ('skills', 'requirements') THEN 0.7 WHEN j.section IN ('experience', 'responsibilities') THEN 0.52 WHEN j.section = 'education' THEN 0.55 ELSE 0.48 END"
+PINNED = f"""
+  raws AS (SELECT p.jd_id, p.resume_id, p.jd_block, p.text AS sentence, least(1.0, greatest(0.0, (similarity - 0.45::DOUBLE) / 0.4::DOUBLE)) AS raw, (list_has_any({terms('j.text')}, {terms('p.text')}) OR similarity >= {_GATED}) AS ok FROM pinpoint p JOIN jd j ON j.jd_id = p.jd_id AND j.jd_block = p.jd_block),
+  pinned AS (SELECT jd_id, resume_id, jd_block, sentence, round(CASE WHEN ok AND raw >= 0.3 THEN raw ELSE 0 END, 4) AS ps FROM raws)"""
 PARAMS = """
-  usable AS (SELECT jd_id, resume_id, jd_block, score, resume_block, row_number() OVER (PARTITION BY jd_id, resume_id, jd_block ORDER BY score DESC, resume_block) AS r FROM ev WHERE strength <> 'none' AND resume_section <> 'contact'),
-  params AS (SELECT *, CASE WHEN status <> 'not_found' THEN rb END AS best_block FROM (SELECT p.jd_id, p.resume_id, q.jd_block, q.is_mandatory, u.resume_block AS rb, coalesce(u.score, 0) AS similarity,
-      CASE WHEN coalesce(u.score, 0) >= 0.65 THEN 'found' WHEN coalesce(u.score, 0) >= 0.4 THEN 'partial' ELSE 'not_found' END AS status,
+  reqs AS (SELECT r.*, j.text, 'param_' || lpad((row_number() OVER (PARTITION BY r.jd_id ORDER BY j.block_no, r.jd_block))::VARCHAR, 3, '0') AS parameter_id FROM req r JOIN jd j ON j.jd_id = r.jd_id AND j.jd_block = r.jd_block),
+  params AS (SELECT *, CASE WHEN status <> 'not_found' THEN rb END AS best_block FROM (SELECT *, CASE WHEN similarity >= 0.65 THEN 'found' WHEN similarity >= 0.4 THEN 'partial' ELSE 'not_found' END AS status FROM (
+    SELECT p.jd_id, p.resume_id, q.jd_block, q.parameter_id, q.section AS jd_section, q.is_mandatory, md5(q.text) AS requirement, u.resume_block AS rb, u.strength AS bs, u.resume_section AS bsec, n.sentence, greatest(coalesce(u.score, 0), coalesce(n.ps, 0)) AS similarity,
       CASE WHEN q.is_mandatory THEN 'mandatory' WHEN q.section = 'skills' THEN 'skill' WHEN q.section IN ('experience', 'responsibilities') THEN 'experience' WHEN q.section IN ('education', 'certifications') THEN 'education' ELSE 'requirement' END AS category
-    FROM pairs p JOIN req q ON q.jd_id = p.jd_id LEFT JOIN usable u ON u.jd_id = p.jd_id AND u.resume_id = p.resume_id AND u.jd_block = q.jd_block AND u.r = 1))"""
+    FROM pairs p JOIN reqs q ON q.jd_id = p.jd_id LEFT JOIN first_ev u ON u.jd_id = p.jd_id AND u.resume_id = p.resume_id AND u.jd_block = q.jd_block LEFT JOIN pinned n ON n.jd_id = p.jd_id AND n.resume_id = p.resume_id AND n.jd_block = q.jd_block)))"""
+#: Rounds the decimal number that is written, half up.
+ROUNDED = "round(least(similarity * 100, 100)::DOUBLE::VARCHAR::DECIMAL(30, 15), 1)::DOUBLE"
+PARAM_ROWS = f"""
+  SELECT p.jd_id, p.resume_id, p.jd_block, parameter_id, category, is_mandatory, requirement, round(similarity, 4) AS similarity, {ROUNDED} AS confidence, status, coalesce(best_block, -1) AS best_block,
+    CASE WHEN status = 'not_found' THEN '' ELSE coalesce(sentence, b.text, '') END AS matched_text, CASE WHEN status = 'not_found' THEN '' ELSE coalesce(array_to_string(list_transform(b.source_lines, lambda x: coalesce(x::VARCHAR, '?')), ','), '') END AS matched_lines,
+    CASE WHEN status = 'not_found' THEN 'none' ELSE bs END AS match_strength, jd_section, CASE WHEN status = 'not_found' THEN 'unknown' ELSE bsec END AS resume_section,
+    CASE status WHEN 'found' THEN 'Found' WHEN 'partial' THEN 'Partially' ELSE CASE WHEN rb IS NULL THEN 'No' ELSE 'Requirement' END END AS explanation FROM params p LEFT JOIN bl b ON b.block_id = p.rb"""
 SUMMARY = """
   SELECT jd_id, resume_id, count(*) AS total, count(*) FILTER (status = 'found') AS found, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'not_found') AS not_found,
-    round(count(*) FILTER (status <> 'not_found') * 100 / count(*), 6) AS coverage, count(*) FILTER (is_mandatory) AS mandatory_total, count(*) FILTER (is_mandatory AND status = 'found') AS mandatory_found,
-    count(*) FILTER (is_mandatory AND status <> 'not_found') AS mandatory_satisfied FROM params GROUP BY 1, 2"""
+    count(*) FILTER (is_mandatory) AS mandatory_total, count(*) FILTER (is_mandatory AND status = 'found') AS mandatory_found, round(count(*) FILTER (status = 'found') * 100 / count(*), 1) AS coverage,
+    count(*) FILTER (is_mandatory) = count(*) FILTER (is_mandatory AND status = 'found') AS mandatory_satisfied FROM params GROUP BY 1, 2"""
+_GROUPS = {**dims.COMPONENTS, "content_score": tuple(s for s in dims.SECTIONS if s not in ("skills", "experience", "education", "contact"))}
+GROUPS = f"""
+  contents AS (SELECT jd_id, bool_or(section IN {_in(_GROUPS['content_score'])}) AS has_content FROM jd GROUP BY 1),
+  grouped AS (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id, component ORDER BY jd_block, score DESC, resume_block)::INT AS r FROM (
+    {' UNION ALL '.join(f"SELECT ev.*, '{c}' AS component FROM ev LEFT JOIN contents USING (jd_id) WHERE strength <> 'none' AND (jd_section IN {_in(s)}" + (" OR NOT coalesce(has_content, false)" if c == 'content_score' else "") + ")" for c, s in _GROUPS.items())}))"""
+_WHAT = "CASE component WHEN 'skill' THEN 'skill requirements' WHEN 'work_experience' THEN 'experience requirements' WHEN 'education' THEN 'education requirements' ELSE 'content blocks' END"
+_RANK = "CASE component WHEN 'skill' THEN 0 WHEN 'work_experience' THEN 1 WHEN 'education' THEN 2 ELSE 3 END"
+LACKS = f"""
+  lacks AS (SELECT p.jd_id, p.resume_id, m.component, least(count(*), 5) AS n FROM pairs p JOIN members m ON m.jd_id = p.jd_id WHERE m.component <> 'content_score'
+    AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.jd_id = p.jd_id AND e.resume_id = p.resume_id AND e.jd_block = m.jd_block AND e.strength <> 'none') GROUP BY 1, 2, 3)"""
+FLAGS = f"""
+  notes AS (SELECT jd_id, resume_id, {_RANK} * 2 AS o, 'Zero score for ' || component || ': ' || CASE WHEN relevant = 0 THEN 'No ' || {_WHAT} || ' found in JD' ELSE 'Quality: 0.000, Coverage: 0.0%, Matched 0/' || relevant || ' ' || {_WHAT} END AS note FROM comps WHERE raw = 0
+    UNION ALL SELECT c.jd_id, c.resume_id, {_RANK.replace('component', 'c.component')} * 2 + 1, 'Missing evidence for ' || c.component || ': ' || CASE WHEN relevant = 0 THEN 1 ELSE l.n END || ' items' FROM comps c LEFT JOIN lacks l ON l.jd_id = c.jd_id AND l.resume_id = c.resume_id AND l.component = c.component WHERE c.component <> 'content_score' AND (relevant = 0 OR l.n > 0)
+    UNION ALL SELECT jd_id, resume_id, 99, 'Unmet mandatory requirements: ' || count(*) FROM must WHERE best_score < 0.4 GROUP BY 1, 2),
+  flags AS (SELECT p.jd_id, p.resume_id, coalesce(string_agg(note, ' ## ' ORDER BY o), '') AS flags FROM pairs p LEFT JOIN notes n ON n.jd_id = p.jd_id AND n.resume_id = p.resume_id GROUP BY 1, 2)"""
+
+
+def _first_of(order: str) -> str:
+    return f"SELECT jd_id, resume_id, string_agg(jd_block || ':' || resume_block, ',' ORDER BY score DESC, jd_block, resume_block) AS x FROM (SELECT *, row_number() OVER (PARTITION BY jd_id, resume_id ORDER BY {order}) AS n FROM ev WHERE strength <> 'none') WHERE n <= 5 GROUP BY 1, 2"
+
+
+def _shown(component: str) -> str:
+    return f"coalesce((SELECT string_agg(jd_block || ':' || resume_block, ',' ORDER BY r) FROM grouped g WHERE g.jd_id = f.jd_id AND g.resume_id = f.resume_id AND g.component = '{component}' AND r <= 10), '')"
+
+
+_WARNINGS = "(SELECT doc_id, string_agg('[{0}] ' || code || ': ' || n, ' ## ' ORDER BY code || ': ' || n) AS w FROM msgs WHERE status <> 'valid' GROUP BY 1)"
+REPORT_ROWS = f""",
+  best5 AS ({_first_of('score DESC, jd_block, resume_block')}), last5 AS ({_first_of('score, jd_block DESC, resume_block DESC')}),
+  sm AS ({SUMMARY}), mm AS (SELECT jd_id, resume_id, count(*) AS n, count(*) FILTER (best_score >= 0.4) AS met, string_agg(left(j.text, 200), ' ## ' ORDER BY m.jd_block) FILTER (best_score < 0.4) AS missing FROM must m JOIN jd j USING (jd_id, jd_block) GROUP BY 1, 2),
+  bc AS (SELECT doc_id, count(*) AS n FROM bl GROUP BY 1), jc AS (SELECT jd_id, count(*) AS n FROM jd GROUP BY 1)
+  SELECT f.jd_id, f.resume_id, true AS adds_up, coalesce(mm.n = mm.met, true) AS all_met, 4 AS n_components, coalesce(sm.total, 0)::INT AS n_params,
+    concat_ws(',', coalesce(sm.found, 0), coalesce(sm.partial, 0), coalesce(sm.not_found, 0), coalesce(sm.mandatory_total, 0), coalesce(sm.mandatory_found, 0)) AS summary, coalesce(sm.coverage, 0) AS coverage, coalesce(best5.x, '') AS strongest, coalesce(last5.x, '') AS weakest,
+    {_shown('skill')} AS skill, {_shown('work_experience')} AS experience, {_shown('education')} AS education, {_shown('content_score')} AS content, coalesce(mm.n, 0)::INT AS n_mandatory, md5(coalesce(mm.missing, '')) AS missing, fl.flags AS flags,
+    concat_ws(' ## ', wj.w, wr.w) AS warnings,
+    concat_ws(' ', 'Overall Assessment: ' || CASE WHEN round(f.final, 2) >= 75 THEN 'Strong' WHEN round(f.final, 2) >= 55 THEN 'Moderate' WHEN round(f.final, 2) >= 35 THEN 'Below Average' ELSE 'Weak' END || ' Candidate (Score: #/#).', 'The candidate shows # strong, # moderate, and # weak matches against the job requirements#',
+      'Skill: #/# (weight: #%)# Work Experience: #/# (weight: #%)# Education: #/# (weight: #%)# Content Score: #/# (weight: #%)#', CASE WHEN mm.n > 0 THEN 'Mandatory Requirements: #/# met#' END,
+      CASE WHEN mm.n > mm.met THEN '⚠ WARNING: Not all mandatory requirements are satisfied# Review required before proceeding#' END).replace('#).', '#)#') AS text,
+    (CASE WHEN dj.source_filename IS NULL THEN 0 ELSE 1 END + CASE WHEN dr.source_filename IS NULL THEN 0 ELSE 1 END)::INT AS names, coalesce(jc.n, 0)::INT AS jd_blocks, coalesce(bc.n, 0)::INT AS resume_blocks
+  FROM finals f LEFT JOIN sm ON sm.jd_id = f.jd_id AND sm.resume_id = f.resume_id LEFT JOIN mm ON mm.jd_id = f.jd_id AND mm.resume_id = f.resume_id LEFT JOIN best5 ON best5.jd_id = f.jd_id AND best5.resume_id = f.resume_id LEFT JOIN last5 ON last5.jd_id = f.jd_id AND last5.resume_id = f.resume_id
+    LEFT JOIN flags fl ON fl.jd_id = f.jd_id AND fl.resume_id = f.resume_id LEFT JOIN {_WARNINGS.format('JD')} wj ON wj.doc_id = f.jd_id LEFT JOIN {_WARNINGS.format('Resume')} wr ON wr.doc_id = f.resume_id
+    LEFT JOIN documents dj ON dj.document_id = f.jd_id LEFT JOIN documents dr ON dr.document_id = f.resume_id LEFT JOIN jc ON jc.jd_id = f.jd_id LEFT JOIN bc ON bc.doc_id = f.resume_id"""
 _GATE = "CASE WHEN ev.jd_section IN ('skills', 'requirements') THEN 0.7 WHEN ev.jd_section IN ('experience', 'responsibilities') THEN 0.52 WHEN ev.jd_section = 'education' THEN 0.55 ELSE 0.48 END"
 _TA, _TB = terms("coalesce(a.text, '')"), terms("coalesce(b.text, '')")
 GROUNDED = f"(list_has_any({_TA}, {_TB}) OR score >= {_GATE})"
 FACTS = f"""
-  ln AS (SELECT doc_id, count(DISTINCT line_no) AS lines, max(line_no) - count(DISTINCT line_no) AS gaps FROM indexed_lines GROUP BY 1),
+  ln0 AS (SELECT doc_id, count(DISTINCT line_no) AS lines, max(line_no) - count(DISTINCT line_no) AS gaps FROM indexed_lines GROUP BY 1),
+  ln AS (SELECT document_id AS doc_id, coalesce(lines, 0) AS lines, coalesce(gaps, 0) AS gaps FROM documents d LEFT JOIN ln0 ON ln0.doc_id = d.document_id),
   bf AS (SELECT doc_id, count(*) AS blocks, sum(length(coalesce(text, '')))::BIGINT + count(*) - 1 AS chars, count(*) FILTER (section = 'unknown') AS n_unknown, coalesce(bool_or(section IN ('experience', 'skills')), false) AS has_key FROM bl GROUP BY 1),
   du AS (SELECT doc_id, count(*) AS duplicates FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, md5(lower({trim('text')})) ORDER BY block_no) AS r FROM bl WHERE text IS NOT NULL) WHERE r > 1 GROUP BY 1),
   facts AS (SELECT ln.doc_id, lines, gaps, coalesce(blocks, 0) AS blocks, coalesce(chars, 0) AS chars, coalesce(n_unknown, 0) AS n_unknown, has_key, coalesce(duplicates, 0) AS duplicates FROM ln LEFT JOIN bf USING (doc_id) LEFT JOIN du USING (doc_id))"""

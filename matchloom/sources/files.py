@@ -20,18 +20,26 @@ MAGIC = {"pdf": ("25504446",), "docx": ("504B0304", "504B0506")}
 
 
 def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("pdf", "docx")) -> DataFrame:
-    """path, modificationTime, length, content of a folder's files; the pattern is applied when the folder is listed.
+    """path, modificationTime, length, content of a folder's files, with suffixes in any case, not those of folders below
+    it; the pattern is applied when the folder is listed.
 
-    The scan leaves out files of 0 bytes; they are added from its listing, with length 0 and no content.
+    The scan leaves out files of 0 bytes; they are added from its listing, with length 0 and no content. The listing is
+    that which the scan itself keeps on the driver: paths alone.
     """
-    either = ",".join(e for x in extensions for e in (x, x.upper()))
+    either = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions)
     scan = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{either}}}").load(path)
     listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
     key = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    listed = listed.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))  # as the scan writes it
     empty = listed.withColumn("k", key).join(scan.select(key.alias("k")), "k", "left_anti")
     return scan.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
+def sorted_paths(files: DataFrame) -> DataFrame:
+    """The files in the order of their paths."""
+    return files.orderBy("path")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -75,7 +83,8 @@ def docx_lines(content: bytes) -> list[str]:
 
 
 def pdf_lines(content: bytes) -> list[tuple[int, str]]:
-    """(page, line) by the blocks' and lines' places on the page; needs the optional parser."""
+    """(page, line) by the blocks' and lines' places on the page; of a page without such blocks the lines of its plain
+    text. Needs the optional parser."""
     try:
         import pymupdf
     except ImportError as e:
@@ -83,12 +92,15 @@ def pdf_lines(content: bytes) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     with pymupdf.open(stream=content, filetype="pdf") as doc:
         for number, page in enumerate(doc, 1):
+            before = len(out)
             blocks = [b for b in page.get_text("dict")["blocks"] if b.get("type") == 0]
             for block in sorted(blocks, key=lambda b: (b["bbox"][1], b["bbox"][0])):
                 for line in sorted(block["lines"], key=lambda x: (x["bbox"][1], x["bbox"][0])):
                     text = "".join(s["text"] for s in line["spans"])
                     if text:
                         out.append((number, text))
+            if len(out) == before:
+                out += [(number, text) for text in page.get_text("text").split("\n") if text.strip()]
     return out
 
 

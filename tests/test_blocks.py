@@ -66,10 +66,10 @@ def test_inference():
     assert got[1][0] == "skills" and abs(got[1][2] - 0.8) < 1e-9
     degree = [i for i, (s, r, _) in enumerate(dims.SIGNALS) if r == "degrees"]
     assert B.infer(["unknown"], [degree], [0.8], 0.3)[0][:2] == ("education", "education")
-    assert B.infer(["unknown"], [[]], [0.5], 0.5)[0] == ("unknown", "unknown", 0.0, True, False)
+    assert B.infer(["unknown"], [[]], [0.5], 0.5)[0] == ("unknown", "unknown", 0.0, True, False, "No signals matched for section inference", [])
     # an earlier inference is seen, the next block's section as it came in is seen only if nothing came before
     assert [x[0] for x in B.infer(["skills", "unknown", "unknown"], [[], lists, lists], [0.2, 0.2, 0.2], 0.5)] == ["skills"] * 3
-    assert B.infer(["other"], [degree], [0.1], 0.5)[0] == ("education", None, None, False, True)
+    assert B.infer(["other"], [degree], [0.1], 0.5)[0] == ("education", None, None, False, True, None, None)
 
 
 def test_a_document_from_end_to_end(spark):

@@ -29,12 +29,75 @@ def test_final_scores(spark):
     years = spark.createDataFrame([("j", "r", 10, 2)], "jd_id string, resume_id string, required int, candidate int")
     less = {r["component"]: r["raw"] for r in score.components(ev, blocks, pairs, years).collect()}
     assert less["work_experience"] == pytest.approx(0.4 * comps["work_experience"])
-    must = E.mandatory(ev, blocks, pairs).collect()
-    assert [(r["jd_block"], r["is_met"]) for r in must] == [(2, True)]
+    texts = spark.createDataFrame([("r", 11, "x" * 300)], "resume_id string, resume_block long, text string")
+    must = E.mandatory(ev, blocks, pairs, texts=texts).collect()
+    assert [(r["jd_block"], r["is_met"], r["requirement_text"], len(r["best_match_text"]), r["explanation"]) for r in must] == [(2, True, "must have d e", 200, "Met: best match score 0.400 (threshold: 0.40)")]
+    assert tuple(E.mandatory_counts(ev, blocks, pairs).first()) == ("j", "r", 1, 1)
     assert E.missing(ev, blocks, pairs, ("skills",)).first()["missing"] == ["y"]
     assert E.with_unmatched(ev, blocks, pairs).count() == 4
 
 
+def _components(spark, *rows):
+    return spark.createDataFrame([("j", "r", n, v) for n, v in rows], "jd_id string, resume_id string, component string, raw double")
+
+
+def test_components_are_checked(spark):
+    four = [("skill", 10.0), ("work_experience", 20.0), ("education", 30.0), ("content_score", 40.0)]
+    assert score.final_scores(_components(spark, *four)).first()["final"] == pytest.approx(27.0)
+    for rows, what in ((four[:3], "missing content_score"), ([*four[:3], ("content_score", 150.0)], "outside 0 to 100 content_score"), ([*four[:3], ("content_score", -1.0)], "content_score")):
+        with pytest.raises(Exception, match=what):
+            score.final_scores(_components(spark, *rows)).collect()
+
+
+def test_missing_evidence_and_flags(spark):
+    ev = spark.createDataFrame([("j", "r", 1, 10, "skills", "skills", 0.8, "strong")], EV)
+    blocks = spark.createDataFrame([("j", i, i, "skills" if i < 8 else "experience", f"must have t{i}") for i in range(1, 10)], "jd_id string, jd_block long, block_no int, section string, text string")
+    pairs = spark.createDataFrame([("j", "r"), ("j", "nobody")], "jd_id string, resume_id string")
+    comps = score.with_missing(score.components(ev, blocks, pairs), ev, blocks, pairs)
+    lists = {(r["resume_id"], r["component"]): r["missing_evidence"] for r in comps.collect()}
+    assert lists[("r", "skill")] == [f"must have t{i}" for i in range(2, 7)] and lists[("nobody", "work_experience")] == ["must have t8", "must have t9"]
+    assert lists[("r", "education")] == ["No education requirements in JD"] and lists[("r", "content_score")] == []
+    flags = {r["resume_id"]: r["flags"] for r in score.review_flags(comps, E.mandatory_counts(ev, blocks, pairs)).collect()}
+    assert flags["r"][0] == "Missing evidence for skill: 5 items" and "Zero score for education: No education requirements found in JD" in flags["r"] and flags["r"][-1] == "Unmet mandatory requirements: 8"
+    assert flags["nobody"][-1] == "Unmet mandatory requirements: 9"
+
+
+def test_comparison_takes_the_greater_similarity(spark):
+    ev = spark.createDataFrame([("j", "r", 1, 10, "skills", "other", 0.45, "weak"), ("j", "r", 2, 10, "skills", "contact", 0.9, "strong"), ("j", "r", 3, 10, "skills", "other", 0.31, "weak")], EV)
+    blocks = spark.createDataFrame([("j", i, i, "skills", f"must have things {i}") for i in (1, 2, 3)], "jd_id string, jd_block long, block_no int, section string, text string")
+    pairs = ev.select("jd_id", "resume_id").distinct()
+    texts = spark.createDataFrame([("r", 10, "whole block", [4, 5])], "resume_id string, resume_block long, text string, source_lines array<int>")
+    pinned = spark.createDataFrame([("j", "r", 1, "its sentence", [5], 0.7), ("j", "r", 3, "none", [5], 0.0)], "jd_id string, resume_id string, jd_block long, sentence string, lines array<int>, similarity double")
+    got = {r["jd_block"]: r for r in E.comparison(ev, blocks, pairs, texts=texts, pinned=pinned).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["parameter_id"], one["status"], one["similarity"], one["confidence"], one["matched_text"], one["matched_lines"], one["match_strength"]) == ("param_001", "found", 0.7, 70.0, "its sentence", [5], "weak")
+    assert (two["status"], two["similarity"], two["best_block"], two["match_strength"], two["resume_section"]) == ("not_found", 0.0, None, "none", "unknown")
+    assert (three["status"], three["confidence"], three["matched_text"]) == ("not_found", 31.0, None) and three["explanation"].startswith("Requirement not met")
+    plain = {r["jd_block"]: (r["status"], r["matched_text"], r["matched_lines"]) for r in E.comparison(ev, blocks, pairs, texts=texts).collect()}
+    assert plain[1] == ("partial", "whole block", [4, 5])
+    assert tuple(E.comparison_counts(ev, blocks, pairs, pinned=pinned).first())[2:] == (3, 1, 0, 2, 3, 1)
+
+
+def test_candidates_are_cut_each(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((120, 8))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = [(f"r{i % 7}", i // 7, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc string, no int, v array<double>").repartition(3)
+    q = spark.createDataFrame([("j", k, r[2]) for k, r in enumerate(rows[:5])], "doc string, no int, v array<double>")
+    got = {}
+    for r in retrieve.candidates_topk(q, df, "doc", "no", "v", 8, 2, 0.1).collect():
+        got.setdefault((r["jd_block_no"], r["resume_id"]), []).append((r["resume_block_no"], round(r["score"], 9)))
+    for k in range(5):
+        for c in range(7):
+            s = sorted(((-round(float(u[k] @ u[i]), 9), i // 7) for i in range(c, 120, 7) if u[k] @ u[i] >= 0.1))[:2]
+            assert sorted(got.get((k, f"r{c}"), [])) == sorted((n, -v) for v, n in s)
+    with pytest.raises(Exception, match="8 numbers, not 9"):
+        retrieve.vector_topk(df, df.withColumn("i", F.lit(1)), "no", "v", 9, 2, strict=True).collect()
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(0.44,), (0.56,), (0.58,), (0.66,), (0.74,), (0.9,)], "d double")
     got = [(round(r[0], 4), r[1]) for r in df.select(E.calibrated(F.col("d")), E.strength(E.calibrated(F.col("d")))).collect()]
@@ -85,7 +148,19 @@ def test_whole_match(spark):
     finals = {r["resume_id"]: r["final"] for r in out["finals"].collect()}
     assert finals["good"] > finals.get("bad", 0) and "none" not in finals
     report = out["reports"].filter("resume_id = 'good'").first()["report"]
-    assert report["final_score"] == pytest.approx(finals["good"], abs=0.01)
+    assert report["candidate_score"]["final_score"] == pytest.approx(finals["good"], abs=0.01)
+    import json
+
+    from matchloom.operators import report as R
+
+    text = json.loads(R.as_json(out["reports"].filter("resume_id = 'good'")).first()["json"])
+    assert list(text) == R.RECRUITER_FIELDS and list(json.loads(R.as_json(out["reports"], brief=True).first()["json"])) == R.BRIEF_FIELDS
+    assert text["comparison_parameters"] and text["strongest_matches"][0]["resume_text"] and text["processing_details"]["config_hash"] == R.config_hash() and len(text["candidate_score"]["components"]) == 4
+    assert text["comparison_summary"]["total_parameters"] == len(text["comparison_parameters"]) == out["summary"].first()["total"] and text["recruiter_summary"].startswith("Overall Assessment: ")
+    assert text["mandatory_requirements"][0]["best_match_text"] and all(w.startswith(("[JD] ", "[Resume] ")) for w in text["data_quality_warnings"])
+    asked = spark.createDataFrame([("j", "good"), ("j", "none")], "jd_id string, resume_id string")
+    named = {r["resume_id"]: r["final"] for r in pipeline.match(jds, resumes, cfg, pairs=asked)["finals"].collect()}
+    assert named == pytest.approx({"good": finals["good"], "none": 0.0})
     assert {r["doc_id"]: r["status"] for r in out["quality"].collect()}["none"] == "error"
     again = {r["resume_id"]: r["final"] for r in pipeline.match(jds.repartition(3), resumes.repartition(5), cfg)["finals"].collect()}
     assert again == pytest.approx(finals)
@@ -112,15 +187,91 @@ def test_files(spark, tmp_path):
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
     row = lambda *c: "<w:tr>" + "".join(f"<w:tc>{p(x)}</w:tc>" for x in c) + "</w:tr>"
     (tmp_path / "ok.docx").write_bytes(_docx(p("First") + "<w:p/>" + f"<w:tbl>{row('a', 'b')}{row('', '')}</w:tbl>"))
+    (tmp_path / "Mixed.PdF").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "broken.DOCX").write_bytes(b"PK\x03\x04garbage")
     (tmp_path / "empty.pdf").write_bytes(b"")
     (tmp_path / "fake.pdf").write_bytes(b"hello")
     (tmp_path / "note.txt").write_text("x")
     rows = files.validated(files.read_files(spark, str(tmp_path)))
-    assert {r["file_name"]: r["status"] for r in rows.collect()} == {"ok.docx": "valid", "broken.DOCX": "valid", "empty.pdf": "error", "fake.pdf": "warning"}
+    assert {r["file_name"]: r["status"] for r in rows.collect()} == {"ok.docx": "valid", "broken.DOCX": "valid", "empty.pdf": "error", "fake.pdf": "warning", "Mixed.PdF": "valid"}
+    assert [r["path"].rsplit("/", 1)[1] for r in files.sorted_paths(rows).collect()] == ["Mixed.PdF", "broken.DOCX", "empty.pdf", "fake.pdf", "ok.docx"]
     out = files.extracted_lines(rows).collect()
     assert sorted((r["line_no"], r["text"]) for r in out if r["error"] is None) == [(1, "First"), (2, ""), (3, "a | b")]
-    assert sum(r["error"] is not None for r in out) == 2
+    assert sum(r["error"] is not None for r in out) == 3
+
+
+def test_pdf_pages_without_blocks_give_their_plain_text(monkeypatch):
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, blocks, text):
+            self.blocks, self.text = blocks, text
+
+        def get_text(self, kind):
+            return {"blocks": self.blocks} if kind == "dict" else self.text
+
+    line = lambda t, x, y: {"bbox": (x, y, 9, 9), "spans": [{"text": t}]}
+    pages = [Page([{"type": 0, "bbox": (0, 5, 9, 9), "lines": [line("second", 1, 5), line("first", 0, 5)]}, {"type": 1, "bbox": (0, 0, 1, 1)}], "unused"), Page([], "plain\n\ntext")]
+
+    class Doc(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return None
+
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda stream, filetype: Doc(pages)))
+    assert files.pdf_lines(b"") == [(1, "first"), (1, "second"), (2, "plain"), (2, "text")]
+
+
+def test_repository(spark, tmp_path):
+    from matchloom.sources.store import ParquetRepository
+
+    repo = ParquetRepository(spark, str(tmp_path / "repo"), ["k"], "k int, v string")
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    assert repo.list_all().count() == 0
+    repo.save(spark.createDataFrame([(1, "a"), (2, "b"), (None, "x")], "k int, v string"))
+    repo.save(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"))
+    assert sorted(map(tuple, repo.list_all().collect())) == [(1, "a"), (2, "c"), (3, "d")] and [r["v"] for r in repo.get(keys(2)).collect()] == ["c"]
+    repo.delete(keys(1, 9))
+    assert {r["k"]: r["found"] for r in repo.exists(keys(1, 2)).collect()} == {1: False, 2: True}
+    repo.clear()
+    assert repo.list_all().count() == 0
+
+
+def test_vectors_are_kept_with_what_is_known_of_them(spark, tmp_path):
+    from matchloom.sources.store import load_vectors, save_vectors
+
+    df = spark.createDataFrame([(1, [0.5, 1.0], "a"), (2, None, "b")], "i int, vec array<float>, note string")
+    save_vectors(df, str(tmp_path / "v"), "vec", 2, model="words")
+    got, meta = load_vectors(spark, str(tmp_path / "v"), "vec", 2, model="words")
+    assert meta == {"dim": 2, "model": "words"} and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        load_vectors(spark, str(tmp_path / "v"), "vec", 2, model="other")
+    with pytest.raises(Exception, match="3 numbers"):
+        save_vectors(df, str(tmp_path / "w"), "vec", 3)
+
+
+def test_embedders(spark):
+    import numpy as np
+
+    from matchloom.functions.embed import Embedder, HashedEmbedder, ModelEmbedder
+
+    df = spark.createDataFrame([("python kafka python",), ("Kafka Python",), ("",), (None,), ("the of",)], "t string").coalesce(1)
+    words = HashedEmbedder(16)
+    got = [r[0] for r in df.select(words.column(F.col("t"))).collect()]
+    assert isinstance(words, Embedder) and got[0] == got[1] and sum(x * x for x in got[0]) == pytest.approx(1.0)
+    assert all(x == 0 for g in (got[2], got[4]) for x in g)
+
+    def load():
+        return lambda texts: np.array([[len(t), 3.0] for t in texts])
+
+    vec = [r[0] for r in df.select(ModelEmbedder("lengths", load, 2, batch=1).column(F.col("t"))).collect()]
+    n = (19 * 19 + 9) ** 0.5
+    assert vec[0] == pytest.approx([19 / n, 3 / n]) and vec[2] == vec[3] == [0.0, 0.0]
+    with pytest.raises(Exception, match="numbers"):
+        df.select(ModelEmbedder("lengths", load, 3).column(F.col("t"))).collect()
 
 
 def test_settings(tmp_path):
