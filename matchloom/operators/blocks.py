@@ -17,6 +17,7 @@ from matchloom import dims
 from matchloom.config import Config
 from matchloom.functions import text as X
 from matchloom.operators import sections
+from matchloom.session import checkpointed
 
 #: Where an oversized sentence is cut, in this order.
 _DELIMITERS = (re.compile(r";\s*"), re.compile(r",\s+(?=(?:and|or|but|which|where|while)\b)"), re.compile(r",\s+"))
@@ -160,7 +161,8 @@ def infer_sections(blocks: DataFrame, cfg: Config, doc: str = "doc_id") -> DataF
     """blocks (with section and position) with sections inferred where unknown, and what was inferred. A document's
     blocks are gathered in one shuffle; only sections, signal numbers and positions leave the JVM."""
     hits = sections.signal_hits(F.col("text"))
-    rows = blocks.withColumn("hits", hits).withColumn("secondary_section", sections.secondary_section(F.col("section"), F.col("hits")))
+    # written once, since the fold reads it and what it gives is joined back to it
+    rows = checkpointed(blocks.withColumn("hits", hits).withColumn("secondary_section", sections.secondary_section(F.col("section"), F.col("hits"))))
     # only what the fold reads is gathered; the rest is joined back by document and number
     docs = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("block_no", "section", "hits", "position"))).alias("rows"))
 

@@ -62,9 +62,15 @@ def grade(pairs: DataFrame, jd_blocks: DataFrame, resume_blocks: DataFrame, cfg:
     return out.withColumn("uncertain", F.col("strength") == "weak").withColumn("explanation", why).withColumn("rank", F.row_number().over(w)).drop("exact")
 
 
+def per_pair(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each pair with the rows of its query document. The pairs are the side that is streamed, in sorted shuffles: they
+    outnumber the documents, and a broadcast of the pairs would leave the widened rows to the few tasks of `rows`."""
+    return pairs.hint("merge").join(rows, "jd_id")
+
+
 def with_unmatched(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """A row of strength none for every query block of a pair (jd_id, resume_id) that has no evidence: a left outer join."""
-    every = pairs.join(blocks.select("jd_id", "jd_block", F.col("section").alias("__section")), "jd_id")
+    every = per_pair(pairs, blocks.select("jd_id", "jd_block", F.col("section").alias("__section")))
     out = every.join(evidence, ["jd_id", "resume_id", "jd_block"], "left")
     return out.withColumn("jd_section", F.coalesce("jd_section", "__section")).drop("__section").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("strength", F.coalesce("strength", F.lit("none")))
 
@@ -79,7 +85,7 @@ def mandatory(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, met: flo
     mandatory block of each pair; texts of up to 200 characters. texts(resume_id, resume_block, text) gives the matched
     texts, without it they are null."""
     must = blocks.filter(X.is_mandatory(F.col("text"))).select("jd_id", "jd_block", F.left("text", F.lit(200)).alias("requirement_text"))
-    every = pairs.join(must, "jd_id")
+    every = per_pair(pairs, must)
     best = evidence.filter("strength <> 'none'").groupBy("jd_id", "resume_id", "jd_block").agg(F.max("score").alias("best_score"), F.min_by("resume_block", F.struct(-F.col("score"), "resume_block")).alias("best_block"))
     # only blocks that are mandatory fetch their matched texts
     best = best.join(must.select("jd_id", "jd_block"), ["jd_id", "jd_block"], "left_semi")
@@ -181,7 +187,7 @@ def comparison(evidence: DataFrame, blocks: DataFrame, pairs: DataFrame, t: Thre
         p = pinned.select("jd_id", "resume_id", "jd_block", "sentence", "lines", F.col("similarity").alias("__s"))
         best = best.join(p, ["jd_id", "resume_id", "jd_block"], "left")
         best = best.withColumn("similarity", F.greatest("similarity", F.coalesce("__s", F.lit(0.0)))).withColumn("matched_lines", F.when(F.col("sentence").isNotNull(), F.col("lines")).otherwise(F.col("matched_lines"))).withColumn("matched_text", F.coalesce("sentence", "matched_text")).drop("sentence", "lines", "__s")
-    out = pairs.join(req, "jd_id").join(best, ["jd_id", "resume_id", "jd_block"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    out = per_pair(pairs, req).join(best, ["jd_id", "resume_id", "jd_block"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     out = out.withColumn("confidence", F.round(F.least(F.col("similarity") * 100, F.lit(100.0)), 1)).withColumn("status", status(F.col("similarity"), t))
     hit = F.col("status") != "not_found"
     described = F.when(F.col("status") == "found", "Found in resume with strong evidence").otherwise("Partially found in resume")
@@ -223,7 +229,7 @@ def pinpoint(best: DataFrame, sentences: DataFrame) -> DataFrame:
     both = both.withColumn("key", X.trimmed(F.regexp_replace(F.lower(X.trimmed(F.col("text"))), ":+$", ""))).join(known, F.col("key") == F.col("alias"), "left")
     ok = ((X.word_count(F.col("text")) > 2) & F.col("alias").isNull()).cast("int")
     kept = [c for c in sentences.columns if c not in ("resume_id", "resume_block", "vec")]
-    rated = both.select("jd_id", "resume_id", "jd_block", *kept, V.dot(F.col("vec"), F.col("svec")).alias("similarity"), ok.alias("ok"))
+    rated = both.select("jd_id", "resume_id", "jd_block", *kept, V.dot_arrow(F.col("vec"), F.col("svec")).alias("similarity"), ok.alias("ok"))
     first = F.struct("ok", F.round("similarity", 6).alias("s"), (-F.col("sent_no")).alias("n"))
     return rated.groupBy("jd_id", "resume_id", "jd_block").agg(F.max_by(F.struct(*kept, "similarity"), first).alias("s")).select("jd_id", "resume_id", "jd_block", "s.*")
 

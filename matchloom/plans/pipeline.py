@@ -41,7 +41,8 @@ def sentence_matches(evidence: DataFrame, jd_blocks: DataFrame, sentences: DataF
     jd_block, text), sentences(resume_id, resume_block, sent_no, text and others); only best blocks' sentences are used."""
     best = E.best_usable(evidence).select("jd_id", "resume_id", "jd_block", "best_block")
     asked = jd_blocks.join(best.select("jd_id", "jd_block").distinct(), ["jd_id", "jd_block"]).select("jd_id", "jd_block", "text")
-    used = sentences.join(best.select("resume_id", F.col("best_block").alias("resume_block")).distinct(), ["resume_id", "resume_block"])
+    wanted = best.select("resume_id", F.col("best_block").alias("resume_block")).distinct()
+    used = checkpointed(sentences.join(wanted, ["resume_id", "resume_block"]))  # read twice below
     texts = asked.select("text").unionByName(used.select("text")).distinct()
     vec = checkpointed(texts.withColumn("vec", embedder.column(X.embedding_text(F.col("text")))))
     return E.pinpoint(best.join(asked.join(vec, "text").drop("text"), ["jd_id", "jd_block"]), used.join(vec, "text"))
