@@ -2,17 +2,18 @@
 
 Values are deduplicated twice, as written and as normalised, so each distinct spelling is scored once. Both sides are
 cut into character n-grams; an inverted index from n-gram to list entries retrieves the candidates, whose weighted
-cosine follows from the same join. The best candidate is accepted above a threshold and with a margin over the next;
+cosine is then added up. Only the rarest n-grams of either side generate candidates, which loses none that reaches the
+threshold. The best candidate is accepted above a threshold and with a margin over the next;
 between the two thresholds an edit distance that knows abbreviations and misread characters decides.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 import regex
@@ -138,6 +139,38 @@ def _word_fit(word: str, target: str, abbreviated: bool) -> float:
 _EXTRA = frozenset("my our your mein meine unser unsere mon mes notre nos mi mis nuestro nuestra".split())
 
 
+def best_assignment(gain: list[list[float]]) -> list[int]:
+    """The column of each row, each column once, with the greatest sum of gains: shortest augmenting paths, for any size."""
+    n = len(gain)
+    u, v, owner = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)  # rows and columns count from 1
+    for i in range(1, n + 1):
+        owner[0], col = i, 0
+        low, back, done = [math.inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[col]:
+            done[col], row, step, nxt = True, owner[col], math.inf, 0
+            for j in range(1, n + 1):
+                if not done[j]:
+                    rest = -gain[row - 1][j - 1] - u[row] - v[j]
+                    if rest < low[j]:
+                        low[j], back[j] = rest, col
+                    if low[j] < step:
+                        step, nxt = low[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    low[j] -= step
+            col = nxt
+        while col:
+            owner[col] = owner[back[col]]
+            col = back[col]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[owner[j] - 1] = j - 1
+    return out
+
+
 def _reading(vw: list[str], ew: list[str]) -> float:
     a, b = "".join(vw).replace(".", ""), "".join(ew)
     whole = max(0.0, 1 - distance(a, b) / max(len(a), len(b), 1))
@@ -150,13 +183,7 @@ def _reading(vw: list[str], ew: list[str]) -> float:
     if len(vw) != len(ew):
         return whole
     fits = [[_word_fit(w.rstrip("."), t, w.endswith(".")) for t in ew] for w in vw]
-    if len(ew) <= 4:
-        order = max(permutations(range(len(ew))), key=lambda o: sum(fits[i][j] * len(ew[j]) for i, j in enumerate(o)))
-    else:  # in turn, each word takes the best of what is left
-        left, order = set(range(len(ew))), []
-        for row in fits:
-            order.append(max(left, key=lambda j: (row[j], -j)))
-            left.remove(order[-1])
+    order = best_assignment([[f * len(t) for f, t in zip(row, ew, strict=True)] for row in fits])
     total = sum(fits[i][j] * len(ew[j]) for i, j in enumerate(order))
     worst = min((fits[i][j] for i, j in enumerate(order) if len(ew[j]) > 3), default=1.0)
     # one word that is another one spoils the reading, however long the others are
@@ -204,6 +231,14 @@ def _grams(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
+def _heads(grams: DataFrame, key: str, weight: str, need: Column) -> DataFrame:
+    """key, gram: the rarest n-grams of each key, until the length of what is left, each one's own weight included, falls
+    below `need` (less a little, for rounding)."""
+    left = Window.partitionBy(key).orderBy(F.asc("idf"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(left))
+    return grams.withColumn("__rest", rest).filter(F.col("__rest") >= need * (1 - 1e-9)).select(key, "gram")
+
+
 def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry: str, retrieve: float = 0.25, accept: float = 0.9, check: float = 0.74, margin: float = 0.03) -> DataFrame:
     """Every distinct value of `value` with the entry it spells: value, entry_id (null: none), cosine, spelling, score.
 
@@ -233,7 +268,14 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
     known = bounded_broadcast(index.select("gram", "idf").distinct())
     weight = F.col("n") * F.coalesce("idf", F.col("max_idf"))
     norms = grams.join(known, "gram", "left").join(F.broadcast(rarest)).groupBy("__t").agg(F.sqrt(F.sum(weight * weight)).alias("nt"))
-    dots = grams.join(bounded_broadcast(index), "gram").groupBy("__t", "__e").agg(F.sum(F.col("n") * F.col("idf") * F.col("we")).alias("dot"))
+    # In one order of n-grams, the rarest first, a pair that reaches `retrieve` shares one of those after which the rest of
+    # either side is still long enough. Only these generate candidates, so common n-grams' long lists are left alone.
+    lengths = norms.select("__t", (F.lit(retrieve) * F.col("nt")).alias("need"))
+    weighed = grams.join(known, "gram").select("__t", "gram", "idf", (F.col("n") * F.col("idf")).alias("w"))
+    asked = _heads(weighed.join(lengths, "__t"), "__t", "w", F.col("need"))
+    listed = _heads(index.withColumnRenamed("we", "w"), "__e", "w", F.lit(retrieve))
+    pairs = asked.join(bounded_broadcast(listed), "gram").select("__t", "__e").distinct()
+    dots = pairs.join(weighed, "__t").join(bounded_broadcast(index.select("__e", "gram", "we")), ["__e", "gram"]).groupBy("__t", "__e").agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
     scored = dots.join(norms, "__t").select("__t", "__e", (F.col("dot") / F.col("nt")).alias("cosine")).filter(F.col("cosine") >= retrieve)
     scored = scored.withColumn("spelling", _checked(F.col("__t"), F.col("__e"))).withColumn("score", F.greatest("spelling", "cosine"))
     w = Window.partitionBy("__t").orderBy(F.desc(F.round("score", 9)), F.desc(F.round("cosine", 9)), "__e")

@@ -39,3 +39,53 @@ def test_empty_sides(spark):
 
 def test_distance():
     assert C.distance("abcd", "abdc") == 1 and C.distance("abc", "abc") == 0 and C.distance("cat", "eat") == 0.5 and C.distance("", "abc") == 3
+
+
+def test_assignment_against_all_orders():
+    import random
+    from itertools import permutations
+
+    rng = random.Random(6)
+    for n in (1, 2, 3, 5, 6):
+        for _ in range(40):
+            gain = [[rng.choice([0.0, 0.5, 1.0, rng.random()]) for _ in range(n)] for _ in range(n)]
+            got = C.best_assignment(gain)
+            assert sorted(got) == list(range(n))
+            assert sum(gain[i][j] for i, j in enumerate(got)) == pytest.approx(max(sum(gain[i][j] for i, j in enumerate(o)) for o in permutations(range(n))))
+    # a fifth word is read as the fourth was
+    assert C.spelling("of courses and training list", "list of training and courses") == 1.0
+
+
+def test_rare_ngrams_lose_no_candidate(spark):
+    """Every pair whose weighted cosine reaches the threshold comes out of the heads of the lists alone."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    entries = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
+    values = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(50)})
+
+    def grams(t):
+        pad = f" {t} "
+        out = [pad[i : i + 3] for i in range(len(pad) - 2)]
+        out += [pad[i : i + 2] for i in range(len(pad) - 1)] if len(t) <= 6 else []
+        tight = f" {t.replace(' ', '')} "
+        return Counter(out + [tight[i : i + 2] for i in range(len(tight) - 1)])
+
+    df = Counter(g for e in entries for g in grams(e))
+    idf = lambda g: math.log((len(entries) + 1) / df.get(g, 1))
+    vec = lambda t: {g: n * idf(g) for g, n in grams(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    best = {}
+    for v in values:
+        a = vec(v)
+        for e in entries:
+            b = vec(e)
+            c = sum(x * b.get(g, 0.0) for g, x in a.items()) / (norm(a) * norm(b))
+            if c >= 0.9:
+                best[v] = max(best.get(v, 0.0), c)
+    table = spark.createDataFrame(list(enumerate(entries)), "i int, e string")
+    got = {r["v"]: r["cosine"] for r in C.map_values(spark.createDataFrame([(v,) for v in values], "v string"), "v", table, "i", "e").collect()}
+    assert best and all(got[v] == pytest.approx(c) for v, c in best.items())
