@@ -87,6 +87,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_with_lines(table(spark, d, "blocks"), "block_id", "text", "doc_id", "source_lines", table(spark, d, "indexed_lines"), "doc_id", "line_no", "text", PIECE, OVERLAP)
 
 
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces without their overlaps make up each text again, none is longer than it may be."""
+    cut = pieces.split_oversized(table(spark, d, "blocks"), "block_id", "text", PIECE, OVERLAP)
+    own = F.struct("piece_no", F.expr("substring(text, overlap + 1)").alias("t"))
+    whole = cut.groupBy("block_id").agg(F.array_sort(F.collect_list(own)).alias("p"), F.max(F.char_length("text")).alias("longest"), F.max("overlap").alias("most"))
+    return whole.select("block_id", F.md5(F.array_join("p.t", "")).alias("digest"), ((F.col("longest") <= PIECE) & (F.col("most") <= OVERLAP)).alias("within"))
+
+
 def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", *columns, "text")).select("doc_id", *columns, binpack.token_count("text").alias("tokens"))
 
@@ -101,6 +109,16 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return bins.agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"), F.max("fill").alias("fullest"), F.round(F.sum("fill") / (F.count("*") * CAPACITY), 6).alias("used"))
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every text is packed, none is over its capacity, only texts beyond it are cut."""
+    parts = checkpointed(p7_containers(spark, d))
+    docs = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    bins = parts.groupBy("container").agg(F.sum("size").alias("fill"))
+    a = docs.agg(F.count("*").alias("documents"), F.count_if(F.col("n") != F.ceil(F.col("tokens") / CAPACITY)).alias("needlessly_cut"))
+    b = bins.agg(F.count_if(F.col("fill") > CAPACITY).alias("overfull"), (F.sum("fill") >= 0.9 * CAPACITY * F.greatest(F.count("*") - 1, F.lit(0))).alias("well_filled"))
+    return a.join(b)  # one row each
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     mixture, _ = mixing.mix(checkpointed(_sized(spark, d, "source")), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
     return mixture.select("doc_id", "source", F.col("__size").alias("tokens"), F.col("__copy").alias("copy_no"), F.col("__position").alias("position"))
@@ -111,6 +129,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return report
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture, for each target source: no document more often than it may be."""
+    copies = p8_mixture(spark, d).groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("different")).join(F.broadcast(table(spark, d, "mix_targets")), "source")
+    seen = copies.groupBy("source").agg(F.count_if((F.col("n") > F.col("max_repeats")) | (F.col("n") != F.col("different"))).alias("too_often"))
+    return table(spark, d, "mix_targets").select("source").distinct().join(seen, "source", "left").select("source", F.coalesce("too_often", F.lit(0)).alias("too_often"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     kinds = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", quality.kind_of("text").alias("doc_kind"))
     return kinds.filter(F.col("doc_kind").isin("list", "table", "junk"))
@@ -121,7 +146,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p3_found, p3_sections, p4_found, p4_redacted, p5_found, p6_found, p6_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_sentences, p2_resplit, p3_found, p3_sections, p4_found, p4_redacted, p5_found, p6_found, p6_pieces, p6_roundtrip, p7_containers, p7_fill, p7_limits, p8_mixture, p8_shares, p8_limits, p9_found, p9_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -135,4 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": r"""
             SELECT DISTINCT block_id, CASE WHEN regexp_matches(text, '[^\s\p{Z}。！？；、，।]{601}') THEN 'hard' ELSE 'soft' END AS cut_kind
             FROM blocks WHERE length(text) > 600""",
+        "p6_roundtrip": "SELECT DISTINCT block_id, md5(text) AS digest, true AS within FROM blocks WHERE length(text) > 600",
+        "p7_limits": "SELECT count(*) AS documents, 0 AS needlessly_cut, 0 AS overfull, true AS well_filled FROM documents WHERE text <> ''",
+        "p8_limits": "SELECT DISTINCT source, 0 AS too_often FROM mix_targets",
     }
