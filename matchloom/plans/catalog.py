@@ -330,6 +330,14 @@ def vector_topk(s: SparkSession, d: str) -> DataFrame:
     return _topk(s, d).select("query", "item", "rank", F.round("score", 6).alias("score"))
 
 
+@_query(f"WITH {Q.BLOCK_TOPK} SELECT query, item, rank, round(score, 6) AS score FROM topk")
+def block_topk(s: SparkSession, d: str) -> DataFrame:
+    """The same among the blocks' vectors, of any length, each block once: 5 hits for each query."""
+    v = table(s, d, "block_vectors").filter("size(embedding) = 64 and exists(embedding, x -> x <> 0)").dropDuplicates(["block_id"])
+    hits = retrieve.vector_topk(v.filter("block_id % 20 = 0"), v, "block_id", "embedding", 64, 5)
+    return hits.select("query", "item", "rank", F.round("score", 6).alias("score"))
+
+
 def _boosted(s: SparkSession, d: str) -> DataFrame:
     v = _vectors(s, d)
     hits = _topk(s, d).join(v.select(F.col("vec_id").alias("query"), F.col("section").alias("jd_section")), "query").join(v.select(F.col("vec_id").alias("item"), F.col("section").alias("resume_section")), "item")

@@ -188,6 +188,11 @@ TOPK = """
   unit AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)),
   topk AS (SELECT query, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, item)::INT AS rank
     FROM (SELECT a.vec_id AS query, b.vec_id AS item, list_inner_product(a.u, b.u) AS score FROM unit a JOIN unit b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 20)"""
+BLOCK_TOPK = """
+  usable AS (SELECT block_id, any_value(embedding::DOUBLE[]) AS v FROM block_vectors WHERE len(embedding) = 64 GROUP BY 1),
+  unit AS (SELECT block_id, list_transform(v, lambda x: x / n) AS u FROM (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM usable) WHERE n > 0),
+  topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, item)::INT AS rank
+    FROM (SELECT a.block_id AS query, b.block_id AS item, list_inner_product(a.u, b.u) AS score FROM unit a JOIN unit b ON a.block_id <> b.block_id WHERE a.block_id % 20 = 0)) WHERE rank <= 5)"""
 BOOST = f"""
   sec AS (SELECT vec_id, {_LABEL} AS section FROM embeddings),
   boost AS (SELECT query, item, CASE WHEN a.section = b.section AND a.section <> 'unknown' THEN least(score + 0.05, 1.0) ELSE score END AS boosted
