@@ -2,8 +2,8 @@
 
 Values are deduplicated twice, as written and as normalised, so each distinct spelling is scored once. Both sides are
 cut into character n-grams; an inverted index from n-gram to list entries retrieves the candidates, whose weighted
-cosine is then added up. Only the rarest n-grams of either side generate candidates, which loses none that reaches the
-threshold. The best candidate is accepted above a threshold and with a margin over the next;
+cosine is then added up. Where lists are long, only the rarest n-grams of either side generate candidates, which loses
+none that reaches the threshold. The best candidate is accepted above a threshold and with a margin over the next;
 between the two thresholds an edit distance that knows abbreviations and misread characters decides.
 """
 
@@ -239,9 +239,10 @@ def _heads(grams: DataFrame, key: str, weight: str, need: Column) -> DataFrame:
     return grams.withColumn("__rest", rest).filter(F.col("__rest") >= need * (1 - 1e-9)).select(key, "gram")
 
 
-def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry: str, retrieve: float = 0.25, accept: float = 0.9, check: float = 0.74, margin: float = 0.03) -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, entry: str, retrieve: float = 0.25, accept: float = 0.9, check: float = 0.74, margin: float = 0.03, long_list: int = 1000) -> DataFrame:
     """Every distinct value of `value` with the entry it spells: value, entry_id (null: none), cosine, spelling, score.
 
+    Where an n-gram stands in more than `long_list` entries, only rare n-grams look candidates up; the result is the same.
     A candidate shares n-grams with the value to a weighted cosine of `retrieve` or more. A cosine of `accept` settles
     it; below, the candidate must spell the entry to `check` or more. The best must lead the next by `margin`.
     Null values are left out, values that are empty after normalisation match nothing, an entry given several times
@@ -268,14 +269,19 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
     known = bounded_broadcast(index.select("gram", "idf").distinct())
     weight = F.col("n") * F.coalesce("idf", F.col("max_idf"))
     norms = grams.join(known, "gram", "left").join(F.broadcast(rarest)).groupBy("__t").agg(F.sqrt(F.sum(weight * weight)).alias("nt"))
-    # In one order of n-grams, the rarest first, a pair that reaches `retrieve` shares one of those after which the rest of
-    # either side is still long enough. Only these generate candidates, so common n-grams' long lists are left alone.
-    lengths = norms.select("__t", (F.lit(retrieve) * F.col("nt")).alias("need"))
-    weighed = grams.join(known, "gram").select("__t", "gram", "idf", (F.col("n") * F.col("idf")).alias("w"))
-    asked = _heads(weighed.join(lengths, "__t"), "__t", "w", F.col("need"))
-    listed = _heads(index.withColumnRenamed("we", "w"), "__e", "w", F.lit(retrieve))
-    pairs = asked.join(bounded_broadcast(listed), "gram").select("__t", "__e").distinct()
-    dots = pairs.join(weighed, "__t").join(bounded_broadcast(index.select("__e", "gram", "we")), ["__e", "gram"]).groupBy("__t", "__e").agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
+    longest = index.groupBy("gram").count().agg(F.max("count")).first()[0] or 0
+    if longest <= long_list:
+        # every n-gram's list is short: one join finds the candidates and adds up their products
+        dots = grams.join(bounded_broadcast(index), "gram").groupBy("__t", "__e").agg(F.sum(F.col("n") * F.col("idf") * F.col("we")).alias("dot"))
+    else:
+        # In one order of n-grams, the rarest first, a pair that reaches `retrieve` shares one of those after which the
+        # rest of either side is still long enough. Only these generate candidates, so long lists are left alone.
+        weighed = grams.join(known, "gram").select("__t", "gram", "idf", (F.col("n") * F.col("idf")).alias("w"))
+        lengths = norms.select("__t", (F.lit(retrieve) * F.col("nt")).alias("need"))
+        asked = _heads(weighed.join(lengths, "__t"), "__t", "w", F.col("need"))
+        listed = _heads(index.withColumnRenamed("we", "w"), "__e", "w", F.lit(retrieve))
+        pairs = asked.join(bounded_broadcast(listed), "gram").select("__t", "__e").distinct()
+        dots = pairs.join(weighed, "__t").join(bounded_broadcast(index.select("__e", "gram", "we")), ["__e", "gram"]).groupBy("__t", "__e").agg(F.sum(F.col("w") * F.col("we")).alias("dot"))
     scored = dots.join(norms, "__t").select("__t", "__e", (F.col("dot") / F.col("nt")).alias("cosine")).filter(F.col("cosine") >= retrieve)
     scored = scored.withColumn("spelling", _checked(F.col("__t"), F.col("__e"))).withColumn("score", F.greatest("spelling", "cosine"))
     w = Window.partitionBy("__t").orderBy(F.desc(F.round("score", 9)), F.desc(F.round("cosine", 9)), "__e")

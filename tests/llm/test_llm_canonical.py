@@ -87,5 +87,11 @@ def test_rare_ngrams_lose_no_candidate(spark):
             if c >= 0.9:
                 best[v] = max(best.get(v, 0.0), c)
     table = spark.createDataFrame(list(enumerate(entries)), "i int, e string")
-    got = {r["v"]: r["cosine"] for r in C.map_values(spark.createDataFrame([(v,) for v in values], "v string"), "v", table, "i", "e").collect()}
-    assert best and all(got[v] == pytest.approx(c) for v, c in best.items())
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    every = []
+    for long_list in (0, 1000):
+        rows = C.map_values(df, "v", table, "i", "e", long_list=long_list).collect()
+        got = {r["v"]: r["cosine"] for r in rows}
+        assert best and all(got[v] == pytest.approx(c) for v, c in best.items())
+        every.append(sorted((r["v"], r["i"], None if r["cosine"] is None else round(r["cosine"], 9)) for r in rows))
+    assert every[0] == every[1]
