@@ -32,24 +32,37 @@ FUNCTION_WORDS = {
     "hi": "है में के की का को से और ने पर था थे हैं यह कि तक एक भी हो मैंने हमारे आप".split(),
     "ar": "في من على إلى عن أن مع هذا التي كان ثم أجل بين لا ما هل قال".split(),
 }
-_FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
+#: The languages of profiles; the last stands for scripts without spaces.
+LANGUAGES = (*FUNCTION_WORDS, "caseless")
+#: Each function word with its languages and what it counts for each.
+_FUNCTION: dict[str, tuple[tuple[int, float], ...]] = {
+    w: tuple((k, 1 / sum(w in ws for ws in FUNCTION_WORDS.values())) for k, ws in enumerate(FUNCTION_WORDS.values()) if w in ws) for w in {w for ws in FUNCTION_WORDS.values() for w in ws}
+}
 #: Marks and endings that prose in scripts without spaces uses all the time.
 _CASELESS_FUNCTION = regex.compile(r"[的了是在和与我您从到]|[はがをにでとのもし]|です|ます|ました|การ|และ|ใน|ที่|ของ|จาก|คน|ได้|มี|ให้|เป็น|ว่า|กับ|ไม่|จะ|แล้ว|โดย|อยู่|ต้อง|เพื่อ|ความ|แต่|ซึ่ง|หรือ")
 
 _LETTER_CLASSES = {**{c: 0 for c in "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"}, **{c: 1 for c in "bcdfghjklmnpqrstvwxzçñß"}}
 CLASSES = ("vowel", "consonant", "cluster", "other_letter", "digit", "sentence_mark", "delimiter", "symbol")
-#: Shares of CLASSES in running text and structures; the last number is the share of function words among the words.
-#: Entries are the lines of a post held or of contacts: neither prose nor items.
+#: Means over the paragraphs of a hundred documents of each kind: shares of CLASSES, then those of each language's function
+#: words among the words of its prose, or of all function words in structures. Entries are the lines of a post held or of
+#: contacts: neither prose nor items.
+_LATIN = (0.364, 0.513, 0.022, 0.002, 0.046, 0.026, 0.020, 0.007)
+_INDIC, _INDIC_ONLY = (0.053, 0.084, 0.007, 0.751, 0.058, 0.032, 0.007, 0.008), (0.004, 0.006, 0.003, 0.942, 0.012, 0.025, 0.006, 0.002)
 PROFILES = {
-    "prose_latin": ((0.364, 0.513, 0.022, 0.002, 0.046, 0.026, 0.020, 0.007), 0.34),
-    "prose_han": ((0.084, 0.139, 0.014, 0.576, 0.083, 0.054, 0.034, 0.016), 0.21),
-    "prose_kana": ((0.063, 0.105, 0.011, 0.667, 0.075, 0.048, 0.019, 0.012), 0.43),
-    "prose_thai": ((0.035, 0.058, 0.004, 0.829, 0.059, 0.010, 0.003, 0.002), 0.12),
-    "prose_indic": ((0.053, 0.084, 0.007, 0.751, 0.058, 0.032, 0.007, 0.008), 0.25),
-    "prose_han_only": ((0.004, 0.006, 0.004, 0.890, 0.020, 0.050, 0.024, 0.002), 0.21),
-    "prose_kana_only": ((0.004, 0.006, 0.006, 0.912, 0.020, 0.040, 0.010, 0.002), 0.43),
-    "prose_thai_only": ((0.004, 0.006, 0.003, 0.970, 0.012, 0.002, 0.001, 0.002), 0.12),
-    "prose_indic_only": ((0.004, 0.006, 0.003, 0.942, 0.012, 0.025, 0.006, 0.002), 0.22),
+    "prose_en": (_LATIN, {"en": 0.34, "de": 0.007, "es": 0.005}),
+    "prose_de": (_LATIN, {"de": 0.31, "en": 0.01, "fr": 0.005}),
+    "prose_fr": (_LATIN, {"fr": 0.24, "es": 0.06, "en": 0.02}),
+    "prose_es": (_LATIN, {"es": 0.28, "fr": 0.07, "en": 0.03}),
+    "prose_han": ((0.084, 0.139, 0.014, 0.576, 0.083, 0.054, 0.034, 0.016), {"caseless": 0.21}),
+    "prose_kana": ((0.063, 0.105, 0.011, 0.667, 0.075, 0.048, 0.019, 0.012), {"caseless": 0.43}),
+    "prose_thai": ((0.035, 0.058, 0.004, 0.829, 0.059, 0.010, 0.003, 0.002), {"caseless": 0.12}),
+    "prose_hi": (_INDIC, {"hi": 0.25}),
+    "prose_ar": (_INDIC, {"ar": 0.20}),
+    "prose_han_only": ((0.004, 0.006, 0.004, 0.890, 0.020, 0.050, 0.024, 0.002), {"caseless": 0.21}),
+    "prose_kana_only": ((0.004, 0.006, 0.006, 0.912, 0.020, 0.040, 0.010, 0.002), {"caseless": 0.43}),
+    "prose_thai_only": ((0.004, 0.006, 0.003, 0.970, 0.012, 0.002, 0.001, 0.002), {"caseless": 0.12}),
+    "prose_hi_only": (_INDIC_ONLY, {"hi": 0.24}),
+    "prose_ar_only": (_INDIC_ONLY, {"ar": 0.18}),
     "list_latin": ((0.309, 0.515, 0.047, 0.000, 0.012, 0.011, 0.096, 0.011), 0.03),
     "list_native": ((0.100, 0.160, 0.015, 0.560, 0.030, 0.020, 0.100, 0.015), 0.03),
     "list_native_only": ((0.004, 0.006, 0.005, 0.874, 0.010, 0.002, 0.097, 0.002), 0.02),
@@ -155,45 +168,65 @@ def divergence(p: tuple[float, ...] | list[float], q: tuple[float, ...] | list[f
     return max(out, 0.0)
 
 
-def function_share(text: str) -> tuple[float, int]:
-    """(share of function words, words); in scripts without spaces, marks and endings per three characters."""
+def function_languages(text: str) -> tuple[list[float], int]:
+    """(share of each of LANGUAGES' function words among the words, words). A word of several languages counts for each in
+    part; in scripts without spaces, marks and endings per three characters."""
+    out = [0.0] * len(LANGUAGES)
     if text.isascii():
         # words between blanks: letters among marks are none
         words = [w.strip(".,;:!?()\"'") for w in text.casefold().split()]
-        return sum(map(_FUNCTION.__contains__, words)) / max(1, len(words)), len(words)
-    words = _WORD.findall(text.casefold())
-    caseless = len(_CASELESS.findall(text)) if _OTHER_SCRIPT.search(text) else 0
-    hits = sum(map(_FUNCTION.__contains__, words))
-    if caseless * 4 > len(text):
-        return min(1.0, len(_CASELESS_FUNCTION.findall(text)) * 1.5 / caseless), max(1, caseless // 3)
-    return hits / max(1, len(words)), len(words)
+    else:
+        words = _WORD.findall(text.casefold())
+        caseless = len(_CASELESS.findall(text)) if _OTHER_SCRIPT.search(text) else 0
+        if caseless * 4 > len(text):
+            out[-1] = min(1.0, len(_CASELESS_FUNCTION.findall(text)) * 1.5 / caseless)
+            return out, max(1, caseless // 3)
+    for w in filter(_FUNCTION.__contains__, words):
+        for k, part in _FUNCTION[w]:
+            out[k] += part
+    n = max(1, len(words))
+    return [x / n for x in out], len(words)
+
+
+def function_share(text: str) -> tuple[float, int]:
+    """(share of function words of any language, words)."""
+    shares, words = function_languages(text)
+    return min(1.0, sum(shares)), words
 
 
 def _entropy_terms(shares: np.ndarray) -> np.ndarray:
     """x log2 x of each share, 0 for 0."""
-    return shares * np.log2(np.maximum(shares, 1e-300))
+    return shares * np.log2(shares + 1e-300)
 
 
-#: PROFILES as rows of shares of CLASSES, then of function words and of other words.
-_NAMES = tuple(PROFILES)
-_SHARES = np.array([(*q, f, 1 - f) for q, f in PROFILES.values()])
-_SHARES[:, :8] /= _SHARES[:, :8].sum(axis=1, keepdims=True)
-_TERMS = _entropy_terms(_SHARES).sum(axis=1) / 2
+#: PROFILES as rows: shares of CLASSES; shares of function words of LANGUAGES and of other words. Lists, tables, entries
+#: and junk have no language: theirs are as many function words, of whatever languages a text has.
+_NAMES, _C, _L = tuple(PROFILES), len(CLASSES), len(LANGUAGES)
+_NO_LANGUAGE = np.array([not isinstance(f, dict) for _, f in PROFILES.values()])
+_FEW = np.array([f for _, f in PROFILES.values() if not isinstance(f, dict)])
+_ROWS = np.array([[x / sum(q) for x in q] + ([f.get(k, 0.0) for k in LANGUAGES] + [1 - sum(f.values())] if isinstance(f, dict) else [0.0] * _L + [1 - f]) for q, f in PROFILES.values()])
+#: Half the sum of x log2 x of each row, without the part that depends on a text's languages.
+_TERMS = _entropy_terms(_ROWS).sum(axis=1) / 2
+_TERMS[_NO_LANGUAGE] += _entropy_terms(_FEW) / 2
 
 
-def nearest_profile(text: str, share: float | None = None) -> tuple[str, float]:
-    """The nearest of PROFILES and the sum of both Jensen-Shannon divergences: of character classes and of function words.
+def nearest_profile(text: str, shares: list[float] | None = None) -> tuple[str, float]:
+    """The nearest of PROFILES and the sum of both Jensen-Shannon divergences: of the characters' classes, and of the
+    words over each language's function words and others.
 
     Each divergence is the entropy of the mean of both distributions less the mean of their entropies."""
     counts = class_counts(text.casefold())
-    if share is None:
-        share, _ = function_share(text)
-    p = np.array([*counts, 0.0, 0.0])
-    p[:8] /= max(1.0, p[:8].sum())
-    p[8], p[9] = share, 1 - share
-    d = _TERMS + _entropy_terms(p).sum() / 2 - _entropy_terms((_SHARES + p) / 2).sum(axis=1)
+    own = function_languages(text)[0] if shares is None else shares
+    total, n = sum(own), sum(counts) or 1
+    mix = [x / total for x in own] if total else [1 / _L] * _L
+    total = min(total, 1.0)
+    x = np.array([*(c / n for c in counts), *(m * total for m in mix), 1 - total])
+    rows = _ROWS.copy()
+    rows[_NO_LANGUAGE, _C : _C + _L] = _FEW[:, None] * mix
+    d = _TERMS - _entropy_terms((rows + x) / 2).sum(axis=1)
+    d[_NO_LANGUAGE] += _FEW * (sum(m * math.log2(m) for m in mix if m) / 2)
     k = int(d.argmin())
-    return _NAMES[k], max(float(d[k]), 0.0)
+    return _NAMES[k], max(float(d[k] + _entropy_terms(x).sum() / 2), 0.0)
 
 
 def _blank_free(text: str) -> int:
@@ -339,7 +372,8 @@ def _plain(lines: list[str], kind: list[str | None], at: int) -> None:
         return
     joined = " ".join(lines)
     marks = sum(bool(_SENTENCE_END.search(x)) for x in lines)
-    share, words = function_share(joined)
+    shares, words = function_languages(joined)
+    share = sum(shares)
     short = sum(len(x) <= 45 for x in lines)
     wrapped = _wrapped(lines)
     if len(lines) >= 4 and short >= 0.85 * len(lines) and not wrapped and marks <= 0.1 * len(lines):
@@ -348,7 +382,7 @@ def _plain(lines: list[str], kind: list[str | None], at: int) -> None:
         return
     # too few characters are no distribution, unless marks stand among them
     if len(joined) >= 40 or len(joined) >= 20 and joined.isascii() and 4 * sum(map(joined.count, _SCATTER)) > _blank_free(joined):
-        name = nearest_profile(joined, share)[0].split("_")[0]
+        name = nearest_profile(joined, shares)[0].split("_")[0]
         if len(joined) >= 40 or name == "junk":
             kind[at : at + len(lines)] = ["other" if name == "entry" else name] * len(lines)
             return

@@ -23,7 +23,26 @@ def test_kinds(text, kind):
 def test_divergence():
     assert Q.divergence((0.5, 0.5), (0.5, 0.5)) == 0 and Q.divergence((1.0, 0.0), (0.0, 1.0)) == pytest.approx(1.0)
     assert all(abs(sum(p) - 1) < 0.02 for p, _ in Q.PROFILES.values())
-    assert Q.nearest_profile(PROSE)[0] == "prose_latin"
+    assert Q.nearest_profile(PROSE)[0] == "prose_en"
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        (PROSE, "prose_en"), ("Wir suchen eine Person, die das Lager mit uns plant und die Berichte für den Vorstand schreibt.", "prose_de"), ("Nous cherchons une personne qui prépare les rapports pour la direction et qui aime le travail dans une équipe.", "prose_fr"),
+        ("Buscamos una persona que prepare los informes para la dirección y que trabaje con el equipo en las oficinas.", "prose_es"), ("आप साथियों के साथ रात्रि बैच सँभालेंगे और पुस्तिका को ठीक रखना है। यह काम हमारे लिए है।", "prose_hi_only"),
+        ("كتبت الاختبارات من أجل الفريق في الشركة على أن العمل كان في المساء مع الزملاء", "prose_ar_only"),
+    ],
+)
+def test_languages_of_prose(text, name):
+    got, d = Q.nearest_profile(text)
+    assert got == name
+    # the sum of both divergences as they are defined
+    counts, (own, _) = Q.class_counts(text.casefold()), Q.function_languages(text)
+    q, f = Q.PROFILES[name]
+    a = Q.divergence([c / sum(counts) for c in counts], [x / sum(q) for x in q])
+    b = Q.divergence([*own, 1 - sum(own)], [*(f.get(k, 0.0) for k in Q.LANGUAGES), 1 - sum(f.values())])
+    assert d == pytest.approx(a + b, abs=1e-9)
 
 
 def test_statistics(spark):
