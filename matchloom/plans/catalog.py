@@ -236,9 +236,21 @@ def _packed(s: SparkSession, d: str) -> DataFrame:
     return B.pack_blocks(sents, sections.detect_headings(lines), CFG)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {Q.LINES}, {Q.PARAGRAPHS}, {Q.SENTENCES}, {Q.HEADINGS}, {Q.PACKED} SELECT doc_id, block_no, text, array_to_string(nos, ',') AS source_lines, topic_boundary FROM packed")
 def pack_blocks(s: SparkSession, d: str) -> DataFrame:
-    return _packed(s, d).drop("sentences")
+    return _packed(s, d).drop("sentences").withColumn("source_lines", F.array_join(F.transform("source_lines", lambda x: x.cast("string")), ","))
+
+
+@_query(f"WITH RECURSIVE {Q.LINES}, {Q.PARAGRAPHS}, {Q.SENTENCES}, {Q.HEADINGS}, {Q.PACKED}, {Q.INFERRED} {Q.INFERRED_ROWS}")
+def infer_packed(s: SparkSession, d: str) -> DataFrame:
+    """The inference over blocks of lines as they came, uncleaned, with how many neighbours and signals speak for it."""
+    lines = _lines(s, d)
+    totals = lines.groupBy("doc_id").agg(F.max("line_no").alias("total"))
+    p = _packed(s, d).drop("sentences").join(totals, "doc_id")
+    p = p.withColumn("position", sections.position(F.col("source_lines"), F.col("total"))).withColumn("first_line", F.array_min("source_lines"))
+    out = B.infer_sections(sections.assign_sections(p, sections.detect_headings(lines)), CFG)
+    signs = F.when(F.col("inferred_section").isNull(), -1).otherwise(F.size(F.filter("evidence", lambda x: ~x.startswith("Document position"))))
+    return out.select("doc_id", "block_no", "section", "inferred_section", F.round("confidence", 6).alias("confidence"), "review_flag", "reclassified_from_other", "secondary_section", F.round("position", 6).alias("position"), signs.alias("signs"))
 
 
 @_query()

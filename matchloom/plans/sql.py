@@ -121,6 +121,28 @@ OVERSIZED = f"""
     ELSE list_transform(generate_series(0, (len(ws) - 1) // 40), lambda i: array_to_string(list_slice(ws, i * 40 + 1, i * 40 + 40), ' ')) END AS p FROM long),
   parts AS (SELECT doc_id, para_no, (unnest(generate_series(1, len(p))) - 1)::INT AS part_no, unnest(p) AS part FROM cuts)"""
 
+#: The packing rule as a recursion over a document's parts, and the merging of short blocks by the parity of their runs.
+_COMMA = "regexp_split_to_array(s.text, ',\\s+')"
+_SEMI = "regexp_split_to_array(s.text, ';\\s*')"
+_CONJ_S = f"string_split({_CONJ.replace('(text,', '(s.text,')}, '{X.CUT}')"
+_WORDS_S = split_words("s.text")
+PACKED = f"""
+  breaks AS (SELECT doc_id, list(DISTINCT line_no) AS hl FROM heads GROUP BY 1),
+  sn AS (SELECT s.doc_id, s.para_no, s.part_no, s.text, {words('s.text')} AS n, string_split(p.source_lines, ',')::INT[] AS nos,
+      CASE WHEN {words('s.text')} <= 40 THEN [s.text] WHEN len({_SEMI}) > 1 THEN {_kept(_SEMI)} WHEN len({_CONJ_S}) > 1 THEN {_kept(_CONJ_S)} WHEN len({_COMMA}) > 1 THEN {_kept(_COMMA)}
+        ELSE list_transform(generate_series(0, (len({_WORDS_S}) - 1) // 40), lambda i: array_to_string(list_slice({_WORDS_S}, i * 40 + 1, i * 40 + 40), ' ')) END AS parts
+    FROM sents s JOIN paras p ON p.doc_id = s.doc_id AND p.para_no = s.para_no),
+  pk AS (SELECT doc_id, para_no, part_no, n, nos, unnest(generate_series(1, len(parts))) AS k, unnest(parts) AS part FROM sn),
+  pr AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY para_no, part_no, k) AS idx, k = 1 AS first, n, {words('part')} AS m, nos, list_min(nos) AS lo, list_max(nos) AS hi, coalesce(list_has_any(nos, b.hl), false) AS brk, part FROM pk p LEFT JOIN breaks b ON b.doc_id = p.doc_id),
+  fold AS (SELECT doc_id, idx, 0::BIGINT AS block, m::BIGINT AS cnt, hi, true AS lead FROM pr WHERE idx = 1
+    UNION ALL SELECT doc_id, idx, CASE WHEN opens THEN block + 1 ELSE block END, CASE WHEN opens THEN m ELSE cnt + m END, hi, CASE WHEN opens THEN first AND topic ELSE lead END FROM (
+      SELECT p.doc_id, p.idx, f.block, f.cnt, p.m, p.hi, p.first, f.lead, (p.brk OR p.lo - f.hi > 2) AS topic, CASE WHEN p.first THEN p.brk OR p.lo - f.hi > 2 OR f.cnt + p.n > 40 ELSE f.cnt + p.m > 40 END AS opens
+      FROM fold f JOIN pr p ON p.doc_id = f.doc_id AND p.idx = f.idx + 1)),
+  full0 AS (SELECT f.doc_id, f.block, string_agg(p.part, ' ' ORDER BY p.idx) AS text, list_sort(list_distinct(flatten(list(p.nos)))) AS nos, sum(p.m) AS words, bool_or(p.brk) AS opens, arg_min(f.lead, f.idx) AS lead FROM fold f JOIN pr p ON p.doc_id = f.doc_id AND p.idx = f.idx GROUP BY 1, 2),
+  nexts AS (SELECT *, lead(text) OVER w AS ntext, lead(nos) OVER w AS nnos, coalesce(length(text) < 20 AND NOT lead(opens) OVER w AND words + lead(words) OVER w <= 40, false) AS takes FROM full0 WINDOW w AS (PARTITION BY doc_id ORDER BY block)),
+  runs AS (SELECT *, block - 1 - coalesce(max(CASE WHEN NOT takes THEN block END) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS run FROM nexts),
+  packed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1)::INT AS block_no, CASE WHEN takes THEN text || ' ' || ntext ELSE text END AS text, CASE WHEN takes THEN list_sort(list_distinct(list_concat(nos, nnos))) ELSE nos END AS nos, lead AS topic_boundary FROM runs WHERE run % 2 = 0)"""
+
 BLOCKS = "bl AS (SELECT block_id, any_value(doc_id) AS doc_id, any_value(doc_type) AS doc_type, any_value(block_no) AS block_no, any_value(text) AS text, any_value(lower(trim(block_section))) AS section, any_value(source_lines) AS source_lines FROM blocks GROUP BY 1)"
 POSITION = """
   SELECT block_id, round(CASE WHEN n > 0 THEN least(list_sum(nos) / n / total, 1.0) ELSE 0 END, 6)::DOUBLE AS position
@@ -182,6 +204,46 @@ def sanitised(c: str) -> str:
     return f"(CASE WHEN {stem} = '' THEN 'unnamed' ELSE {stem} END || regexp_extract({t}, {q(r'[^.](\.[^.]+)$')}, 1))"
 
 
+def _thirds(base: str, n: str) -> str:
+    """base and n times 0.3, added one by one as the rule does."""
+    cases, total = "", base
+    for k in range(1, 5):
+        total = f"{total} + 0.3::DOUBLE"
+        cases += f" WHEN {k} THEN {total}"
+    return f"(CASE {n}{cases} ELSE {base} END)"
+
+
+def _prior(section: str) -> str:
+    return "CASE WHEN " + " OR ".join(f"({section} = '{s}' AND pos BETWEEN {lo}::DOUBLE AND {hi}::DOUBLE)" for s, lo, hi in dims.POSITION_PRIORS) + " THEN 1 ELSE 0 END"
+
+
+_KINDS = tuple(dict.fromkeys(s for s, _, _ in dims.SIGNALS))
+_COUNTS = {k: " + ".join(f"({signal(i, 'text')})::INT" for i, (s, _, _) in enumerate(dims.SIGNALS) if s == k) for k in _KINDS}
+_FIRST = {k: min(i for i, (s, _, _) in enumerate(dims.SIGNALS) if s == k) for k in _KINDS}
+#: The inference as a recursion over a document's blocks: it sees what the three before were set to, and what the three
+#: after came in as.
+INFERRED = f"""
+  tot AS (SELECT doc_id, max(line_no) AS total FROM lines GROUP BY 1),
+  placed AS (SELECT k.doc_id, block_no, text, nos, least(list_sum(nos)::DOUBLE / len(nos) / total, 1.0::DOUBLE) AS pos, list_min(nos) AS first_line FROM packed k JOIN tot t ON t.doc_id = k.doc_id),
+  came AS (SELECT p.*, coalesce(h.section, 'unknown') AS g FROM placed p ASOF LEFT JOIN heads h ON p.doc_id = h.doc_id AND p.first_line >= h.line_no),
+  counted AS (SELECT *, {', '.join(f'({c})::INT AS n_{k}' for k, c in _COUNTS.items())}, {reclassified('text')} AS strong, {secondary('g', 'text')} AS secondary, lead(g, 1) OVER w AS a1, lead(g, 2) OVER w AS a2, lead(g, 3) OVER w AS a3 FROM came WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+  voted AS (SELECT *, list_sort(list_filter([{', '.join(f"{{'m': -({_thirds('0::DOUBLE', f'n_{k}')} + 0.1::DOUBLE * {_prior(q(k))}), 'f': {_FIRST[k]}, 'k': '{k}', 'n': n_{k}}}" for k in _KINDS)}], lambda x: x.n > 0)) AS ks FROM counted),
+  step AS (SELECT *, CASE WHEN a1 <> 'unknown' THEN {{'s': a1, 'c': 0.3::DOUBLE, 'o': 1}} WHEN a2 <> 'unknown' THEN {{'s': a2, 'c': 0.3::DOUBLE - 0.1::DOUBLE, 'o': 2}} WHEN a3 <> 'unknown' THEN {{'s': a3, 'c': 0.1::DOUBLE, 'o': 3}} END AS ahead FROM voted),
+  infer AS (SELECT doc_id, -1 AS block_no, NULL::VARCHAR AS now, NULL::VARCHAR AS p1, NULL::VARCHAR AS p2, NULL::VARCHAR AS p3, NULL::VARCHAR AS best, NULL::DOUBLE AS conf, 0 AS near FROM (SELECT DISTINCT doc_id FROM step)
+    UNION ALL SELECT doc_id, block_no, now, now AS p1, p1 AS p2, p2 AS p3, best, conf, near FROM (
+      SELECT *, CASE WHEN g = 'other' AND strong IS NOT NULL THEN strong WHEN g NOT IN ('unknown', 'other') THEN g WHEN conf >= 0.5 THEN best ELSE g END AS now FROM (
+        SELECT *, CASE WHEN skipped THEN NULL WHEN nb.s IS NULL AND o.k IS NULL THEN 'unknown' WHEN o.k IS NULL OR nb.s IS NOT NULL AND nsc >= -o.m THEN nb.s ELSE o.k END AS best,
+          CASE WHEN skipped THEN NULL WHEN nb.s IS NULL AND o.k IS NULL THEN 0 WHEN o.k IS NULL OR nb.s IS NOT NULL AND nsc >= -o.m THEN least(nsc, 1.0) ELSE least(-o.m, 1.0) END AS conf, CASE WHEN nb.s IS NOT NULL AND NOT skipped THEN 1 ELSE 0 END AS near FROM (
+          SELECT *, list_filter(ks, lambda x: nb.s IS NULL OR x.k <> nb.s)[1] AS o, {_thirds('nb.c', "coalesce(list_filter(ks, lambda x: x.k = nb.s)[1].n, 0)")} + 0.1::DOUBLE * ({_prior('nb.s')}) AS nsc FROM (
+            SELECT t.doc_id, t.block_no, t.g, t.strong, t.ks, t.pos, f.p1, f.p2, f.p3, (t.g NOT IN ('unknown', 'other') OR t.g = 'other' AND t.strong IS NOT NULL) AS skipped,
+              CASE WHEN f.p1 <> 'unknown' THEN {{'s': f.p1, 'c': 0.4::DOUBLE, 'o': 1}} WHEN f.p2 <> 'unknown' THEN {{'s': f.p2, 'c': 0.4::DOUBLE - 0.1::DOUBLE, 'o': 2}} WHEN f.p3 <> 'unknown' THEN {{'s': f.p3, 'c': 0.4::DOUBLE - 2 * 0.1::DOUBLE, 'o': 3}} ELSE t.ahead END AS nb
+            FROM infer f JOIN step t ON t.doc_id = f.doc_id AND t.block_no = f.block_no + 1)))))"""
+INFERRED_ROWS = f"""
+  SELECT t.doc_id, t.block_no, i.now AS section, i.best AS inferred_section, round(i.conf, 6) AS confidence, coalesce(i.conf < 0.5, false) AS review_flag, t.g = 'other' AND t.strong IS NOT NULL AS reclassified_from_other, t.secondary AS secondary_section, round(t.pos, 6) AS position,
+    CASE WHEN i.best IS NULL THEN -1 ELSE i.near + {' + '.join(f'n_{k}' for k in _KINDS)} END::INT AS signs
+  FROM step t JOIN infer i ON i.doc_id = t.doc_id AND i.block_no = t.block_no"""
+
+
 LABEL_SECTIONS = ("skills", "experience", "education", "summary", "projects", "certifications", "contact", "responsibilities", "requirements", "unknown")
 _LABEL = "(CASE label " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(LABEL_SECTIONS)) + " END)"
 TOPK = """
