@@ -119,10 +119,10 @@ def _pair_matcher(dim: int, k: int, threshold: float):
                 jd, jno, res, rno = (np.asarray(b.column(c)[row].as_py(), dtype=t) for c, t in (("jd", object), ("jno", np.int32), ("res", object), ("rno", np.int32)))
                 _, candidate = np.unique(res.astype(str), return_inverse=True)
                 r, c = np.nonzero(q.astype(np.float32) @ x.astype(np.float32).T >= np.float32(threshold - 1e-5))
-                exact = np.einsum("nd,nd->n", q[r], x[c])
-                order = np.lexsort((rno[c], -np.round(exact, 12), candidate[c], r))
+                exact = np.round(np.einsum("nd,nd->n", q[r], x[c]), 6)
+                order = np.lexsort((rno[c], -exact, candidate[c], r))
                 r, c, exact = r[order], c[order], exact[order]
-                keep = (_places(r, candidate[c]) < k) & (exact >= threshold - 1e-12)
+                keep = (_places(r, candidate[c]) < k) & (exact >= threshold)
                 r, c, exact = r[keep], c[keep], exact[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(jd[r], pa.string()), pa.array(jno[r]), pa.array(res[c], pa.string()), pa.array(rno[c]), pa.array(exact)], [x.split()[0] for x in _PAIRED.split(", ")])
 
@@ -131,7 +131,8 @@ def _pair_matcher(dim: int, k: int, threshold: float):
 
 def candidates_topk(queries: DataFrame, items: DataFrame, doc: str, no: str, vector: str, dim: int, k: int, threshold: float, strict: bool = False) -> DataFrame:
     """jd_id, jd_block_no, resume_id, resume_block_no, score: for each block of the query documents the k best blocks of
-    every candidate document, at the threshold or above; ties by the smaller block number.
+    every candidate document, at the threshold or above; ties by the smaller block number. Scores have six digits, which is
+    what vectors in single precision give.
 
     A candidate's blocks stand together, so that a matrix product cuts to k for each candidate before anything leaves the
     task; only hits above the threshold are rows. The Arrow batches of block pairs are bounded by one row each.
@@ -143,7 +144,7 @@ def candidates_topk(queries: DataFrame, items: DataFrame, doc: str, no: str, vec
     x = ordered.mapInArrow(_pair_packer(dim, ("res", "rno", "rv")), "res array<string>, rno array<int>, rv binary")
     found = x.crossJoin(q).mapInArrow(_pair_matcher(dim, k, threshold), _PAIRED)  # of blocks: thousands of vectors each
     # a candidate whose blocks lie in two blocks of vectors was cut twice
-    w = Window.partitionBy("jd_id", "jd_block_no", "resume_id").orderBy(F.desc(F.round("score", 12)), "resume_block_no")
+    w = Window.partitionBy("jd_id", "jd_block_no", "resume_id").orderBy(F.desc("score"), "resume_block_no")
     return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 

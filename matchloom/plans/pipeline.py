@@ -48,14 +48,15 @@ def sentence_matches(evidence: DataFrame, jd_blocks: DataFrame, sentences: DataF
     return E.pinpoint(best.join(asked.join(vec, "text").drop("text"), ["jd_id", "jd_block"]), used.join(vec, "text"))
 
 
-def match(jds: DataFrame, resumes: DataFrame, cfg: Config = Config(), embedder: Embedder = WORDS, pairs: DataFrame | None = None) -> dict[str, DataFrame]:
+def match(jds: DataFrame, resumes: DataFrame, cfg: Config = Config(), embedder: Embedder = WORDS, pairs: DataFrame | None = None, simple: bool = False) -> dict[str, DataFrame]:
     """Query documents against candidates (both doc_id, text and, if known, source_filename): evidence, mandatory,
     comparison, components, finals, reports, quality.
 
     pairs (jd_id, resume_id) names the pairs to be scored: each comes out, those without any evidence with the score 0,
-    and no other. Without it, every pair with evidence is scored; all others would score 0.
+    and no other. Without it, every pair with evidence is scored; all others would score 0. simple leaves out compatibility
+    normalisation and protected tokens when lines are cleaned.
     """
-    jp, rp = processed(jds, cfg), processed(resumes, cfg)
+    jp, rp = processed(jds, cfg, simple=simple), processed(resumes, cfg, simple=simple)
     jb, rb = checkpointed(embedded(jp["blocks"], embedder)), checkpointed(embedded(rp["blocks"], embedder))
     hits = E.retrieve_pairs(jb, rb, cfg, embedder.dim)
     if pairs is not None:

@@ -228,7 +228,7 @@ INFERRED = f"""
   came AS (SELECT p.*, coalesce(h.section, 'unknown') AS g FROM placed p ASOF LEFT JOIN heads h ON p.doc_id = h.doc_id AND p.first_line >= h.line_no),
   counted AS (SELECT *, {', '.join(f'({c})::INT AS n_{k}' for k, c in _COUNTS.items())}, {reclassified('text')} AS strong, {secondary('g', 'text')} AS secondary, lead(g, 1) OVER w AS a1, lead(g, 2) OVER w AS a2, lead(g, 3) OVER w AS a3 FROM came WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
   voted AS (SELECT *, list_sort(list_filter([{', '.join(f"{{'m': -({_thirds('0::DOUBLE', f'n_{k}')} + 0.1::DOUBLE * {_prior(q(k))}), 'f': {_FIRST[k]}, 'k': '{k}', 'n': n_{k}}}" for k in _KINDS)}], lambda x: x.n > 0)) AS ks FROM counted),
-  step AS (SELECT *, CASE WHEN a1 <> 'unknown' THEN {{'s': a1, 'c': 0.3::DOUBLE, 'o': 1}} WHEN a2 <> 'unknown' THEN {{'s': a2, 'c': 0.3::DOUBLE - 0.1::DOUBLE, 'o': 2}} WHEN a3 <> 'unknown' THEN {{'s': a3, 'c': 0.1::DOUBLE, 'o': 3}} END AS ahead FROM voted),
+  step AS MATERIALIZED (SELECT *, CASE WHEN a1 <> 'unknown' THEN {{'s': a1, 'c': 0.3::DOUBLE, 'o': 1}} WHEN a2 <> 'unknown' THEN {{'s': a2, 'c': 0.3::DOUBLE - 0.1::DOUBLE, 'o': 2}} WHEN a3 <> 'unknown' THEN {{'s': a3, 'c': 0.1::DOUBLE, 'o': 3}} END AS ahead FROM voted),
   infer AS (SELECT doc_id, -1 AS block_no, NULL::VARCHAR AS now, NULL::VARCHAR AS p1, NULL::VARCHAR AS p2, NULL::VARCHAR AS p3, NULL::VARCHAR AS best, NULL::DOUBLE AS conf, 0 AS near FROM (SELECT DISTINCT doc_id FROM step)
     UNION ALL SELECT doc_id, block_no, now, now AS p1, p1 AS p2, p2 AS p3, best, conf, near FROM (
       SELECT *, CASE WHEN g = 'other' AND strong IS NOT NULL THEN strong WHEN g NOT IN ('unknown', 'other') THEN g WHEN conf >= 0.5 THEN best ELSE g END AS now FROM (
@@ -307,6 +307,28 @@ def missing(component: str) -> str:
     return MISSING.replace(f"j.section IN {_in(dims.COMPONENTS['skill'])}", f"j.section IN {_in(dims.COMPONENTS[component])}")
 
 
+_CLEAN = clean("text")
+CLEANED_LINES = f"""lines AS (SELECT doc_id, line_no, CASE WHEN {blank('c')} OR {artifact('c')} THEN '' ELSE {punctuation(bullets('c'))} END AS text FROM (SELECT doc_id, line_no, {_CLEAN} AS c FROM (
+  SELECT doc_id, unnest(generate_series(1, len(s)))::INT AS line_no, unnest(s) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS s FROM documents WHERE text IS NOT NULL AND (doc_type = 'resume' OR doc_type = 'job_description' AND doc_id % 20 = 0)))))"""
+_JDS = "(SELECT doc_id::VARCHAR FROM documents WHERE doc_type = 'job_description')"
+#: The whole chain from blocks to evidence: vectors, similarities, boost, grounding, calibration.
+MATCHED = f"""
+  bl AS MATERIALIZED (SELECT t.doc_id::VARCHAR AS doc_id, t.block_no, i.now AS section, t.text FROM step t JOIN infer i ON i.doc_id = t.doc_id AND i.block_no = t.block_no),
+  jd AS (SELECT doc_id AS jd_id, block_no AS jd_block, block_no, section, text FROM bl WHERE doc_id IN {_JDS}),
+  qb AS (SELECT * FROM jd WHERE section NOT IN ('about', 'contact') OR {mandatory('text')} OR {requirement_words('text')}), rb AS (SELECT * FROM bl WHERE doc_id NOT IN {_JDS} AND section <> 'contact'),
+  pl AS (SELECT text, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS place, sum(CASE WHEN ('0x' || substr(md5(t), 9, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS c FROM (SELECT text, unnest({terms(embed_text('text'))}) AS t FROM (SELECT DISTINCT text FROM bl)) GROUP BY 1, 2),
+  un AS MATERIALIZED (SELECT text, place, c / sqrt(sum(c * c) OVER (PARTITION BY text)) AS u FROM pl WHERE c <> 0),
+  uq AS MATERIALIZED (SELECT * FROM un WHERE text IN (SELECT text FROM qb)), ur AS MATERIALIZED (SELECT * FROM un WHERE text IN (SELECT text FROM rb)),
+  sm2 AS (SELECT a.text AS jt, b.text AS rt, round(sum(a.u * b.u), 6) AS dense FROM uq a JOIN ur b ON b.place = a.place GROUP BY 1, 2 HAVING round(sum(a.u * b.u), 6) >= 0.3),
+  hits AS MATERIALIZED (SELECT * FROM (SELECT j.jd_id, r.doc_id AS resume_id, j.jd_block, r.block_no AS resume_block, j.section AS jd_section, r.section AS resume_section, j.text AS jt, r.text AS rt, dense, row_number() OVER (PARTITION BY j.jd_id, j.jd_block, r.doc_id ORDER BY dense DESC, r.block_no) AS k
+    FROM sm2 s JOIN qb j ON j.text = s.jt JOIN rb r ON r.text = s.rt) WHERE k <= 20),
+  boosts AS (SELECT *, CASE WHEN jd_section = resume_section AND jd_section <> 'unknown' THEN least(dense + 0.05::DOUBLE, 1.0::DOUBLE) ELSE dense END AS boosted FROM hits),
+  exacts AS (SELECT *, CASE WHEN (list_has_any({terms('jt')}, {terms('rt')}) OR boosted >= CASE WHEN jd_section IN ('skills', 'requirements') THEN 0.7 WHEN jd_section IN ('experience', 'responsibilities') THEN 0.52 WHEN jd_section = 'education' THEN 0.55 ELSE 0.48 END)
+      AND least(1.0, greatest(0.0, (boosted - 0.2::DOUBLE) / 0.5::DOUBLE)) >= 0.3 THEN least(1.0, greatest(0.0, (boosted - 0.2::DOUBLE) / 0.5::DOUBLE)) ELSE 0 END AS exact FROM boosts),
+  ev AS MATERIALIZED (SELECT jd_id, resume_id, jd_block, resume_block, jd_section, resume_section, dense, round(boosted, 6) AS boosted, round(exact::DOUBLE::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS score, {_strength('exact')} AS strength, row_number() OVER (PARTITION BY jd_id, jd_block, resume_id ORDER BY round(boosted, 12) DESC, round(dense, 12) DESC, resume_block)::INT AS rank FROM exacts),
+  pairs AS (SELECT DISTINCT jd_id, resume_id FROM ev)"""
+
+
 _K = trim(sub(f"lower({trim('text')})", ":+$", ""))
 _CORE = "section IN ('requirements', 'skills', 'responsibilities', 'education', 'experience', 'certifications')"
 REQUIREMENTS = f"""
