@@ -332,7 +332,7 @@ _NAMED = (
     re.compile(rf"^({_ANY}) (?=\| ?(?:{_CONTACT_LABEL}|[+(\d]|[\w.+-]+ ?[@(\[]))"),
     re.compile(rf"^({_ANY}) (?={_CONTACT_LABEL})"),
     re.compile(r"(?:联系|联络|上级是|经理是|主管是|同事是|上司是|是由)([一-鿿]{2,4}?)(?=[，。,、（(；]|和|先生|女士|$)"),
-    re.compile(r"(?:^|[。！？；\s|:：)）、,.”」])([一-鿿]{3,4})(?=和我一起|和我?$|与我一起|先生|女士|同学|老师|，电话)"),
+    re.compile(r"(?:^|[。！？；\s|:：)）、,.”」])([一-鿿]{3,4})(?=和我一起|和我?$|与我一起|先生|女士|同学|老师|[,，]电话)"),
     re.compile(r"(?:上司は|ご連絡は|担当は|同僚の|責任者は|部長の)([一-鿿々ァ-ヶ]{2,8}(?: [一-鿿々ァ-ヶ]{2,4})?)(?=でした|です|\(|さん|様|氏|まで|で?し?$)"),
     re.compile(r"(?:^|[。！？；\s|:：)、])([一-鿿々]{2,5}(?: [一-鿿々]{2,4}|[一-鿿々]{0,3}))(?=さん|様[はがをにと]|氏[はがをにと])"),
     re.compile(r"(?:कृपया|प्रमुख|श्री|श्रीमती|सुश्री|प्रबंधक|साथी|सहकर्मी) (?!(?:की|के|का|को|ने|से|में|है|हैं|थे|पर|और) )([ऀ-ॿ]+ [ऀ-ॿ]+)(?=$| (?:को|थे|थीं|हैं|से|ने|जी|का|की|के))"),
@@ -347,6 +347,8 @@ _WHOLE = re.compile(rf"^\s?({_ANY})$")
 _PAIR = "|".join(_CASELESS[k] for k in ("hindi", "arabic"))
 _FIRST = re.compile(rf"^({_PAIR})(?=[ .،,।])")
 _LAST = re.compile(rf"(?:^|(?<=[\s:(]))({_PAIR})[.،,।]?$")
+_FIRST_HAN = re.compile(r"^([一-鿿々]{3,8})(?=[,，。、(（でさはがを])")
+_LAST_HAN = re.compile(r"(?<=[。！？；,，、：:\s])([一-鿿々]{3,8})$")
 #: Chinese family names of two characters, and common ones of one.
 _FAMILY2 = "欧阳 上官 司马 诸葛 夏侯 慕容 令狐 钟离 闻人 东方 皇甫 尉迟 公孙 轩辕 宇文 长孙 司徒 司空 端木 百里 南宫 独孤".split()
 _FAMILY1 = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
@@ -430,7 +432,7 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, bo
                     # a family name that the list lacks: looked up among those that labels taught
                     maybe.append((a, b, False))
         # a name may be the whole text, or stand where a line that was wrapped around it begins or ends
-        edges = {m.span(1) for p in (_WHOLE, _FIRST, _LAST) for m in p.finditer(t)} if " " in t[:40] or len(t) < 9 else set()
+        edges = {m.span(1) for p in (_WHOLE, _FIRST, _LAST, _FIRST_HAN, _LAST_HAN) for m in (p.search(t),) if m}
         maybe += [(a, b, False) for a, b in edges if not any(a < y and x < b for x, y, _ in taken)]
     return out, maybe, seeds
 

@@ -100,6 +100,14 @@ def test_numbers_are_not_cut_by_a_neighbour():
     assert [k for _, _, k in P.find("Personnummer 811228-9874")[0]] == ["id_number"]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("欧阳屿白，手机", "欧阳屿白"), ("移しました。葛城野紬乃", "葛城野紬乃"), ("葛城野紬乃でした。Montvire", "葛城野紬乃"), ("نوران الكرمونتي. بدأت", "نوران الكرمونتي"), ("कहा। कबीर सूर्यकोटी", "कबीर सूर्यकोटी"), ("欧阳屿白", "欧阳屿白")],
+)
+def test_names_at_the_edges_of_wrapped_lines_are_looked_up(text, value):
+    assert value in [text[a:b] for a, b, _ in P.find(text)[1]]
+
+
 def test_redaction():
     assert P.redact("abc def", [(5, 7, "name"), (1, 3, "email")]) == "[EMAIL] [NAME]"
     assert P.redact("abcdef", [(1, 4, "phone"), (3, 5, "name")]) == "[PHONE]ef"
