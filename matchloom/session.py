@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, if it comes from fewer files: a single small file would
-    else leave all further work on its rows to one task. Inputs of many files are not shuffled."""
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+    """df over at least as many partitions as there are cores, if its scan gives fewer: a single small file would else
+    leave all further work on its rows to one task. Files that are split into enough parts are not shuffled, however few."""
+    parts, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < parts < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
