@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -407,10 +408,17 @@ STATS = (
     "chars int, words int, mean_word_length double, symbol_ratio double, digit_ratio double, upper_ratio double, lines int, lines_with_end_mark double, lines_with_item_mark double, "
     "function_words double, distinct_words double, profile string, divergence double, prose_share double, list_share double, table_share double, junk_share double, doc_kind string"
 )
-_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
-_DIGIT = regex.compile(r"\p{N}")
-_UPPER = regex.compile(r"\p{Lu}")
-_LETTER = regex.compile(r"\p{L}")
+#: The general category of each character met so far: S for symbols, N for digits, U and L for letters, M for marks, a
+#: blank for white space.
+_CATEGORIES: dict[str, str] = {}
+
+
+def _category(ch: str) -> str:
+    kind = _CATEGORIES.get(ch)
+    if kind is None:
+        c = unicodedata.category(ch)
+        kind = _CATEGORIES[ch] = " " if ch.isspace() else "U" if c == "Lu" else c[0] if c[0] in "LMN" else "S"
+    return kind
 
 
 def statistics(text: str | None) -> dict:
@@ -420,11 +428,15 @@ def statistics(text: str | None) -> dict:
     full = _blank_free(text)
     counts = kinds(text)
     total = sum(counts.values()) or 1
-    share, _ = function_share(text)
-    name, d = nearest_profile(text) if full else ("empty", 0.0)
+    shares, _ = function_languages(text)
+    share = min(1.0, sum(shares))
+    name, d = nearest_profile(text, shares) if full else ("empty", 0.0)
+    chars = dict.fromkeys("SNULM ", 0)
+    for ch, n in Counter(text).items():
+        chars[_category(ch)] += n
     return {
-        "chars": full, "words": len(words), "mean_word_length": sum(map(len, words)) / max(1, len(words)), "symbol_ratio": len(_SYMBOL.findall(text)) / max(1, full),
-        "digit_ratio": len(_DIGIT.findall(text)) / max(1, full), "upper_ratio": len(_UPPER.findall(text)) / max(1, len(_LETTER.findall(text))), "lines": len(lines),
+        "chars": full, "words": len(words), "mean_word_length": sum(map(len, words)) / max(1, len(words)), "symbol_ratio": chars["S"] / max(1, full),
+        "digit_ratio": chars["N"] / max(1, full), "upper_ratio": chars["U"] / max(1, chars["U"] + chars["L"]), "lines": len(lines),
         "lines_with_end_mark": sum(bool(_SENTENCE_END.search(x.rstrip())) for x in lines) / max(1, len(lines)), "lines_with_item_mark": sum(bool(ITEM.match(x)) for x in lines) / max(1, len(lines)),
         "function_words": share, "distinct_words": len(set(words)) / max(1, len(words)), "profile": name, "divergence": d,
         **{f"{k}_share": counts[k] / total for k in ("prose", "list", "table", "junk")}, "doc_kind": document_kind(counts) if full else "junk",
