@@ -92,7 +92,7 @@ def test_candidates_are_cut_each(spark):
         got.setdefault((r["jd_block_no"], r["resume_id"]), []).append((r["resume_block_no"], round(r["score"], 9)))
     for k in range(5):
         for c in range(7):
-            s = sorted(((-round(float(u[k] @ u[i]), 9), i // 7) for i in range(c, 120, 7) if u[k] @ u[i] >= 0.1))[:2]
+            s = sorted(((-round(float(u[k] @ u[i]), 6), i // 7) for i in range(c, 120, 7) if u[k] @ u[i] >= 0.1))[:2]
             assert sorted(got.get((k, f"r{c}"), [])) == sorted((n, -v) for v, n in s)
     with pytest.raises(Exception, match="8 numbers, not 9"):
         retrieve.vector_topk(df, df.withColumn("i", F.lit(1)), "no", "v", 9, 2, strict=True).collect()
