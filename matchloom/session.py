@@ -16,11 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core from which on a table's files have row groups enough for all of them.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, if its scan gives fewer: a single small file would else
-    leave all further work on its rows to one task. Files that are split into enough parts are not shuffled, however few."""
-    parts, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < parts < cores else df
+    """df over at least as many partitions as there are cores, if it is small and comes from fewer files: one row group
+    would else leave all further work on its rows to one task. Tables beyond SPREAD_BYTES for each core, and those of many
+    files, are not shuffled; the paths are listed for small tables only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= cores * SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
