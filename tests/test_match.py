@@ -98,6 +98,29 @@ def test_candidates_are_cut_each(spark):
         retrieve.vector_topk(df, df.withColumn("i", F.lit(1)), "no", "v", 9, 2, strict=True).collect()
 
 
+def test_hits_are_neither_shuffled_nor_written(spark):
+    kind = "doc_id string, block_no int, section string, text string"
+    jb = spark.createDataFrame([("j", 0, "skills", "python spark sql"), ("j", 1, "skills", "gardening")], kind)
+    rb = spark.createDataFrame([("r", 0, "other", "python spark"), ("r", 1, "skills", "python spark java"), ("s", 0, "skills", "cooking")], kind)
+    cfg = config.Config(retrieval=config.Retrieval(similarity_threshold=0.30, noise_floor=0.20, span=0.50))
+    hits = E.grade(E.retrieve_pairs(jb, rb, cfg, 256, pipeline.WORDS.column), cfg)
+    above = hits._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")[0]
+    assert "MapInArrow" in above and "Exchange" not in above and "Window" not in above
+    got = sorted(tuple(r) for r in hits.select("jd_block_no", "resume_id", "resume_block_no", "rank", "strength").collect())
+    assert got == [(0, "r", 0, 1, "strong"), (0, "r", 1, 2, "strong")]
+
+
+def test_no_candidate_is_parted(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 4)
+    docs = [*"aab", *"cccccc", *"dde"]
+    rows = pa.record_batch({"doc": docs, "no": pa.array(range(12), pa.int32()), "section": docs, "terms": docs, "v": pa.array(np.eye(12).tolist())})
+    packed = retrieve._pair_packer(12, ("res", "rno", "rsec", "rt", "rv"))(iter([rows.slice(0, 5), rows.slice(5)]))
+    assert ["".join(b.column("res")[0].as_py()) for b in packed] == ["aab", "cccccc", "dde"]
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(0.44,), (0.56,), (0.58,), (0.66,), (0.74,), (0.9,)], "d double")
     got = [(round(r[0], 4), r[1]) for r in df.select(E.calibrated(F.col("d")), E.strength(E.calibrated(F.col("d")))).collect()]
