@@ -340,3 +340,13 @@ def test_plans_are_as_meant(spark):
     text = plan("final_score")
     assert "CartesianProduct" not in text and "Python" not in text
     assert "Python" not in plan("paragraphs") and "Python" not in plan("split_sentences")
+
+
+@pytest.mark.parametrize("name", ["match_scores"])
+def test_scores_make_nothing_else(spark, monkeypatch, name):
+    from matchloom.operators import report
+    from matchloom.plans import catalog
+
+    for module, made in ((report, "reports"), (pipeline, "sentence_matches"), (E, "comparison"), (pipeline, "embedded")):
+        monkeypatch.setattr(module, made, lambda *a, made=made, **k: pytest.fail(f"{made} is not asked for"))
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
