@@ -342,7 +342,7 @@ def test_plans_are_as_meant(spark):
     assert "Python" not in plan("paragraphs") and "Python" not in plan("split_sentences")
 
 
-@pytest.mark.parametrize("name", ["match_scores"])
+@pytest.mark.parametrize("name", ["match_scores", "match_finals"])
 def test_scores_make_nothing_else(spark, monkeypatch, name):
     from matchloom.operators import report
     from matchloom.plans import catalog
