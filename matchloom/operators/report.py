@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom import dims
 from matchloom.config import Weights
-from matchloom.operators.score import NAMES
+from matchloom.operators.score import NAMES, rated_facts, weighted
 
 
 def strongest(evidence: DataFrame, n: int = 5) -> DataFrame:
@@ -90,6 +90,48 @@ def _is(field: str, value: str) -> Callable[[Column], Column]:
     return lambda x: reduce(lambda c, part: c[part], field.split("."), x) == value
 
 
+def _summary_text(strengths: dict[str, Column], raws: dict[str, Column], met: Column, mandatory: Column, weights: Weights) -> Column:
+    """A report's summary in words, from the column f, the final score."""
+    rating = F.when(F.col("f") >= 75, "Strong Candidate").when(F.col("f") >= 55, "Moderate Candidate").when(F.col("f") >= 35, "Below Average Candidate").otherwise("Weak Candidate")
+    shares = [F.format_string(f"{c.replace('_', ' ').title()}: %.1f/100 (weight: {weights.as_dict()[c]:.0%}).".replace("%)", "%%)"), raws[c]) for c in NAMES]
+    return F.concat_ws(
+        " ", F.format_string("Overall Assessment: %s (Score: %.1f/100).", rating, "f"), F.format_string("The candidate shows %d strong, %d moderate, and %d weak matches against the job requirements.", *strengths.values()), *shares,
+        F.when(mandatory > 0, F.format_string("Mandatory Requirements: %d/%d met.", met, mandatory)), F.when(met != mandatory, "⚠ WARNING: Not all mandatory requirements are satisfied. Review required before proceeding."),
+    )
+
+
+def _origin(weights: Weights, processed_at: str | None, details: list[Column]) -> tuple[Column, Column]:
+    """A report's id and its processing details."""
+    h = config_hash(weights)
+    report_id = F.substring(F.sha2(F.concat_ws("|", "jd_id", "resume_id", F.lit(h)), 256), 1, 12)
+    return report_id, F.struct(F.lit(VERSION).alias("processing_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(processed_at).cast("string").alias("processed_at"), F.lit(h).alias("config_hash"), *details)
+
+
+def briefs(facts: DataFrame, asked: DataFrame, of_jd: DataFrame, of_resume: DataFrame, weights: Weights = Weights(), processed_at: str | None = None) -> DataFrame:
+    """jd_id, resume_id, report: only the BRIEF_FIELDS of reports(), made without what the others need.
+
+    facts from score.pair_facts, asked from score.asked_of; of_jd(jd_id, jd_filename, jd_block_count, required) and
+    of_resume(resume_id, resume_filename, resume_block_count, candidate) have a row for each document. Pairs move as
+    numbers; a query document's texts join them last, and no pair is multiplied by components or blocks.
+    """
+    rows = facts.join(of_resume, "resume_id", "left").join(asked.join(of_jd, "jd_id", "full"), "jd_id", "left").na.fill(0, ["jd_block_count", "resume_block_count", "mandatory"])
+    entries, raws = [], []
+    for n in NAMES:
+        raw, pieces, why, lacking = rated_facts(n)
+        weight = F.lit(weights.as_dict()[n])
+        raws.append(raw)
+        entries.append(F.struct(F.lit(n).alias("name"), F.round(raw, 2).alias("raw_score"), weight.alias("weight"), F.round(raw * weight, 4).alias("weighted_contribution"), pieces.alias("evidence_count"), why.alias("explanation"), lacking.alias("missing_evidence")))
+    rows = rows.withColumn("f", F.round(weighted(raws, weights), 2)).withColumn("c", F.array(*entries))
+    report_id, meta = _origin(weights, processed_at, [F.col(c) for c in ("jd_filename", "resume_filename", "jd_block_count", "resume_block_count")])
+    all_met = F.col("met") == F.col("mandatory")
+    text = _summary_text({s: F.col(s) for s in ("strong", "moderate", "weak")}, {n: F.col("c")[i]["raw_score"] for i, n in enumerate(NAMES)}, F.col("met"), F.col("mandatory"), weights)
+    body = F.struct(
+        F.lit(SCHEMA_VERSION).alias("_schema_version"), report_id.alias("_report_id"), meta.alias("processing_details"),
+        F.struct(F.col("resume_id").alias("candidate_id"), F.col("jd_id"), F.col("f").alias("final_score"), F.col("c").alias("components"), all_met.alias("all_mandatory_met")).alias("candidate_score"), text.alias("recruiter_summary"),
+    )
+    return rows.select("jd_id", "resume_id", body.alias("report"))
+
+
 def reports(finals: DataFrame, comps: DataFrame, mandatory: DataFrame, params: DataFrame, evidence: DataFrame, blocks: DataFrame, details: DataFrame, warnings: DataFrame | None = None, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None) -> DataFrame:
     """jd_id, resume_id, report: one nested struct for each pair of finals, with all fields of RECRUITER_FIELDS.
 
@@ -140,15 +182,9 @@ def reports(finals: DataFrame, comps: DataFrame, mandatory: DataFrame, params: D
     all_met = met == F.size("m")
     flags = F.flatten(F.transform("c", lambda x: F.array_compact(F.array(F.when(x["raw_score"] == 0, F.concat(F.lit("Zero score for "), x["name"], F.lit(": "), x["explanation"])), F.when(F.size(x["missing_evidence"]) > 0, F.concat(F.lit("Missing evidence for "), x["name"], F.lit(": "), F.size(x["missing_evidence"]).cast("string"), F.lit(" items")))))))
     unmet = F.when(~all_met, F.array(F.format_string("Unmet mandatory requirements: %d", F.size("m") - met))).otherwise(F.array().cast("array<string>"))
-    rating = F.when(F.col("f") >= 75, "Strong Candidate").when(F.col("f") >= 55, "Moderate Candidate").when(F.col("f") >= 35, "Below Average Candidate").otherwise("Weak Candidate")
-    shares = [F.format_string(f"{c.replace('_', ' ').title()}: %.1f/100 (weight: {weights.as_dict()[c]:.0%}).".replace("%)", "%%)"), F.col("component_" + c)["raw_score"]) for c in NAMES]
-    text = F.concat_ws(
-        " ", F.format_string("Overall Assessment: %s (Score: %.1f/100).", rating, "f"), F.format_string("The candidate shows %d strong, %d moderate, and %d weak matches against the job requirements.", *strong.values()), *shares,
-        F.when(F.size("m") > 0, F.format_string("Mandatory Requirements: %d/%d met.", met, F.size("m"))), F.when(~all_met, "⚠ WARNING: Not all mandatory requirements are satisfied. Review required before proceeding."),
-    )
-    h = config_hash(weights)
-    report_id = F.substring(F.sha2(F.concat_ws("|", "jd_id", "resume_id", F.lit(h)), 256), 1, 12)
-    meta = F.struct(F.lit(VERSION).alias("processing_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(processed_at).cast("string").alias("processed_at"), F.lit(h).alias("config_hash"), *[F.col("d")[c].alias(c) for c in details.columns if c not in key])
+    raws = {c: F.col("component_" + c)["raw_score"] for c in NAMES}
+    text = _summary_text(strong, raws, met, F.size("m"), weights)
+    report_id, meta = _origin(weights, processed_at, [F.col("d")[c].alias(c) for c in details.columns if c not in key])
     body = F.struct(
         F.lit(SCHEMA_VERSION).alias("_schema_version"), report_id.alias("_report_id"), meta.alias("processing_details"),
         F.struct(F.col("resume_id").alias("candidate_id"), F.col("jd_id"), F.col("f").alias("final_score"), F.col("c").alias("components"), all_met.alias("all_mandatory_met")).alias("candidate_score"),

@@ -37,3 +37,13 @@ def test_missing_requirements_of_every_component(spark, monkeypatch):
     for component, q in plans.items():
         monkeypatch.setattr(catalog, "_jd_blocks", lambda s, d, own=dims.COMPONENTS[component][0]: blocks(s, d).withColumn("section", F.lit(own)))
         assert catalog.queries()[q](spark, DATA).count() > 0
+
+
+def test_brief_reports_are_parts_of_whole_ones(spark):
+    from matchloom.operators import report
+
+    brief = catalog.report_brief(spark, DATA)
+    plan = brief._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # no sentence is embedded, since none shows
+    want = report.as_json(catalog._reports(spark, DATA), brief=True)
+    assert sorted(map(tuple, brief.collect())) == sorted(map(tuple, want.collect()))
