@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from matchloom import dims
 from matchloom.config import Weights
+from matchloom.operators.evidence import NOTHING_FOUND
 from matchloom.operators.score import NAMES, rated_facts, weighted
 
 
@@ -107,6 +108,18 @@ def _origin(weights: Weights, processed_at: str | None, details: list[Column]) -
     return report_id, F.struct(F.lit(VERSION).alias("processing_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(processed_at).cast("string").alias("processed_at"), F.lit(h).alias("config_hash"), *details)
 
 
+def _rated(rows: DataFrame, weights: Weights) -> DataFrame:
+    """Rows of briefs' tables joined, with f, the final score, and c, the entries of the components."""
+    entries, raws = [], []
+    for n in NAMES:
+        raw, pieces, why, lacking = rated_facts(n)
+        weight = F.lit(weights.as_dict()[n])
+        raws.append(raw)
+        entries.append(F.struct(F.lit(n).alias("name"), F.round(raw, 2).alias("raw_score"), weight.alias("weight"), F.round(raw * weight, 4).alias("weighted_contribution"), pieces.alias("evidence_count"), why.alias("explanation"), lacking.alias("missing_evidence")))
+    rows = rows.na.fill(0, ["jd_block_count", "resume_block_count", "mandatory"])
+    return rows.withColumn("f", F.round(weighted(raws, weights), 2)).withColumn("c", F.array(*entries))
+
+
 def briefs(facts: DataFrame, asked: DataFrame, of_jd: DataFrame, of_resume: DataFrame, weights: Weights = Weights(), processed_at: str | None = None) -> DataFrame:
     """jd_id, resume_id, report: only the BRIEF_FIELDS of reports(), made without what the others need.
 
@@ -114,14 +127,7 @@ def briefs(facts: DataFrame, asked: DataFrame, of_jd: DataFrame, of_resume: Data
     of_resume(resume_id, resume_filename, resume_block_count, candidate) have a row for each document. Pairs move as
     numbers; a query document's texts join them last, and no pair is multiplied by components or blocks.
     """
-    rows = facts.join(of_resume, "resume_id", "left").join(asked.join(of_jd, "jd_id", "full"), "jd_id", "left").na.fill(0, ["jd_block_count", "resume_block_count", "mandatory"])
-    entries, raws = [], []
-    for n in NAMES:
-        raw, pieces, why, lacking = rated_facts(n)
-        weight = F.lit(weights.as_dict()[n])
-        raws.append(raw)
-        entries.append(F.struct(F.lit(n).alias("name"), F.round(raw, 2).alias("raw_score"), weight.alias("weight"), F.round(raw * weight, 4).alias("weighted_contribution"), pieces.alias("evidence_count"), why.alias("explanation"), lacking.alias("missing_evidence")))
-    rows = rows.withColumn("f", F.round(weighted(raws, weights), 2)).withColumn("c", F.array(*entries))
+    rows = _rated(facts.join(of_resume, "resume_id", "left").join(asked.join(of_jd, "jd_id", "full"), "jd_id", "left"), weights)
     report_id, meta = _origin(weights, processed_at, [F.col(c) for c in ("jd_filename", "resume_filename", "jd_block_count", "resume_block_count")])
     all_met = F.col("met") == F.col("mandatory")
     text = _summary_text({s: F.col(s) for s in ("strong", "moderate", "weak")}, {n: F.col("c")[i]["raw_score"] for i, n in enumerate(NAMES)}, F.col("met"), F.col("mandatory"), weights)
@@ -132,31 +138,61 @@ def briefs(facts: DataFrame, asked: DataFrame, of_jd: DataFrame, of_resume: Data
     return rows.select("jd_id", "resume_id", body.alias("report"))
 
 
-def reports(finals: DataFrame, comps: DataFrame, mandatory: DataFrame, params: DataFrame, evidence: DataFrame, blocks: DataFrame, details: DataFrame, warnings: DataFrame | None = None, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None) -> DataFrame:
+def reports(finals: DataFrame | None, comps: DataFrame | None, mandatory: DataFrame, params: DataFrame, evidence: DataFrame, blocks: DataFrame, details: DataFrame | None, warnings: DataFrame | None = None, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None, late: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """jd_id, resume_id, report: one nested struct for each pair of finals, with all fields of RECRUITER_FIELDS.
 
     comps with missing_evidence (score.with_missing), mandatory and params with texts, evidence as evidence.grade gives it
     (only pieces whose strength isn't none show), details(jd_id, resume_id and any columns) as processing details,
     warnings from quality_warnings. What belongs to a pair comes as tagged rows of one union, so a pair is put together
     by one aggregate instead of a join for each part; a pair's lists are bounded by its blocks.
+
+    late: the four tables of briefs() instead of finals, comps and details. Texts of the query documents (in mandatory and
+    params, where these have null, and in evidence, which then needs no jd_text and jd_lines) are then filled in from
+    blocks when no pair moves any more, so that they are not written for each pair.
     """
     key = ["jd_id", "resume_id"]
     order = reduce(lambda c, kv: c.when(F.col("component") == kv[1], kv[0]), enumerate(NAMES), F.when(F.lit(False), 0)).otherwise(len(NAMES))
     weight = reduce(lambda c, kv: c.when(F.col("component") == kv[0], kv[1]), weights.as_dict().items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
     raw = F.round("raw", 2)
-    tagged = {
-        "f": finals.select(*key, F.round("final", 2).alias("f")),
-        "c": comps.select(*key, F.struct(order.alias("o"), F.struct(F.col("component").alias("name"), raw.alias("raw_score"), weight.alias("weight"), F.round(F.col("raw") * weight, 4).alias("weighted_contribution"), "evidence_count", "explanation", "missing_evidence").alias("v")).alias("c")),
-        "m": mandatory.select(*key, F.struct(F.col("jd_block").alias("o"), F.struct("requirement_text", "is_met", F.col("best_score").alias("best_match_score"), "best_match_text", "explanation").alias("v")).alias("m")),
-        "p": params.select(*key, F.struct(F.col("parameter_id").alias("o"), F.struct("parameter_id", "category", "requirement_text", "is_mandatory", "status", F.col("confidence").alias("confidence_score"), F.round("similarity", 4).alias("similarity_score"), F.coalesce("matched_text", F.lit("")).alias("matched_resume_text"), F.coalesce("matched_lines", F.array().cast("array<int>")).alias("matched_resume_lines"), "source_jd_lines", "match_strength", "explanation", "jd_section", "resume_section").alias("v")).alias("p")),
+    if late:
+        facts, asked, of_jd, of_resume = late
+        evidence = evidence.withColumn("jd_text", F.lit(None).cast("string")).withColumn("jd_lines", F.lit(None).cast("array<int>"))
+        head = facts.join(of_resume, "resume_id", "left")
+        own = {"h": head.select(*key, F.struct(*[x for x in head.columns if x not in key]).alias("h"))}
+    else:
+        own = {
+            "f": finals.select(*key, F.round("final", 2).alias("f")),
+            "c": comps.select(*key, F.struct(order.alias("o"), F.struct(F.col("component").alias("name"), raw.alias("raw_score"), weight.alias("weight"), F.round(F.col("raw") * weight, 4).alias("weighted_contribution"), "evidence_count", "explanation", "missing_evidence").alias("v")).alias("c")),
+            "d": details.select(*key, F.struct(*[c for c in details.columns if c not in key]).alias("d")),
+        }
+    tagged = own | {
+        "m": mandatory.select(*key, F.struct(F.col("jd_block").alias("o"), F.col("jd_block").alias("k"), F.struct("requirement_text", "is_met", F.col("best_score").alias("best_match_score"), "best_match_text", "explanation").alias("v")).alias("m")),
+        "p": params.select(*key, F.struct(F.col("parameter_id").alias("o"), F.col("jd_block").alias("k"), F.struct("parameter_id", "category", "requirement_text", "is_mandatory", "status", F.col("confidence").alias("confidence_score"), F.round("similarity", 4).alias("similarity_score"), F.coalesce("matched_text", F.lit("")).alias("matched_resume_text"), F.coalesce("matched_lines", F.array().cast("array<int>")).alias("matched_resume_lines"), "source_jd_lines", "match_strength", "explanation", "jd_section", "resume_section").alias("v")).alias("p")),
         "e": evidence.filter("strength <> 'none'").select(*key, F.struct(F.col("jd_block").alias("b"), (-F.col("score")).alias("s"), F.col("resume_block").alias("r"), _evidence_entry().alias("v")).alias("e")),
-        "d": details.select(*key, F.struct(*[c for c in details.columns if c not in key]).alias("d")),
-        "x": F.broadcast(finals.sparkSession.createDataFrame([], "jd_id string, resume_id string, w array<string>")) if warnings is None else warnings.select(*key, F.col("data_quality_warnings").alias("w")),
+        "x": F.broadcast(evidence.sparkSession.createDataFrame([], "jd_id string, resume_id string, w array<string>")) if warnings is None else warnings.select(*key, F.col("data_quality_warnings").alias("w")),
     }
     one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged.values())
-    lists = [F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]).alias(c) for c in ("c", "m", "p")]
-    rows = one.groupBy(*key).agg(*lists, F.array_sort(F.collect_list("e")).alias("e"), F.max("f").alias("f"), F.max("d").alias("d"), F.flatten(F.collect_list("w")).alias("w")).filter("f is not null")
-    rows = rows.join(has_content(blocks), "jd_id", "left")
+    lists = [F.array_sort(F.collect_list(c)).alias(c) for c in ("c", "m", "p") if c in tagged]
+    tops = ("h",) if late else ("f", "d")
+    rows = one.groupBy(*key).agg(*lists, F.array_sort(F.collect_list("e")).alias("e"), *[F.max(c).alias(c) for c in tops], F.flatten(F.collect_list("w")).alias("w")).filter(f"{tops[0]} is not null")
+    of_blocks = has_content(blocks)
+    if late:
+        text = F.map_from_entries(F.collect_list(F.struct("jd_block", F.struct("text", "source_lines"))))
+        of_blocks = of_blocks.join(blocks.groupBy("jd_id").agg(text.alias("texts")), "jd_id").join(asked, "jd_id", "full").join(of_jd, "jd_id", "full")
+    rows = rows.join(of_blocks, "jd_id", "left")
+    if late:
+        rows = _rated(rows.select("*", "h.*").drop("h"), weights).withColumn("d", F.struct("jd_filename", "resume_filename", "jd_block_count", "resume_block_count"))
+        of = lambda k: F.try_element_at("texts", k)
+        lost = lambda k: F.concat(F.lit(NOTHING_FOUND), F.left(of(k)["text"], F.lit(100)))
+        filled = {
+            "m": lambda x: x["v"].withField("requirement_text", F.coalesce(x["v"]["requirement_text"], F.left(of(x["k"])["text"], F.lit(200)))),
+            "p": lambda x: x["v"].withField("requirement_text", F.coalesce(x["v"]["requirement_text"], of(x["k"])["text"])).withField("source_jd_lines", of(x["k"])["source_lines"]).withField("explanation", F.coalesce(x["v"]["explanation"], lost(x["k"]))),
+        }
+        shown = lambda x: x["v"].withField("jd_text", F.left(of(x["b"])["text"], F.lit(200))).withField("jd_line_numbers", of(x["b"])["source_lines"])
+        rows = rows.withColumn("e", F.transform("e", lambda x: x.withField("v", shown(x))))
+    else:
+        filled = dict.fromkeys("cmp", lambda x: x["v"])
+    rows = rows.withColumns({c: F.transform(c, f) for c, f in filled.items()})
     ranked = F.transform(F.array_sort(F.transform("e", lambda x: F.struct(x["s"], x["b"], x["r"], x["v"]))), lambda x: x["v"])
     rows = rows.withColumn("ranked", ranked)
 
@@ -184,7 +220,7 @@ def reports(finals: DataFrame, comps: DataFrame, mandatory: DataFrame, params: D
     unmet = F.when(~all_met, F.array(F.format_string("Unmet mandatory requirements: %d", F.size("m") - met))).otherwise(F.array().cast("array<string>"))
     raws = {c: F.col("component_" + c)["raw_score"] for c in NAMES}
     text = _summary_text(strong, raws, met, F.size("m"), weights)
-    report_id, meta = _origin(weights, processed_at, [F.col("d")[c].alias(c) for c in details.columns if c not in key])
+    report_id, meta = _origin(weights, processed_at, [F.col("d")[c].alias(c) for c in rows.select("d.*").columns])
     body = F.struct(
         F.lit(SCHEMA_VERSION).alias("_schema_version"), report_id.alias("_report_id"), meta.alias("processing_details"),
         F.struct(F.col("resume_id").alias("candidate_id"), F.col("jd_id"), F.col("f").alias("final_score"), F.col("c").alias("components"), all_met.alias("all_mandatory_met")).alias("candidate_score"),

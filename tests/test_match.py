@@ -350,3 +350,25 @@ def test_scores_make_nothing_else(spark, monkeypatch, name):
     for module, made in ((report, "reports"), (pipeline, "sentence_matches"), (E, "comparison"), (pipeline, "embedded")):
         monkeypatch.setattr(module, made, lambda *a, made=made, **k: pytest.fail(f"{made} is not asked for"))
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_texts_filled_in_last_are_those_of_whole_rows(spark):
+    from matchloom.operators import report
+
+    ev = spark.createDataFrame([("j", "r", 1, 10, "skills", "skills", 0.8, "strong"), ("j", "r", 1, 11, "skills", "other", 0.5, "moderate"), ("j", "r", 3, 11, "experience", "other", 0.35, "weak"), ("j", "s", 2, 20, "skills", "skills", 0.0, "none")], EV)
+    kind = "jd_id string, jd_block long, block_no int, section string, text string, source_lines array<int>"
+    jd = spark.createDataFrame([("j", i, i, "skills" if i < 3 else "experience", f"you must have much of t{i} " + "x" * 300, [i, i + 1]) for i in range(1, 6)], kind)
+    res = spark.createDataFrame([("r", 10, "aa bb cc", [1]), ("r", 11, "dd ee ff", [2]), ("s", 20, "gg", [3])], "resume_id string, resume_block long, text string, source_lines array<int>")
+    pairs = ev.select("jd_id", "resume_id").distinct()
+    docs = spark.createDataFrame([("j", "j.pdf"), ("r", "r.pdf"), ("s", None)], "doc_id string, source_filename string")
+    years = pairs.withColumn("required", F.lit(4)).withColumn("candidate", F.lit(2))
+    own = res.select("resume_block", F.col("text").alias("resume_text"), F.col("source_lines").alias("resume_lines"))
+    full = ev.filter("strength <> 'none'").join(own, "resume_block").withColumn("explanation", E.explanation()).withColumn("uncertain", F.col("strength") == "weak")
+    whole = full.join(jd.select("jd_block", F.left("text", F.lit(200)).alias("jd_text"), F.col("source_lines").alias("jd_lines")), "jd_block")
+    comps = score.components(ev, jd, pairs, years)
+    want = report.reports(score.final_scores(comps), score.with_missing(comps, ev, jd, pairs), E.mandatory(ev, jd, pairs, texts=res), E.comparison(ev, jd, pairs, texts=res), whole, jd, pipeline.details_of(pairs, docs, jd, docs, res))
+    sides = [pipeline.details_of_documents(docs, b, n).withColumn(y, F.lit(k)) for n, b, y, k in (("jd", jd, "required", 4), ("resume", res, "candidate", 2))]
+    params, must = E.comparison(ev, jd, pairs, texts=res, late=True), E.mandatory(ev, jd, pairs, texts=res, late=True)
+    assert params.filter("requirement_text is not null or source_jd_lines is not null").isEmpty() and must.filter("requirement_text is not null").isEmpty()
+    got = report.reports(None, None, must, params, full, jd, None, late=(score.pair_facts(ev, jd), score.asked_of(jd), *sides))
+    assert sorted(map(tuple, report.as_json(got).collect())) == sorted(map(tuple, report.as_json(want).collect()))
