@@ -372,3 +372,61 @@ def test_texts_filled_in_last_are_those_of_whole_rows(spark):
     assert params.filter("requirement_text is not null or source_jd_lines is not null").isEmpty() and must.filter("requirement_text is not null").isEmpty()
     got = report.reports(None, None, must, params, full, jd, None, late=(score.pair_facts(ev, jd), score.asked_of(jd), *sides))
     assert sorted(map(tuple, report.as_json(got).collect())) == sorted(map(tuple, report.as_json(want).collect()))
+
+
+@pytest.mark.parametrize("simple", [True, False])
+def test_whole_documents_hold_the_blocks_of_processed_ones(spark, simple):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = ["", "\n \n", "Skills:", "skills\npython, sql and much more of it\n\n\n\nEXPERIENCE\r\n- did a. Then b!\r\n- did c", None, "2019 - 2020 " + "word " * 200, "no heading. Page 3\nEducation -\nx"]
+    docs = docs.unionByName(spark.createDataFrame([(-i, t) for i, t in enumerate(odd, 1)], docs.schema)).repartition(3)
+    got = pipeline.each_block(pipeline.whole(docs, simple=simple))
+    want = pipeline.processed(docs, simple=simple)["blocks"].select("doc_id", "block_no", "section", "text")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the documents, as they came
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("top_k", [20, 1])
+def test_sums_of_pairs_give_the_scores_of_their_evidence(spark, top_k):
+    from matchloom.config import Retrieval
+
+    cfg = config.Config(retrieval=Retrieval(top_k=top_k, similarity_threshold=0.1, noise_floor=0.05, span=0.4))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("doc_id <= 30")
+    jds, resumes = docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 > 0")
+    got = pipeline.scored(jds, resumes, cfg)
+    assert "hashpartitioning(resume_id" not in got._jdf.queryExecution().executedPlan().toString()  # no hit is shuffled
+    jb, rb = (pipeline.processed(d, cfg)["blocks"] for d in (jds, resumes))
+    ev = pipeline.scored(jds, resumes, cfg, finals=False)
+    pairs = ev.select("jd_id", "resume_id").distinct()
+    jd_blocks = jb.select(F.col("doc_id").cast("string").alias("jd_id"), F.col("block_no").alias("jd_block"), "block_no", "section", "text")
+    years = pairs.join(pipeline.years_of(jb, "jd_id", X.required_years, "required"), "jd_id", "left").join(pipeline.years_of(rb, "resume_id", X.candidate_years, "candidate"), "resume_id", "left")
+    want = score.ranked(score.final_scores(score.components(ev, jd_blocks, pairs, years)))
+    assert got.columns == want.columns
+    rows = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())
+    assert rows(got) == rows(want) and len({r["final"] for r in got.collect()}) > 20
+
+
+def test_terms_in_common_where_places_are_shared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from matchloom.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "TERM_PLACES", 2)
+    monkeypatch.setattr(retrieve, "BIT_ROWS", 3)
+    q, x = ["a b c", "", None, "d e"], ["c", "e z", "", "f a", "b d"]
+    r, c = (a.ravel() for a in np.meshgrid(range(4), range(5), indexing="ij"))
+    want = [bool(set((q[i] or "").split()) & set(x[j].split())) for i, j in zip(r, c, strict=True)]
+    assert retrieve._common_terms(pa.array(q), pa.array(x))(r, c).tolist() == want
+    assert not retrieve._common_terms(pa.array([None, ""]), pa.array(x))(np.array([0, 1]), np.array([0, 4])).any()
+
+
+def test_points_round_as_the_jvm_does(spark):
+    import numpy as np
+
+    cfg = config.Config()
+    dense = np.round(np.arange(0.45, 0.9, 0.000005), 6)
+    points, real = E.points_of(cfg)(dense, np.zeros(len(dense)), lambda i: np.zeros(len(i), bool))
+    df = spark.createDataFrame([(float(x),) for x in dense], "d double").select(E.calibrated(F.col("d"), None, cfg.retrieval, cfg.thresholds).alias("e"))
+    want = df.select(F.round("e", 4).alias("s"), (E.strength(F.col("e")) != "none").alias("r")).collect()
+    assert (points / 10000).tolist() == [r["s"] for r in want] and real.tolist() == [r["r"] for r in want]
