@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from matchloom import dims
 from matchloom.config import Weights
-from matchloom.operators.evidence import NOTHING_FOUND
+from matchloom.functions import text as X
+from matchloom.operators.evidence import NOTHING_FOUND, requirement_counts
 from matchloom.operators.score import NAMES, rated_facts, weighted
 
 
@@ -63,13 +64,19 @@ def quality_warnings(pairs: DataFrame, jd_messages: DataFrame, resume_messages:
     """jd_id, resume_id, data_quality_warnings: what quality.messages warns of in either document, the query document's
     first, each with its origin before it."""
 
-    def listed(msgs: DataFrame, name: str, label: str) -> DataFrame:
-        text = F.concat(F.lit(f"[{label}] "), F.col("code"), F.lit(": "), F.col("count"))
-        return msgs.filter("status <> 'valid'").groupBy(F.col(doc).alias(name)).agg(F.array_sort(F.collect_list(text)).alias(f"__{name}"))
+    out = pairs.join(document_warnings(jd_messages, "jd", doc), "jd_id", "left").join(document_warnings(resume_messages, "resume", doc), "resume_id", "left")
+    return out.select("jd_id", "resume_id", _both_warnings().alias("data_quality_warnings"))
 
-    out = pairs.join(listed(jd_messages, "jd_id", "JD"), "jd_id", "left").join(listed(resume_messages, "resume_id", "Resume"), "resume_id", "left")
+
+def document_warnings(msgs: DataFrame, name: str, doc: str = "doc_id") -> DataFrame:
+    """name_id, name_warnings: quality_warnings of one side, for each document that has any."""
+    text = F.concat(F.lit({"jd": "[JD] ", "resume": "[Resume] "}[name]), F.col("code"), F.lit(": "), F.col("count"))
+    return msgs.filter("status <> 'valid'").groupBy(F.col(doc).alias(f"{name}_id")).agg(F.array_sort(F.collect_list(text)).alias(f"{name}_warnings"))
+
+
+def _both_warnings() -> Column:
     empty = F.array().cast("array<string>")
-    return out.select("jd_id", "resume_id", F.concat(F.coalesce("__jd_id", empty), F.coalesce("__resume_id", empty)).alias("data_quality_warnings"))
+    return F.concat(F.coalesce("jd_warnings", empty), F.coalesce("resume_warnings", empty))
 
 
 def config_hash(weights: Weights = Weights()) -> str:
@@ -138,6 +145,43 @@ def briefs(facts: DataFrame, asked: DataFrame, of_jd: DataFrame, of_resume: Data
     return rows.select("jd_id", "resume_id", body.alias("report"))
 
 
+def outlines(evidence: DataFrame, blocks: DataFrame, found: DataFrame, facts: DataFrame, asked: DataFrame, of_jd: DataFrame, of_resume: DataFrame, weights: Weights = Weights(), n: int = 5) -> DataFrame:
+    """A row for each pair with what reports() holds but the rows of requirements and evidence, of which there are only
+    numbers: jd_id, resume_id, f and c (the final score, the components), mandatory, met, total, found, partial,
+    mandatory_total, mandatory_found, strongest, weakest, a list for each component (structs of b and r, the query block and
+    the candidate's), missing_requirements, review_flags, data_quality_warnings, recruiter_summary, filenames, block counts.
+
+    found from evidence.found_counts, the last four as in briefs(), of_jd and of_resume with warnings (document_warnings).
+    A pair moves as its facts and the numbers of its evidence; texts join by query document at the end.
+    """
+    key = ["jd_id", "resume_id"]
+    piece = F.struct(F.col("jd_block").alias("b"), (-F.col("score")).alias("s"), F.col("resume_block").alias("r"), F.col("jd_section").alias("section"))
+    pieces = evidence.filter("strength <> 'none'").groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("e"))
+    must = blocks.filter(X.is_mandatory(F.col("text"))).groupBy("jd_id").agg(F.array_sort(F.collect_list(F.struct("jd_block", F.left("text", F.lit(200)).alias("text")))).alias("must"))
+    jd = asked.join(of_jd, "jd_id", "full").join(has_content(blocks), "jd_id", "full").join(must, "jd_id", "full").join(requirement_counts(blocks), "jd_id", "full")
+    rows = _rated(facts.join(pieces, key, "left").join(found, key, "left").join(of_resume, "resume_id", "left").join(jd, "jd_id", "left"), weights)
+    rows = rows.na.fill(0, ["total", "mandatory_total", "found", "partial", "mandatory_found"]).withColumn("e", F.coalesce("e", F.array().cast(rows.schema["e"].dataType)))
+    ranked = F.array_sort(F.transform("e", lambda x: F.struct(x["s"], x["b"], x["r"])))
+    rows = rows.withColumn("ranked", ranked)
+    none = ~F.coalesce("has_content", F.lit(False))
+    within = lambda c: F.filter("e", lambda x: x["section"].isin(*GROUPS[c]) | (none if c == "content_score" else F.lit(False)))
+    met_blocks = F.transform(F.filter("e", lambda x: -x["s"] >= 0.40), lambda x: x["b"])
+    unmet = F.transform(F.filter("must", lambda x: ~F.array_contains(met_blocks, x["jd_block"])), lambda x: x["text"])
+    short = F.col("mandatory") - F.col("met")
+    flags = F.concat(_component_flags(), F.when(short != 0, F.array(F.format_string("Unmet mandatory requirements: %d", short))).otherwise(F.array().cast("array<string>")))
+    text = _summary_text({s: F.col(s) for s in ("strong", "moderate", "weak")}, {m: F.col("c")[i]["raw_score"] for i, m in enumerate(NAMES)}, F.col("met"), F.col("mandatory"), weights)
+    return rows.select(
+        *key, "f", "c", "mandatory", "met", "total", "found", "partial", "mandatory_total", "mandatory_found", F.slice("ranked", 1, n).alias("strongest"), F.slice("ranked", F.greatest(F.size("ranked") - n + 1, F.lit(1)), n).alias("weakest"),
+        *(F.slice(within(c), 1, 10).alias(f"{c}_evidence") for c in GROUPS), F.coalesce(unmet, F.array().cast("array<string>")).alias("missing_requirements"), flags.alias("review_flags"), _both_warnings().alias("data_quality_warnings"),
+        text.alias("recruiter_summary"), "jd_filename", "resume_filename", "jd_block_count", "resume_block_count",
+    )
+
+
+def _component_flags() -> Column:
+    """What a report's components in c give to its review flags."""
+    return F.flatten(F.transform("c", lambda x: F.array_compact(F.array(F.when(x["raw_score"] == 0, F.concat(F.lit("Zero score for "), x["name"], F.lit(": "), x["explanation"])), F.when(F.size(x["missing_evidence"]) > 0, F.concat(F.lit("Missing evidence for "), x["name"], F.lit(": "), F.size(x["missing_evidence"]).cast("string"), F.lit(" items")))))))
+
+
 def reports(finals: DataFrame | None, comps: DataFrame | None, mandatory: DataFrame, params: DataFrame, evidence: DataFrame, blocks: DataFrame, details: DataFrame | None, warnings: DataFrame | None = None, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None, late: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """jd_id, resume_id, report: one nested struct for each pair of finals, with all fields of RECRUITER_FIELDS.
 
@@ -216,7 +260,7 @@ def reports(finals: DataFrame | None, comps: DataFrame | None, mandatory: DataFr
     )
     met = F.size(F.filter("m", lambda x: x["is_met"]))
     all_met = met == F.size("m")
-    flags = F.flatten(F.transform("c", lambda x: F.array_compact(F.array(F.when(x["raw_score"] == 0, F.concat(F.lit("Zero score for "), x["name"], F.lit(": "), x["explanation"])), F.when(F.size(x["missing_evidence"]) > 0, F.concat(F.lit("Missing evidence for "), x["name"], F.lit(": "), F.size(x["missing_evidence"]).cast("string"), F.lit(" items")))))))
+    flags = _component_flags()
     unmet = F.when(~all_met, F.array(F.format_string("Unmet mandatory requirements: %d", F.size("m") - met))).otherwise(F.array().cast("array<string>"))
     raws = {c: F.col("component_" + c)["raw_score"] for c in NAMES}
     text = _summary_text(strong, raws, met, F.size("m"), weights)

@@ -47,3 +47,12 @@ def test_brief_reports_are_parts_of_whole_ones(spark):
     assert "ArrowEvalPython" not in plan  # no sentence is embedded, since none shows
     want = report.as_json(catalog._reports(spark, DATA), brief=True)
     assert sorted(map(tuple, brief.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_report_rows_make_no_rows_of_requirements(spark, monkeypatch):
+    from matchloom.operators import evidence as E
+    from matchloom.operators import report
+
+    for module, made in ((E, "comparison"), (E, "mandatory"), (report, "reports")):
+        monkeypatch.setattr(module, made, lambda *a, made=made, **k: pytest.fail(f"{made} is not asked for"))
+    assert {"n_params", "strongest", "missing"} <= set(catalog.report_rows(spark, DATA).columns)
