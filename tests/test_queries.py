@@ -56,3 +56,16 @@ def test_report_rows_make_no_rows_of_requirements(spark, monkeypatch):
     for module, made in ((E, "comparison"), (E, "mandatory"), (report, "reports")):
         monkeypatch.setattr(module, made, lambda *a, made=made, **k: pytest.fail(f"{made} is not asked for"))
     assert {"n_params", "strongest", "missing"} <= set(catalog.report_rows(spark, DATA).columns)
+
+
+def _matched_alike(spark, tmp_path, name):
+    """The query documents that come out of two of the same text, one id divisible by 20, and one candidate."""
+    text = "Requirements\nMust have experience with python and spark and sql\nExperience\nBuilt python and spark and sql pipelines\n"
+    docs = spark.createDataFrame([(1, text, "job_description"), (20, text, "job_description"), (2, text, "resume")], "doc_id long, text string, doc_type string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return {r["jd_id"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+
+
+def test_evidence_is_found_for_every_job_description(spark, tmp_path):
+    assert _matched_alike(spark, tmp_path, "match_evidence") == {"1", "20"}
+    assert "% 20" not in SQL["match_evidence"]
