@@ -69,3 +69,8 @@ def _matched_alike(spark, tmp_path, name):
 def test_evidence_is_found_for_every_job_description(spark, tmp_path):
     assert _matched_alike(spark, tmp_path, "match_evidence") == {"1", "20"}
     assert "% 20" not in SQL["match_evidence"]
+
+
+def test_scores_are_found_for_every_job_description(spark, tmp_path):
+    assert _matched_alike(spark, tmp_path, "match_scores") == {"1", "20"}
+    assert "% 20" not in SQL["match_scores"]
