@@ -430,3 +430,26 @@ def test_points_round_as_the_jvm_does(spark):
     df = spark.createDataFrame([(float(x),) for x in dense], "d double").select(E.calibrated(F.col("d"), None, cfg.retrieval, cfg.thresholds).alias("e"))
     want = df.select(F.round("e", 4).alias("s"), (E.strength(F.col("e")) != "none").alias("r")).collect()
     assert (points / 10000).tolist() == [r["s"] for r in want] and real.tolist() == [r["r"] for r in want]
+
+
+def test_similarities_are_exact_to_the_sixth_digit(spark):
+    """Vectors in single precision gave 0.355579 for the first one."""
+    from decimal import Decimal
+
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    cfg = config.Config(retrieval=config.Retrieval(similarity_threshold=0.30, noise_floor=0.20, span=0.50))
+    got = pipeline.scored(docs.filter("doc_id = 343"), docs.filter("doc_id = 13"), cfg, simple=True, finals=False)
+    assert [r["dense"] for r in got.filter("jd_block = 2 and resume_block = 2").collect()] == [0.35558]
+    rows = [[3, -3, 7, 9, 9], [], [1, 1, 1, -2] * 3000, [9, 7, -8, 2], None, [9, 9, 7, 1, 3]]
+    counts = [[sum((p > 0) - (p < 0) for p in r or [] if abs(p) == i) for i in range(1, 10)] for r in rows]
+    packed = retrieve._read(retrieve._stored(pa.array(rows, pa.list_(pa.int16())), 9), 9, True)
+    found = {(r, c): s for r, c, s in zip(*retrieve._similar(packed, packed, 0.3)(0, len(rows)), strict=True)}
+    want = {}
+    for a, x in enumerate(counts):
+        for b, y in enumerate(counts):
+            n = Decimal(sum(i * i for i in x) * sum(i * i for i in y)).sqrt()
+            if n and (s := round(float(sum(i * j for i, j in zip(x, y, strict=True)) / n), 6)) >= 0.3:
+                want[a, b] = s
+    assert found == want and len(want) > 6
