@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom import dims
-from matchloom.config import Weights
+from matchloom.config import Thresholds, Weights
 from matchloom.functions import text as X
-from matchloom.operators.evidence import NOTHING_FOUND, requirement_counts
-from matchloom.operators.score import NAMES, rated_facts, weighted
+from matchloom.operators.evidence import NOTHING_FOUND, category, numbered_requirements, requirement_counts, status
+from matchloom.operators.score import NAMES, component_flags, rated_facts, weighted, with_pair_facts
 
 
 def strongest(evidence: DataFrame, n: int = 5) -> DataFrame:
@@ -182,6 +182,67 @@ def _component_flags() -> Column:
     return F.flatten(F.transform("c", lambda x: F.array_compact(F.array(F.when(x["raw_score"] == 0, F.concat(F.lit("Zero score for "), x["name"], F.lit(": "), x["explanation"])), F.when(F.size(x["missing_evidence"]) > 0, F.concat(F.lit("Missing evidence for "), x["name"], F.lit(": "), F.size(x["missing_evidence"]).cast("string"), F.lit(" items")))))))
 
 
+def _asked_lists(blocks: DataFrame) -> DataFrame:
+    """jd_id, texts (a map of each block's text and lines), flags (one of its components), reqs and must (lists of
+    requirements and of mandatory blocks, in the order of reports)."""
+    text = F.map_from_entries(F.collect_list(F.struct("jd_block", F.struct("text", "source_lines"))))
+    texts = blocks.groupBy("jd_id").agg(text.alias("texts"), F.array_sort(F.collect_list(F.when(X.is_mandatory(F.col("text")), F.col("jd_block")))).alias("must"))
+    req = numbered_requirements(blocks).groupBy("jd_id").agg(F.array_sort(F.collect_list(F.struct("parameter_id", "jd_block", "is_mandatory", "jd_section"))).alias("reqs"))
+    flags = component_flags(blocks).groupBy("jd_id").agg(F.map_from_entries(F.collect_list(F.struct("jd_block", "components"))).alias("flags"))
+    return texts.join(flags, "jd_id").join(req, "jd_id", "left")
+
+
+def _lists_made(rows: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """rows (a pair's e and n, and _asked_lists of its query document) with e, m, p as reports() has them of evidence,
+    evidence.mandatory and evidence.comparison."""
+    none = F.array()
+    of = lambda k: F.try_element_at("texts", k)
+    rows = rows.withColumns({c: F.coalesce(c, none.cast(rows.schema[c].dataType)) for c in ("e", "n", "reqs", "must")})
+
+    def shown(x: Column) -> Column:
+        same = F.when(x["jd_section"] == x["section"], "same section").otherwise("cross-section")
+        why = F.format_string("Match strength: %s (similarity: %.3f) | JD section: %s | Resume section: %s | %s", x["strength"], -x["s"], x["jd_section"], x["section"], same)
+        return F.struct(
+            x["b"].alias("jd_block"), x["r"].alias("resume_block"), F.left(of(x["b"])["text"], F.lit(200)).alias("jd_text"), F.left(F.coalesce(x["text"], F.lit("")), F.lit(200)).alias("resume_text"), F.round(-x["s"], 4).alias("similarity_score"),
+            x["jd_section"].alias("jd_section"), x["section"].alias("resume_section"), of(x["b"])["source_lines"].alias("jd_line_numbers"), x["lines"].alias("resume_line_numbers"), x["strength"].alias("match_strength"),
+            why.alias("explanation"), (x["strength"] == "weak").alias("uncertainty"),
+        )
+
+    # e is sorted by query block, best first: a block's best is its first
+    first = lambda k, usable=F.lit(True): F.get(F.filter("e", lambda x: (x["b"] == k) & usable(x) if callable(usable) else x["b"] == k), F.lit(0))
+    rows = rows.withColumn("m", F.transform("must", lambda k: F.struct(k.alias("k"), first(k).alias("u"))))
+
+    def must(x: Column) -> Column:
+        score = F.coalesce(-x["u"]["s"], F.lit(0.0))
+        why = F.format_string("%s: best match score %.3f (threshold: %.2f)", F.when(score >= t.mandatory_met, "Met").otherwise("NOT met"), score, F.lit(t.mandatory_met))
+        why = F.when(x["u"].isNull(), "No matching evidence found in resume").otherwise(why)
+        return F.struct(F.left(of(x["k"])["text"], F.lit(200)).alias("requirement_text"), (score >= t.mandatory_met).alias("is_met"), score.alias("best_match_score"), F.left(x["u"]["text"], F.lit(200)).alias("best_match_text"), why.alias("explanation"))
+
+    rows = rows.withColumn("m", F.transform("m", must))
+    pin = lambda k: F.get(F.filter("n", lambda x: x["jd_block"] == k), F.lit(0))
+    rows = rows.withColumn("p", F.transform("reqs", lambda q: F.struct(q.alias("q"), first(q["jd_block"], lambda x: x["section"] != "contact").alias("u"), pin(q["jd_block"]).alias("n"))))
+    sim = lambda x: F.when(x["u"].isNull(), 0.0).otherwise(F.greatest(-x["u"]["s"], F.coalesce(x["n"]["similarity"], F.lit(0.0))))
+    rows = rows.withColumn("p", F.transform("p", lambda x: F.struct(x["q"].alias("q"), x["u"].alias("u"), x["n"].alias("n"), of(x["q"]["jd_block"]).alias("d"), sim(x).alias("sim"), F.round(F.least(sim(x) * 100, F.lit(100.0)), 1).alias("conf"), status(sim(x), t).alias("st"))))
+
+    def param(x: Column) -> Column:
+        q, u, n, hit = x["q"], x["u"], x["n"], x["st"] != "not_found"
+        described = F.when(x["st"] == "found", "Found in resume with strong evidence").otherwise("Partially found in resume")
+        why = (
+            F.when(hit, F.format_string("%s (score: %.1f%%). %s", described, x["conf"], F.format_string("Match strength: %s (similarity: %.3f)", u["strength"], -u["s"])))
+            .when(u.isNotNull(), F.format_string("Requirement not met in resume (score %.1f%% below threshold).", x["conf"]))
+            .otherwise(F.concat(F.lit(NOTHING_FOUND), F.left(x["d"]["text"], F.lit(100))))
+        )
+        lines = F.when(n["sentence"].isNotNull(), n["lines"]).otherwise(u["lines"])
+        return F.struct(
+            q["parameter_id"].alias("parameter_id"), category(q["jd_section"], q["is_mandatory"]).alias("category"), x["d"]["text"].alias("requirement_text"), q["is_mandatory"].alias("is_mandatory"), x["st"].alias("status"), x["conf"].alias("confidence_score"), F.round(x["sim"], 4).alias("similarity_score"),
+            F.coalesce(F.when(hit, F.coalesce(n["sentence"], u["text"])), F.lit("")).alias("matched_resume_text"), F.coalesce(F.when(hit, lines), F.array().cast("array<int>")).alias("matched_resume_lines"), x["d"]["source_lines"].alias("source_jd_lines"),
+            F.when(hit, u["strength"]).otherwise("none").alias("match_strength"), why.alias("explanation"), q["jd_section"].alias("jd_section"), F.when(hit, u["section"]).otherwise("unknown").alias("resume_section"),
+        )
+
+    e = F.transform("e", lambda x: F.struct(x["b"].alias("b"), x["s"].alias("s"), x["r"].alias("r"), shown(x).alias("v")))
+    return rows.withColumn("p", F.transform("p", param)).withColumn("e", e)
+
+
 def reports(finals: DataFrame | None, comps: DataFrame | None, mandatory: DataFrame, params: DataFrame, evidence: DataFrame, blocks: DataFrame, details: DataFrame | None, warnings: DataFrame | None = None, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None, late: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """jd_id, resume_id, report: one nested struct for each pair of finals, with all fields of RECRUITER_FIELDS.
 
@@ -237,6 +298,33 @@ def reports(finals: DataFrame | None, comps: DataFrame | None, mandatory: DataFr
     else:
         filled = dict.fromkeys("cmp", lambda x: x["v"])
     rows = rows.withColumns({c: F.transform(c, f) for c, f in filled.items()})
+    return _report_bodies(rows, weights, n, processed_at)
+
+
+def reports_at_once(evidence: DataFrame, pinned: DataFrame, blocks: DataFrame, asked: DataFrame, of_jd: DataFrame, weights: Weights = Weights(), n: int = 5, processed_at: str | None = None) -> DataFrame:
+    """What reports() gives where scores are as graded: each pair moves once, to its query document, as its evidence, its
+    sentences and what is known of its candidate. All else is made there.
+
+    evidence with rows of strength none too, resume_text (whole), resume_lines, and of_resume, a struct of the columns of
+    briefs()'s table; pinned as in evidence.comparison; asked from score.asked_of; of_jd as in briefs(). Both have warnings
+    (document_warnings).
+    """
+    key = ["jd_id", "resume_id"]
+    piece = F.struct(F.col("jd_block").alias("b"), (-F.col("score")).alias("s"), F.col("resume_block").alias("r"), "strength", "jd_section", F.col("resume_section").alias("section"), F.col("resume_text").alias("text"), F.col("resume_lines").alias("lines"))
+    e = evidence.select(*key, F.when(F.col("strength") != "none", piece).alias("e"), F.col("of_resume").alias("h"))
+    one = e.unionByName(pinned.select(*key, F.struct("jd_block", "sentence", "lines", "similarity").alias("n")), allowMissingColumns=True)
+    # by query document, where its texts are joined: neither that join nor the aggregate moves a pair again
+    one = one.repartition(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), "jd_id")
+    rows = one.groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("e"), F.collect_list("n").alias("n"), F.max("h").alias("h"))
+    of_blocks = has_content(blocks).join(_asked_lists(blocks), "jd_id").join(asked, "jd_id", "full").join(of_jd, "jd_id", "full")
+    rows = with_pair_facts(rows.select("*", "h.*").drop("h").hint("merge").join(of_blocks, "jd_id", "left"))
+    rows = _lists_made(_rated(rows, weights)).withColumn("d", F.struct("jd_filename", "resume_filename", "jd_block_count", "resume_block_count")).withColumn("w", _both_warnings())
+    return _report_bodies(rows, weights, n, processed_at)
+
+
+def _report_bodies(rows: DataFrame, weights: Weights, n: int, processed_at: str | None) -> DataFrame:
+    """reports() of rows with a pair's lists c, m, p, e, w, its final score f, its details d, has_content."""
+    key = ["jd_id", "resume_id"]
     ranked = F.transform(F.array_sort(F.transform("e", lambda x: F.struct(x["s"], x["b"], x["r"], x["v"]))), lambda x: x["v"])
     rows = rows.withColumn("ranked", ranked)
 

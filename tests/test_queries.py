@@ -74,3 +74,25 @@ def test_evidence_is_found_for_every_job_description(spark, tmp_path):
 def test_scores_are_found_for_every_job_description(spark, tmp_path):
     assert _matched_alike(spark, tmp_path, "match_scores") == {"1", "20"}
     assert "% 20" not in SQL["match_scores"]
+
+
+def test_reports_move_each_pair_once_and_equal_those_of_whole_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from matchloom.operators import evidence as E
+    from matchloom.operators import quality, report, score
+
+    ev = catalog._evidence(spark, DATA)
+    pairs, jd, res = catalog._pairs(ev), catalog._jd_blocks(spark, DATA), catalog._resume_blocks(spark, DATA)
+    texts = res.select("resume_block", F.left(F.coalesce("text", F.lit("")), F.lit(200)).alias("resume_text"), F.col("source_lines").alias("resume_lines"))
+    full = ev.filter("strength <> 'none'").join(texts, "resume_block").withColumn("explanation", E.explanation()).withColumn("uncertain", F.col("strength") == "weak")
+    full = full.join(jd.select("jd_block", F.left("text", F.lit(200)).alias("jd_text"), F.col("source_lines").alias("jd_lines")), "jd_block", "left")
+    msgs, comps = quality.messages(catalog._facts(spark, DATA)), catalog._components(spark, DATA)
+    details = pairs.join(catalog._sides(spark, DATA)[0], "jd_id", "left").join(catalog._sides(spark, DATA)[1], "resume_id", "left").na.fill(0, ["jd_block_count", "resume_block_count"])
+    details = details.select("jd_id", "resume_id", "jd_filename", "resume_filename", "jd_block_count", "resume_block_count")
+    params = E.comparison(ev, jd, pairs, texts=res, pinned=catalog._pinned(spark, DATA, ev))
+    want = report.reports(score.final_scores(comps), score.with_missing(comps, ev, jd, pairs), E.mandatory(ev, jd, pairs, texts=res), params, full, jd, details, report.quality_warnings(pairs, msgs, msgs))
+    want = sorted(map(tuple, report.as_json(want).collect()))
+    for module, made in ((E, "comparison"), (E, "mandatory"), (score, "pair_facts"), (report, "reports")):
+        monkeypatch.setattr(module, made, lambda *a, made=made, **k: pytest.fail(f"{made} makes rows that move"))
+    assert sorted(map(tuple, catalog.report_json(spark, DATA).collect())) == want != []
